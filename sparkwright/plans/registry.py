@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = [
     "sparkwright.plans.retail",
+    "sparkwright.plans.manufacturing",
+    "sparkwright.plans.logistics",
+    "sparkwright.plans.finance",
 ]
 
 
