@@ -12,6 +12,8 @@ _MODULES = [
     "sparkwright.plans.manufacturing",
     "sparkwright.plans.logistics",
     "sparkwright.plans.finance",
+    "sparkwright.plans.generic",
+    "sparkwright.plans.prepare",
 ]
 
 
