@@ -16,23 +16,19 @@ from pyspark.sql import types as T
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Accepted date/time layouts, tried in this order (month-first for
-# slash dates). Single-letter fields accept padded and unpadded numbers.
-DATE_FORMATS = [
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m",
-    "yyyy-M-d'T'H:m",
-    "yyyy-M-d",
-    "yyyy/M/d H:m:s",
-    "yyyy/M/d",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
-    "M/d/yyyy",
-    "d.M.yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
+# slash dates). Single-letter fields accept padded and unpadded numbers. Each family is
+# guarded by a shape pattern so text that cannot be a date never reaches the parser.
+DATE_FORMAT_FAMILIES = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2})?$",
+     ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d'T'H:m"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{1,2}:\d{1,2})?$", ["yyyy/M/d H:m:s", "yyyy/M/d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{1,2}(:\d{1,2})?)?$", ["M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["d.M.yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", ["MMM d, yyyy", "MMMM d, yyyy"]),
 ]
+DATE_FORMATS = [fmt for _, fmts in DATE_FORMAT_FAMILIES for fmt in fmts]
 # ISO text with fractional seconds or a zone goes through Spark's own cast.
 _ISO_FRACTION = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 
@@ -86,7 +82,10 @@ def parse_dates(c: str | Column, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and not is_string_type(dtype):
         return F.lit(None).cast("timestamp")
     text = F.trim(col.cast("string"))
-    attempts = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
+    attempts = []
+    for guard, fmts in DATE_FORMAT_FAMILIES:
+        tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in fmts]
+        attempts.append(F.when(text.rlike(guard), tries[0] if len(tries) == 1 else F.coalesce(*tries)))
     attempts.append(F.when(text.rlike(_ISO_FRACTION), text.try_cast("timestamp")))
     return F.coalesce(*attempts)
 

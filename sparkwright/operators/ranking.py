@@ -99,12 +99,13 @@ def average_percent_rank(df: DataFrame, value_col: str, out_col: str, group_cols
     return ranked.select(*group_cols, value_col, (avg_rank / F.col("_n")).alias(out_col), "_n")
 
 
-def exact_quantile(df: DataFrame, value_col: str, q: float, out_col: str = "quantile",
-                   group_cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantile (pandas/DuckDB ``quantile_cont`` rule).
+def exact_quantiles(df: DataFrame, value_col: str, quantiles: dict[str, float],
+                    group_cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas/DuckDB ``quantile_cont`` rule).
 
-    Distributed: no task ever holds more than one bucket of distinct values.
-    Returns one row per group (one row overall without groups).
+    Distributed: the distinct values are ranked once (see :func:`prefix_before`); every
+    quantile then picks at most two rows. One row per group (one row overall without
+    groups, null quantiles when the input is empty).
     """
     group_cols = list(group_cols or [])
     counts = df.filter(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col)\
@@ -112,29 +113,34 @@ def exact_quantile(df: DataFrame, value_col: str, q: float, out_col: str = "quan
     ranked = prefix_before(counts, value_col, "_t", group_cols, buckets)
     n = ranked.groupBy(*group_cols).agg(F.sum("_t").alias("_n"))
     ranked = ranked.join(F.broadcast(n), on=group_cols) if group_cols else ranked.crossJoin(F.broadcast(n))
-    pos = F.lit(float(q)) * (F.col("_n") - 1)
-    lo = F.floor(pos)
-    hi = F.ceil(pos)
     start = F.col("_before")
     end = F.col("_before") + F.col("_t")
     v = F.col(value_col).cast("double")
-    picked = ranked.select(
-        *group_cols,
-        F.when((lo >= start) & (lo < end), v).alias("_vlo"),
-        F.when((hi >= start) & (hi < end), v).alias("_vhi"),
-        (pos - lo).alias("_frac"),
-    ).filter(F.col("_vlo").isNotNull() | F.col("_vhi").isNotNull())
-    agg = picked.groupBy(*group_cols).agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),
-                                         F.max("_frac").alias("_frac"))
-    result = agg.select(*group_cols, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-                        .alias(out_col))
+    picks, aggs, outs = [], [], []
+    for i, (name, q) in enumerate(quantiles.items()):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        picks += [F.when((lo >= start) & (lo < end), v).alias(f"_lo{i}"),
+                  F.when((hi >= start) & (hi < end), v).alias(f"_hi{i}"),
+                  (pos - lo).alias(f"_f{i}")]
+        aggs += [F.max(f"_lo{i}").alias(f"_lo{i}"), F.max(f"_hi{i}").alias(f"_hi{i}"), F.max(f"_f{i}").alias(f"_f{i}")]
+        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name))
+    keep = F.lit(False)
+    for i in range(len(quantiles)):
+        keep = keep | F.col(f"_lo{i}").isNotNull() | F.col(f"_hi{i}").isNotNull()
+    picked = ranked.select(*group_cols, *picks).filter(keep)
+    result = picked.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)
     if not group_cols:
-        # An empty input still yields one row (null quantile).
         one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
         result = one.join(result.withColumn("_one", F.lit(1)), on="_one", how="left").drop("_one")
     return result
 
 
+def exact_quantile(df: DataFrame, value_col: str, q: float, out_col: str = "quantile",
+                   group_cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    return exact_quantiles(df, value_col, {out_col: q}, group_cols, buckets)
+
+
 def with_row_id(df: DataFrame, order_cols: list[str], out_col: str = "source_row_id",
                 buckets: int | None = None) -> DataFrame:
     """Dense 0-based row id following ``order_cols`` (which must identify rows).

@@ -14,6 +14,7 @@ _MODULES = [
     "sparkwright.plans.finance",
     "sparkwright.plans.generic",
     "sparkwright.plans.prepare",
+    "sparkwright.plans.profile",
 ]
 
 
