@@ -36,7 +36,7 @@ QUERIES = {
 
 PREPARED = """
 log_raw AS (
-  SELECT l.l_orderkey, l.l_partkey, l.l_linenumber,
+  SELECT l.l_orderkey, l.l_partkey, l.l_linenumber, l.l_suppkey,
     CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS tracking_id,
     o.o_orderdate AS order_date,
     CASE WHEN NOT (l.l_returnflag = 'N' AND l.l_linestatus = 'O') THEN l.l_shipdate END AS delivered_at,
@@ -52,7 +52,7 @@ log_raw AS (
   LEFT JOIN nation cn ON c.c_nationkey = cn.n_nationkey
 ),
 log_typed AS (
-  SELECT l_orderkey, l_partkey, l_linenumber,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
     NULLIF(TRIM(tracking_id), '') AS shipment_id, NULLIF(TRIM(courier), '') AS carrier,
     NULLIF(TRIM(warehouse), '') AS origin, NULLIF(TRIM(ship_to), '') AS destination,
     NULLIF(TRIM(shipment_status), '') AS delivery_status,
@@ -65,13 +65,13 @@ log_typed AS (
 ),
 log_dup AS (
   SELECT *, row_number() OVER (PARTITION BY shipment_id, order_date, delivery_date, planned_delivery_date, carrier,
-      origin, destination, shipping_cost, delivery_status ORDER BY l_orderkey, l_partkey, l_linenumber) > 1
+      origin, destination, shipping_cost, delivery_status ORDER BY l_orderkey, l_partkey, l_linenumber, l_suppkey) > 1
       AS is_duplicate_row
   FROM log_typed
 ),
 log_p98 AS (SELECT quantile_cont(shipping_cost, 0.98) AS p98 FROM log_typed WHERE shipping_cost IS NOT NULL),
 log_prepared AS (
-  SELECT l_orderkey, l_partkey, l_linenumber, shipment_id, order_date, delivery_date, planned_delivery_date,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, shipment_id, order_date, delivery_date, planned_delivery_date,
     carrier, origin, destination, shipping_cost, delivery_status,
     original_order_date, original_delivery_date, original_planned_delivery_date, is_duplicate_row,
     carrier IS NULL AS is_missing_carrier,

@@ -34,7 +34,7 @@ QUERIES = {
 
 PREPARED = """
 mfg_raw AS (
-  SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate AS event_time,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_shipdate AS event_time,
     CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN NULL ELSE 'M' || CAST(l_suppkey AS VARCHAR) END AS machine,
     l_quantity AS output, l_quantity * l_discount * CAST(2.0 AS DOUBLE) AS scrap, l_linenumber * 5 AS downtime,
     l_quantity * (CAST(1.0 AS DOUBLE) + l_tax) AS target_output, 480 AS runtime,
@@ -45,7 +45,7 @@ mfg_raw AS (
   FROM lineitem
 ),
 mfg_typed AS (
-  SELECT l_orderkey, l_partkey, l_linenumber,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
     CAST(event_time AS VARCHAR) AS original_timestamp, event_time AS "timestamp",
     NULLIF(TRIM(machine), '') AS machine_id, NULLIF(TRIM(production_line), '') AS line,
     NULLIF(TRIM(shift_name), '') AS shift, NULLIF(TRIM(sku), '') AS product,
@@ -58,11 +58,11 @@ mfg_typed AS (
 mfg_dup AS (
   SELECT *, row_number() OVER (PARTITION BY "timestamp", machine_id, line, shift, product, planned_output,
       actual_output, scrap_count, downtime_minutes, runtime_minutes, quality_status
-      ORDER BY l_orderkey, l_partkey, l_linenumber) > 1 AS is_duplicate_row
+      ORDER BY l_orderkey, l_partkey, l_linenumber, l_suppkey) > 1 AS is_duplicate_row
   FROM mfg_typed
 ),
 mfg_prepared AS (
-  SELECT l_orderkey, l_partkey, l_linenumber, "timestamp", machine_id, actual_output, scrap_count,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, "timestamp", machine_id, actual_output, scrap_count,
     downtime_minutes, planned_output, runtime_minutes, line, shift, product, quality_status, original_timestamp,
     is_duplicate_row,
     machine_id IS NULL AS is_missing_machine,

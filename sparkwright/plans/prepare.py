@@ -95,7 +95,7 @@ ORACLE = {
     "filter_compare": "SELECT * FROM orders WHERE o_totalprice >= 300000",
     "add_revenue": "WITH " + RETAIL_RAW + ' SELECT *, "Quantity" * "UnitPrice" AS revenue FROM retail_raw',
     "replay_steps": "WITH " + RETAIL_RAW + """
-      SELECT l_orderkey, l_linenumber, "InvoiceNo" AS invoice, """ + PARSE.format('"InvoiceDate"') + """ AS "InvoiceDate",
+      SELECT l_orderkey, l_linenumber, l_suppkey, "InvoiceNo" AS invoice, """ + PARSE.format('"InvoiceDate"') + """ AS "InvoiceDate",
         COALESCE("CustomerID", 'Unknown') AS "CustomerID", "Description", "Quantity", "UnitPrice", "Country", "Status",
         "Quantity" * "UnitPrice" AS line_revenue
       FROM retail_raw WHERE "Quantity" > 0""",

@@ -66,7 +66,8 @@ QUERIES = {
 
 from sparkwright.plans.retail import RAW  # noqa: E402
 
-COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_linenumber", "int"), ("InvoiceNo", "string"),
+COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_linenumber", "int"), ("l_suppkey", "bigint"),
+        ("InvoiceNo", "string"),
         ("InvoiceDate", "string"), ("CustomerID", "string"), ("Description", "string"), ("Category", "string"),
         ("Quantity", "double"), ("UnitPrice", "double"), ("Country", "string"), ("Status", "string")]
 PAT = NUMBER_PATTERN.replace("'", "''")
@@ -121,12 +122,13 @@ DETECT = _detect_cte()
 
 def _counts_cte(cols) -> str:
     parts = [f"SELECT '{c}' AS \"column\", {text(c, t)} AS value, "
-             f"struct_pack(a := l_orderkey, b := l_partkey, c := l_linenumber) AS o FROM retail_raw" for c, t in cols]
+             f"struct_pack(a := l_orderkey, b := l_partkey, c := l_linenumber, d := l_suppkey) AS o FROM retail_raw" for c, t in cols]
     return ("counts AS (SELECT \"column\", value, COUNT(*) AS n, MIN(o) AS first FROM (" + " UNION ALL ".join(parts) +
             ") WHERE value IS NOT NULL GROUP BY 1, 2)")
 
 
-NUMERIC_COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_linenumber", "int"), ("InvoiceNo", "string"),
+NUMERIC_COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_linenumber", "int"), ("l_suppkey", "bigint"),
+        ("InvoiceNo", "string"),
                 ("Quantity", "double"), ("UnitPrice", "double")]
 CATEGORICAL_COLS = [("CustomerID", "string"), ("Description", "string"), ("Category", "string"),
                     ("Country", "string"), ("Status", "string")]

@@ -15,6 +15,7 @@ _MODULES = [
     "sparkwright.plans.generic",
     "sparkwright.plans.prepare",
     "sparkwright.plans.profile",
+    "sparkwright.plans.quality",
 ]
 
 

@@ -48,7 +48,7 @@ QUERIES = {
 
 RAW = """
 retail_raw AS (
-  SELECT l.l_orderkey, l.l_partkey, l.l_linenumber,
+  SELECT l.l_orderkey, l.l_partkey, l.l_linenumber, l.l_suppkey,
     CAST(l.l_orderkey AS VARCHAR) AS "InvoiceNo",
     CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' AND o.o_orderstatus = 'O' THEN 'unknown'
          WHEN o.o_orderpriority = '1-URGENT' THEN strftime(o.o_orderdate, '%m/%d/%Y')
@@ -68,7 +68,7 @@ retail_raw AS (
 
 PREPARED = RAW + """,
 retail_typed AS (
-  SELECT l_orderkey, l_partkey, l_linenumber,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
     NULLIF(TRIM("InvoiceNo"), '') AS order_id,
     NULLIF(TRIM("CustomerID"), '') AS customer_id,
     NULLIF(TRIM("Description"), '') AS product_name,
@@ -86,12 +86,12 @@ retail_dup AS (
   SELECT *, row_number() OVER (
       PARTITION BY order_id, order_date, customer_id, product_name, product_category, quantity, unit_price,
                    country, invoice_status
-      ORDER BY l_orderkey, l_partkey, l_linenumber) > 1 AS is_duplicate_row,
+      ORDER BY l_orderkey, l_partkey, l_linenumber, l_suppkey) > 1 AS is_duplicate_row,
     regexp_matches(lower(COALESCE(invoice_status, '')), 'cancel|void|rejected') AS is_cancelled
   FROM retail_typed
 ),
 retail_prepared AS (
-  SELECT l_orderkey, l_partkey, l_linenumber, order_id, order_date, customer_id, product_name, quantity,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, order_id, order_date, customer_id, product_name, quantity,
     unit_price, country, product_category, invoice_status, original_order_date,
     COALESCE(quantity < 0, false) AS is_return,
     (unit_price IS NULL OR COALESCE(unit_price <= 0, false)) AS is_invalid_price,

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from sparkwright.sources.readers import read_table
 
 # Row identity of each raw table (natural keys; unique in the test tables).
-RETAIL_ROW_KEY = ["l_orderkey", "l_partkey", "l_linenumber"]
-MANUFACTURING_ROW_KEY = ["l_orderkey", "l_partkey", "l_linenumber"]
-LOGISTICS_ROW_KEY = ["l_orderkey", "l_partkey", "l_linenumber"]
+LINE_KEY = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"]
+RETAIL_ROW_KEY = LINE_KEY
+MANUFACTURING_ROW_KEY = LINE_KEY
+LOGISTICS_ROW_KEY = LINE_KEY
 FINANCE_ROW_KEY = ["o_orderkey"]
 
 RETAIL_MAPPING = {
@@ -81,7 +82,7 @@ def _nation(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
 
 def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+        "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
@@ -95,7 +96,7 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .when(F.col("o_orderpriority") == "1-URGENT", F.date_format("o_orderdate", "MM/dd/yyyy"))
                     .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
     return df.select(
-        "l_orderkey", "l_partkey", "l_linenumber",
+        *LINE_KEY,
         F.col("l_orderkey").cast("string").alias("InvoiceNo"),
         invoice_date.alias("InvoiceDate"),
         F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
@@ -114,7 +115,7 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manufacturing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(
-        "l_orderkey", "l_partkey", "l_linenumber",
+        *LINE_KEY,
         F.col("l_shipdate").alias("event_time"),
         F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("M"), F.col("l_suppkey").cast("string"))).alias("machine"),
@@ -145,7 +146,7 @@ def logistics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(_nation(spark, sf_dir, "cn"), F.col("c_nationkey") == F.col("cn_nationkey"), "left"))
     open_line = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
     return df.select(
-        "l_orderkey", "l_partkey", "l_linenumber",
+        *LINE_KEY,
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
         .alias("tracking_id"),
         F.col("o_orderdate").alias("order_date"),
