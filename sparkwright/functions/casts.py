@@ -32,6 +32,8 @@ DATE_FORMATS = [fmt for _, fmts in DATE_FORMAT_FAMILIES for fmt in fmts]
 # ISO text with fractional seconds or a zone goes through Spark's own cast.
 _ISO_FRACTION = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 
+_BLANKS = " \t\n\r\x0b\x0c"
+
 # Boolean spellings.
 TRUE_WORDS = ["true", "t", "yes", "y", "1"]
 FALSE_WORDS = ["false", "f", "no", "n", "0"]
@@ -62,7 +64,10 @@ def to_number(c: str | Column, dtype: T.DataType | None = None) -> Column:
     col = _col(c)
     if dtype is None or is_string_type(dtype):
         text = col.cast("string")
-        value = F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+        # Cheap first-character test before the regex: most non-numeric text stops here.
+        first = F.ascii(text)
+        maybe = (first.between(48, 57) | first.isin(43, 45, 46, 32, 9, 10, 13))
+        value = F.when(maybe & text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
         return F.when(~F.isnan(value), value)
     if isinstance(dtype, T.BooleanType):
         return col.cast("double")
@@ -82,17 +87,32 @@ def parse_dates(c: str | Column, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and not is_string_type(dtype):
         return F.lit(None).cast("timestamp")
     text = F.trim(col.cast("string"))
-    attempts = []
-    for guard, fmts in DATE_FORMAT_FAMILIES:
+    first = F.ascii(text)
+    digit = first.between(48, 57)
+    letter = first.between(65, 90) | first.between(97, 122)
+    sep5 = F.substring(text, 5, 1)
+
+    def family(i: int) -> Column:
+        guard, fmts = DATE_FORMAT_FAMILIES[i]
         tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in fmts]
-        attempts.append(F.when(text.rlike(guard), tries[0] if len(tries) == 1 else F.coalesce(*tries)))
-    attempts.append(F.when(text.rlike(_ISO_FRACTION), text.try_cast("timestamp")))
-    return F.coalesce(*attempts)
+        return F.when(text.rlike(guard), tries[0] if len(tries) == 1 else F.coalesce(*tries))
+
+    # Dispatch on cheap character tests so each value meets at most a few patterns;
+    # text that cannot start a date never reaches a regex or the parser.
+    iso = F.coalesce(F.when(F.length(text) > 10, F.coalesce(family(0), F.when(text.rlike(_ISO_FRACTION),
+                                                                                  text.try_cast("timestamp")))),
+                     family(1))
+    return (F.when(digit & (sep5 == "-"), iso)
+            .when(digit & (sep5 == "/"), family(2))
+            .when(digit & F.contains(text, F.lit("/")), family(3))
+            .when(digit & F.contains(text, F.lit(".")), family(4))
+            .when(digit & F.contains(text, F.lit(" ")), family(5))
+            .when(letter & F.contains(text, F.lit(",")), family(6)))
 
 
 def clean_text(c: str | Column) -> Column:
     """String view, surrounding blanks removed, empty text as null."""
-    text = F.regexp_replace(_col(c).cast("string"), r"^\s+|\s+$", "")
+    text = F.btrim(_col(c).cast("string"), F.lit(_BLANKS))
     return F.when(text != "", text)
 
 

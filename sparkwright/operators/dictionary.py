@@ -49,18 +49,21 @@ def mapping_table(spark, mappings: dict[str, dict[str, str | None]] | None) -> D
 def generate(df: DataFrame, mappings: dict[str, dict[str, str | None]] | None = None,
              order_cols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     columns = list(columns or df.columns)
+    proj = []
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, name in enumerate(columns):
         t = df.schema[name].dataType
-        num = to_number(_c(name), t)
-        aggs += [F.count(_c(name)).alias(f"nn{i}"), F.count(num).alias(f"num{i}"),
+        proj += [_c(name).alias(f"_v{i}"), to_number(_c(name), t).alias(f"_n{i}")]
+        num = F.col(f"_n{i}")
+        aggs += [F.count(f"_v{i}").alias(f"nn{i}"), F.count(num).alias(f"num{i}"),
                  F.min(num).alias(f"min{i}"), F.max(num).alias(f"max{i}"),
                  F.avg(num.cast("decimal(38,6)")).alias(f"avg{i}"),
                  F.count_if(num <= 0).alias(f"nonpos{i}")]
         if is_string_type(t) or isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            d = parse_dates(_c(name), t)
+            proj.append(parse_dates(_c(name), t).alias(f"_d{i}"))
+            d = F.col(f"_d{i}")
             aggs += [F.count(d).alias(f"dt{i}"), F.min(d).alias(f"dmin{i}"), F.max(d).alias(f"dmax{i}")]
-    wide = df.agg(*aggs)
+    wide = df.select(*proj).agg(*aggs)
     per_col = []
     for i, name in enumerate(columns):
         t = df.schema[name].dataType

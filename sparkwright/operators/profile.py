@@ -43,27 +43,28 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 def detect_types(df: DataFrame) -> DataFrame:
-    """(column, dtype, non_null, numeric_share, date_share, kind) from one aggregate.
+    """(pos, column, dtype, non_null, numeric_share, date_share, kind) from one aggregate.
 
     kind: numeric (numeric type, or text with >= 90% parseable numbers), date (date
     type, or non-numeric text with >= 75% parseable dates), categorical (other text or
-    boolean), other.
+    boolean), other. Text is parsed once per value in a projection under the aggregate.
     """
-    aggs = []
-    for name, dtype in df.dtypes:
+    proj, aggs = [], []
+    for i, (name, dtype) in enumerate(df.dtypes):
         t = df.schema[name].dataType
-        aggs.append(F.count(_c(name)).alias(f"nn_{name}"))
+        proj.append(_c(name).alias(f"_v{i}"))
+        aggs.append(F.count(f"_v{i}").alias(f"nn{i}"))
         if is_string_type(t):
-            aggs.append(F.count(to_number(_c(name), t)).alias(f"num_{name}"))
-            aggs.append(F.count(parse_dates(_c(name), t)).alias(f"date_{name}"))
-    wide = df.agg(*aggs)
+            proj += [to_number(_c(name), t).alias(f"_n{i}"), parse_dates(_c(name), t).alias(f"_d{i}")]
+            aggs += [F.count(f"_n{i}").alias(f"num{i}"), F.count(f"_d{i}").alias(f"date{i}")]
+    wide = df.select(*proj).agg(*aggs)
     rows = []
-    for name, dtype in df.dtypes:
+    for i, (name, dtype) in enumerate(df.dtypes):
         t = df.schema[name].dataType
-        nn = F.col(f"`nn_{name}`")
+        nn = F.col(f"nn{i}")
         if is_string_type(t):
-            num_share = F.when(nn > 0, F.col(f"`num_{name}`") / nn).otherwise(F.lit(0.0))
-            date_share = F.when(nn > 0, F.col(f"`date_{name}`") / nn).otherwise(F.lit(0.0))
+            num_share = F.when(nn > 0, F.col(f"num{i}") / nn).otherwise(F.lit(0.0))
+            date_share = F.when(nn > 0, F.col(f"date{i}") / nn).otherwise(F.lit(0.0))
             kind = (F.when(num_share >= PROFILE_NUMERIC_SHARE, "numeric")
                     .when(date_share >= PROFILE_DATE_SHARE, "date").otherwise("categorical"))
         else:
@@ -72,7 +73,7 @@ def detect_types(df: DataFrame) -> DataFrame:
             date_share = F.lit(1.0 if _is_dt(t) else 0.0)
             kind = F.lit("numeric" if is_num else "date" if _is_dt(t) else
                          "categorical" if isinstance(t, T.BooleanType) else "other")
-        rows.append(F.struct(F.lit(len(rows)).alias("pos"), F.lit(name).alias("column"), F.lit(dtype).alias("dtype"),
+        rows.append(F.struct(F.lit(i).alias("pos"), F.lit(name).alias("column"), F.lit(dtype).alias("dtype"),
                              nn.alias("non_null"), num_share.cast("double").alias("numeric_share"),
                              date_share.cast("double").alias("date_share"), kind.alias("kind")))
     return wide.select(F.inline(F.array(*rows)))
@@ -96,10 +97,17 @@ def dtype_table(df: DataFrame) -> list[tuple[str, str]]:
 def value_counts(df: DataFrame, columns: list[str] | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """(column, value, n[, first]) over non-null values: the shared long count table.
 
-    ``first`` is the smallest ``order_cols`` struct holding the value (source order).
+    ``first`` is the smallest ``order_cols`` value holding the value (source order). A
+    single long order column (a row id) keeps this a hash aggregate; several columns
+    are compared as a struct, which Spark can only sort-aggregate.
     """
     columns = list(columns or df.columns)
-    order = F.struct(*[_c(c) for c in order_cols]) if order_cols else None
+    if not order_cols:
+        order = None
+    elif len(order_cols) == 1:
+        order = _c(order_cols[0])
+    else:
+        order = F.struct(*[_c(c) for c in order_cols])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])
     base = df.select(F.explode(pairs).alias("p"), *([order.alias("_o")] if order is not None else []))
     base = base.select("p.column", "p.value", *(["_o"] if order is not None else []))

@@ -145,14 +145,26 @@ def with_row_id(df: DataFrame, order_cols: list[str], out_col: str = "source_row
                 buckets: int | None = None) -> DataFrame:
     """Dense 0-based row id following ``order_cols`` (which must identify rows).
 
-    The first order column is bucketed like :func:`prefix_before`; the rest only order
-    rows that share the first column's value.
+    Rows are cut into range buckets on the first order column (bounded list of
+    approximate quantiles, collected once as literals), numbered by a window inside each
+    bucket and shifted by the bucket's offset (a table of at most ``buckets`` rows). The
+    input is checkpointed first so the three passes over it see identical rows.
     """
-    first, rest = order_cols[0], order_cols[1:]
-    counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_t"))
-    offsets = prefix_before(counts, first, "_t", None, buckets).select(first, "_before")
-    joined = df.join(offsets, on=first, how="inner")
-    if rest:
-        w = Window.partitionBy(first).orderBy(*rest)
-        return joined.withColumn(out_col, F.col("_before") + F.row_number().over(w) - 1).drop("_before")
-    return joined.withColumnRenamed("_before", out_col)
+    first = order_cols[0]
+    n_buckets = _bucket_count(df, buckets)
+    base = stable(df)
+    fractions = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = []
+    if fractions:
+        row = base.agg(F.percentile_approx(F.col(first).cast("double"), fractions, 10000).alias("_b")).collect()[0]
+        bounds = sorted(set(row["_b"] or []))
+    with_bucket = base.withColumn("_bucket", _bucket_expr(F.col(first), bounds))
+    totals = with_bucket.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bucket_total"))
+    w_tot = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # At most ``buckets`` rows: the global window and the broadcast are bounded.
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_bucket_total").over(w_tot), F.lit(0)))\
+        .drop("_bucket_total")
+    w_in = Window.partitionBy("_bucket").orderBy(*order_cols)
+    numbered = with_bucket.withColumn("_inner", F.row_number().over(w_in) - 1)
+    return (numbered.join(F.broadcast(offsets), "_bucket")
+            .withColumn(out_col, F.col("_offset") + F.col("_inner")).drop("_bucket", "_offset", "_inner"))

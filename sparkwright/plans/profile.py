@@ -22,6 +22,18 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "retail_raw", lambda: retail_raw(spark, sf_dir))
 
 
+def raw_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source with a dense ``source_row_id`` in line-key order (computed once, shared)."""
+    from sparkwright.operators.ranking import with_row_id
+    return shared(spark, sf_dir, "retail_raw_with_id", lambda: with_row_id(retail_raw(spark, sf_dir), RETAIL_ROW_KEY))
+
+
+def data_dictionary(s, d):
+    df = raw_with_id(s, d)
+    cols = [c for c in df.columns if c != "source_row_id"]
+    return DICT.generate(df, {"sales_retail": RETAIL_MAPPING}, ["source_row_id"], cols)
+
+
 def _kind_columns(df: DataFrame, kind: str) -> list[str]:
     # Bounded: one row per column of the profiled table.
     return [r["column"] for r in PR.detect_types(df).filter(F.col("kind") == kind).select("column").collect()]
@@ -53,7 +65,7 @@ QUERIES = {
     "profile_unique": lambda s, d: PR.unique_table(PR.value_counts(raw(s, d)), raw(s, d).columns),
     "profile_numeric": profile_numeric,
     "profile_categorical": profile_categorical,
-    "data_dictionary": lambda s, d: DICT.generate(raw(s, d), {"sales_retail": RETAIL_MAPPING}, RETAIL_ROW_KEY),
+    "data_dictionary": data_dictionary,
     "numeric_histogram": lambda s, d: PR.histogram(read_table(s, d, "lineitem"), "l_extendedprice", 40),
     "box_stats": box_stats,
     "value_frequency": lambda s, d: PR.value_frequency(read_table(s, d, "lineitem"), "l_suppkey", 15),

@@ -36,8 +36,8 @@ def rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retail_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "retail_raw_with_id",
-                  lambda: with_row_id(FX.retail_raw(spark, sf_dir), FX.RETAIL_ROW_KEY))
+    from sparkwright.plans.profile import raw_with_id
+    return raw_with_id(spark, sf_dir)
 
 
 def retail_score(spark: SparkSession, sf_dir: str) -> DataFrame:
