@@ -19,14 +19,20 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # slash dates). Single-letter fields accept padded and unpadded numbers. Each family is
 # guarded by a shape pattern so text that cannot be a date never reaches the parser.
 DATE_FORMAT_FAMILIES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2})?$",
-     ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d'T'H:m"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["yyyy-M-d H:m"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m"]),
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{1,2}:\d{1,2})?$", ["yyyy/M/d H:m:s", "yyyy/M/d"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{1,2}(:\d{1,2})?)?$", ["M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy/M/d H:m:s"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["M/d/yyyy H:m:s"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["M/d/yyyy H:m"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy"]),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["d.M.yyyy"]),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", ["MMM d, yyyy", "MMMM d, yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
 ]
 DATE_FORMATS = [fmt for _, fmts in DATE_FORMAT_FAMILIES for fmt in fmts]
 # ISO text with fractional seconds or a zone goes through Spark's own cast.
@@ -92,22 +98,28 @@ def parse_dates(c: str | Column, dtype: T.DataType | None = None) -> Column:
     letter = first.between(65, 90) | first.between(97, 122)
     sep5 = F.substring(text, 5, 1)
 
-    def family(i: int) -> Column:
-        guard, fmts = DATE_FORMAT_FAMILIES[i]
-        tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in fmts]
-        return F.when(text.rlike(guard), tries[0] if len(tries) == 1 else F.coalesce(*tries))
-
+    def fam(*idx: int) -> Column:
+        # Each guard admits exactly one layout, so no parse attempt fails by exception
+        # unless the value itself is impossible (e.g. February 30).
+        out = None
+        for i in reversed(idx):
+            guard, (fmt,) = DATE_FORMAT_FAMILIES[i]
+            parsed = F.try_to_timestamp(text, F.lit(fmt))
+            out = F.when(text.rlike(guard), parsed) if out is None else \
+                F.when(text.rlike(guard), parsed).otherwise(out)
+        return out
+
+    long_iso = F.when(text.rlike(_ISO_FRACTION) & ~text.rlike(r":\d{1,2}$"), text.try_cast("timestamp"))\
+        .otherwise(fam(0, 1, 2, 3))
+    iso = F.when(F.length(text) > 10, long_iso).otherwise(fam(4))
     # Dispatch on cheap character tests so each value meets at most a few patterns;
     # text that cannot start a date never reaches a regex or the parser.
-    iso = F.coalesce(F.when(F.length(text) > 10, F.coalesce(family(0), F.when(text.rlike(_ISO_FRACTION),
-                                                                                  text.try_cast("timestamp")))),
-                     family(1))
     return (F.when(digit & (sep5 == "-"), iso)
-            .when(digit & (sep5 == "/"), family(2))
-            .when(digit & F.contains(text, F.lit("/")), family(3))
-            .when(digit & F.contains(text, F.lit(".")), family(4))
-            .when(digit & F.contains(text, F.lit(" ")), family(5))
-            .when(letter & F.contains(text, F.lit(",")), family(6)))
+            .when(digit & (sep5 == "/"), fam(5, 6))
+            .when(digit & F.contains(text, F.lit("/")), fam(7, 8, 9))
+            .when(digit & F.contains(text, F.lit(".")), fam(10))
+            .when(digit & F.contains(text, F.lit(" ")), fam(11))
+            .when(letter & F.contains(text, F.lit(",")), fam(12, 13)))
 
 
 def clean_text(c: str | Column) -> Column:

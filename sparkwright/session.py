@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT methods above 8000 bytecodes; wider generated stages fall
+    # back to per-expression codegen instead of running interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -33,8 +36,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    configure(spark)
+    return spark
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the session-level settings this package relies on (safe on a live session)."""
     for key, value in DEFAULT_CONF.items():
-        if spark.conf.get(key, None) is None:
+        if key == "spark.sql.codegen.hugeMethodLimit":
+            spark.conf.set(key, value)
+        elif spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)

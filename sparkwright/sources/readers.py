@@ -13,8 +13,30 @@ from pyspark.sql import types as T
 RECORD_LIST_KEYS = ["records", "data", "items", "rows", "results"]
 
 
+# Tables smaller than this are left as scanned (broadcast-sized dimensions).
+_SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan across the cluster when it yields fewer splits than cores.
+
+    A file written as one row group is one task however large it is; everything
+    downstream of it would then run on one core. On a real lake the scan already has
+    thousands of splits and this is a no-op (no shuffle is added).
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    jdf = df._jdf
+    raw_size = jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = int(raw_size if isinstance(raw_size, int) else raw_size.toString())
+    if size < _SPREAD_MIN_BYTES:
+        return df
+    if jdf.rdd().getNumPartitions() >= parallelism:
+        return df
+    return df.repartition(parallelism)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def normalize_blanks(df: DataFrame) -> DataFrame:
