@@ -36,13 +36,18 @@ def flag_duplicates(df: DataFrame, subset: list[str], order_cols: list[str],
     aggregate combines map-side, and AQE can split a hot group in the join, while a
     window would pull a group that holds a third of the table into one task.
     ``order_cols`` must identify rows.
+
+    Only groups that actually repeat are joined back (left join), so with few copies
+    AQE sees a small build side at runtime and broadcasts it instead of shuffling the
+    table a second time.
     """
-    order = F.struct(*[F.col(c) for c in order_cols])
+    order = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
     keys = [f"_k{i}" for i in range(len(subset))]
     firsts = (df.groupBy(*[F.col(c).alias(k) for c, k in zip(subset, keys)])
-              .agg(F.min(order).alias("_first")))
+              .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+              .filter(F.col("_copies") > 1).drop("_copies"))
     cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(firsts[k]) for c, k in zip(subset, keys)])
-    joined = df.join(firsts, on=cond, how="inner")
+    joined = df.join(firsts, on=cond, how="left")
     return joined.withColumn(flag, as_bool_flag(order != F.col("_first"))).drop("_first", *keys)
 
 

@@ -42,7 +42,7 @@ def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str
     )
     flagged = flag_duplicates(typed, FIELDS, order_cols)
     # The 98th percentile is one row: broadcasting it is bounded by construction.
-    threshold = exact_quantile(flagged, "shipping_cost", HIGH_COST_QUANTILE, "_p98", buckets=buckets)
+    threshold = exact_quantile(typed, "shipping_cost", HIGH_COST_QUANTILE, "_p98", buckets=buckets)
     delay = elapsed_days(F.col("delivery_date"), F.col("planned_delivery_date"))
     return flagged.crossJoin(F.broadcast(threshold)).select(
         *order_cols, *FIELDS,

@@ -10,10 +10,10 @@ third of all rows is one row of the distinct table, so hot values cannot skew it
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.session import checkpoint_dir
 
 _MAX_BUCKETS = 1024
 
@@ -33,9 +33,14 @@ def _bucket_expr(value: Column, bounds: list[float]) -> Column:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Keep an intermediate that is read several times (bounds lookup, then the plan).
+
+    Bucket boundaries are collected as literals, so a recomputed partition (after an
+    executor loss) lands in the same buckets: persisting is enough for correctness and
+    avoids recomputing the upstream plan for each read.
+    """
+    from sparkwright.plans.shared import track
+    return track(df.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def prefix_before(counts: DataFrame, value_col: str, weight_col: str, group_cols: list[str] | None = None,
@@ -148,7 +153,7 @@ def with_row_id(df: DataFrame, order_cols: list[str], out_col: str = "source_row
     Rows are cut into range buckets on the first order column (bounded list of
     approximate quantiles, collected once as literals), numbered by a window inside each
     bucket and shifted by the bucket's offset (a table of at most ``buckets`` rows). The
-    input is checkpointed first so the three passes over it see identical rows.
+    input is persisted first so the three passes over it do not recompute it.
     """
     first = order_cols[0]
     n_buckets = _bucket_count(df, buckets)

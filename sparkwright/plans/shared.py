@@ -24,10 +24,20 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return df
 
 
+_TRACKED: list[DataFrame] = []
+
+
+def track(df: DataFrame) -> DataFrame:
+    """Remember a persisted intermediate so :func:`release_all` can free it."""
+    _TRACKED.append(df)
+    return df
+
+
 def release_all() -> None:
-    for df in _CACHE.values():
+    for df in list(_CACHE.values()) + _TRACKED:
         try:
             df.unpersist()
         except Exception:  # session already stopped
             pass
     _CACHE.clear()
+    _TRACKED.clear()
