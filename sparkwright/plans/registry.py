@@ -16,6 +16,9 @@ _MODULES = [
     "sparkwright.plans.prepare",
     "sparkwright.plans.profile",
     "sparkwright.plans.quality",
+    "sparkwright.plans.matching",
+    "sparkwright.plans.summary",
+    "sparkwright.plans.io",
 ]
 
 

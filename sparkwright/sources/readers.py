@@ -114,6 +114,33 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return validate_table(flatten_records(normalize_json_nulls(doc)))
 
 
+def parse_json_column(df: DataFrame, column: str, sep: str = ".") -> DataFrame:
+    """JSON objects held in a text column become dotted columns (``props.k``).
+
+    The schema is read from one non-null value (a bounded single-row lookup) and the
+    whole column is parsed with ``from_json`` on the executors.
+    """
+    sample = df.select(column).filter(F.col(column).isNotNull()).first()
+    if sample is None:
+        return df
+    schema = df.sparkSession.range(1).select(F.schema_of_json(F.lit(sample[0])).alias("s")).first()["s"]
+    parsed = df.withColumn(column, F.from_json(F.col(column), schema))
+    others = [F.col(f"`{c}`") for c in df.columns if c != column]
+    leaf = [F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path))
+            for path in _leaf_paths(parsed.schema[column].dataType, [column], sep)]
+    return parsed.select(*others, *leaf)
+
+
+def _leaf_paths(dtype: T.DataType, path: list[str], sep: str):
+    if isinstance(dtype, T.StructType):
+        for f in dtype.fields:
+            yield from _leaf_paths(f.dataType, path + [f.name], sep)
+    elif isinstance(dtype, (T.ArrayType, T.MapType)):
+        raise ValueError(f"Column {sep.join(path)} holds a list; only flat or nested objects are supported.")
+    else:
+        yield path
+
+
 def normalize_json_nulls(df: DataFrame) -> DataFrame:
     return normalize_blanks(df)
 
