@@ -100,12 +100,11 @@ def flatten_records(df: DataFrame, sep: str = ".") -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines, a top-level array of records, a single object, or an object holding a
     record list (preferred keys first, else the first key holding records)."""
-    lines = spark.read.option("mode", "PERMISSIVE").json(path)
-    if "_corrupt_record" not in lines.columns and len(lines.columns) > 0:
-        return validate_table(flatten_records(normalize_json_nulls(lines)))
-    doc = spark.read.option("multiLine", True).json(path)
-    if "_corrupt_record" in doc.columns and len(doc.columns) == 1:
-        raise ValueError("The file is not valid JSON.")
+    doc = spark.read.option("mode", "PERMISSIVE").json(path)
+    if "_corrupt_record" in doc.columns or len(doc.columns) == 0:
+        doc = spark.read.option("multiLine", True).json(path)
+        if "_corrupt_record" in doc.columns and len(doc.columns) == 1:
+            raise ValueError("The file is not valid JSON.")
     list_fields = [f.name for f in doc.schema.fields
                    if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
     chosen = next((k for k in RECORD_LIST_KEYS if k in list_fields), list_fields[0] if list_fields else None)
@@ -153,6 +152,24 @@ def read_xlsx_files(spark: SparkSession, path: str, sheet: str | None = None) ->
     header row into columns with :func:`xlsx_to_table`.
     """
     from sparkwright.sources.xlsx import parse_workbooks
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(path)
+    legacy = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls").load(path).select("path")
+    if not legacy.isEmpty():
+        raise ValueError("Legacy .xls workbooks are not supported; save them as .xlsx.")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     schema = "_file string, _sheet string, row_no int, col_no int, value string"
     return files.select("path", "content").mapInPandas(lambda it: parse_workbooks(it, sheet), schema)
+
+
+def xlsx_to_table(cells: DataFrame) -> DataFrame:
+    """Long cells -> one table: row 1 holds the headers, later rows the records.
+
+    The header row is one bounded row per workbook column; the pivot uses those
+    fixed column numbers, so the reshaping runs on the executors.
+    """
+    header = {r["col_no"]: r["value"] for r in cells.filter(F.col("row_no") == 1)
+              .groupBy("col_no").agg(F.min("value").alias("value")).collect()}
+    cols = sorted(header)
+    body = cells.filter(F.col("row_no") > 1)
+    wide = body.groupBy("_file", "_sheet", "row_no").pivot("col_no", cols).agg(F.first("value"))
+    return normalize_blanks(wide.select("_file", "_sheet", *[F.col(f"`{c}`").alias(header[c] or f"column_{c}")
+                                                             for c in cols]))

@@ -1,0 +1,5 @@
+"""Micro-batch execution of the batch operators over arriving files."""
+
+from sparkwright.streaming.incremental import rule_counts_stream
+
+__all__ = ["rule_counts_stream"]
