@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions import as_bool_flag
+from sparkwright.plans.shared import track
+
+# A checked row count below which a lookup table is broadcast (rows of a few keys).
+BROADCAST_MAX_ROWS = 50_000
 
 
 def apply_mapping(df: DataFrame, mapping: dict[str, str | None], fields: list[str],
@@ -37,15 +42,18 @@ def flag_duplicates(df: DataFrame, subset: list[str], order_cols: list[str],
     window would pull a group that holds a third of the table into one task.
     ``order_cols`` must identify rows.
 
-    Only groups that actually repeat are joined back (left join), so with few copies
-    AQE sees a small build side at runtime and broadcasts it instead of shuffling the
-    table a second time.
+    Only groups that actually repeat are joined back (left join). Their number is
+    checked first: up to ``BROADCAST_MAX_ROWS`` they are broadcast and the table is never
+    shuffled for the join; beyond that the join stays a shuffle join (AQE skew-split).
     """
     order = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
     keys = [f"_k{i}" for i in range(len(subset))]
     firsts = (df.groupBy(*[F.col(c).alias(k) for c, k in zip(subset, keys)])
               .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
               .filter(F.col("_copies") > 1).drop("_copies"))
+    firsts = track(firsts.persist(StorageLevel.MEMORY_AND_DISK))
+    if firsts.count() <= BROADCAST_MAX_ROWS:
+        firsts = F.broadcast(firsts)
     cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(firsts[k]) for c, k in zip(subset, keys)])
     joined = df.join(firsts, on=cond, how="left")
     return joined.withColumn(flag, as_bool_flag(order != F.col("_first"))).drop("_first", *keys)
