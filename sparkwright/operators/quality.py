@@ -295,7 +295,7 @@ def score(df: DataFrame, mapping: dict[str, str | None] | None = None, required_
 def score_report(score_row: DataFrame, schema_assessed: bool = True, date_assessed: bool = True) -> DataFrame:
     """(section, metric, value) rows: overall, sub-scores, metrics, explanations and fixes."""
     def fmt_pct(num: Column, den: Column) -> Column:
-        return F.format_string("%.1f%%", num / F.greatest(den, F.lit(1)) * 100)
+        return F.format_string("%.1f%%", F.round(num / F.greatest(den, F.lit(1)) * 100, 1))
 
     r = [("overall", "overall_score", F.col("overall_score").cast("string")),
          ("sub_score", "missing_values", F.col("missing_values_score").cast("string")),

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _num(c: Column, digits: int) -> Column:
+    """Thousands-separated number; rounded half-up first so formatting never sees a tie."""
+    return F.format_number(F.round(c, digits), digits)
+
+
 def _money(c: Column) -> Column:
-    return F.concat(F.when(c < 0, F.lit("-$")).otherwise(F.lit("$")), F.format_number(F.abs(c), 0))
+    return F.concat(F.when(c < 0, F.lit("-$")).otherwise(F.lit("$")), _num(F.abs(c), 0))
 
 
 def _pct(c: Column) -> Column:
-    return F.format_string("%.1f%%", c * 100)
+    return F.format_string("%.1f%%", F.round(c * 100, 1))
 
 
 def _top(key_value: tuple[str, str]) -> Column:
@@ -82,10 +87,10 @@ def manufacturing(kpis: DataFrame, machines: DataFrame, issues: DataFrame) -> Da
     return _lines(facts, [
         F.lit("Manufacturing Management Summary"), F.lit(""),
         F.format_string("Total valid output is %s units with a scrap rate of %s.",
-                        F.format_number(F.col("total_output"), 0), _pct(F.coalesce(F.col("scrap_rate"), F.lit(0.0)))),
+                        _num(F.col("total_output"), 0), _pct(F.coalesce(F.col("scrap_rate"), F.lit(0.0)))),
         F.format_string("Total downtime is %s minutes, averaging %s minutes per machine.",
-                        F.format_number(F.col("total_downtime_minutes"), 0),
-                        F.format_number(F.col("average_downtime_per_machine"), 1)),
+                        _num(F.col("total_downtime_minutes"), 0),
+                        _num(F.col("average_downtime_per_machine"), 1)),
         F.format_string("Production attainment is %s where planned output is available.",
                         _pct(F.coalesce(F.col("production_attainment"), F.lit(0.0)))),
         F.format_string("Quality rate approximation is %s.",
@@ -94,7 +99,7 @@ def manufacturing(kpis: DataFrame, machines: DataFrame, issues: DataFrame) -> Da
             "Simplified OEE approximation is %s; this is not a certified OEE standard.", _pct(oee))),
         F.when(F.col("wm").isNotNull(), F.format_string(
             "The highest downtime machine is %s with %s downtime minutes.", F.col("wm.machine_id"),
-            F.format_number(F.col("wm.downtime_minutes"), 0))).otherwise(F.lit(
+            _num(F.col("wm.downtime_minutes"), 0))).otherwise(F.lit(
                 "Machine-level downtime cannot be assessed because no valid machine performance rows were available.")),
         F.when(F.col("issue_categories") > 0, F.format_string(
             "Data quality review found %d issue categories requiring attention.", F.col("issue_categories")))
@@ -107,11 +112,11 @@ def logistics(kpis: DataFrame, carriers: DataFrame, issues: DataFrame) -> DataFr
     facts = kpis.crossJoin(best).crossJoin(_issue_count(issues))
     return _lines(facts, [
         F.lit("Logistics Management Summary"), F.lit(""),
-        F.format_string("The active dataset contains %s valid shipments.", F.format_number(F.col("shipment_count"), 0)),
+        F.format_string("The active dataset contains %s valid shipments.", _num(F.col("shipment_count"), 0)),
         F.format_string("Average lead time is %s days and on-time delivery rate is %s.",
-                        F.format_number(F.col("average_lead_time_days"), 1), _pct(F.col("on_time_delivery_rate"))),
+                        _num(F.col("average_lead_time_days"), 1), _pct(F.col("on_time_delivery_rate"))),
         F.format_string("Delayed shipments total %s, with an average delay of %s days.",
-                        F.format_number(F.col("delayed_shipments"), 0), F.format_number(F.col("average_delay_days"), 1)),
+                        _num(F.col("delayed_shipments"), 0), _num(F.col("average_delay_days"), 1)),
         F.format_string("Total mapped shipping cost is %s.", _money(F.col("total_shipping_cost"))),
         F.when(F.col("bc").isNotNull(), F.format_string(
             "The strongest carrier by on-time rate is %s at %s.", F.col("bc.carrier"), _pct(F.col("bc.on_time_rate"))))
@@ -131,7 +136,7 @@ def finance(kpis: DataFrame, categories: DataFrame, issues: DataFrame) -> DataFr
                         _money(F.col("total_cost"))),
         F.format_string("Net result is %s with a margin of %s.", _money(F.col("net_result")), _pct(F.col("margin"))),
         F.format_string("The dataset includes %s valid finance transactions.",
-                        F.format_number(F.col("transaction_count"), 0)),
+                        _num(F.col("transaction_count"), 0)),
         F.format_string("Budget variance is %s where budget and actual fields are available.",
                         _money(F.col("budget_variance"))),
         F.when(F.col("tc").isNotNull(), F.format_string("The largest mapped category is %s with %s.",
@@ -148,15 +153,15 @@ def generic(score_row: DataFrame, n_columns: int, rows_used: DataFrame | None =
     facts = score_row if rows_used is None else score_row.crossJoin(rows_used)
     lines = [
         F.lit("Generic Data Summary"), F.lit(""),
-        F.format_string("The active dataset has %s rows and %s columns.", F.format_number(F.col("row_count"), 0),
-                        F.format_number(F.lit(n_columns), 0)),
-        F.format_string("Data quality score is %.1f/100.", F.col("overall_score")),
+        F.format_string("The active dataset has %s rows and %s columns.", _num(F.col("row_count"), 0),
+                        _num(F.lit(n_columns), 0)),
+        F.format_string("Data quality score is %.1f/100.", F.round(F.col("overall_score"), 1)),
         F.format_string("Missing values total %s cells and duplicate rows total %s.",
-                        F.format_number(F.col("missing_cells"), 0), F.format_number(F.col("duplicate_rows"), 0)),
+                        _num(F.col("missing_cells"), 0), _num(F.col("duplicate_rows"), 0)),
     ]
     if rows_used is not None:
         lines.append(F.format_string("The latest generic analytics result used %s rows and measures: %s.",
-                                     F.format_number(F.col("rows_used"), 0), F.lit(", ".join(measures or []))))
+                                     _num(F.col("rows_used"), 0), F.lit(", ".join(measures or []))))
     # Next-action lines.
     lines += [F.lit(""), F.lit("Recommended next actions:"),
               F.lit("- Review high-missing columns in Data Profile or Data Quality."),

@@ -219,3 +219,43 @@ ORACLE = {
     "quality_score": _score_sql(),
     "quality_score_generic": _generic_score_sql(),
 }
+
+
+def _report_sql() -> str:
+    def pct(n: str, d: str) -> str:
+        return f"format('{{:.1f}}', ROUND(CAST({n} AS DOUBLE) / GREATEST({d}, 1) * 100, 1)) || '%'"
+    rows = [("overall", "overall_score", "CAST(overall_score AS VARCHAR)"),
+            ("sub_score", "missing_values", "CAST(missing_values_score AS VARCHAR)"),
+            ("sub_score", "duplicate_rows", "CAST(duplicate_rows_score AS VARCHAR)"),
+            ("sub_score", "invalid_numeric_values", "CAST(invalid_numeric_values_score AS VARCHAR)"),
+            ("sub_score", "schema_completeness", "CAST(schema_completeness_score AS VARCHAR)"),
+            ("sub_score", "date_parsing", "CAST(date_parsing_score AS VARCHAR)")]
+    rows += [("metric", m, f"CAST({m} AS VARCHAR)") for m in
+             ["missing_cells", "duplicate_rows", "invalid_numeric_count", "date_parse_failures"]]
+    rows += [
+        ("explanation", "note", "'Missing values: ' || missing_cells || ' missing cells across ' || total_cells || "
+         "' total cells (' || " + pct("missing_cells", "total_cells") + " || ').'"),
+        ("explanation", "note", "'Duplicate rows: ' || duplicate_rows || ' duplicate rows out of ' || row_count || "
+         "' rows (' || " + pct("duplicate_rows", "row_count") + " || ').'"),
+        ("explanation", "note", "'Invalid numeric values: ' || invalid_numeric_count || ' issues across ' || "
+         "GREATEST(numeric_checked, 1) || ' checked values.'"),
+    ]
+    fixes = [
+        "CASE WHEN missing_values_score < 95 THEN 'Review high-missing columns and decide whether to impute, "
+        "backfill, or exclude them.' END",
+        "CASE WHEN duplicate_rows > 0 THEN 'Investigate duplicate rows before KPI reporting; keep an audit trail "
+        "if removing them.' END",
+        "CASE WHEN invalid_numeric_count > 0 THEN 'Correct or exclude invalid numeric values such as non-numeric "
+        "quantities or unit prices <= 0.' END",
+        "CASE WHEN schema_completeness_score < 100 THEN 'Complete required field mapping before using "
+        "domain-specific analytics.' END",
+        "CASE WHEN date_parse_failures > 0 THEN 'Standardize date formats or provide explicit parsing rules.' END",
+    ]
+    parts = [f"SELECT '{sct}' AS section, '{m}' AS metric, {v} AS value FROM s" for sct, m, v in rows]
+    fixes_sql = (f"SELECT 'recommended_fix' AS section, 'fix' AS metric, unnest(CASE WHEN len(f) > 0 THEN f ELSE "
+                 f"['No major data quality issues were detected by the current rules.'] END) AS value FROM "
+                 f"(SELECT list_filter([{', '.join(fixes)}], lambda x: x IS NOT NULL) AS f FROM s)")
+    return f"WITH s AS ({_score_sql()}) " + " UNION ALL ".join(parts + [fixes_sql])
+
+
+ORACLE["quality_report_table"] = _report_sql()
