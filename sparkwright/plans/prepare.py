@@ -21,6 +21,20 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders")
 
 
+def _clean_text_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.functions import clean_text
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", clean_text("role").alias("role"), clean_text("text").alias("text"))
+
+
+def _apply_mapping_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.operators.common import apply_mapping
+    from sparkwright.sources.fixtures import RETAIL_MAPPING
+    from sparkwright.templates import RETAIL_OPTIONAL, RETAIL_REQUIRED
+    mapping = {k: v for k, v in RETAIL_MAPPING.items() if k != "country"}  # an unmapped field becomes null
+    return apply_mapping(retail_raw(spark, sf_dir), mapping, RETAIL_REQUIRED + RETAIL_OPTIONAL)
+
+
 REPLAY_STEPS = [
     P.Step("cast_column", ("UnitPrice", "float")),
     P.Step("filter_rows", ("Quantity", "greater_than", 0)),
@@ -52,6 +66,13 @@ QUERIES = {
     "filter_compare": lambda s, d: P.filter_rows(orders(s, d), "o_totalprice", "greater_or_equal", "300000"),
     "add_revenue": lambda s, d: P.add_revenue(retail_raw(s, d), "Quantity", "UnitPrice", " "),
     "replay_steps": lambda s, d: P.replay(retail_raw(s, d), REPLAY_STEPS),
+    "normalize_blanks": lambda s, d: __import__("sparkwright.sources.readers", fromlist=["x"]).normalize_blanks(
+        read_table(s, d, "conversations")),
+    "validate_table": lambda s, d: __import__("sparkwright.sources.readers", fromlist=["x"]).validate_table(
+        read_table(s, d, "labels")),
+    "preview": lambda s, d: retail_raw(s, d).orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").limit(30),
+    "clean_text": _clean_text_plan,
+    "apply_mapping": _apply_mapping_plan,
     "step_log": lambda s, d: P.step_log(s, REPLAY_STEPS).crossJoin(
         retail_raw(s, d).agg(F.count(F.lit(1)).alias("source_rows"))),
 }
@@ -110,3 +131,15 @@ def _step_log_sql() -> str:
 
 
 ORACLE["step_log"] = _step_log_sql()
+ORACLE["normalize_blanks"] = """SELECT conv_id, turn,
+    CASE WHEN regexp_matches(role, '^\\s*$') THEN NULL ELSE role END AS role,
+    CASE WHEN regexp_matches(text, '^\\s*$') THEN NULL ELSE text END AS text FROM conversations"""
+ORACLE["validate_table"] = "SELECT * FROM labels"
+ORACLE["preview"] = ("WITH " + RETAIL_RAW + " SELECT * FROM retail_raw ORDER BY l_orderkey, l_partkey, l_linenumber, "
+                     "l_suppkey LIMIT 30")
+ORACLE["clean_text"] = """SELECT conv_id, turn,
+    NULLIF(trim(role, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') AS role,
+    NULLIF(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') AS text FROM conversations"""
+ORACLE["apply_mapping"] = "WITH " + RETAIL_RAW + """ SELECT "InvoiceNo" AS order_id, "InvoiceDate" AS order_date,
+    "CustomerID" AS customer_id, "Description" AS product_name, "Quantity" AS quantity, "UnitPrice" AS unit_price,
+    CAST(NULL AS VARCHAR) AS country, "Category" AS product_category, "Status" AS invoice_status FROM retail_raw"""
