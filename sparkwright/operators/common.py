@@ -15,6 +15,16 @@ from sparkwright.plans.shared import track
 BROADCAST_MAX_ROWS = 50_000
 
 
+def attach_row(df: DataFrame, one_row: DataFrame, name: str = "_row") -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row of ``df``.
+
+    The row travels as one struct-valued scalar subquery (computed once, shipped as a
+    value): no join and no pairing of rows.
+    """
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias(name)).scalar()
+    return df.select("*", packed.alias(name)).select(*[F.col(f"`{c}`") for c in df.columns], f"{name}.*")
+
+
 def apply_mapping(df: DataFrame, mapping: dict[str, str | None], fields: list[str],
                   keep: list[str] | None = None) -> DataFrame:
     """One projection: canonical field <- mapped source column, null when unmapped.

@@ -41,10 +41,10 @@ def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str
         *order_cols,
     )
     flagged = flag_duplicates(typed, FIELDS, order_cols)
-    # The 98th percentile is one row: broadcasting it is bounded by construction.
-    threshold = exact_quantile(typed, "shipping_cost", HIGH_COST_QUANTILE, "_p98", buckets=buckets)
+    # The 98th percentile is one value, attached as a scalar subquery.
+    p98 = exact_quantile(typed, "shipping_cost", HIGH_COST_QUANTILE, "_p98", buckets=buckets).scalar()
     delay = elapsed_days(F.col("delivery_date"), F.col("planned_delivery_date"))
-    return flagged.crossJoin(F.broadcast(threshold)).select(
+    return flagged.select(
         *order_cols, *FIELDS,
         *[f"original_{f}" for f in DATE_FIELDS],
         "is_duplicate_row",
@@ -56,7 +56,7 @@ def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str
         elapsed_days(F.col("delivery_date"), F.col("order_date")).alias("lead_time_days"),
         delay.alias("delay_days"),
         as_bool_flag(delay <= 0).alias("is_on_time"),
-        as_bool_flag(F.col("shipping_cost") > F.col("_p98")).alias("is_high_shipping_cost"),
+        as_bool_flag(F.col("shipping_cost") > p98).alias("is_high_shipping_cost"),
         (F.col("shipment_id").isNotNull() & F.col("order_date").isNotNull() & F.col("delivery_date").isNotNull()
          & F.col("planned_delivery_date").isNotNull() & ~F.col("is_duplicate_row")).alias("is_analysis_valid"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import is_numeric_type, is_string_type, parse_dates, to_number
+from sparkwright.operators.common import attach_row
 from sparkwright.operators.ranking import exact_quantiles
 
 # Detection thresholds.
@@ -170,7 +171,7 @@ def overview(df: DataFrame) -> DataFrame:
                                             _kind_is(k)), lambda s: s["column"]), ",")
           .alias(f"{k}_columns") for k in ("numeric", "date", "categorical")])
     rows = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return (rows.crossJoin(duplicate_rows(df)).crossJoin(kinds)
+    return (attach_row(attach_row(rows, duplicate_rows(df), "_d"), kinds, "_k")
             .select("row_count", F.lit(len(df.columns)).cast("long").alias("column_count"), "duplicate_row_count",
                     F.col("numeric_columns").alias("detected_numeric_columns"),
                     F.col("date_columns").alias("detected_date_columns"),
@@ -185,7 +186,7 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    counted = vals.crossJoin(F.broadcast(rng)).groupBy(b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+    counted = attach_row(vals, rng).groupBy(b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
     return counted.select("bin", (F.col("lo") + F.col("bin") * width).alias("lower"),
                           (F.col("lo") + (F.col("bin") + 1) * width).alias("upper"), "count")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions import as_bool_flag, parse_dates, to_number
+from sparkwright.operators.common import attach_row
 from sparkwright.templates import COST_TYPES, REVENUE_TYPES, RULE_TEMPLATE_LABELS, get_template
 
 SEVERITIES = ["critical", "warning", "info"]
@@ -255,7 +256,7 @@ def score(df: DataFrame, mapping: dict[str, str | None] | None = None, required_
              for c in date_cols_present]
     aggs.append(sum(dchecked, zero).alias("date_checked"))
     aggs.append(sum(dfail, zero).alias("date_parse_failures"))
-    facts = data.agg(*aggs).crossJoin(duplicate_rows(data))
+    facts = attach_row(data.agg(*aggs), duplicate_rows(data))
 
     rows = F.greatest(F.col("rows"), F.lit(1))
     total_cells = F.greatest(F.col("rows") * F.lit(len(cols)), F.lit(1))

@@ -96,10 +96,8 @@ def average_percent_rank(df: DataFrame, value_col: str, out_col: str, group_cols
         .agg(F.count(F.lit(1)).alias("_t"))
     ranked = prefix_before(counts, value_col, "_t", group_cols, buckets)
     n = ranked.groupBy(*group_cols).agg(F.sum("_t").alias("_n"))
-    if group_cols:
-        ranked = ranked.join(F.broadcast(n), on=group_cols)
-    else:
-        ranked = ranked.crossJoin(F.broadcast(n))
+    # One row per group (bounded by the number of groups); without groups a scalar.
+    ranked = ranked.join(F.broadcast(n), on=group_cols) if group_cols else ranked.withColumn("_n", n.scalar())
     avg_rank = F.col("_before") + (F.col("_t") + F.lit(1)) / F.lit(2)
     return ranked.select(*group_cols, value_col, (avg_rank / F.col("_n")).alias(out_col), "_n")
 
@@ -117,7 +115,7 @@ def exact_quantiles(df: DataFrame, value_col: str, quantiles: dict[str, float],
         .agg(F.count(F.lit(1)).alias("_t"))
     ranked = prefix_before(counts, value_col, "_t", group_cols, buckets)
     n = ranked.groupBy(*group_cols).agg(F.sum("_t").alias("_n"))
-    ranked = ranked.join(F.broadcast(n), on=group_cols) if group_cols else ranked.crossJoin(F.broadcast(n))
+    ranked = ranked.join(F.broadcast(n), on=group_cols) if group_cols else ranked.withColumn("_n", n.scalar())
     start = F.col("_before")
     end = F.col("_before") + F.col("_t")
     v = F.col(value_col).cast("double")

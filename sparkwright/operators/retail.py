@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import as_bool_flag, clean_text, money, parse_dates, to_number
-from sparkwright.operators.common import apply_mapping, flag_duplicates
+from sparkwright.operators.common import apply_mapping, attach_row, flag_duplicates
 from sparkwright.operators.ranking import average_percent_rank
 from sparkwright.templates import RETAIL_OPTIONAL, RETAIL_REQUIRED
 
@@ -141,10 +141,10 @@ def rfm_base(cleaned: DataFrame) -> DataFrame:
                     .agg(F.max("order_date").alias("last_date"),
                          F.count_distinct("order_id").alias("frequency"),
                          _r2(F.sum(money("net_revenue"))).alias("monetary")))
-    # as_of is a one-row aggregate: broadcasting it is bounded by construction.
-    return (per_customer.crossJoin(F.broadcast(as_of))
+    # as_of is one value, attached as a scalar subquery.
+    return (per_customer
             .select("customer_id",
-                    F.datediff(F.to_date("as_of_date"), F.to_date("last_date")).cast("long").alias("recency_days"),
+                    F.datediff(F.to_date(as_of.scalar()), F.to_date("last_date")).cast("long").alias("recency_days"),
                     "frequency", "monetary")
             .filter(F.col("monetary") > 0))
 
@@ -214,7 +214,7 @@ def kpis(cleaned: DataFrame, base: DataFrame) -> DataFrame:
     # Top-10 by monetary: per-partition top-k merged, bounded to 10 rows.
     top10 = (base.orderBy(F.desc("monetary"), "customer_id").limit(10)
              .agg(F.coalesce(F.sum(money("monetary")), F.lit(0)).alias("top10")))
-    row = totals.crossJoin(customers).crossJoin(top10)
+    row = attach_row(attach_row(totals, customers, "_c"), top10, "_t")
     n = F.col("n").cast("double")
     orders = F.col("orders")
     return row.select(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.operators.common import attach_row
+
 
 def _num(c: Column, digits: int) -> Column:
     """Thousands-separated number; rounded half-up first so formatting never sees a tie."""
@@ -30,6 +32,12 @@ def _top(key_value: tuple[str, str]) -> Column:
     return F.min_by(F.struct(key, value), F.struct(-F.col(value), F.col(key)))
 
 
+def _facts(base: DataFrame, *rows: DataFrame) -> DataFrame:
+    for i, row in enumerate(rows):
+        base = attach_row(base, row, f"_f{i}")
+    return base
+
+
 def _lines(facts: DataFrame, lines: list[Column]) -> DataFrame:
     arr = F.filter(F.array(*lines), lambda x: x.isNotNull())
     return facts.select(F.posexplode(arr).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
@@ -47,7 +55,7 @@ def retail(kpis: DataFrame, monthly: DataFrame, products: DataFrame, segments: D
         F.max_by("net_revenue", "month").alias("last_net"))
     top_product = products.agg(_top(("product_name", "net_revenue")).alias("tp"))
     top_segment = segments.agg(_top(("segment", "revenue")).alias("ts"))
-    facts = kpis.crossJoin(trend).crossJoin(top_product).crossJoin(top_segment).crossJoin(_issue_count(issues))
+    facts = _facts(kpis, trend, top_product, top_segment, _issue_count(issues))
     change = (F.col("last_net") - F.col("first_net")) / F.abs(F.col("first_net"))
     trend_line = (F.when(F.col("months") < 2, F.lit(
         "Revenue trend cannot be assessed because fewer than two monthly periods are available."))
@@ -82,7 +90,7 @@ def retail(kpis: DataFrame, monthly: DataFrame, products: DataFrame, segments: D
 
 def manufacturing(kpis: DataFrame, machines: DataFrame, issues: DataFrame) -> DataFrame:
     worst = machines.agg(_top(("machine_id", "downtime_minutes")).alias("wm"))
-    facts = kpis.crossJoin(worst).crossJoin(_issue_count(issues))
+    facts = _facts(kpis, worst, _issue_count(issues))
     oee = F.col("simplified_oee_approximation")
     return _lines(facts, [
         F.lit("Manufacturing Management Summary"), F.lit(""),
@@ -109,7 +117,7 @@ def manufacturing(kpis: DataFrame, machines: DataFrame, issues: DataFrame) -> Da
 
 def logistics(kpis: DataFrame, carriers: DataFrame, issues: DataFrame) -> DataFrame:
     best = carriers.agg(_top(("carrier", "on_time_rate")).alias("bc"))
-    facts = kpis.crossJoin(best).crossJoin(_issue_count(issues))
+    facts = _facts(kpis, best, _issue_count(issues))
     return _lines(facts, [
         F.lit("Logistics Management Summary"), F.lit(""),
         F.format_string("The active dataset contains %s valid shipments.", _num(F.col("shipment_count"), 0)),
@@ -129,7 +137,7 @@ def logistics(kpis: DataFrame, carriers: DataFrame, issues: DataFrame) -> DataFr
 
 def finance(kpis: DataFrame, categories: DataFrame, issues: DataFrame) -> DataFrame:
     top = categories.agg(_top(("category", "amount")).alias("tc"))
-    facts = kpis.crossJoin(top).crossJoin(_issue_count(issues))
+    facts = _facts(kpis, top, _issue_count(issues))
     return _lines(facts, [
         F.lit("Finance Management Summary"), F.lit(""),
         F.format_string("Total revenue is %s and total cost is %s.", _money(F.col("total_revenue")),
@@ -150,7 +158,7 @@ def finance(kpis: DataFrame, categories: DataFrame, issues: DataFrame) -> DataFr
 
 def generic(score_row: DataFrame, n_columns: int, rows_used: DataFrame | None = None,
             measures: list[str] | None = None) -> DataFrame:
-    facts = score_row if rows_used is None else score_row.crossJoin(rows_used)
+    facts = score_row if rows_used is None else _facts(score_row, rows_used)
     lines = [
         F.lit("Generic Data Summary"), F.lit(""),
         F.format_string("The active dataset has %s rows and %s columns.", _num(F.col("row_count"), 0),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.operators import prepare as P
+from sparkwright.operators.common import attach_row
 from sparkwright.sources.fixtures import retail_raw
 from sparkwright.sources.readers import read_table
 
@@ -73,8 +74,8 @@ QUERIES = {
     "preview": lambda s, d: retail_raw(s, d).orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").limit(30),
     "clean_text": _clean_text_plan,
     "apply_mapping": _apply_mapping_plan,
-    "step_log": lambda s, d: P.step_log(s, REPLAY_STEPS).crossJoin(
-        retail_raw(s, d).agg(F.count(F.lit(1)).alias("source_rows"))),
+    "step_log": lambda s, d: attach_row(P.step_log(s, REPLAY_STEPS),
+                                        retail_raw(s, d).agg(F.count(F.lit(1)).alias("source_rows"))),
 }
 
 from sparkwright.plans.retail import RAW as RETAIL_RAW  # noqa: E402
