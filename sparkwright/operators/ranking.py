@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 
 _MAX_BUCKETS = 1024
+# Distinct values per bucket the window inside a bucket is sized for.
+_ROWS_PER_BUCKET = 50_000
 
 
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
+    """Explicit ``buckets``, else one bucket per ``_ROWS_PER_BUCKET`` rows of the (persisted)
+    input, at most ``_MAX_BUCKETS``: the count is a bounded scalar read once."""
     if buckets:
         return max(1, min(int(buckets), _MAX_BUCKETS))
-    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return max(1, min(int(conf), _MAX_BUCKETS))
+    return max(1, min(_MAX_BUCKETS, -(-df.count() // _ROWS_PER_BUCKET)))
 
 
 def _bucket_expr(value: Column, bounds: list[float]) -> Column:
@@ -51,8 +54,8 @@ def prefix_before(counts: DataFrame, value_col: str, weight_col: str, group_cols
     boundary lookup and the final plan read the same rows.
     """
     group_cols = list(group_cols or [])
-    n_buckets = _bucket_count(counts, buckets)
     counts = stable(counts.filter(F.col(value_col).isNotNull()))
+    n_buckets = _bucket_count(counts, buckets)
     fractions = [i / n_buckets for i in range(1, n_buckets)]
     # Bounded: at most (#groups x buckets) numbers come back to the driver.
     if fractions:
@@ -154,8 +157,8 @@ def with_row_id(df: DataFrame, order_cols: list[str], out_col: str = "source_row
     input is persisted first so the three passes over it do not recompute it.
     """
     first = order_cols[0]
-    n_buckets = _bucket_count(df, buckets)
     base = stable(df)
+    n_buckets = _bucket_count(base, buckets)
     fractions = [i / n_buckets for i in range(1, n_buckets)]
     bounds = []
     if fractions:

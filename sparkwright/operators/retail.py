@@ -7,6 +7,7 @@ back, then one aggregate per output. Distinct order counts are computed in two s
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from sparkwright.functions import as_bool_flag, clean_text, money, parse_dates, to_number
 from sparkwright.operators.common import apply_mapping, attach_row, flag_duplicates
 from sparkwright.operators.ranking import average_percent_rank
+from sparkwright.plans.shared import track
 from sparkwright.templates import RETAIL_OPTIONAL, RETAIL_REQUIRED
 
 RETAIL_FIELDS = RETAIL_REQUIRED + RETAIL_OPTIONAL
@@ -155,9 +157,13 @@ def _score(pct: Column) -> Column:
 
 def rfm_segments(base: DataFrame, buckets: int | None = None) -> DataFrame:
     """1-5 scores from average percentile ranks and the ordered segment rules."""
+    # base and ranks are each read several times below: persisted once (customer-level
+    # and distinct-value-level tables) so the plan carries them as single cached leaves.
+    base = track(base.persist(StorageLevel.MEMORY_AND_DISK))
     long = base.select(F.expr("stack(3, 'r', cast(recency_days as double), 'f', cast(frequency as double), "
                               "'m', cast(monetary as double)) as (metric, value)"))
     ranks = average_percent_rank(long, "value", "pct", group_cols=["metric"], buckets=buckets)
+    ranks = track(ranks.persist(StorageLevel.MEMORY_AND_DISK))
     r = ranks.filter(F.col("metric") == "r").select(
         F.col("value").alias("_rv"),
         _score(F.lit(1.0) - F.col("pct") + F.lit(1.0) / F.col("_n")).alias("r_score"))
