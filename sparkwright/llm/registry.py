@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["packing_nnls"]
+_MODULES = ["packing_nnls", "simhash_bytes"]
 
 
 def _load():
