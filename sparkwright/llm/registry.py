@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["packing_nnls", "simhash_bytes"]
+_MODULES = ["quality_knn", "simhash_bytes", "packing_nnls"]
 
 
 def _load():
