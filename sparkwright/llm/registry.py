@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality_knn", "simhash_bytes", "packing_nnls"]
+_MODULES = ["quality_knn", "line_dedup", "simhash_bytes", "packing_nnls"]
 
 
 def _load():
