@@ -34,16 +34,26 @@ from sparkwright.llm.common import read, stage
 
 WINDOW, END_ID = 4096, 2
 _MAX_REPEAT = 8          # depth of a combination: m + n at most this
-_CACHE_WORDS = 400_000   # words whose ids one task keeps; beyond it the cache starts anew
+_CACHE_WORDS = 1_000_000  # words one Python worker keeps; beyond it the cache starts anew
 # White space of the tokenizer's own pattern; str.split() also cuts at \x1c-\x1f.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
+# Letters, then marks without an apostrophe: two pre-tokens at most, whatever the letters are.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def split(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
 
 
 class WordIds:
     """Ids of white-space separated words by a ``tokenizers`` file, each word encoded once.
 
-    Valid for tokenizers that drop white space and never join across it.
+    For tokenizers that lower-case, drop white space, cut between letters and marks and end
+    every pre-token with a piece that carries the word-end suffix. A word of letters and
+    marks is put together from the two; any other word is encoded as it stands.
     """
 
     def __init__(self, path: str | None):
@@ -53,81 +63,81 @@ class WordIds:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tok = Tokenizer.from_file(path)
-        self.sep = self.tok.token_to_id("<|endoftext|>")
+        suffix = self.tok.model.end_of_word_suffix
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
         self.clear()
 
     def clear(self):
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words: dict[str, int] = {}   # word -> row of pairs
+        self.parts: dict[str, int] = {"": 0}  # pre-token -> row of start, count
+        self.pairs = np.zeros((0, 2), np.int64)
+        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray, names: list[str]):
+        first = len(self.start)
+        self.parts.update(zip(names, range(first, first + len(names))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, ids])
 
     def learn(self, words: list[str]):
-        plain = [w for w in words if "<|" not in w]
-        odd = [w for w in words if "<|" in w]
-        parts: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        for i in range(0, len(plain), 2000):
-            some = plain[i:i + 2000]
-            ids = np.array(self.tok.encode(" <|endoftext|> ".join(some), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.sep)
-            edge = np.concatenate(([-1], cut, [len(ids)]))
-            counts.append(np.diff(edge) - 1)
-            parts.append(np.delete(ids, cut))
-        for w in odd:
-            ids = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32)
-            parts.append(ids)
-            counts.append(np.array([len(ids)]))
-        n = np.concatenate(counts).astype(np.int64)
-        begin = len(self.flat) + np.concatenate(([0], np.cumsum(n)[:-1]))
-        base = len(self.start)
-        self.index.update(zip(plain + odd, range(base, base + len(n))))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.start, self.count = np.concatenate([self.start, begin]), np.concatenate([self.count, n])
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        words = [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
-        new = set(words).difference(self.index)
+        known, plain, odd, pairs = self.parts, {}, {}, []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            a, b = (m[1].lower(), m[2]) if m else (w, "")
+            pairs.append((a, b))
+            if a not in known:
+                (plain if m else odd)[a] = None
+            if b not in known:
+                plain[b] = None
+        new = list(plain)
+        for lo in range(0, len(new), 2000):
+            some = new[lo:lo + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(some):
+                raise ValueError("this tokenizer does not end each pre-token with the word-end suffix")
+            self._keep(ids.astype(np.uint32), np.diff(last, prepend=-1), some)
+        if odd:
+            found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(list(odd), add_special_tokens=False)]
+            self._keep(np.concatenate(found), np.array([len(x) for x in found], np.int64), list(odd))
+        first = len(self.pairs)
+        self.words.update(zip(words, range(first, first + len(words))))
+        self.pairs = np.concatenate([self.pairs, np.array([(known[a], known[b]) for a, b in pairs], np.int64)])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        words = [split(t) for t in texts]
+        new: set[str] = set().union(*words)
+        if len(self.words) > _CACHE_WORDS:
+            self.clear()
+        new.difference_update(self.words)
         if new:
-            if len(self.index) > _CACHE_WORDS:
-                self.clear()
-                new = set(words)
-            self.learn(sorted(new))
-        return self.gather(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)))
-
-    def gather(self, at: np.ndarray) -> np.ndarray:
-        n, s = self.count[at], self.start[at]
+            self.learn(list(new))
+        return [self._gather(self.pairs[np.fromiter(map(self.words.__getitem__, w), np.int64, len(w))].ravel()) for w in words]
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        n = self.count[at]
         total = int(n.sum())
         if not total:
             return np.zeros(0, np.uint32)
-        shift = np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        return self.flat[np.arange(total) + shift]
-
-    def batch(self, texts: list[str | None]) -> None:
-        """Learn the new words of many texts at once (fewer, larger tokenizer calls)."""
-        new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(t.split() if not _ODD.search(t) else filter(None, _SPACE.split(t)))
-        if len(self.index) > _CACHE_WORDS:
-            self.clear()
-        new.difference_update(self.index)
-        if new:
-            self.learn(sorted(new))
+        return self.flat[np.arange(total) + np.repeat(self.start[at] - np.cumsum(n) + n, n)]
+
+
+_ENCODERS: dict[str | None, WordIds] = {}  # one per Python worker, kept from task to task
 
 
 def _piece_rows(tokenizer_path: str | None, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = None
         for b in batches:
-            ids_of = ids_of or WordIds(tokenizer_path)
+            if tokenizer_path not in _ENCODERS:
+                _ENCODERS[tokenizer_path] = WordIds(tokenizer_path)
             doc, texts = b.column(0).to_pylist(), b.column(1)
-            for lo in range(0, len(doc), 512):
-                part = texts.slice(lo, 512).to_pylist()
-                ids_of.batch(part)
+            for lo in range(0, len(doc), 1024):
                 out = ([], [], [], [], [])
-                for d, text in zip(doc[lo:lo + 512], part):
-                    ids = np.append(ids_of.encode(text), np.uint32(end_id)).astype("<u4")
+                for d, found in zip(doc[lo:lo + 1024], _ENCODERS[tokenizer_path].encode(texts.slice(lo, 1024).to_pylist())):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(ids), window):
                         piece = ids[s:s + window]
                         for o, v in zip(out, (d, s, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
