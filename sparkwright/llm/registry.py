@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality_knn", "line_dedup", "simhash_bytes", "toxicity_bigru", "packing_nnls"]
+_MODULES = ["quality_knn", "line_dedup", "simhash_bytes", "toxicity_bigru", "suffix_dedup", "packing_nnls"]
 
 
 def _load():
