@@ -20,6 +20,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import components, read, stage
@@ -35,6 +36,7 @@ from sparkwright.llm.common import components, read, stage
 SHINGLE, MAX_BITS = 4, 4
 _BLOCK = 2048     # posting entries compared in one step
 _SEED = 42
+_BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -57,15 +59,23 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, r1, r2, fp): row digests, and the fingerprint as a signed long."""
+    names = ["doc_id", "r1", "r2", "fp"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
+            texts = b.column(3)
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fp)], names)
+
+    r1, r2 = _digests(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
+        run, "doc_id long, r1 long, r2 long, fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+def _digests(docs: DataFrame) -> tuple[Column, Column]:
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*every), F.xxhash64(F.lit(7), *every)
 
 
 def _linked(x: np.ndarray, max_bits: int) -> np.ndarray:
@@ -161,15 +171,36 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = _BLOCK) ->
     return short.union(long)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, r1, r2, fp, root (one fingerprint of the component) per row of ``docs``."""
     fp = stage(fingerprints(docs, shingle), "fingerprints")
-    distinct = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct_fp")
+    distinct = stage(fp.select("fp").distinct(), "distinct_fp")
     comp = components(links(distinct, max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = distinct.join(comp, "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    per_fp = rooted.join(low, "root").select("fp", "component_id")
-    return fp.join(per_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(comp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return fp.join(rooted, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    rows = _grouped(docs.select("doc_id", "text"), shingle, max_bits)
+    low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(low, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The row of each component with the smallest doc_id (nulls last, then by row digest), all columns kept."""
+    rows = stage(_grouped(docs, shingle, max_bits), "grouped")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2")).alias("m")
+    winners = stage(rows.groupBy("root").agg(best).select("m.r1", "m.r2"), "winners")
+    few = winners.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS  # rows of 16 bytes
+    tag = uuid.uuid4().hex  # helper names that no column of docs can have
+    keys = [f"r1_{tag}", f"r2_{tag}"]
+    marked = docs.withColumns(dict(zip(keys, _digests(docs))))
+    kept = marked.join(F.broadcast(winners.toDF(*keys)) if few else winners.toDF(*keys), keys, "left_semi")
+    repeated = rows.join(winners, ["r1", "r2"]).groupBy("r1", "r2").count().where("count > 1")
+    if not repeated.isEmpty():  # rows equal in every column
+        kept = kept.dropDuplicates(keys)
+    return kept.drop(*keys)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
