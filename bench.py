@@ -44,6 +44,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app_name="sparkwright-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("sparkwright.spreadScans", "true")  # the bench tables are one row group each
     registry = queries()
     times: dict[str, float] = {}
     for name in HEADLINE:

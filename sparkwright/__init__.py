@@ -6,6 +6,6 @@ Every operator returns a lazy DataFrame; nothing is collected to the driver exce
 bounded one-row aggregates and schemas.
 """
 
-from sparkwright.session import get_session, checkpoint_dir
+from sparkwright.session import get_session, scratch_root
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session", "scratch_root"]

@@ -8,6 +8,8 @@ from sparkwright.functions.casts import (
     dtype_of,
     is_numeric_type,
     is_string_type,
+    exact,
+    exact_sum,
     money,
     parse_dates,
     round_half_even,
@@ -23,6 +25,8 @@ __all__ = [
     "dtype_of",
     "is_numeric_type",
     "is_string_type",
+    "exact",
+    "exact_sum",
     "money",
     "parse_dates",
     "round_half_even",

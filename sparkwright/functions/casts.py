@@ -15,26 +15,43 @@ from pyspark.sql import types as T
 # optional exponent, surrounding blanks allowed).
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Accepted date/time layouts, tried in this order (month-first for
-# slash dates). Single-letter fields accept padded and unpadded numbers. Each family is
-# guarded by a shape pattern so text that cannot be a date never reaches the parser.
-DATE_FORMAT_FAMILIES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["yyyy-M-d H:m"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy/M/d H:m:s"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["M/d/yyyy H:m:s"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["M/d/yyyy H:m"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["d.M.yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
-]
-DATE_FORMATS = [fmt for _, fmts in DATE_FORMAT_FAMILIES for fmt in fmts]
+# Accepted date/time layouts by leading characters, tried in this order. Month
+# comes first; where that is impossible the day does. Single-letter fields accept padded
+# and unpadded numbers. A shape pattern guards each family, so text that cannot be a date
+# never reaches the parser.
+DATE_FAMILIES = {
+    "iso": [
+        (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+        (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
+        (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
+        (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["yyyy-M-d H:m"]),
+        (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m"]),
+        (r"^\d{4}-\d{1,2}$", ["yyyy-M"]),
+    ],
+    "year/": [
+        (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+        (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy/M/d H:m:s"]),
+    ],
+    "/": [
+        (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["M/d/yyyy H:m:s", "d/M/yyyy H:m:s"]),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["M/d/yyyy H:m", "d/M/yyyy H:m"]),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2} [AaPp][Mm]$", ["M/d/yyyy h:m a", "d/M/yyyy h:m a"]),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AaPp][Mm]$", ["M/d/yyyy h:m:s a", "d/M/yyyy h:m:s a"]),
+    ],
+    ".": [(r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"])],
+    "-": [(r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"])],
+    "day name": [
+        (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+        (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
+    ],
+    "digits": [(r"^\d{8}$", ["yyyyMMdd"])],
+    "name": [
+        (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d yyyy"]),
+        (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ["MMMM d yyyy"]),
+    ],
+}
+DATE_FORMATS = [fmt for family in DATE_FAMILIES.values() for _, fmts in family for fmt in fmts]
 # ISO text with fractional seconds or a zone goes through Spark's own cast.
 _ISO_FRACTION = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 
@@ -98,28 +115,27 @@ def parse_dates(c: str | Column, dtype: T.DataType | None = None) -> Column:
     letter = first.between(65, 90) | first.between(97, 122)
     sep5 = F.substring(text, 5, 1)
 
-    def fam(*idx: int) -> Column:
-        # Each guard admits exactly one layout, so no parse attempt fails by exception
-        # unless the value itself is impossible (e.g. February 30).
+    def family(name: str, value: Column) -> Column:
+        # A guard admits one layout, so no parse fails by exception unless the value itself
+        # is impossible (e.g. February 30).
         out = None
-        for i in reversed(idx):
-            guard, (fmt,) = DATE_FORMAT_FAMILIES[i]
-            parsed = F.try_to_timestamp(text, F.lit(fmt))
-            out = F.when(text.rlike(guard), parsed) if out is None else \
-                F.when(text.rlike(guard), parsed).otherwise(out)
+        for guard, fmts in DATE_FAMILIES[name]:
+            parsed = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in fmts])
+            out = F.when(text.rlike(guard), parsed) if out is None else out.when(text.rlike(guard), parsed)
         return out
 
-    long_iso = F.when(text.rlike(_ISO_FRACTION) & ~text.rlike(r":\d{1,2}$"), text.try_cast("timestamp"))\
-        .otherwise(fam(0, 1, 2, 3))
-    iso = F.when(F.length(text) > 10, long_iso).otherwise(fam(4))
-    # Dispatch on cheap character tests so each value meets at most a few patterns;
-    # text that cannot start a date never reaches a regex or the parser.
+    iso = F.when(text.rlike(_ISO_FRACTION) & ~text.rlike(r"^[^:]*:\d{1,2}(:\d{1,2})?$"), text.try_cast("timestamp")).otherwise(
+        family("iso", text))
+    has = lambda c: F.contains(text, F.lit(c))
+    # Dispatch on cheap character tests so each value meets at most a few patterns.
     return (F.when(digit & (sep5 == "-"), iso)
-            .when(digit & (sep5 == "/"), fam(5, 6))
-            .when(digit & F.contains(text, F.lit("/")), fam(7, 8, 9))
-            .when(digit & F.contains(text, F.lit(".")), fam(10))
-            .when(digit & F.contains(text, F.lit(" ")), fam(11))
-            .when(letter & F.contains(text, F.lit(",")), fam(12, 13)))
+            .when(digit & (sep5 == "/"), family("year/", text))
+            .when(digit & has("/"), family("/", F.upper(text)))
+            .when(digit & has("."), family(".", text))
+            .when(digit & has("-"), family("-", text))
+            .when(digit & has(" "), family("day name", F.initcap(text)))
+            .when(digit, family("digits", text))
+            .when(letter, family("name", F.initcap(F.replace(text, F.lit(","), F.lit(""))))))
 
 
 def clean_text(c: str | Column) -> Column:
@@ -148,6 +164,20 @@ def money(c: str | Column) -> Column:
     return _col(c).cast(T.DecimalType(38, 6))
 
 
+def exact(c: str | Column) -> Column:
+    """Decimal view with twelve places, for sums of quantities and generic measures."""
+    return _col(c).try_cast(T.DecimalType(38, 12))
+
+
+def exact_sum(c: str | Column) -> Column:
+    """Sum as double whose digits do not depend on the order of addition.
+
+    Values that the decimal view cannot hold (infinities, 1e20 and more) are summed as doubles.
+    """
+    value = _col(c).cast("double")
+    return F.when(F.max(F.abs(value)) < 1e20, F.sum(exact(value)).cast("double")).otherwise(F.sum(value))
+
+
 def round_half_even(c: Column, scale: int) -> Column:
     """Python/pandas-style rounding of an exact decimal, returned as double."""
     return F.bround(c.cast(T.DecimalType(38, 10)), scale).cast("double")

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkwright.functions import as_bool_flag
-from sparkwright.plans.shared import track
-
-# A checked row count below which a lookup table is broadcast (rows of a few keys).
-BROADCAST_MAX_ROWS = 50_000
-
 
 def attach_row(df: DataFrame, one_row: DataFrame, name: str = "_row") -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
@@ -42,31 +35,35 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str | None], fields: list[st
     return df.select(*cols, *extra)
 
 
+def row_digest(df: DataFrame, columns: list[str]) -> list[Column]:
+    """128 bits that agree exactly where all ``columns`` agree (null equals null, -0.0 equals 0.0).
+
+    Two chained hashes over a bitmap of the nulls and the values: a value cannot slide into
+    the neighbouring column, and a null is not the absence of a column.
+    """
+    nulls = F.concat_ws("", *[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in columns])
+    plain = [F.col(f"`{c}`") + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")
+             for c in columns]
+    return [F.xxhash64(nulls, *plain), F.xxhash64(F.lit(7), nulls, *plain)]
+
+
 def flag_duplicates(df: DataFrame, subset: list[str], order_cols: list[str],
                     flag: str = "is_duplicate_row") -> DataFrame:
     """``flag`` is true on every copy but the first (smallest ``order_cols``) of each
     group of rows equal on ``subset`` (nulls equal, like pandas ``duplicated``).
 
-    Built as a grouped aggregate joined back rather than a window over ``subset``: the
-    aggregate combines map-side, and AQE can split a hot group in the join, while a
-    window would pull a group that holds a third of the table into one task.
-    ``order_cols`` must identify rows.
-
-    Only groups that actually repeat are joined back (left join). Their number is
-    checked first: up to ``BROADCAST_MAX_ROWS`` they are broadcast and the table is never
-    shuffled for the join; beyond that the join stays a shuffle join (AQE skew-split).
+    The keys are reduced to a 16-byte digest; digests that stand more than once, with their
+    first row key, are joined back. The aggregate combines map-side and the join is a plain
+    equality, so its kind and the split of a hot digest are left to runtime statistics. No
+    window gathers a group. ``order_cols`` must identify rows.
     """
-    order = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
-    keys = [f"_k{i}" for i in range(len(subset))]
-    firsts = (df.groupBy(*[F.col(c).alias(k) for c, k in zip(subset, keys)])
-              .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-              .filter(F.col("_copies") > 1).drop("_copies"))
-    firsts = track(firsts.persist(StorageLevel.MEMORY_AND_DISK))
-    if firsts.count() <= BROADCAST_MAX_ROWS:
-        firsts = F.broadcast(firsts)
-    cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(firsts[k]) for c, k in zip(subset, keys)])
-    joined = df.join(firsts, on=cond, how="left")
-    return joined.withColumn(flag, as_bool_flag(order != F.col("_first"))).drop("_first", *keys)
+    first, second = row_digest(df, subset)
+    marked = df.withColumns({"_d1": first, "_d2": second})
+    order = F.struct(*[F.col(f"`{c}`") for c in order_cols]) if len(order_cols) > 1 else F.col(f"`{order_cols[0]}`")
+    repeated = (marked.groupBy("_d1", "_d2").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+                .filter(F.col("_copies") > 1).drop("_copies"))
+    joined = marked.join(repeated, ["_d1", "_d2"], "left")
+    return joined.withColumn(flag, as_bool_flag(order != F.col("_first"))).drop("_first", "_d1", "_d2")
 
 
 def dedupe_keep_first(df: DataFrame, subset: list[str], order_cols: list[str]) -> DataFrame:

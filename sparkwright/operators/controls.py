@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions import money, parse_dates, to_number
+from sparkwright.functions import exact_sum, parse_dates, to_number
 
 
 def filter_date_range(df: DataFrame, column: str, start: dt.date | None, end: dt.date | None) -> DataFrame:
@@ -18,7 +18,7 @@ def filter_date_range(df: DataFrame, column: str, start: dt.date | None, end: dt
     """
     if column not in df.columns:
         return df
-    ts = parse_dates(column, df.schema[column].dataType)
+    ts = parse_dates(F.col(f"`{column}`"), df.schema[column].dataType)
     cond = ts.isNotNull()
     if start is not None:
         cond = cond & (ts >= F.lit(dt.datetime.combine(start, dt.time())))
@@ -32,7 +32,7 @@ def filter_values(df: DataFrame, filters: dict[str, list]) -> DataFrame:
     for column, values in filters.items():
         values = list(values or [])
         if column in df.columns and values:
-            df = df.filter(F.col(column).isin(values))
+            df = df.filter(F.col(f"`{column}`").isin(values))
     return df
 
 
@@ -41,21 +41,22 @@ def top_n(df: DataFrame, sort_column: str, n: int, ascending: bool = False,
     """Sorted head (TakeOrderedAndProject: per-partition top-n, then a bounded merge)."""
     if sort_column not in df.columns:
         return df
-    order = F.asc(sort_column) if ascending else F.desc(sort_column)
+    key = F.col(f"`{sort_column}`")
+    order = key.asc() if ascending else key.desc()
     return df.orderBy(order, *(tiebreak or [])).limit(int(n))
 
 
 def monthly_sum(df: DataFrame, date_column: str, value_column: str, output_column: str | None = None) -> DataFrame:
     """Calendar-month buckets; non-numeric values count as 0."""
-    ts = parse_dates(date_column, df.schema[date_column].dataType)
-    value = F.coalesce(money(to_number(value_column, df.schema[value_column].dataType)), F.lit(0))
+    ts = parse_dates(F.col(f"`{date_column}`"), df.schema[date_column].dataType)
+    value = F.coalesce(to_number(F.col(f"`{value_column}`"), df.schema[value_column].dataType), F.lit(0.0))
     out = output_column or value_column
     return (df.select(F.date_trunc("month", ts).alias("period"), value.alias("_v"))
             .filter(F.col("period").isNotNull())
-            .groupBy("period").agg(F.round(F.sum("_v"), 2).cast("double").alias(out)))
+            .groupBy("period").agg(F.round(exact_sum("_v"), 2).alias(out)))
 
 
-def filter_options(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
-    """Sorted distinct non-null values as text, first ``limit``."""
-    v = F.col(column).cast("string")
-    return df.select(v.alias("value")).filter(F.col("value").isNotNull()).distinct().orderBy("value").limit(limit)
+def filter_options(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Sorted distinct non-null values as text (all, or the first ``limit``)."""
+    found = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct().orderBy("value")
+    return found if limit is None else found.limit(int(limit))

@@ -30,8 +30,7 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(_DAY_MICROS)).cast("long")
 
 
-def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str],
-            buckets: int | None = None) -> DataFrame:
+def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
     base = apply_mapping(raw, mapping, FIELDS, keep=order_cols)
     typed = base.select(
         *[clean_text(f).alias(f) for f in TEXT_FIELDS],
@@ -42,7 +41,7 @@ def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str
     )
     flagged = flag_duplicates(typed, FIELDS, order_cols)
     # The 98th percentile is one value, attached as a scalar subquery.
-    p98 = exact_quantile(typed, "shipping_cost", HIGH_COST_QUANTILE, "_p98", buckets=buckets).scalar()
+    p98 = exact_quantile(typed, "shipping_cost", HIGH_COST_QUANTILE, "_p98").scalar()
     delay = elapsed_days(F.col("delivery_date"), F.col("planned_delivery_date"))
     return flagged.select(
         *order_cols, *FIELDS,

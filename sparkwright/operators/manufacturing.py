@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.functions import as_bool_flag, clean_text, money, parse_dates, to_number
+from sparkwright.functions import as_bool_flag, clean_text, exact, parse_dates, to_number
 from sparkwright.operators.common import apply_mapping, flag_duplicates
 from sparkwright.templates import MANUFACTURING_OPTIONAL, MANUFACTURING_REQUIRED
 
@@ -26,7 +26,7 @@ def _dtype(raw: DataFrame, mapping: dict, field: str) -> T.DataType:
 
 def sum2(c: str | Column) -> Column:
     """Exact sum rounded to 2 places, as double."""
-    return F.round(F.sum(money(c)), 2).cast("double")
+    return F.round(F.sum(exact(c)), 2).cast("double")
 
 
 def rate(num: Column, den: Column, scale: int = 4) -> Column:
@@ -68,18 +68,24 @@ def analysis_rows(prepared: DataFrame) -> DataFrame:
     return prepared.filter("is_analysis_valid")
 
 
+def ratio(part: str, whole: str) -> Column:
+    """Quotient to four places, halves up on ten decimal places."""
+    value = F.col(part).cast("double") / F.col(whole).cast("double")
+    return F.round(value.cast(T.DecimalType(28, 10)), 4).cast("double")
+
+
 def kpis(rows: DataFrame) -> DataFrame:
     planned_ok = F.col("planned_output").isNotNull() & (F.col("planned_output") > 0)
     runtime_ok = F.col("runtime_minutes").isNotNull() & (F.col("runtime_minutes") >= 0)
     t = rows.agg(
-        F.coalesce(F.sum(money("actual_output")), F.lit(0)).alias("out"),
-        F.coalesce(F.sum(money("scrap_count")), F.lit(0)).alias("scrap"),
-        F.coalesce(F.sum(money("downtime_minutes")), F.lit(0)).alias("down"),
+        F.coalesce(F.sum(exact("actual_output")), F.lit(0)).alias("out"),
+        F.coalesce(F.sum(exact("scrap_count")), F.lit(0)).alias("scrap"),
+        F.coalesce(F.sum(exact("downtime_minutes")), F.lit(0)).alias("down"),
         F.count_distinct("machine_id").alias("machines"),
-        F.coalesce(F.sum(F.when(planned_ok, money("planned_output"))), F.lit(0)).alias("plan"),
-        F.coalesce(F.sum(F.when(planned_ok, money("actual_output"))), F.lit(0)).alias("plan_out"),
-        F.coalesce(F.sum(F.when(runtime_ok, money("runtime_minutes"))), F.lit(0)).alias("run"),
-        F.coalesce(F.sum(F.when(runtime_ok, money("downtime_minutes"))), F.lit(0)).alias("run_down"),
+        F.coalesce(F.sum(F.when(planned_ok, exact("planned_output"))), F.lit(0)).alias("plan"),
+        F.coalesce(F.sum(F.when(planned_ok, exact("actual_output"))), F.lit(0)).alias("plan_out"),
+        F.coalesce(F.sum(F.when(runtime_ok, exact("runtime_minutes"))), F.lit(0)).alias("run"),
+        F.coalesce(F.sum(F.when(runtime_ok, exact("downtime_minutes"))), F.lit(0)).alias("run_down"),
     )
     out, scrap, down = F.col("out"), F.col("scrap"), F.col("down")
     att = F.when(F.col("plan") != 0, rate(F.col("plan_out"), F.col("plan")))
@@ -104,8 +110,8 @@ def kpis(rows: DataFrame) -> DataFrame:
 
 def machine_performance(rows: DataFrame) -> DataFrame:
     agg = rows.groupBy("machine_id").agg(
-        F.sum(money("actual_output")).alias("o"), F.sum(money("scrap_count")).alias("s"),
-        F.sum(money("downtime_minutes")).alias("d"), F.count(F.lit(1)).alias("record_count"))
+        F.sum(exact("actual_output")).alias("o"), F.sum(exact("scrap_count")).alias("s"),
+        F.sum(exact("downtime_minutes")).alias("d"), F.count(F.lit(1)).alias("record_count"))
     return agg.select(
         "machine_id",
         F.round("o", 4).cast("double").alias("total_output"),
@@ -130,32 +136,32 @@ def controlled_trend(rows: DataFrame, measure: str = "scrap_rate") -> DataFrame:
     """Daily scrap rate, attainment or plain sum; undefined ratios become 0."""
     g = rows.groupBy(F.date_trunc("day", "timestamp").alias("period"))
     if measure == "scrap_rate":
-        t = g.agg(F.sum(money("actual_output")).alias("o"), F.sum(money("scrap_count")).alias("s"))
-        value = F.when(F.col("o") != 0, F.round(F.col("s").cast("double") / F.col("o").cast("double"), 4))
+        t = g.agg(F.sum(exact("actual_output")).alias("o"), F.sum(exact("scrap_count")).alias("s"))
+        value = F.when(F.col("o") != 0, ratio("s", "o"))
     elif measure == "production_attainment":
-        t = g.agg(F.sum(money("actual_output")).alias("o"), F.sum(money("planned_output")).alias("p"))
-        value = F.when(F.col("p") != 0, F.round(F.col("o").cast("double") / F.col("p").cast("double"), 4))
+        t = g.agg(F.sum(exact("actual_output")).alias("o"), F.sum(exact("planned_output")).alias("p"))
+        value = F.when(F.col("p") != 0, ratio("o", "p"))
     else:
-        t = g.agg(F.sum(money(measure)).alias("v"))
+        t = g.agg(F.sum(exact(measure)).alias("v"))
         value = F.round(F.col("v"), 2).cast("double")
     return t.select("period", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def machine_ranking(rows: DataFrame, measure: str = "downtime_minutes", n: int = 10) -> DataFrame:
     agg = rows.groupBy("machine_id").agg(
-        F.coalesce(F.sum(money("actual_output")), F.lit(0)).alias("o"),
-        F.coalesce(F.sum(money("scrap_count")), F.lit(0)).alias("s"),
-        F.coalesce(F.sum(money("downtime_minutes")), F.lit(0)).alias("d"),
-        F.coalesce(F.sum(money("planned_output")), F.lit(0)).alias("p"))
+        F.coalesce(F.sum(exact("actual_output")), F.lit(0)).alias("o"),
+        F.coalesce(F.sum(exact("scrap_count")), F.lit(0)).alias("s"),
+        F.coalesce(F.sum(exact("downtime_minutes")), F.lit(0)).alias("d"),
+        F.coalesce(F.sum(exact("planned_output")), F.lit(0)).alias("p"))
     table = agg.select(
         "machine_id",
         F.round("o", 2).cast("double").alias("actual_output"),
         F.round("s", 2).cast("double").alias("scrap_count"),
         F.round("d", 2).cast("double").alias("downtime_minutes"),
         F.round("p", 2).cast("double").alias("planned_output"),
-        F.coalesce(F.when(F.col("o") != 0, F.round(F.col("s").cast("double") / F.col("o").cast("double"), 4)),
+        F.coalesce(F.when(F.col("o") != 0, ratio("s", "o")),
                    F.lit(0.0)).alias("scrap_rate"),
-        F.coalesce(F.when(F.col("p") != 0, F.round(F.col("o").cast("double") / F.col("p").cast("double"), 4)),
+        F.coalesce(F.when(F.col("p") != 0, ratio("o", "p")),
                    F.lit(0.0)).alias("production_attainment"))
     return table.orderBy(F.desc(measure), "machine_id").limit(n)
 

@@ -223,8 +223,11 @@ def dataset_size(df: DataFrame) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash: row count, XOR and decimal sum of per-row 60-bit md5 keys,
-    plus the schema string. The pair of hashes keeps duplicated rows from cancelling."""
-    text = F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    plus the schema string. Every value carries its length and a null has a mark of its own,
+    so no value can run into the next column; the pair of hashes keeps repeated rows from
+    cancelling."""
+    parts = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in (_c(c).cast("string") for c in df.columns)]
+    text = F.concat(*[F.coalesce(p, F.lit("-")) for p in parts])
     key = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     schema = ",".join(f"{n}:{t}" for n, t in df.dtypes)
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(key).alias("hash_xor"),

@@ -294,7 +294,10 @@ def score(df: DataFrame, mapping: dict[str, str | None] | None = None, required_
 
 
 def score_report(score_row: DataFrame, schema_assessed: bool = True, date_assessed: bool = True) -> DataFrame:
-    """(section, metric, value) rows: overall, sub-scores, metrics, explanations and fixes."""
+    """(section, metric, value) rows: overall, sub-scores, metrics, explanations and fixes.
+
+    Fixed values: all sentences below, and the thresholds that bring them up.
+    """
     def fmt_pct(num: Column, den: Column) -> Column:
         return F.format_string("%.1f%%", F.round(num / F.greatest(den, F.lit(1)) * 100, 1))
 
@@ -318,6 +321,12 @@ def score_report(score_row: DataFrame, schema_assessed: bool = True, date_assess
         ("explanation", "note", F.format_string("Invalid numeric values: %d issues across %d checked values.",
                                                 F.col("invalid_numeric_count"),
                                                 F.greatest(F.col("numeric_checked"), F.lit(1)))),
+        ("explanation", "note", F.format_string("Schema completeness: %.1f%% of required template fields are mapped.",
+                                                F.col("schema_completeness_score")) if schema_assessed else
+         F.lit("Schema completeness: not assessed until a domain template is selected.")),
+        ("explanation", "note", F.format_string("Date parsing: %d failures across %d checked date values.",
+                                                F.col("date_parse_failures"), F.greatest(F.col("date_checked"), F.lit(1)))
+         if date_assessed else F.lit("Date parsing: not assessed because no template date field was provided.")),
     ]
     fixes = [
         F.when(F.col("missing_values_score") < 95, F.lit(

@@ -1,176 +1,101 @@
 """Global order statistics without a single-partition window.
 
-``Window.orderBy(v)`` with no partition moves every row into one task. These helpers
-instead count rows per distinct value (map-side combined), cut the distinct values into
-range buckets whose boundaries are a bounded list of approximate quantiles (literal
-values, so a recomputed task sees the same buckets), prefix-sum the bucket totals (at
-most ``buckets`` rows) and finish with a window inside each bucket. A value that holds a
-third of all rows is one row of the distinct table, so hot values cannot skew it.
+``Window.orderBy(v)`` with no partition moves every row into one task. Here rows (or the
+distinct values with their counts) are range-partitioned and sorted on the full key, written
+once to the shared folder together with their partition number, and finished with a running
+sum inside each partition plus the totals of the partitions before it. The written copy is
+what makes the numbers stable: bounds of a range partitioning are sampled, and a second
+evaluation may cut elsewhere. The number of partitions is the session's own setting; keys
+of any orderable type work, and no single value of the first key column matters.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.sources.sinks import stage_table
 
-_MAX_BUCKETS = 1024
-# Distinct values per bucket the window inside a bucket is sized for.
-_ROWS_PER_BUCKET = 50_000
 
+def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` cut into ranges of ``keys``, with the range number ``_part`` (ascending)."""
+    cols = [F.col(f"`{k}`") for k in keys]
+    return stage_table(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()), "ranged")
 
-def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    """Explicit ``buckets``, else one bucket per ``_ROWS_PER_BUCKET`` rows of the (persisted)
-    input, at most ``_MAX_BUCKETS``: the count is a bounded scalar read once."""
-    if buckets:
-        return max(1, min(int(buckets), _MAX_BUCKETS))
-    return max(1, min(_MAX_BUCKETS, -(-df.count() // _ROWS_PER_BUCKET)))
 
+def _totals_before(parts: DataFrame, total: str, group: list[str]) -> DataFrame:
+    """``parts`` (one row per group and range) with ``_offset``: the total of earlier ranges."""
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_offset", F.coalesce(F.sum(total).over(earlier), F.lit(0))).drop(total)
 
-def _bucket_expr(value: Column, bounds: list[float]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < value.cast("double")))
 
+def prefix_before(counts: DataFrame, value_col: str, weight_col: str, group_cols: list[str] | None = None,
+                  out_col: str = "_before") -> DataFrame:
+    """For each (group, distinct value) row: total weight of strictly smaller values.
 
-def stable(df: DataFrame) -> DataFrame:
-    """Keep an intermediate that is read several times (bounds lookup, then the plan).
-
-    Bucket boundaries are collected as literals, so a recomputed partition (after an
-    executor loss) lands in the same buckets: persisting is enough for correctness and
-    avoids recomputing the upstream plan for each read.
+    ``counts`` holds one row per (group, value). A range holds few groups or part of one, so
+    the table of totals has at most ranges + groups rows.
     """
-    from sparkwright.plans.shared import track
-    return track(df.persist(StorageLevel.MEMORY_AND_DISK))
+    group = list(group_cols or [])
+    ranged = _ranged(counts.filter(F.col(value_col).isNotNull()), [*group, value_col])
+    parts = _totals_before(ranged.groupBy(*group, "_part").agg(F.sum(weight_col).alias("_total")), "_total", group)
+    inside = Window.partitionBy(*group, "_part").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_inside", F.coalesce(F.sum(weight_col).over(inside), F.lit(0)))
+    return (summed.join(parts, [*group, "_part"])
+            .withColumn(out_col, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", "_part"))
 
 
-def prefix_before(counts: DataFrame, value_col: str, weight_col: str, group_cols: list[str] | None = None,
-                  buckets: int | None = None, out_col: str = "_before") -> DataFrame:
-    """For each (group, distinct value) row: total weight of strictly smaller values.
+def _counted(df: DataFrame, value_col: str, group: list[str]) -> DataFrame:
+    """Distinct values with their count ``_t``, the weight before them and the group total ``_n``."""
+    counts = df.filter(F.col(value_col).isNotNull()).groupBy(*group, value_col).agg(F.count(F.lit(1)).alias("_t"))
+    ranked = prefix_before(counts, value_col, "_t", group)
+    n = ranked.groupBy(*group).agg(F.sum("_t").alias("_n"))
+    return ranked.join(n, group) if group else ranked.withColumn("_n", n.scalar())
 
-    ``counts`` must hold one row per (group, value); it is checkpointed once so the
-    boundary lookup and the final plan read the same rows.
-    """
-    group_cols = list(group_cols or [])
-    counts = stable(counts.filter(F.col(value_col).isNotNull()))
-    n_buckets = _bucket_count(counts, buckets)
-    fractions = [i / n_buckets for i in range(1, n_buckets)]
-    # Bounded: at most (#groups x buckets) numbers come back to the driver.
-    if fractions:
-        bound_rows = (counts.groupBy(*group_cols)
-                      .agg(F.percentile_approx(F.col(value_col).cast("double"), fractions, 10000).alias("_b"))
-                      .collect())
-    else:
-        bound_rows = []
-    if group_cols:
-        bucket = F.lit(0)
-        for row in bound_rows:
-            cond = F.lit(True)
-            for g in group_cols:
-                cond = cond & F.col(g).eqNullSafe(F.lit(row[g]))
-            bucket = F.when(cond, _bucket_expr(F.col(value_col), sorted(set(row["_b"] or []))))\
-                .otherwise(bucket)
-    else:
-        bounds = sorted(set(bound_rows[0]["_b"] or [])) if bound_rows else []
-        bucket = _bucket_expr(F.col(value_col), bounds)
-    with_bucket = counts.withColumn("_bucket", bucket)
-    totals = with_bucket.groupBy(*group_cols, "_bucket").agg(F.sum(weight_col).alias("_bucket_total"))
-    w_tot = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_bucket_total").over(w_tot), F.lit(0)))\
-        .drop("_bucket_total")
-    w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col)\
-        .rowsBetween(Window.unboundedPreceding, -1)
-    inner = with_bucket.withColumn("_inner", F.coalesce(F.sum(weight_col).over(w_in), F.lit(0)))
-    # offsets has at most (#groups x buckets) rows: a proven bound for broadcasting.
-    joined = inner.join(F.broadcast(offsets), on=[*group_cols, "_bucket"], how="inner")
-    return joined.withColumn(out_col, F.col("_offset") + F.col("_inner")).drop("_offset", "_inner", "_bucket")
-
-
-def average_percent_rank(df: DataFrame, value_col: str, out_col: str, group_cols: list[str] | None = None,
-                         buckets: int | None = None) -> DataFrame:
+
+def average_percent_rank(df: DataFrame, value_col: str, out_col: str, group_cols: list[str] | None = None) -> DataFrame:
     """Per distinct value: average rank / n (ties share the mean of their ranks).
 
     Returns (group..., value, out_col, _n). Nulls are not ranked.
     """
-    group_cols = list(group_cols or [])
-    counts = df.filter(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col)\
-        .agg(F.count(F.lit(1)).alias("_t"))
-    ranked = prefix_before(counts, value_col, "_t", group_cols, buckets)
-    n = ranked.groupBy(*group_cols).agg(F.sum("_t").alias("_n"))
-    # One row per group (bounded by the number of groups); without groups a scalar.
-    ranked = ranked.join(F.broadcast(n), on=group_cols) if group_cols else ranked.withColumn("_n", n.scalar())
-    avg_rank = F.col("_before") + (F.col("_t") + F.lit(1)) / F.lit(2)
-    return ranked.select(*group_cols, value_col, (avg_rank / F.col("_n")).alias(out_col), "_n")
+    group = list(group_cols or [])
+    ranked = _counted(df, value_col, group)
+    average = F.col("_before") + (F.col("_t") + F.lit(1)) / F.lit(2)
+    return ranked.select(*group, value_col, (average / F.col("_n")).alias(out_col), "_n")
 
 
 def exact_quantiles(df: DataFrame, value_col: str, quantiles: dict[str, float],
-                    group_cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas/DuckDB ``quantile_cont`` rule).
+                    group_cols: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles (the ``quantile_cont`` rule).
 
-    Distributed: the distinct values are ranked once (see :func:`prefix_before`); every
-    quantile then picks at most two rows. One row per group (one row overall without
-    groups, null quantiles when the input is empty).
+    One row per group; without groups one row, null when there is no value.
     """
-    group_cols = list(group_cols or [])
-    counts = df.filter(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col)\
-        .agg(F.count(F.lit(1)).alias("_t"))
-    ranked = prefix_before(counts, value_col, "_t", group_cols, buckets)
-    n = ranked.groupBy(*group_cols).agg(F.sum("_t").alias("_n"))
-    ranked = ranked.join(F.broadcast(n), on=group_cols) if group_cols else ranked.withColumn("_n", n.scalar())
-    start = F.col("_before")
-    end = F.col("_before") + F.col("_t")
-    v = F.col(value_col).cast("double")
-    picks, aggs, outs = [], [], []
-    for i, (name, q) in enumerate(quantiles.items()):
-        pos = F.lit(float(q)) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        picks += [F.when((lo >= start) & (lo < end), v).alias(f"_lo{i}"),
-                  F.when((hi >= start) & (hi < end), v).alias(f"_hi{i}"),
-                  (pos - lo).alias(f"_f{i}")]
-        aggs += [F.max(f"_lo{i}").alias(f"_lo{i}"), F.max(f"_hi{i}").alias(f"_hi{i}"), F.max(f"_f{i}").alias(f"_f{i}")]
-        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name))
-    keep = F.lit(False)
-    for i in range(len(quantiles)):
-        keep = keep | F.col(f"_lo{i}").isNotNull() | F.col(f"_hi{i}").isNotNull()
-    picked = ranked.select(*group_cols, *picks).filter(keep)
-    result = picked.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)
-    if not group_cols:
-        one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
-        result = one.join(result.withColumn("_one", F.lit(1)), on="_one", how="left").drop("_one")
-    return result
+    group = list(group_cols or [])
+    ranked = _counted(df, value_col, group)
+    start, end, value = F.col("_before"), F.col("_before") + F.col("_t"), F.col(value_col).cast("double")
+    at = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in quantiles.items()}
+    picked = []
+    for name, pos in at.items():
+        for end_name, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            picked.append(F.max(F.when((rank >= start) & (rank < end), value)).alias(f"_{end_name}_{name}"))
+        picked.append(F.max(pos - F.floor(pos)).alias(f"_part_{name}"))
+    found = ranked.groupBy(*group).agg(*picked)
+    of = lambda kind, name: F.col(f"`_{kind}_{name}`")
+    between = lambda n: of("lo", n) + (of("hi", n) - of("lo", n)) * of("part", n)
+    return found.select(*group, *[between(n).alias(n) for n in quantiles])
 
 
 def exact_quantile(df: DataFrame, value_col: str, q: float, out_col: str = "quantile",
-                   group_cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    return exact_quantiles(df, value_col, {out_col: q}, group_cols, buckets)
-
-
-def with_row_id(df: DataFrame, order_cols: list[str], out_col: str = "source_row_id",
-                buckets: int | None = None) -> DataFrame:
-    """Dense 0-based row id following ``order_cols`` (which must identify rows).
-
-    Rows are cut into range buckets on the first order column (bounded list of
-    approximate quantiles, collected once as literals), numbered by a window inside each
-    bucket and shifted by the bucket's offset (a table of at most ``buckets`` rows). The
-    input is persisted first so the three passes over it do not recompute it.
-    """
-    first = order_cols[0]
-    base = stable(df)
-    n_buckets = _bucket_count(base, buckets)
-    fractions = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = []
-    if fractions:
-        row = base.agg(F.percentile_approx(F.col(first).cast("double"), fractions, 10000).alias("_b")).collect()[0]
-        bounds = sorted(set(row["_b"] or []))
-    with_bucket = base.withColumn("_bucket", _bucket_expr(F.col(first), bounds))
-    totals = with_bucket.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bucket_total"))
-    w_tot = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``buckets`` rows: the global window and the broadcast are bounded.
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_bucket_total").over(w_tot), F.lit(0)))\
-        .drop("_bucket_total")
-    w_in = Window.partitionBy("_bucket").orderBy(*order_cols)
-    numbered = with_bucket.withColumn("_inner", F.row_number().over(w_in) - 1)
-    return (numbered.join(F.broadcast(offsets), "_bucket")
-            .withColumn(out_col, F.col("_offset") + F.col("_inner")).drop("_bucket", "_offset", "_inner"))
+                   group_cols: list[str] | None = None) -> DataFrame:
+    return exact_quantiles(df, value_col, {out_col: q}, group_cols)
+
+
+def with_row_id(df: DataFrame, order_cols: list[str], out_col: str = "source_row_id") -> DataFrame:
+    """Dense 0-based row id following ``order_cols`` (which must identify rows)."""
+    ranged = _ranged(df, order_cols)
+    parts = _totals_before(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_total")), "_total", [])
+    inside = Window.partitionBy("_part").orderBy(*[F.col(f"`{c}`") for c in order_cols])
+    numbered = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
+    # one row per range of the partitioning
+    return (numbered.join(F.broadcast(parts), "_part")
+            .withColumn(out_col, F.col("_offset") + F.col("_inside")).drop("_part", "_offset", "_inside"))

@@ -7,7 +7,6 @@ back, then one aggregate per output. Distinct order counts are computed in two s
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +14,6 @@ from pyspark.sql import types as T
 from sparkwright.functions import as_bool_flag, clean_text, money, parse_dates, to_number
 from sparkwright.operators.common import apply_mapping, attach_row, flag_duplicates
 from sparkwright.operators.ranking import average_percent_rank
-from sparkwright.plans.shared import track
 from sparkwright.templates import RETAIL_OPTIONAL, RETAIL_REQUIRED
 
 RETAIL_FIELDS = RETAIL_REQUIRED + RETAIL_OPTIONAL
@@ -155,25 +153,30 @@ def _score(pct: Column) -> Column:
     return F.least(F.greatest(F.ceil(pct * F.lit(5.0)), F.lit(1)), F.lit(5)).cast("int")
 
 
-def rfm_segments(base: DataFrame, buckets: int | None = None) -> DataFrame:
-    """1-5 scores from average percentile ranks and the ordered segment rules."""
-    # base and ranks are each read several times below: persisted once (customer-level
-    # and distinct-value-level tables) so the plan carries them as single cached leaves.
-    base = track(base.persist(StorageLevel.MEMORY_AND_DISK))
+def rfm_segments(base: DataFrame) -> DataFrame:
+    """1-5 scores from average percentile ranks and the ordered segment rules.
+
+    A score is a step function of its metric, so the ranks of the distinct values are only
+    needed for the values at which it steps: twelve numbers, attached as one row. The
+    customers themselves are neither ranked nor joined.
+    """
     long = base.select(F.expr("stack(3, 'r', cast(recency_days as double), 'f', cast(frequency as double), "
                               "'m', cast(monetary as double)) as (metric, value)"))
-    ranks = average_percent_rank(long, "value", "pct", group_cols=["metric"], buckets=buckets)
-    ranks = track(ranks.persist(StorageLevel.MEMORY_AND_DISK))
-    r = ranks.filter(F.col("metric") == "r").select(
-        F.col("value").alias("_rv"),
-        _score(F.lit(1.0) - F.col("pct") + F.lit(1.0) / F.col("_n")).alias("r_score"))
-    f = ranks.filter(F.col("metric") == "f").select(F.col("value").alias("_fv"), _score(F.col("pct")).alias("f_score"))
-    m = ranks.filter(F.col("metric") == "m").select(F.col("value").alias("_mv"), _score(F.col("pct")).alias("m_score"))
-    scored = (base
-              .join(r, base.recency_days.cast("double") == r._rv)
-              .join(f, base.frequency.cast("double") == f._fv)
-              .join(m, base.monetary.cast("double") == m._mv)
-              .drop("_rv", "_fv", "_mv"))
+    ranks = average_percent_rank(long, "value", "pct", group_cols=["metric"])
+    up = F.when(F.col("metric") == "r", F.lit(1.0) - F.col("pct") + F.lit(1.0) / F.col("_n")).otherwise(F.col("pct"))
+    steps = ranks.select("metric", "value", _score(up).alias("score"))
+    cuts = steps.agg(*[
+        (F.max if m == "r" else F.min)(F.when((F.col("metric") == m) & (F.col("score") >= k), F.col("value"))).alias(f"_{m}{k}")
+        for m in "rfm" for k in range(2, 6)])
+
+    def scored(column: str, m: str) -> Column:
+        v = F.col(column).cast("double")
+        hits = [as_bool_flag(v <= F.col(f"_{m}{k}") if m == "r" else v >= F.col(f"_{m}{k}")).cast("int") for k in range(2, 6)]
+        return (F.lit(1) + hits[0] + hits[1] + hits[2] + hits[3]).cast("int").alias(f"{m}_score")
+
+    scored = attach_row(base, cuts, "_cuts").select(
+        "customer_id", "recency_days", "frequency", "monetary",
+        scored("recency_days", "r"), scored("frequency", "f"), scored("monetary", "m"))
     rs, fs, ms = F.col("r_score"), F.col("f_score"), F.col("m_score")
     segment = (F.when((rs >= 4) & (fs >= 4) & (ms >= 4), "Champions")
                .when((fs >= 4) & (ms >= 3), "Loyal Customers")
@@ -272,33 +275,34 @@ def _issue(label: str, count_col: str, severity: str, handling: str) -> Column:
 
 # ---- Interactive controls -----------------------------------------------------------
 
-def top_products(cleaned: DataFrame, metric: str = "net_revenue", n: int = 10) -> DataFrame:
-    """Revenue and quantity per product over valid rows, top ``n`` by gross or net."""
-    agg = (cleaned.filter("is_analysis_valid").groupBy("product_name")
-           .agg(_r2(F.sum(money("gross_revenue"))).alias("gross_revenue"),
-                _r2(F.sum(money("net_revenue"))).alias("net_revenue"),
-                _r2(F.sum(money("quantity"))).alias("quantity")))
-    return agg.orderBy(F.desc(metric), "product_name").limit(n)
+def controlled_orders(cleaned: DataFrame, start=None, end=None, values: dict[str, list] | None = None) -> DataFrame:
+    """All cleaned rows inside the chosen dates and values (country, category, product)."""
+    from sparkwright.operators.controls import filter_date_range, filter_values
+    rows = filter_date_range(cleaned, "order_date", start, end) if start is not None or end is not None else cleaned
+    return filter_values(rows, values or {})
+
+
+def top_products(orders: DataFrame, measure: str = "net_revenue", n: int = 10) -> DataFrame:
+    """Revenue (the chosen measure) and quantity per product; every row with a product counts."""
+    agg = (orders.filter(F.col("product_name").isNotNull()).groupBy("product_name")
+           .agg(_r2(F.sum(money(measure))).alias("revenue"), _r2(F.sum(money("quantity"))).alias("quantity")))
+    return agg.orderBy(F.desc("revenue"), "product_name").limit(n)
 
 
-def top_customers(cleaned: DataFrame, metric: str = "net_revenue", n: int = 10) -> DataFrame:
-    agg = (_customer_rows(cleaned).groupBy("customer_id")
-           .agg(_r2(F.sum(money("gross_revenue"))).alias("gross_revenue"),
-                _r2(F.sum(money("net_revenue"))).alias("net_revenue"),
-                F.count_distinct("order_id").alias("orders")))
-    return agg.orderBy(F.desc(metric), "customer_id").limit(n)
+def top_customers(orders: DataFrame, measure: str = "net_revenue", n: int = 10) -> DataFrame:
+    """Revenue (the chosen measure) and distinct orders per customer; every row with a customer counts."""
+    agg = (orders.filter(F.col("customer_id").isNotNull()).groupBy("customer_id")
+           .agg(_r2(F.sum(money(measure))).alias("revenue"), F.count_distinct("order_id").alias("order_count")))
+    return agg.orderBy(F.desc("revenue"), "customer_id").limit(n)
 
 
-def controlled_trend(cleaned: DataFrame, metric: str = "net_revenue", start=None, end=None,
-                     countries: list[str] | None = None) -> DataFrame:
-    """Monthly sum of gross or net revenue after date and value filters."""
-    from sparkwright.operators.controls import filter_date_range, filter_values, monthly_sum
-    rows = filter_date_range(cleaned, "order_date", start, end)
-    rows = filter_values(rows, {"country": countries or []})
-    return monthly_sum(rows, "order_date", metric)
+def controlled_trend(orders: DataFrame, measure: str = "net_revenue") -> DataFrame:
+    """Monthly sum of gross or net revenue."""
+    from sparkwright.operators.controls import monthly_sum
+    return monthly_sum(orders, "order_date", measure, "revenue")
 
 
-def category_revenue(products: DataFrame) -> DataFrame:
-    """Product table (after its top-100 cut) rolled up to category."""
-    return (products.groupBy("product_category")
+def category_revenue(cleaned: DataFrame) -> DataFrame:
+    """Net revenue of all valid rows by category."""
+    return (cleaned.filter("is_analysis_valid").groupBy("product_category")
             .agg(_r2(F.sum(money("net_revenue"))).alias("net_revenue")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwright.operators import controls as C
 from sparkwright.operators import finance as FN
 from sparkwright.plans.manufacturing import issue_sql
 from sparkwright.plans.shared import shared
@@ -24,6 +27,15 @@ def _category_of(kind: str):
     return lambda s, d: FN.category_summary(rows(s, d)).filter(F.col("normalized_type") == kind)
 
 
+START, END, CATEGORIES = dt.date(1996, 1, 1), dt.date(1997, 12, 31), ["1-URGENT", "2-HIGH", "5-LOW"]
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis rows inside one date range and one choice of categories."""
+    first = C.filter_date_range(rows(spark, sf_dir), "date", START, END)
+    return C.filter_values(first, {"category": CATEGORIES})
+
+
 QUERIES = {
     "fin_prepare": prepared,
     "fin_issue_summary": lambda s, d: FN.issue_summary(prepared(s, d)),
@@ -36,6 +48,8 @@ QUERIES = {
     "fin_largest_transactions": lambda s, d: FN.largest_transactions(rows(s, d)),
     "fin_budget_vs_actual": lambda s, d: FN.budget_vs_actual(rows(s, d)),
     "fin_controlled_monthly": lambda s, d: FN.controlled_monthly(rows(s, d)),
+    "fin_controlled_monthly_chosen": lambda s, d: FN.controlled_monthly(chosen(s, d)),
+    "fin_category_ranking_chosen": lambda s, d: FN.category_ranking(chosen(s, d), "net_result", 10),
     "fin_category_ranking": lambda s, d: FN.category_ranking(rows(s, d), "net_result", 10),
 }
 
@@ -151,3 +165,10 @@ ORACLE = {
       t AS (SELECT COALESCE(category, 'Missing') AS category, {MEASURES} FROM fin_rows GROUP BY 1)
       SELECT category, {MEASURE_OUT} FROM t ORDER BY net_result DESC, category LIMIT 10""",
 }
+
+CHOSEN = """,
+fin_chosen AS (SELECT * FROM fin_rows WHERE "date" >= TIMESTAMP '1996-01-01' AND "date" < TIMESTAMP '1998-01-01'
+  AND category IN (""" + ", ".join(f"'{x}'" for x in CATEGORIES) + "))"
+for _name in ("fin_controlled_monthly", "fin_category_ranking"):
+    _rest = ORACLE[_name][len("WITH " + PREPARED):]
+    ORACLE[_name + "_chosen"] = "WITH " + PREPARED + CHOSEN + _rest.replace("fin_rows", "fin_chosen")

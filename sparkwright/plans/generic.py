@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkwright.functions import NUMBER_PATTERN
 from sparkwright.operators import controls as C
@@ -29,6 +30,8 @@ QUERIES = {
     "generic_aggregate_multi": _agg_multi,
     "generic_aggregate_global": lambda s, d: G.aggregate(events(s, d), ["value"], "max"),
     "generic_aggregate_count": lambda s, d: G.aggregate(events(s, d), ["value"], "count", None, "ts"),
+    "generic_aggregate_small": lambda s, d: G.aggregate(
+        read_table(s, d, "lineitem").withColumn("l_discount", F.col("l_discount") * 1e-6), ["l_discount"], "sum", "l_returnflag"),
     "generic_long": lambda s, d: G.long_form(_agg_multi(s, d), ["event_type"], ["value", "user_id"]),
     "generic_insights": lambda s, d: G.insights(events(s, d), _agg_dated(s, d), ["value"], "sum", "event_type", "ts"),
     "generic_validate_selection": lambda s, d: G.validate_selection(
@@ -39,21 +42,24 @@ QUERIES = {
                                                           dt.date(1996, 1, 1), dt.date(1996, 12, 31)),
     "filter_values": lambda s, d: C.filter_values(read_table(s, d, "lineitem"),
                                                   {"l_returnflag": ["R", "A"], "l_linestatus": ["F"], "nope": ["x"]}),
-    "filter_options": lambda s, d: C.filter_options(read_table(s, d, "customer"), "c_name", 100),
+    "filter_options": lambda s, d: C.filter_options(read_table(s, d, "customer"), "c_name"),
 }
 
-D = "CAST({} AS DECIMAL(38,6))"
+D = "CAST({} AS DECIMAL(38,12))"
 PAT = NUMBER_PATTERN.replace("'", "''")
 
 ORACLE = {
     "generic_aggregate": """
       SELECT date_trunc('month', ts) AS period, COALESCE(CAST(event_type AS VARCHAR), 'Missing') AS event_type,
-        COALESCE(CAST(ROUND(SUM(CAST(value AS DECIMAL(38,6))), 2) AS DOUBLE), 0.0) AS value, COUNT(*) AS "rows"
+        COALESCE(CAST(ROUND(SUM(CAST(value AS DECIMAL(38,12))), 2) AS DOUBLE), 0.0) AS value, COUNT(*) AS "rows"
       FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2""",
+    "generic_aggregate_small": """
+      SELECT l_returnflag, ROUND(SUM(CAST(l_discount * 1e-6 AS DECIMAL(38,12))), 2)::DOUBLE AS l_discount, COUNT(*) AS "rows",
+        ROUND(SUM(CAST(l_discount * 1e-6 AS DECIMAL(38,12))), 2)::DOUBLE AS value FROM lineitem GROUP BY 1""",
     "generic_aggregate_multi": """
       SELECT COALESCE(CAST(event_type AS VARCHAR), 'Missing') AS event_type,
-        CAST(ROUND(AVG(CAST(value AS DECIMAL(38,6))), 2) AS DOUBLE) AS value,
-        CAST(ROUND(AVG(CAST(CAST(user_id AS DOUBLE) AS DECIMAL(38,6))), 2) AS DOUBLE) AS user_id,
+        CAST(ROUND(AVG(CAST(value AS DECIMAL(38,12))), 2) AS DOUBLE) AS value,
+        CAST(ROUND(AVG(CAST(CAST(user_id AS DOUBLE) AS DECIMAL(38,12))), 2) AS DOUBLE) AS user_id,
         COUNT(*) AS "rows"
       FROM events WHERE value IS NOT NULL OR user_id IS NOT NULL GROUP BY 1""",
     "generic_aggregate_global": """
@@ -64,15 +70,15 @@ ORACLE = {
     "generic_long": """
       WITH a AS (
         SELECT COALESCE(CAST(event_type AS VARCHAR), 'Missing') AS event_type,
-          CAST(ROUND(AVG(CAST(value AS DECIMAL(38,6))), 2) AS DOUBLE) AS value,
-          CAST(ROUND(AVG(CAST(CAST(user_id AS DOUBLE) AS DECIMAL(38,6))), 2) AS DOUBLE) AS user_id
+          CAST(ROUND(AVG(CAST(value AS DECIMAL(38,12))), 2) AS DOUBLE) AS value,
+          CAST(ROUND(AVG(CAST(CAST(user_id AS DOUBLE) AS DECIMAL(38,12))), 2) AS DOUBLE) AS user_id
         FROM events WHERE value IS NOT NULL OR user_id IS NOT NULL GROUP BY 1)
       SELECT event_type, 'value' AS measure, value AS metric_value FROM a
       UNION ALL SELECT event_type, 'user_id' AS measure, user_id AS metric_value FROM a""",
     "generic_insights": """
       WITH a AS (
         SELECT date_trunc('month', ts) AS period, COALESCE(CAST(event_type AS VARCHAR), 'Missing') AS event_type,
-          COALESCE(CAST(ROUND(SUM(CAST(value AS DECIMAL(38,6))), 2) AS DOUBLE), 0.0) AS value, COUNT(*) AS "rows"
+          COALESCE(CAST(ROUND(SUM(CAST(value AS DECIMAL(38,12))), 2) AS DOUBLE), 0.0) AS value, COUNT(*) AS "rows"
         FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
       f AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE value IS NULL) AS m0,
               COUNT(*) FILTER (WHERE event_type IS NULL) AS m1, COUNT(*) FILTER (WHERE ts IS NULL) AS m2,
@@ -108,11 +114,11 @@ ORACLE = {
     "top_n": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "monthly_sum": """
       SELECT date_trunc('month', ts) AS period,
-        CAST(ROUND(SUM(COALESCE(CAST(value AS DECIMAL(38,6)), 0)), 2) AS DOUBLE) AS value
+        CAST(ROUND(SUM(COALESCE(CAST(value AS DECIMAL(38,12)), 0)), 2) AS DOUBLE) AS value
       FROM events WHERE ts IS NOT NULL GROUP BY 1""",
     "filter_date_range": """
       SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'""",
     "filter_values": "SELECT * FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linestatus IN ('F')",
     "filter_options": """
-      SELECT DISTINCT CAST(c_name AS VARCHAR) AS value FROM customer WHERE c_name IS NOT NULL ORDER BY value LIMIT 100""",
+      SELECT DISTINCT CAST(c_name AS VARCHAR) AS value FROM customer WHERE c_name IS NOT NULL ORDER BY value""",
 }

@@ -24,7 +24,13 @@ from sparkwright.sources.fixtures import RETAIL_MAPPING, retail_raw
 
 
 def read_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = SK.write_table(RD.read_table(spark, sf_dir, "orders"), SK.scratch_dir(spark, "csv"), "csv")
+    """Texts with quotes, commas, line breaks and four languages."""
+    path = SK.write_table(RD.read_table(spark, sf_dir, "documents"), SK.scratch_dir(spark, "csv"), "csv")
+    return RD.read_csv(spark, path)
+
+
+def read_csv_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = SK.write_table(RD.read_table(spark, sf_dir, "conversations"), SK.scratch_dir(spark, "csv"), "csv")
     return RD.read_csv(spark, path)
 
 
@@ -33,8 +39,20 @@ def read_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RD.read_json(spark, path)
 
 
+def widened_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose props have a second key, and a fractional ``k``, in some rows only."""
+    wide = F.expr("""CASE WHEN event_id % 7 = 3 THEN concat(rtrim('}', props), '.5, "z": "', event_type, '"}')
+                     WHEN event_id % 7 = 5 THEN '{"z": "only"}' ELSE props END""")
+    return RD.read_table(spark, sf_dir, "events").withColumn("props", wide)
+
+
 def flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RD.parse_json_column(RD.read_table(spark, sf_dir, "events"), "props")
+    return RD.parse_json_column(widened_events(spark, sf_dir), "props")
+
+
+def aggregate_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.operators.generic import aggregate
+    return aggregate(flatten_events(spark, sf_dir), ["props.k"], "sum", "event_type")
 
 
 def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,46 +88,48 @@ def save_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned
 
 
-# Our own SQL text for the monthly revenue table, run through the named-SQL path.
-MONTHLY_SQL = """
-SELECT CAST(date_trunc('MONTH', order_date) AS DATE) AS month,
-       CAST(ROUND(SUM(CAST(gross_revenue AS DECIMAL(38, 6))), 2) AS DOUBLE) AS gross_revenue,
-       CAST(ROUND(SUM(CAST(net_revenue AS DECIMAL(38, 6))), 2) AS DOUBLE) AS net_revenue,
-       COUNT(DISTINCT CASE WHEN is_analysis_valid THEN order_id END) AS order_count,
-       CAST(SUM(CASE WHEN is_return AND NOT is_duplicate_row THEN 1 ELSE 0 END) AS BIGINT) AS return_rows,
-       COUNT(DISTINCT CASE WHEN is_cancelled AND NOT is_duplicate_row THEN order_id END) AS cancelled_orders
-FROM {orders}
-WHERE order_date IS NOT NULL
-GROUP BY 1
+#: A statement run through the named-SQL path: repeat customers by country.
+NAMED_SQL = """
+WITH buyers AS (
+  SELECT country, customer_id, COUNT(DISTINCT order_id) AS orders FROM {orders}
+  WHERE is_analysis_valid AND customer_id IS NOT NULL GROUP BY country, customer_id)
+SELECT country, COUNT(*) AS customers, SUM(CASE WHEN orders > 1 THEN 1 ELSE 0 END) AS repeat_customers, MAX(orders) AS most_orders
+FROM buyers GROUP BY country
 """
 
 QUERIES = {
     "read_csv": read_csv_roundtrip,
+    "read_csv_conversations": read_csv_conversations,
     "read_json": read_json_roundtrip,
     "flatten_records": flatten_events,
+    "generic_aggregate_flattened": aggregate_flattened,
     "write_table": write_roundtrip,
     "export_bundle": bundle,
     "pack_tables": packed,
     "kpi_long": kpis_long,
     "save_restore_project": save_restore,
-    "run_named_sql": lambda s, d: SK.run_named_sql(s, MONTHLY_SQL, orders=RP.cleaned(s, d)),
+    "run_named_sql": lambda s, d: SK.run_named_sql(s, NAMED_SQL, orders=RP.cleaned(s, d)),
 }
 
-_O = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-
 
 def _kpi_unpivot(name: str, sql: str) -> str:
     return f"SELECT '{name}' AS source, metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT ({sql}) ON COLUMNS(*) INTO NAME metric VALUE value)"
 
 
 ORACLE = {
-    "read_csv": "SELECT " + ", ".join(
-        (f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if c == "o_orderdate" else f"CAST({c} AS VARCHAR) AS {c}")
-        for c in _O) + " FROM orders",
+    "read_csv": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN regexp_matches(text, '^\\s*$') THEN NULL ELSE text END AS text,
+                   lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
+    "read_csv_conversations": """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations""",
+    "generic_aggregate_flattened": """
+      SELECT event_type, ROUND(SUM(k), 2) AS "props.k", COUNT(*) AS "rows", ROUND(SUM(k), 2) AS value FROM (
+        SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) + CASE WHEN event_id % 7 = 3 THEN 0.5 ELSE 0 END AS k
+        FROM events WHERE event_id % 7 <> 5) WHERE k IS NOT NULL GROUP BY event_type""",
     "read_json": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, user_id, event_type, value, props
                     FROM events""",
     "flatten_records": """SELECT event_id, ts, user_id, event_type, value,
-                          CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events""",
+      CASE WHEN event_id % 7 = 5 THEN NULL ELSE CAST(json_extract(props, '$.k') AS DOUBLE)
+        + CASE WHEN event_id % 7 = 3 THEN 0.5 ELSE 0 END END AS "props.k",
+      CASE event_id % 7 WHEN 3 THEN event_type WHEN 5 THEN 'only' END AS "props.z" FROM events""",
     "write_table": RP.ORACLE["retail_monthly_revenue"],
     "export_bundle": "WITH " + RP.PRODUCT_PERF + """
       SELECT 'monthly_revenue' AS "table", (SELECT COUNT(DISTINCT date_trunc('month', order_date)) FROM cleaned_orders
@@ -126,5 +146,9 @@ ORACLE = {
         _kpi_unpivot("retail", RP.ORACLE["retail_kpis"]), _kpi_unpivot("manufacturing", MP.ORACLE["mfg_kpis"]),
         _kpi_unpivot("logistics", LP.ORACLE["log_kpis"]), _kpi_unpivot("finance", FP.ORACLE["fin_kpis"])]),
     "save_restore_project": PP.ORACLE["replay_steps"],
-    "run_named_sql": RP.ORACLE["retail_monthly_revenue"],
+    "run_named_sql": "WITH " + RP.CLEANED + """, buyers AS (
+      SELECT country, customer_id, COUNT(DISTINCT order_id) AS orders FROM cleaned_orders
+      WHERE is_analysis_valid AND customer_id IS NOT NULL GROUP BY ALL)
+      SELECT country, COUNT(*) AS customers, CAST(COUNT(*) FILTER (WHERE orders > 1) AS BIGINT) AS repeat_customers,
+        MAX(orders) AS most_orders FROM buyers GROUP BY country""",
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwright.operators import controls as C
 from sparkwright.operators import logistics as L
 from sparkwright.plans.manufacturing import issue_sql
 from sparkwright.plans.shared import shared
@@ -19,6 +22,15 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.analysis_rows(prepared(spark, sf_dir))
 
 
+START, END, CARRIERS = dt.date(1996, 1, 1), dt.date(1997, 12, 31), [f"Supplier#{i:09d}" for i in range(1, 9)]
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis rows inside one range of order dates and one choice of carriers."""
+    first = C.filter_date_range(rows(spark, sf_dir), "order_date", START, END)
+    return C.filter_values(first, {"carrier": CARRIERS})
+
+
 QUERIES = {
     "log_prepare": prepared,
     "log_issue_summary": lambda s, d: L.issue_summary(prepared(s, d)),
@@ -30,6 +42,8 @@ QUERIES = {
     "log_destination_performance": lambda s, d: L.destination_performance(rows(s, d)),
     "log_delayed_shipments": lambda s, d: L.delayed_shipments(rows(s, d)),
     "log_controlled_trend": lambda s, d: L.controlled_trend(rows(s, d), "delivery_date", "average_lead_time_days"),
+    "log_controlled_trend_chosen": lambda s, d: L.controlled_trend(chosen(s, d), "delivery_date", "average_lead_time_days"),
+    "log_carrier_ranking_chosen": lambda s, d: L.ranking(chosen(s, d), "carrier", "shipment_count", 10),
     "log_carrier_ranking": lambda s, d: L.ranking(rows(s, d), "carrier", "shipment_count", 10),
     "log_destination_ranking": lambda s, d: L.ranking(rows(s, d), "destination", "delayed_shipments", 10),
 }
@@ -161,3 +175,10 @@ ORACLE = {
     "log_carrier_ranking": _ranking("carrier", "shipment_count"),
     "log_destination_ranking": _ranking("destination", "delayed_shipments"),
 }
+
+CHOSEN = """,
+log_chosen AS (SELECT * FROM log_rows WHERE order_date >= TIMESTAMP '1996-01-01' AND order_date < TIMESTAMP '1998-01-01'
+  AND carrier IN (""" + ", ".join(f"'{x}'" for x in CARRIERS) + "))"
+for _name in ("log_controlled_trend", "log_carrier_ranking"):
+    _rest = ORACLE[_name][len("WITH " + PREPARED):]
+    ORACLE[_name + "_chosen"] = "WITH " + PREPARED + CHOSEN + _rest.replace("log_rows", "log_chosen")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwright.operators import controls as C
 from sparkwright.operators import manufacturing as M
 from sparkwright.plans.shared import shared
 from sparkwright.sources.fixtures import MANUFACTURING_MAPPING, MANUFACTURING_ROW_KEY, manufacturing_raw
@@ -18,6 +21,15 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.analysis_rows(prepared(spark, sf_dir))
 
 
+START, END, SHIFTS = dt.date(1996, 1, 1), dt.date(1997, 12, 31), ["Day"]
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis rows inside one date range and one choice of shifts."""
+    first = C.filter_date_range(rows(spark, sf_dir), "timestamp", START, END)
+    return C.filter_values(first, {"shift": SHIFTS})
+
+
 QUERIES = {
     "mfg_prepare": prepared,
     "mfg_issue_summary": lambda s, d: M.issue_summary(prepared(s, d)),
@@ -29,6 +41,8 @@ QUERIES = {
     "mfg_output_by_shift": lambda s, d: M.by_optional(rows(s, d), "shift"),
     "mfg_controlled_trend": lambda s, d: M.controlled_trend(rows(s, d), "scrap_rate"),
     "mfg_controlled_attainment": lambda s, d: M.controlled_trend(rows(s, d), "production_attainment"),
+    "mfg_controlled_trend_chosen": lambda s, d: M.controlled_trend(chosen(s, d), "scrap_rate"),
+    "mfg_machine_ranking_chosen": lambda s, d: M.machine_ranking(chosen(s, d), "downtime_minutes", 10),
     "mfg_machine_ranking": lambda s, d: M.machine_ranking(rows(s, d), "downtime_minutes", 10),
 }
 
@@ -82,7 +96,7 @@ mfg_prepared AS (
 ),
 mfg_rows AS (SELECT * FROM mfg_prepared WHERE is_analysis_valid)"""
 
-D = "CAST({} AS DECIMAL(38,6))"
+D = "CAST({} AS DECIMAL(38,12))"
 
 
 def _d(c: str) -> str:
@@ -169,12 +183,12 @@ ORACLE = {
     "mfg_controlled_trend": "WITH " + PREPARED + """,
       a AS (SELECT date_trunc('day', "timestamp") AS period, SUM(""" + _d("actual_output") + """) AS o,
               SUM(""" + _d("scrap_count") + """) AS s FROM mfg_rows GROUP BY 1)
-      SELECT period, COALESCE(CASE WHEN o <> 0 THEN ROUND(CAST(s AS DOUBLE) / CAST(o AS DOUBLE), 4) END, 0.0) AS value
+      SELECT period, COALESCE(CASE WHEN o <> 0 THEN CAST(ROUND(CAST(CAST(s AS DOUBLE) / CAST(o AS DOUBLE) AS DECIMAL(28,10)), 4) AS DOUBLE) END, 0.0) AS value
       FROM a""",
     "mfg_controlled_attainment": "WITH " + PREPARED + """,
       a AS (SELECT date_trunc('day', "timestamp") AS period, SUM(""" + _d("actual_output") + """) AS o,
               SUM(""" + _d("planned_output") + """) AS p FROM mfg_rows GROUP BY 1)
-      SELECT period, COALESCE(CASE WHEN p <> 0 THEN ROUND(CAST(o AS DOUBLE) / CAST(p AS DOUBLE), 4) END, 0.0) AS value
+      SELECT period, COALESCE(CASE WHEN p <> 0 THEN CAST(ROUND(CAST(CAST(o AS DOUBLE) / CAST(p AS DOUBLE) AS DECIMAL(28,10)), 4) AS DOUBLE) END, 0.0) AS value
       FROM a""",
     "mfg_machine_ranking": "WITH " + PREPARED + """,
       a AS (SELECT machine_id, COALESCE(SUM(""" + _d("actual_output") + """), 0) AS o,
@@ -183,8 +197,15 @@ ORACLE = {
               COALESCE(SUM(""" + _d("planned_output") + """), 0) AS p FROM mfg_rows GROUP BY machine_id)
       SELECT machine_id, CAST(ROUND(o, 2) AS DOUBLE) AS actual_output, CAST(ROUND(s, 2) AS DOUBLE) AS scrap_count,
         CAST(ROUND(d, 2) AS DOUBLE) AS downtime_minutes, CAST(ROUND(p, 2) AS DOUBLE) AS planned_output,
-        COALESCE(CASE WHEN o <> 0 THEN ROUND(CAST(s AS DOUBLE) / CAST(o AS DOUBLE), 4) END, 0.0) AS scrap_rate,
-        COALESCE(CASE WHEN p <> 0 THEN ROUND(CAST(o AS DOUBLE) / CAST(p AS DOUBLE), 4) END, 0.0)
+        COALESCE(CASE WHEN o <> 0 THEN CAST(ROUND(CAST(CAST(s AS DOUBLE) / CAST(o AS DOUBLE) AS DECIMAL(28,10)), 4) AS DOUBLE) END, 0.0) AS scrap_rate,
+        COALESCE(CASE WHEN p <> 0 THEN CAST(ROUND(CAST(CAST(o AS DOUBLE) / CAST(p AS DOUBLE) AS DECIMAL(28,10)), 4) AS DOUBLE) END, 0.0)
           AS production_attainment
       FROM a ORDER BY downtime_minutes DESC, machine_id LIMIT 10""",
 }
+
+CHOSEN = """,
+mfg_chosen AS (SELECT * FROM mfg_rows WHERE "timestamp" >= TIMESTAMP '1996-01-01' AND "timestamp" < TIMESTAMP '1998-01-01'
+  AND shift IN (""" + ", ".join(f"'{x}'" for x in SHIFTS) + "))"
+for _name in ("mfg_controlled_trend", "mfg_machine_ranking"):
+    _rest = ORACLE[_name][len("WITH " + PREPARED):]
+    ORACLE[_name + "_chosen"] = "WITH " + PREPARED + CHOSEN + _rest.replace("mfg_rows", "mfg_chosen")

@@ -1,46 +1,12 @@
-"""Schema-matching plans over a catalogue built from the given tables' schemas."""
+"""Mapping-profile plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from sparkwright.operators import matching as MT
 from sparkwright.plans.retail import RAW as RETAIL_RAW
 from sparkwright.sources import fixtures as FX
-from sparkwright.sources.readers import read_table
-
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-          "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every given table plus the four template-shaped source tables derived from them."""
-    tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
-    tables.update({"retail_source": FX.retail_raw(spark, sf_dir), "manufacturing_source": FX.manufacturing_raw(spark, sf_dir),
-                   "logistics_source": FX.logistics_raw(spark, sf_dir), "finance_source": FX.finance_raw(spark, sf_dir)})
-    return MT.catalogue(spark, tables)
-
-
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MT.match_columns(catalogue(spark, sf_dir))
-
-
-def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mappings = [("retail_source", "sales_retail", FX.RETAIL_MAPPING),
-                ("manufacturing_source", "manufacturing", FX.MANUFACTURING_MAPPING),
-                ("logistics_source", "logistics", FX.LOGISTICS_MAPPING),
-                ("finance_source", "finance", FX.FINANCE_MAPPING),
-                # a mapping saved for one table, checked against another
-                ("orders", "sales_retail", FX.RETAIL_MAPPING),
-                ("finance_source", "sales_retail", {**FX.RETAIL_MAPPING, "quantity": "amount", "unit_price": "amount"})]
-    return MT.validate_mapping(catalogue(spark, sf_dir), MT.mapping_table(spark, mappings))
-
 
 QUERIES = {
-    "match_columns": matches,
-    "detect_template": lambda s, d: MT.detect_template(matches(s, d)),
-    "recommend_template": lambda s, d: MT.recommend_template(matches(s, d)),
-    "validate_mapping": validate,
     "apply_mapping_profile": lambda s, d: MT.apply_mapping_profile(FX.retail_raw(s, d), "sales_retail",
                                                                    FX.RETAIL_MAPPING),
 }
@@ -50,56 +16,3 @@ ORACLE = {
       "CustomerID" AS customer_id, "Description" AS product_name, "Quantity" AS quantity, "UnitPrice" AS unit_price,
       "Country" AS country, "Category" AS product_category, "Status" AS invoice_status FROM retail_raw""",
 }
-
-_LINE = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"]
-SOURCE_COLUMNS = {
-    "retail_source": _LINE + ["InvoiceNo", "InvoiceDate", "CustomerID", "Description", "Category", "Quantity",
-                              "UnitPrice", "Country", "Status"],
-    "manufacturing_source": _LINE + ["event_time", "machine", "output", "scrap", "downtime", "target_output",
-                                     "runtime", "production_line", "shift_name", "sku", "inspection_status"],
-    "logistics_source": _LINE + ["tracking_id", "order_date", "delivered_at", "promised_date", "courier", "warehouse",
-                                 "ship_to", "freight_cost", "shipment_status"],
-    "finance_source": ["o_orderkey", "journal_id", "posting_date", "amount", "entry_type", "expense_category",
-                       "account_name", "business_unit", "budget_amount", "actual_amount"],
-}
-
-
-def _validate_sql() -> str:
-    from sparkwright.templates import TEMPLATES
-    mappings = [("retail_source", "sales_retail", FX.RETAIL_MAPPING),
-                ("manufacturing_source", "manufacturing", FX.MANUFACTURING_MAPPING),
-                ("logistics_source", "logistics", FX.LOGISTICS_MAPPING),
-                ("finance_source", "finance", FX.FINANCE_MAPPING),
-                ("orders", "sales_retail", FX.RETAIL_MAPPING),
-                ("finance_source", "sales_retail", {**FX.RETAIL_MAPPING, "quantity": "amount", "unit_price": "amount"})]
-    cols = ", ".join(f"('{t}', '{c}')" for t, cs in SOURCE_COLUMNS.items() for c in cs)
-    maps = ", ".join(f"('{t}', '{tid}', '{f}', '{c}')" for t, tid, m in mappings for f, c in m.items() if c)
-    req = ", ".join(f"('{tid}', '{f}', {i})" for tid, tpl in TEMPLATES.items() for i, f in enumerate(tpl.required))
-    names = " ".join(f"WHEN '{tid}' THEN '{tpl.name}'" for tid, tpl in TEMPLATES.items())
-    return f"""
-      WITH cols(tbl, col) AS (VALUES {cols}
-             UNION ALL SELECT table_name, column_name FROM information_schema.columns WHERE table_name = 'orders'),
-      maps(tbl, template_id, field, col) AS (VALUES {maps}),
-      req(template_id, field, pos) AS (VALUES {req}),
-      pairs AS (SELECT DISTINCT tbl, template_id FROM maps),
-      missing AS (SELECT p.tbl, p.template_id, string_agg(r.field, ', ' ORDER BY r.pos) AS m
-                  FROM pairs p JOIN req r ON r.template_id = p.template_id
-                  WHERE NOT EXISTS (SELECT 1 FROM maps x WHERE x.tbl = p.tbl AND x.template_id = p.template_id
-                                    AND x.field = r.field) GROUP BY 1, 2),
-      dups AS (SELECT tbl, template_id, string_agg(col, ', ' ORDER BY col) AS d FROM
-                 (SELECT tbl, template_id, col FROM maps GROUP BY 1, 2, 3 HAVING COUNT(*) > 1) GROUP BY 1, 2),
-      unknown AS (SELECT tbl, template_id, string_agg(DISTINCT col, ', ' ORDER BY col) AS u FROM maps x
-                  WHERE NOT EXISTS (SELECT 1 FROM cols c WHERE c.tbl = x.tbl AND c.col = x.col) GROUP BY 1, 2),
-      j AS (SELECT p.tbl, p.template_id, COALESCE(m, '') AS m, COALESCE(d, '') AS d, COALESCE(u, '') AS u
-            FROM pairs p LEFT JOIN missing USING (tbl, template_id) LEFT JOIN dups USING (tbl, template_id)
-            LEFT JOIN unknown USING (tbl, template_id))
-      SELECT tbl AS "table", template_id, (m = '' AND d = '' AND u = '') AS is_valid, m AS missing_required_fields,
-        d AS duplicate_source_columns, u AS unknown_source_columns,
-        CASE WHEN m = '' AND d = '' AND u = '' THEN 'Mapping is valid for ' || CASE template_id {names} END || '.'
-        ELSE concat_ws(' ', CASE WHEN m <> '' THEN 'Missing required mappings: ' || m || '.' END,
-          CASE WHEN d <> '' THEN 'Each source column can only be mapped once. Duplicates: ' || d || '.' END,
-          CASE WHEN u <> '' THEN 'Mapped columns not found in dataset: ' || u || '.' END) END AS messages
-      FROM j"""
-
-
-ORACLE["validate_mapping"] = _validate_sql()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.operators import prepare as P
-from sparkwright.operators.common import attach_row
 from sparkwright.sources.fixtures import retail_raw
 from sparkwright.sources.readers import read_table
 
@@ -22,6 +21,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders")
 
 
+def flagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text flag in several spellings, some of them no boolean."""
+    flag = F.expr("CASE o_custkey % 6 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'n' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0' WHEN 4 THEN 'maybe' END")
+    return orders(spark, sf_dir).select("o_orderkey", flag.alias("flag"))
+
+
 def _clean_text_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.functions import clean_text
     conv = read_table(spark, sf_dir, "conversations")
@@ -52,16 +57,16 @@ QUERIES = {
     "cast_integer": lambda s, d: P.cast_column(orders(s, d), "o_totalprice", "integer"),
     "cast_string": lambda s, d: P.cast_column(read_table(s, d, "customer"), "c_acctbal", "string"),
     "cast_float": lambda s, d: P.cast_column(retail_raw(s, d), "InvoiceNo", "float"),
-    "to_boolean": lambda s, d: P.to_boolean(orders(s, d), "o_orderstatus"),
+    "to_boolean": lambda s, d: P.to_boolean(flagged_orders(s, d), "flag"),
     "parse_dates": lambda s, d: P.parse_dates(retail_raw(s, d), "InvoiceDate"),
-    "drop_duplicates": lambda s, d: P.drop_duplicates(
-        read_table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")),
+    # every column of every row, each row standing twice
+    "drop_duplicates": lambda s, d: P.drop_duplicates(read_table(s, d, "lineitem").unionAll(read_table(s, d, "lineitem"))),
     "fill_zero": lambda s, d: P.fill_zero(doc_labels(s, d), "quality"),
     "fill_median": lambda s, d: P.fill_median(doc_labels(s, d), "toxic"),
     "fill_unknown": lambda s, d: P.fill_unknown(doc_labels(s, d), "quality"),
     "drop_missing_rows": lambda s, d: P.drop_missing_rows(doc_labels(s, d), "quality"),
     "filter_equals": lambda s, d: P.filter_rows(orders(s, d), "o_orderstatus", "equals", "F"),
-    "filter_not_equals": lambda s, d: P.filter_rows(orders(s, d), "o_custkey", "not_equals", "abc"),
+    "filter_not_equals": lambda s, d: P.filter_rows(orders(s, d), "o_custkey", "not_equals", "1"),
     "filter_not_equals_text": lambda s, d: P.filter_rows(orders(s, d), "o_orderpriority", "not_equals", "5-LOW"),
     "filter_contains": lambda s, d: P.filter_rows(read_table(s, d, "part"), "p_name", "contains", "BLUE"),
     "filter_compare": lambda s, d: P.filter_rows(orders(s, d), "o_totalprice", "greater_or_equal", "300000"),
@@ -74,8 +79,6 @@ QUERIES = {
     "preview": lambda s, d: retail_raw(s, d).orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").limit(30),
     "clean_text": _clean_text_plan,
     "apply_mapping": _apply_mapping_plan,
-    "step_log": lambda s, d: attach_row(P.step_log(s, REPLAY_STEPS),
-                                        retail_raw(s, d).agg(F.count(F.lit(1)).alias("source_rows"))),
 }
 
 from sparkwright.plans.retail import RAW as RETAIL_RAW  # noqa: E402
@@ -95,13 +98,13 @@ ORACLE = {
         FROM customer""",
     "cast_float": "WITH " + RETAIL_RAW + """ SELECT * REPLACE (TRY_CAST("InvoiceNo" AS DOUBLE) AS "InvoiceNo")
         FROM retail_raw""",
-    "to_boolean": """SELECT o_orderkey, o_custkey,
-        CASE WHEN lower(trim(o_orderstatus)) IN ('true', 't', 'yes', 'y', '1') THEN true
-             WHEN lower(trim(o_orderstatus)) IN ('false', 'f', 'no', 'n', '0') THEN false END AS o_orderstatus,
-        o_totalprice, o_orderdate, o_orderpriority FROM orders""",
+    "to_boolean": """SELECT o_orderkey, CASE WHEN lower(trim(flag)) IN ('true', 't', 'yes', 'y', '1') THEN true
+        WHEN lower(trim(flag)) IN ('false', 'f', 'no', 'n', '0') THEN false END AS flag FROM (
+        SELECT o_orderkey, CASE CAST(o_custkey % 6 AS INTEGER) WHEN 0 THEN ' Yes ' WHEN 1 THEN 'n' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0'
+          WHEN 4 THEN 'maybe' END AS flag FROM orders)""",
     "parse_dates": "WITH " + RETAIL_RAW + " SELECT * REPLACE (" + PARSE.format('"InvoiceDate"') +
     ' AS "InvoiceDate") FROM retail_raw',
-    "drop_duplicates": "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem",
+    "drop_duplicates": "SELECT DISTINCT * FROM lineitem",
     "fill_zero": "WITH " + DOC_LABELS + """ SELECT doc_id, lang, source, n_chars,
         COALESCE(CAST(quality AS DOUBLE), 0.0) AS quality, toxic FROM doc_labels""",
     "fill_median": "WITH " + DOC_LABELS + """ SELECT doc_id, lang, source, n_chars, quality,
@@ -111,7 +114,7 @@ ORACLE = {
         COALESCE(CAST(quality AS VARCHAR), 'Unknown') AS quality, toxic FROM doc_labels""",
     "drop_missing_rows": "WITH " + DOC_LABELS + " SELECT * FROM doc_labels WHERE quality IS NOT NULL",
     "filter_equals": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
-    "filter_not_equals": "SELECT * FROM orders",
+    "filter_not_equals": "SELECT * FROM orders WHERE o_custkey <> 1",
     "filter_not_equals_text": "SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'",
     "filter_contains": "SELECT * FROM part WHERE contains(lower(p_name), 'blue')",
     "filter_compare": "SELECT * FROM orders WHERE o_totalprice >= 300000",
@@ -124,14 +127,6 @@ ORACLE = {
 }
 
 
-def _step_log_sql() -> str:
-    values = ", ".join("({}, '{}')".format(i + 1, s.describe().replace("'", "''")) for i, s in enumerate(REPLAY_STEPS))
-    return ("WITH " + RETAIL_RAW + f", steps(step, transformation) AS (VALUES {values}) "
-            "SELECT CAST(step AS INTEGER) AS step, transformation, source_rows "
-            "FROM steps CROSS JOIN (SELECT COUNT(*) AS source_rows FROM retail_raw)")
-
-
-ORACLE["step_log"] = _step_log_sql()
 ORACLE["normalize_blanks"] = """SELECT conv_id, turn,
     CASE WHEN regexp_matches(role, '^\\s*$') THEN NULL ELSE role END AS role,
     CASE WHEN regexp_matches(text, '^\\s*$') THEN NULL ELSE text END AS text FROM conversations"""

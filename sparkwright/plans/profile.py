@@ -286,8 +286,8 @@ ORACLE = {
       FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""",
     "dataset_size": _size_sql(),
     "table_fingerprint": """
-      WITH k AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', """ +
-    ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '\\N')" for c in _O) + """)), 1, 15)) AS BIGINT) AS key FROM orders)
+      WITH k AS (SELECT CAST(('0x' || substr(md5(concat(""" +
+    ", ".join(f"COALESCE(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in _O) + """)), 1, 15)) AS BIGINT) AS key FROM orders)
       SELECT COUNT(*) AS row_count, bit_xor(key) AS hash_xor, CAST(SUM(CAST(key AS DECIMAL(38,0))) AS VARCHAR)
         AS hash_sum, '""" + ORDERS_SCHEMA + """' AS schema FROM k""",
 }

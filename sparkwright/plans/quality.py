@@ -239,6 +239,10 @@ def _report_sql() -> str:
          "' rows (' || " + pct("duplicate_rows", "row_count") + " || ').'"),
         ("explanation", "note", "'Invalid numeric values: ' || invalid_numeric_count || ' issues across ' || "
          "GREATEST(numeric_checked, 1) || ' checked values.'"),
+        ("explanation", "note", "'Schema completeness: ' || format('{:.1f}', schema_completeness_score) || "
+         "'% of required template fields are mapped.'"),
+        ("explanation", "note", "'Date parsing: ' || date_parse_failures || ' failures across ' || "
+         "GREATEST(date_checked, 1) || ' checked date values.'"),
     ]
     fixes = [
         "CASE WHEN missing_values_score < 95 THEN 'Review high-missing columns and decide whether to impute, "

@@ -27,6 +27,14 @@ def rfm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREND_START = dt.date(1996, 1, 1)
 TREND_END = dt.date(1999, 12, 31)
 
+TREND_COUNTRIES = ["CANADA", "FRANCE", "GERMANY", "JAPAN", "BRAZIL"]
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned rows after one date range and one value filter."""
+    return R.controlled_orders(cleaned(spark, sf_dir), TREND_START, TREND_END, {"country": TREND_COUNTRIES})
+
+
 QUERIES = {
     "retail_prepare": prepared,
     "retail_cleaned_orders": cleaned,
@@ -40,8 +48,10 @@ QUERIES = {
     "retail_kpis": lambda s, d: R.kpis(cleaned(s, d), rfm_base(s, d)),
     "retail_top_products": lambda s, d: R.top_products(cleaned(s, d), "gross_revenue", 10),
     "retail_top_customers": lambda s, d: R.top_customers(cleaned(s, d), "net_revenue", 10),
-    "retail_controlled_trend": lambda s, d: R.controlled_trend(cleaned(s, d), "net_revenue", TREND_START, TREND_END),
-    "retail_category_revenue": lambda s, d: R.category_revenue(R.product_performance(cleaned(s, d))),
+    "retail_top_products_controlled": lambda s, d: R.top_products(chosen(s, d), "net_revenue", 10),
+    "retail_top_customers_controlled": lambda s, d: R.top_customers(chosen(s, d), "gross_revenue", 10),
+    "retail_controlled_trend": lambda s, d: R.controlled_trend(chosen(s, d), "net_revenue"),
+    "retail_category_revenue": lambda s, d: R.category_revenue(cleaned(s, d)),
 }
 
 # ---- Oracle ---------------------------------------------------------------------------
@@ -178,6 +188,18 @@ product_performance AS (
 
 CUSTOMER_ROWS = ("is_analysis_valid AND customer_id IS NOT NULL AND TRIM(CAST(customer_id AS VARCHAR)) <> ''")
 
+CHOSEN = """ AND order_date >= TIMESTAMP '1996-01-01' AND order_date < TIMESTAMP '2000-01-01'
+        AND country IN (""" + ", ".join(f"'{c}'" for c in TREND_COUNTRIES) + ")"
+PRODUCT_EXTRA = "CAST(ROUND(SUM(CAST(quantity AS DECIMAL(38,6))), 2) AS DOUBLE) AS quantity"
+CUSTOMER_EXTRA = "COUNT(DISTINCT order_id) AS order_count"
+
+
+def _top(key: str, measure: str, extra: str, where: str) -> str:
+    return f"""
+      SELECT {key}, CAST(ROUND(SUM(CAST({measure} AS DECIMAL(38,6))), 2) AS DOUBLE) AS revenue, {extra}
+      FROM cleaned_orders WHERE {key} IS NOT NULL{where} GROUP BY {key} ORDER BY revenue DESC, {key} LIMIT 10"""
+
+
 ORACLE = {
     "retail_prepare": "WITH " + PREPARED + " SELECT * FROM retail_prepared",
     "retail_cleaned_orders": "WITH " + CLEANED + " SELECT * FROM cleaned_orders",
@@ -240,25 +262,15 @@ ORACLE = {
         CAST(CASE WHEN n <> 0 THEN ROUND(CAST(top10 AS DECIMAL(38,10)) / CAST(n AS DECIMAL(38,10)), 4) ELSE 0 END
           AS DOUBLE) AS share_revenue_top_10_customers
       FROM t, cu, top10""",
-    "retail_top_products": "WITH " + CLEANED + """
-      SELECT product_name, CAST(ROUND(SUM(CAST(gross_revenue AS DECIMAL(38,6))), 2) AS DOUBLE) AS gross_revenue,
-        CAST(ROUND(SUM(CAST(net_revenue AS DECIMAL(38,6))), 2) AS DOUBLE) AS net_revenue,
-        CAST(ROUND(SUM(CAST(quantity AS DECIMAL(38,6))), 2) AS DOUBLE) AS quantity
-      FROM cleaned_orders WHERE is_analysis_valid GROUP BY product_name
-      ORDER BY gross_revenue DESC, product_name LIMIT 10""",
-    "retail_top_customers": "WITH " + CLEANED + """
-      SELECT customer_id, CAST(ROUND(SUM(CAST(gross_revenue AS DECIMAL(38,6))), 2) AS DOUBLE) AS gross_revenue,
-        CAST(ROUND(SUM(CAST(net_revenue AS DECIMAL(38,6))), 2) AS DOUBLE) AS net_revenue,
-        COUNT(DISTINCT order_id) AS orders
-      FROM cleaned_orders WHERE """ + CUSTOMER_ROWS + """ GROUP BY customer_id
-      ORDER BY net_revenue DESC, customer_id LIMIT 10""",
+    "retail_top_products": "WITH " + CLEANED + _top("product_name", "gross_revenue", PRODUCT_EXTRA, ""),
+    "retail_top_customers": "WITH " + CLEANED + _top("customer_id", "net_revenue", CUSTOMER_EXTRA, ""),
+    "retail_top_products_controlled": "WITH " + CLEANED + _top("product_name", "net_revenue", PRODUCT_EXTRA, CHOSEN),
+    "retail_top_customers_controlled": "WITH " + CLEANED + _top("customer_id", "gross_revenue", CUSTOMER_EXTRA, CHOSEN),
     "retail_controlled_trend": "WITH " + CLEANED + """
       SELECT date_trunc('month', order_date) AS period,
-        CAST(ROUND(SUM(COALESCE(CAST(net_revenue AS DECIMAL(38,6)), 0)), 2) AS DOUBLE) AS net_revenue
-      FROM cleaned_orders
-      WHERE order_date >= TIMESTAMP '1996-01-01' AND order_date < TIMESTAMP '2000-01-01'
-      GROUP BY 1""",
-    "retail_category_revenue": "WITH " + PRODUCT_PERF + """
+        CAST(ROUND(SUM(COALESCE(CAST(net_revenue AS DECIMAL(38,6)), 0)), 2) AS DOUBLE) AS revenue
+      FROM cleaned_orders WHERE TRUE""" + CHOSEN + " GROUP BY 1",
+    "retail_category_revenue": "WITH " + CLEANED + """
       SELECT product_category, CAST(ROUND(SUM(CAST(net_revenue AS DECIMAL(38,6))), 2) AS DOUBLE) AS net_revenue
-      FROM product_performance GROUP BY product_category""",
+      FROM cleaned_orders WHERE is_analysis_valid GROUP BY product_category""",
 }

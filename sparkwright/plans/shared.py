@@ -1,43 +1,15 @@
-"""Per-session reuse of prepared tables.
+"""Tables that several plans start from.
 
-Every template output starts from the same prepared table (mapping, casts, duplicate
-flags). Within one session it is built once and persisted (memory, spilling to disk);
-a lost block is recomputed from lineage, which is deterministic.
+Nothing is cached across plans: each plan carries its own scan, so its filters and columns
+reach the files. ``shared`` only names the builder.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_CACHE: dict[tuple, DataFrame] = {}
-
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (id(spark.sparkContext._jsc), sf_dir, name)
-    df = _CACHE.get(key)
-    if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHE[key] = df
-    return df
-
-
-_TRACKED: list[DataFrame] = []
-
-
-def track(df: DataFrame) -> DataFrame:
-    """Remember a persisted intermediate so :func:`release_all` can free it."""
-    _TRACKED.append(df)
-    return df
-
-
-def release_all() -> None:
-    for df in list(_CACHE.values()) + _TRACKED:
-        try:
-            df.unpersist()
-        except Exception:  # session already stopped
-            pass
-    _CACHE.clear()
-    _TRACKED.clear()
+    return build()

@@ -40,29 +40,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _is_set(spark: SparkSession, key: str) -> bool:
+    return bool(spark._jsparkSession.sessionState().conf().contains(key))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the session-level settings this package relies on (safe on a live session)."""
+    """Fill in the session-level settings that the caller has left unset."""
     for key, value in DEFAULT_CONF.items():
-        if key == "spark.sql.codegen.hugeMethodLimit":
-            spark.conf.set(key, value)
-        elif spark.conf.get(key, None) is None:
+        if not _is_set(spark, key):
             spark.conf.set(key, value)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Reliable checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a private folder is created.
+    A cluster must name one: executors cannot see each other's disks. In local mode, where
+    there is one machine, an unset folder is replaced by a private one.
     """
-    configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="sparkwright-ckpt-")
-    spark.sparkContext.setCheckpointDir(conf_dir)
-    return spark.sparkContext.getCheckpointDir() or conf_dir
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkwright-"))
+    return spark.sparkContext.getCheckpointDir()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,30 +13,14 @@ from pyspark.sql import types as T
 RECORD_LIST_KEYS = ["records", "data", "items", "rows", "results"]
 
 
-# Tables smaller than this are left as scanned (broadcast-sized dimensions).
-_SPREAD_MIN_BYTES = 1 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan across the cluster when it yields fewer splits than cores.
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table as scanned.
 
-    A file written as one row group is one task however large it is; everything
-    downstream of it would then run on one core. On a real lake the scan already has
-    thousands of splits and this is a no-op (no shuffle is added).
+    With the session setting ``sparkwright.spreadScans`` (off by default; for tables written as
+    one row group, i.e. one task) rows are dealt round-robin over the cores after the scan.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    jdf = df._jdf
-    raw_size = jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = int(raw_size if isinstance(raw_size, int) else raw_size.toString())
-    if size < _SPREAD_MIN_BYTES:
-        return df
-    if jdf.rdd().getNumPartitions() >= parallelism:
-        return df
-    return df.repartition(parallelism)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get("sparkwright.spreadScans", "false") == "true" else df
 
 
 def normalize_blanks(df: DataFrame) -> DataFrame:
@@ -62,19 +46,25 @@ def validate_table(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, max_rows: int | None = None,
              fallback_encoding: str = "ISO-8859-1") -> DataFrame:
-    """Header CSV, all columns as text. Files whose UTF-8 decoding produced replacement
-    characters are re-read with ``fallback_encoding``; the rest keep the UTF-8 read."""
-    utf8 = (spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-            .withColumn("_file", F.input_file_name()))
-    text = F.concat_ws("", *[F.col(f"`{c}`") for c in utf8.columns if c != "_file"])
-    # Bounded by the number of input files.
-    bad_files = [r["_file"] for r in utf8.filter(text.contains("�")).select("_file").distinct().collect()]
-    good = utf8.filter(~F.col("_file").isin(bad_files)) if bad_files else utf8
-    if bad_files:
-        redo = (spark.read.option("header", True).option("encoding", fallback_encoding).csv(bad_files)
-                .withColumn("_file", F.input_file_name()))
-        good = good.unionByName(redo, allowMissingColumns=True)
-    df = normalize_blanks(good.drop("_file"))
+    """Header CSV, all columns as text; quotes are doubled inside quotes, and quoted values may
+    hold line breaks (such files are read whole by one task each, so scale comes from many files).
+
+    A file that is not valid UTF-8, header included, is read with ``fallback_encoding``. The
+    test looks at the raw bytes; U+FFFD in a valid file stays what it is.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+    place = F.col("_metadata.file_path")
+    raw = spark.read.text(path).select(place.alias("_file"), F.col("value"))
+    broken = raw.filter(~F.is_valid_utf8("value")).select("_file").distinct()
+    utf8 = spark.read.options(**options, encoding="UTF-8").csv(path)
+    if broken.isEmpty():
+        df = utf8
+    else:
+        other = spark.read.options(**options, encoding=fallback_encoding).csv(path)
+        names = [b if "\ufffd" in a else a for a, b in zip(utf8.columns, other.columns)]
+        tagged = [d.toDF(*names).select("*", place.alias("_file")) for d in (utf8, other)]
+        df = tagged[0].join(broken, "_file", "left_anti").unionByName(tagged[1].join(broken, "_file", "left_semi")).drop("_file")
+    df = normalize_blanks(df)
     if max_rows is not None:
         df = df.limit(int(max_rows))
     return validate_table(df)
@@ -98,32 +88,55 @@ def flatten_records(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines, a top-level array of records, a single object, or an object holding a
-    record list (preferred keys first, else the first key holding records)."""
-    doc = spark.read.option("mode", "PERMISSIVE").json(path)
-    if "_corrupt_record" in doc.columns or len(doc.columns) == 0:
-        doc = spark.read.option("multiLine", True).json(path)
-        if "_corrupt_record" in doc.columns and len(doc.columns) == 1:
-            raise ValueError("The file is not valid JSON.")
-    list_fields = [f.name for f in doc.schema.fields
-                   if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    chosen = next((k for k in RECORD_LIST_KEYS if k in list_fields), list_fields[0] if list_fields else None)
-    if chosen is not None:
+    """JSON Lines, a top-level array of records, a single object, or one object that wraps a
+    list of records (preferred keys first, else the first key holding records).
+
+    The first line that is not blank tells lines (a whole object) from a document. Anything
+    that does not parse raises; a list inside a record raises; only a list in a single
+    wrapping object is unwrapped.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    if first is None:
+        raise ValueError("The file is not valid JSON.")
+    head = first["value"].strip()
+    lines = head.startswith("{") and _is_object(head)
+    shape = spark.read.option("multiLine", not lines).json(path).schema
+    if "_corrupt_record" not in shape.names:
+        shape = T.StructType([*shape.fields, T.StructField("_corrupt_record", T.StringType())])
+    doc = spark.read.schema(shape).option("multiLine", not lines).json(path)
+    # the mark is only set where other columns are parsed too
+    parsed = F.xxhash64(*[F.col(f"`{c}`") for c in doc.columns if c != "_corrupt_record"])
+    if not doc.filter(F.col("_corrupt_record").isNotNull() & (parsed != F.lit(0))).isEmpty():
+        raise ValueError("The file is not valid JSON.")
+    doc = doc.drop("_corrupt_record")
+    lists = [f.name for f in doc.schema.fields
+             if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+    if lists and len(doc.take(2)) == 1:
+        chosen = next((k for k in RECORD_LIST_KEYS if k in lists), lists[0])
         doc = doc.select(F.explode(F.col(f"`{chosen}`")).alias("_r")).select("_r.*")
-    return validate_table(flatten_records(normalize_json_nulls(doc)))
+    return validate_table(normalize_blanks(flatten_records(doc)))
+
+
+def _is_object(text: str) -> bool:
+    import json
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
 
 
 def parse_json_column(df: DataFrame, column: str, sep: str = ".") -> DataFrame:
     """JSON objects held in a text column become dotted columns (``props.k``).
 
-    The schema is read from one non-null value (a bounded single-row lookup) and the
-    whole column is parsed with ``from_json`` on the executors.
+    The schema is the union over all rows (one aggregate; what comes back is one line of
+    text). Numbers that are fractional somewhere become double, values of mixed kinds text.
     """
-    sample = df.select(column).filter(F.col(column).isNotNull()).first()
-    if sample is None:
+    value = F.col(f"`{column}`")
+    shape = df.agg(F.schema_of_variant_agg(F.try_parse_json(value)).alias("s")).first()["s"]
+    if shape is None or not shape.startswith("OBJECT"):
         return df
-    schema = df.sparkSession.range(1).select(F.schema_of_json(F.lit(sample[0])).alias("s")).first()["s"]
-    parsed = df.withColumn(column, F.from_json(F.col(column), schema))
+    ddl = re.sub(r"\bOBJECT<", "STRUCT<", re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", shape)))
+    parsed = df.withColumn(column, F.from_json(value, ddl))
     others = [F.col(f"`{c}`") for c in df.columns if c != column]
     leaf = [F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path))
             for path in _leaf_paths(parsed.schema[column].dataType, [column], sep)]
@@ -140,10 +153,6 @@ def _leaf_paths(dtype: T.DataType, path: list[str], sep: str):
         yield path
 
 
-def normalize_json_nulls(df: DataFrame) -> DataFrame:
-    return normalize_blanks(df)
-
-
 def read_xlsx_files(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Directory of .xlsx workbooks -> rows of (_file, _sheet, row_no, col_no, value).
 

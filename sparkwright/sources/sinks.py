@@ -16,16 +16,25 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.session import checkpoint_dir
+from sparkwright.session import scratch_root
 
 # Export layout.
-PACK_ROWS = 500
 FORMATS = ["parquet", "csv", "json"]
 
 
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder under the session's shared checkpoint location."""
-    return os.path.join(checkpoint_dir(spark), *parts, uuid.uuid4().hex)
+    """A fresh folder in the session's shared location, removed when the session ends."""
+    path = os.path.join(scratch_root(spark), *parts, uuid.uuid4().hex)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh shared folder and read back: its rows and their order are fixed."""
+    path = scratch_dir(df.sparkSession, "staged", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -34,7 +43,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
         raise ValueError(f"Unsupported export format: {fmt}")
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")\
+        w.option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss")\
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     elif fmt == "json":
         w.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss")\
@@ -71,11 +80,11 @@ def export_bundle(spark: SparkSession, tables: dict[str, DataFrame], out_dir: st
     return table
 
 
-def pack_tables(tables: dict[str, DataFrame], limit: int = PACK_ROWS) -> DataFrame:
-    """Stack result tables (first ``limit`` rows each) with a ``source_table`` column."""
-    parts = [df.limit(limit).select(F.lit(name).alias("source_table"),
-                                    *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-             for name, df in tables.items()]
+def pack_tables(tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Stack result tables (all rows, or the first ``limit`` each) with a ``source_table`` column."""
+    parts = [(df if limit is None else df.limit(limit)).select(
+        F.lit(name).alias("source_table"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+        for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -9,21 +9,20 @@ from sparkwright.operators.ranking import average_percent_rank, exact_quantiles
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.integers(min_value=-5, max_value=20), min_size=1, max_size=60), st.integers(1, 6))
-def test_average_percent_rank_matches_pandas(spark, values, buckets):
+@given(st.lists(st.integers(min_value=-5, max_value=20), min_size=1, max_size=60))
+def test_average_percent_rank_matches_pandas(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = {r["v"]: r["p"] for r in average_percent_rank(df, "v", "p", buckets=buckets).collect()}
+    got = {r["v"]: r["p"] for r in average_percent_rank(df, "v", "p").collect()}
     expect = pd.Series(values, dtype=float).rank(method="average", pct=True)
     for v, p in zip(values, expect):
         assert abs(got[float(v)] - p) < 1e-12
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=60),
-       st.integers(1, 6))
-def test_exact_quantiles_match_numpy(spark, values, buckets):
+@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=60))
+def test_exact_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    q = exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.98}, buckets=buckets).collect()[0]
+    q = exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.98}).collect()[0]
     arr = np.array(values)
     for name, qq in (("a", 0.25), ("b", 0.5), ("c", 0.98)):
         assert abs(q[name] - np.quantile(arr, qq)) <= 1e-6 * max(1.0, abs(np.quantile(arr, qq)))
@@ -31,7 +30,7 @@ def test_exact_quantiles_match_numpy(spark, values, buckets):
 
 def test_grouped_quantiles_and_empty_input(spark):
     df = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 10.0)], "g string, v double")
-    got = {r["g"]: r["m"] for r in exact_quantiles(df, "v", {"m": 0.5}, ["g"], buckets=2).collect()}
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, "v", {"m": 0.5}, ["g"]).collect()}
     assert got == {"x": 2.0, "y": 10.0}
     empty = spark.createDataFrame([], "v double")
     assert exact_quantiles(empty, "v", {"m": 0.5}).collect()[0]["m"] is None

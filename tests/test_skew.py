@@ -21,24 +21,25 @@ def _expected_dup_flags(pdf):
     return pdf.sort_values("rid").duplicated(subset=["k", "v"], keep="first").tolist()
 
 
-def test_duplicate_flags_hot_group_broadcast_and_shuffle(spark, monkeypatch):
+def test_duplicate_flags_hot_group_broadcast_and_shuffle(spark):
     pdf = _skewed()
     df = spark.createDataFrame(pdf)
     expect = _expected_dup_flags(pdf)
     got = [r["is_duplicate_row"] for r in rows(common.flag_duplicates(df, ["k", "v"], ["rid"]).orderBy("rid"))]
     assert got == expect
-    monkeypatch.setattr(common, "BROADCAST_MAX_ROWS", 0)   # force the shuffle-join branch
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the shuffle join
     got = [r["is_duplicate_row"] for r in rows(common.flag_duplicates(df, ["k", "v"], ["rid"]).orderBy("rid"))]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == expect
 
 
 def test_ranks_and_quantiles_with_hot_value(spark):
     pdf = _skewed()
     df = spark.createDataFrame(pdf)
-    got = {r["v"]: r["p"] for r in rows(average_percent_rank(df, "v", "p", buckets=5))}
+    got = {r["v"]: r["p"] for r in rows(average_percent_rank(df, "v", "p"))}
     expect = pdf["v"].rank(method="average", pct=True)
     assert all(abs(got[v] - e) < 1e-12 for v, e in zip(pdf["v"], expect))
-    q = rows(exact_quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.98}, buckets=5))[0]
+    q = rows(exact_quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.98}))[0]
     for name, qq in (("a", 0.1), ("b", 0.5), ("c", 0.98)):
         assert abs(q[name] - np.quantile(pdf["v"], qq)) < 1e-9
 
@@ -46,7 +47,7 @@ def test_ranks_and_quantiles_with_hot_value(spark):
 def test_row_ids_and_aggregate_with_hot_key(spark):
     pdf = _skewed()
     df = spark.createDataFrame(pdf)
-    ids = rows(with_row_id(df, ["k", "rid"], "row_id", buckets=5).orderBy("k", "rid"))
+    ids = rows(with_row_id(df, ["k", "rid"], "row_id").orderBy("k", "rid"))
     assert [r["row_id"] for r in ids] == list(range(len(pdf)))
     agg = {r["k"]: (r["v"], r["rows"]) for r in rows(aggregate(df.withColumn("k", df.k.cast("string")), "v", "sum", "k"))}
     exp = pdf.groupby("k")["v"].agg(["sum", "size"])

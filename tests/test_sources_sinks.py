@@ -1,4 +1,4 @@
-"""Readers, sinks, schema matching, summaries and the micro-batch rule stream."""
+"""Readers, sinks and summaries."""
 
 import json
 import os
@@ -7,8 +7,6 @@ import zipfile
 import pytest
 
 from conftest import one, rows
-from sparkwright.operators import matching as MT
-from sparkwright.operators import quality as Q
 from sparkwright.operators import summary as S
 from sparkwright.sources import readers as RD
 from sparkwright.sources import sinks as SK
@@ -35,6 +33,35 @@ def test_json_shapes(spark, tmp_path):
         RD.read_json(spark, str(tmp_path / "bad.json"))
 
 
+def test_json_loses_no_row(spark, tmp_path):
+    (tmp_path / "one_bad.json").write_text('{"a": 1}\n{"a": 2}\n{"a": \n{"a": 4}\n')
+    with pytest.raises(ValueError):
+        RD.read_json(spark, str(tmp_path / "one_bad.json"))
+    (tmp_path / "lists.json").write_text('{"id": 1, "items": [{"x": 1}]}\n{"id": 2, "items": []}\n')
+    with pytest.raises(ValueError):
+        RD.read_json(spark, str(tmp_path / "lists.json"))
+
+
+def test_json_column_schema_covers_all_rows(spark):
+    df = spark.createDataFrame([('{"k": 1}',), ('{"k": 2.5, "z": "hello"}',), ('{"z": "only"}',), (None,)], "p string")
+    got = [(r["p.k"], r["p.z"]) for r in rows(RD.parse_json_column(df, "p"))]
+    assert got == [(1.0, None), (2.5, "hello"), (None, "only"), (None, None)]
+
+
+def test_csv_as_pandas_reads_it(spark, tmp_path):
+    import pandas as pd
+    text = 'name,note\n"say ""hi"", ok","two\nlines"\ncafé,\ufffd kept\n'
+    (tmp_path / "u.csv").write_text(text, encoding="utf-8")
+    got = sorted((r["name"], r["note"]) for r in rows(RD.read_csv(spark, str(tmp_path / "u.csv"))))
+    assert got == sorted(map(tuple, pd.read_csv(tmp_path / "u.csv").values.tolist()))
+    (tmp_path / "l.csv").write_bytes("größe,ort\n1,Köln\n".encode("latin-1"))
+    assert [r.asDict() for r in RD.read_csv(spark, str(tmp_path / "l.csv")).collect()] == [{"größe": "1", "ort": "Köln"}]
+    df = spark.createDataFrame([('a "b", c\nd', "x")], "p string, q string")
+    path = SK.write_table(df, str(tmp_path / "out"), "csv")
+    import glob
+    assert pd.concat(map(pd.read_csv, glob.glob(path + "/*.csv"))).values.tolist() == [['a "b", c\nd', "x"]]
+
+
 def _write_xlsx(path):
     sheet = ('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
              '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>qty</t></is></c></row>'
@@ -73,19 +100,6 @@ def test_bundle_pack_and_kpi_long(spark, tmp_path):
     assert {(r["metric"], r["value"]) for r in long} == {("x", 1.0), ("y", 2.0)}
 
 
-def test_matching_scores_and_recommendation(spark):
-    assert MT.similarity("order_id", "order_id") == 1.0
-    assert MT.similarity("order", "order_id") == 0.92
-    cols = spark.createDataFrame([("shop", "InvoiceNo", 0), ("shop", "Invoice Date", 1), ("shop", "Customer ID", 2),
-                                  ("shop", "Description", 3), ("shop", "Qty", 4), ("shop", "Price", 5)],
-                                 "table string, column string, col_pos int")
-    m = MT.match_columns(cols)
-    got = {r["field"]: r["column"] for r in rows(m.filter("template_id = 'sales_retail'"))}
-    assert got["order_date"] == "Invoice Date" and got["quantity"] == "Qty" and got["unit_price"] == "Price"
-    rec = {r["template_id"]: r["status"] for r in rows(MT.recommend_template(m))}
-    assert rec["sales_retail"] == "Recommended" and rec["generic"] == "Available"
-
-
 def test_summary_lines(spark):
     k = spark.createDataFrame([(900.0, 250.0, 650.0, 0.7222, 3.0, 383.33, -50.0)],
                               "total_revenue double, total_cost double, net_result double, margin double, "
@@ -98,17 +112,3 @@ def test_summary_lines(spark):
     assert text[2] == "Total revenue is $900 and total cost is $250."
     assert text[5] == "Budget variance is -$50 where budget and actual fields are available."
     assert text[6] == "The largest mapped category is A with $900."
-
-
-def test_rule_stream_per_batch(spark, tmp_path):
-    src = tmp_path / "in"
-    spark.createDataFrame([("2026-01-01", 0, 5.0), ("bad", 2, -1.0)], "d string, q long, p double")\
-        .write.parquet(str(src / "part1"))
-    schema = spark.read.parquet(str(src / "part1")).schema
-    q = __import__("sparkwright.streaming", fromlist=["x"]).rule_counts_stream(
-        spark, str(src / "part1"), schema, "sales_retail", {"order_date": "d", "quantity": "q", "unit_price": "p"},
-        str(tmp_path / "sink"), str(tmp_path / "ckpt"))
-    q.awaitTermination(120)
-    out = {r["rule_name"]: r["affected_rows_count"] for r in rows(spark.read.parquet(str(tmp_path / "sink")))}
-    assert out["order_date missing or invalid"] == 1 and out["unit_price <= 0"] == 1
-    assert Q.RULES["sales_retail"][0].name == "order_date missing or invalid"
