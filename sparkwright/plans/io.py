@@ -7,7 +7,6 @@ under the session's checkpoint location and read them back.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
