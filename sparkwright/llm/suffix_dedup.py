@@ -45,6 +45,7 @@ _RANGE = 22           # window offsets that share a core
 _SET = 20_000         # texts with one core that go into a suffix array
 _PIECE = 1 << 22      # bytes worked on at once
 _BROADCAST_ROWS = 400_000
+_BROADCAST_KEYS = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 _LETTER = mix64(np.arange(256, dtype=np.uint64))
 
@@ -354,7 +355,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(
         _keys(F.col("doc_id"), F.col("text"))).select("r1", "r2", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     found = stage(rows.mapInArrow(_anchor_rows(length), "r1 long, r2 long, akey long, ctx long, pos long, before int, n int"), "anchors")
-    seen = stage(_counted(found, "akey", "ctx"), "repeated_anchors")
+    twice = stage(found.groupBy("akey").count().where("count > 1").select("akey"), "repeated_grams")
+    few = twice.limit(_BROADCAST_KEYS + 1).count() <= _BROADCAST_KEYS  # rows of 8 bytes
+    again = stage(found.join(F.broadcast(twice) if few else twice, "akey"), "anchors_again")
+    seen = stage(_counted(again, "akey", "ctx"), "repeated_anchors")
     first = F.col("pos") - F.col("before")
     whole = seen.where("copies > 1").select("r1", "r2", first.alias("lo"), (first + F.col("n") + length - 1).alias("hi"))
 
@@ -377,6 +381,13 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.union(parts).union(small).union(large)
 
 
+#: Sorted spans joined where they touch or overlap.
+_MERGED = """aggregate(s, cast(array() as array<struct<lo: bigint, hi: bigint>>), (a, x) ->
+  CASE WHEN size(a) > 0 AND a[size(a) - 1].hi >= x.lo
+    THEN concat(slice(a, 1, size(a) - 1), array(named_struct('lo', a[size(a) - 1].lo, 'hi', greatest(a[size(a) - 1].hi, x.hi))))
+    ELSE concat(a, array(x)) END)"""
+
+
 def _cut(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
     """Per text: what stays (bytes and text), bytes removed, maximal removed runs."""
     out = []
@@ -402,7 +413,9 @@ def cut(docs: DataFrame, length: int = LENGTH, counts: bool = False) -> DataFram
 
     With ``counts`` also n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes).
     """
-    found = spans(docs, length).groupBy("r1", "r2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.count("*").alias("weight"))
+    found = spans(docs, length).groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))  # of one document
+    found = found.select("r1", "r2", F.expr(_MERGED).alias("s")).select(
+        "r1", "r2", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.size("s").alias("weight"))
     tag = uuid.uuid4().hex  # helper names that no column of docs can have
     r1, r2, lo, hi, c = (f"{x}_{tag}" for x in ("r1", "r2", "lo", "hi", "cut"))
     keys = _keys(F.col("doc_id").cast("long"), F.col("text").cast("string"))
