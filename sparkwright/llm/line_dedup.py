@@ -1,10 +1,13 @@
 """Fuzzy line dedup: MinHash over character shingles, on DataFrame functions alone.
 
-A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle), hashed with
-xxhash64. The signature takes the 48 least hashes, deals them into 24 bins by their low
-bits and keeps each bin's minimum (one-permutation MinHash); three bins make a band key,
-eight keys a line. Two lines of Jaccard similarity 0.8 share a band with probability
-0.98-0.99. Equal lines are collapsed first (128-bit digest), so copies never meet in a band.
+A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle). Its signature
+hashes (xxhash64) the 8-character shingles that follow a character other than a Latin
+letter, that is every word start and every place of other scripts; a line with too few of them
+takes all its 8-byte shingles. The 48 least hashes are dealt into 24 bins by their low
+bits, each bin keeps its minimum (one-permutation MinHash); three bins make a band key,
+eight keys a line. Two lines of similarity 0.8 share a band with probability 0.98-0.99.
+Equal lines are collapsed first (128-bit digest), so copies never meet in a band. Pairs
+whose signatures agree in less than 0.3 are not compared further.
 
 Inside a band the entries are not paired with each other. Every entry is compared with the
 band's centre (its most repeated line); the exact Jaccard similarity of the shingle sets
@@ -33,6 +36,9 @@ from sparkwright.llm.common import components, read, stage
 
 SHINGLE, SIMILARITY = 8, 0.8
 _SKETCH, _BINS, _ROWS = 48, 24, 3
+_WINDOW = 8                # characters of a signature window
+_SPARSE = 40               # lines with fewer windows than one in so many characters use all shingles
+_ALIKE = 0.3               # signature agreement below which shingle sets are not compared
 _STARS = 3                 # rounds of centres before the remaining pairs
 _BROADCAST_ROWS = 500_000  # rows of at most some 40 bytes; beyond it the join shuffles
 
@@ -42,20 +48,26 @@ def _shingles(line: str) -> str:
             f"i -> xxhash64(substring(b, i, {SHINGLE}))))[0]")
 
 
-def _band_keys(line: str) -> str:
-    """Array of band keys; a band of three empty bins has none."""
-    # class bits on top, sorted: the first entry of each class is the bin's minimum
-    low = f"slice(sort_array({_shingles(line)}), 1, {_SKETCH})"
-    dealt = f"sort_array(transform({low}, x -> shiftleft(pmod(x, {_BINS}), 56) + pmod(shiftright(x, 8), shiftleft(1L, 55))))"
-    first = (f"transform(array({dealt}), s -> filter(s, (x, i) -> i = 0 or shiftright(x, 56) <> shiftright(s[greatest(i - 1, 0)], 56)))[0]")
-    bands = f"transform(sequence(0, {_BINS // _ROWS - 1}), k -> filter(m, x -> shiftright(x, 56) div {_ROWS} = k))"
-    return f"transform(array({first}), m -> transform(filter({bands}, f -> size(f) > 0), f -> xxhash64(f)))[0]"
+def _signature(line: str) -> str:
+    """One-permutation MinHash: array of bin << 26 | minimum, ascending; empty bins are missing."""
+    windows = f"regexp_extract_all({line}, '(?s)(?<![A-Za-z\\u00C0-\\u024F])(?=(.{{1,{_WINDOW}}}))', 1)"
+    hashed = (f"transform(array({windows}), w -> CASE WHEN size(w) * {_SPARSE} < length({line}) THEN {_shingles(line)} "
+              "ELSE transform(w, x -> xxhash64(x)) END)[0]")
+    least = f"slice(sort_array({hashed}), 1, {_SKETCH})"
+    dealt = f"sort_array(transform({least}, x -> cast(pmod(x, {_BINS}) * 67108864 + pmod(shiftright(x, 8), 67108864) as int)))"
+    return f"transform(array({dealt}), s -> filter(s, (x, i) -> i = 0 or shiftright(x, 26) <> shiftright(s[greatest(i - 1, 0)], 26)))[0]"
 
 
-def _near(a: str, b: str, similarity: float) -> str:
-    """Exact Jaccard similarity of two shingle sets (arrays without repeats) at or above the bound."""
-    both = f"size(array_intersect({a}, {b}))"
-    return f"{both} >= {similarity}D * (size({a}) + size({b}) - {both}) - 1e-9"
+def _band_keys(signature: str) -> str:
+    """Array of band keys; a band of empty bins has none."""
+    bands = f"transform(sequence(0, {_BINS // _ROWS - 1}), k -> filter({signature}, x -> x >= k * {_ROWS << 26}L and x < (k + 1) * {_ROWS << 26}L))"
+    return f"transform(filter({bands}, f -> size(f) > 0), f -> xxhash64(f))"
+
+
+def _jaccard(a: str, b: str, bound: float) -> str:
+    """Whether the Jaccard similarity of two arrays without repeats is at least ``bound``; each is worked out once."""
+    return (f"transform(array(struct({a} as a, {b} as b)), s -> {1 + bound}D * size(array_intersect(s.a, s.b)) "
+            f">= {bound}D * (size(s.a) + size(s.b)) - 1e-9)[0]")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -63,16 +75,30 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else df
 
 
-def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    sets = two.select("a", "b", F.expr(f"array_distinct({_shingles('la')})").alias("sa"), F.expr(f"array_distinct({_shingles('lb')})").alias("sb"))
-    return sets.where(F.expr(_near("sa", "sb", similarity))).select("a", "b")
+def _with(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with the column of either end, as ``_a`` and ``_b``."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col(column).alias(f"_{end}")), end)
+    return pairs
+
+
+def _links(pairs: DataFrame, distinct: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose signatures agree in ``_ALIKE`` and whose shingle sets then reach ``similarity``.
+
+    Texts are fetched from the documents for the first kind of pairs only.
+    """
+    near = stage(_with(pairs, distinct, "sig").where(F.expr(_jaccard("_a", "_b", _ALIKE))).select("a", "b"), "alike")
+    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    wanted = distinct.join(nodes, "node").select("node", F.col("first.r1"), F.col("first.r2"), F.col("first.pos"))
+    # rows that agree in doc_id and text give a line more than once, and a pair the same answer
+    texts = stage(whole.join(_sized(stage(wanted, "wanted")), ["r1", "r2"]).select("node", F.expr("element_at(split(text, '\\n'), pos + 1)").alias("line")), "line_texts")
+    same = _jaccard(f"array_distinct({_shingles('_a')})", f"array_distinct({_shingles('_b')})", similarity)
+    return stage(_with(near, texts, "line").where(F.expr(same)).select("a", "b"), "links")
 
 
 def _class_of(posted: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(links).select("node", F.col("component").alias("c"))
-    return posted.join(comp, "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
+    return posted.join(comp, "node", "left").select("key", "node", F.coalesce("c", "node").alias("comp"))
 
 
 def _open(classed: DataFrame) -> DataFrame:
@@ -87,36 +113,41 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = rows.select("doc_id", *_digest(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
     lines = stage(rows.select(
         "doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"),
-        F.expr(_band_keys("line")).alias("keys")), "lines")
+        F.expr(_signature("line")).alias("sig")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2", "pos")
-    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("first"), "keys")).alias("m"))
+    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("first"), "sig")).alias("m"))
     # the smaller the node, the more repeated the line
     node = F.expr("shiftleft(62L - cast(floor(log2(n)) as bigint), 56) + monotonically_increasing_id()")
-    distinct = stage(distinct.select("h1", "h2", "n", node.alias("node"), "m.first", "m.keys"), "distinct_lines")
+    distinct = stage(distinct.select("h1", "h2", "n", node.alias("node"), "m.first", "m.sig", F.expr(_band_keys("m.sig")).alias("keys")), "distinct_lines")
 
     entries = distinct.select("node", F.explode("keys").alias("key"))
-    bands = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1").select("key", "centre")
+    bands = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1").select("key", "size", "centre")
     posted = stage(entries.join(bands, "key"), "bands")
-    wanted = distinct.join(posted.select("node").distinct(), "node").select("node", F.col("first.r1"), F.col("first.r2"), F.col("first.pos"))
-    wanted = _sized(stage(wanted, "wanted"))
     whole = docs.select(*_digest(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
-    texts = stage(whole.join(wanted, ["r1", "r2"]).select("node", F.expr("element_at(split(text, '\\n'), pos + 1)").alias("line")).dropDuplicates(["node"]), "line_texts")
 
     def found(pairs: DataFrame) -> DataFrame:
-        return stage(_links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity), "links")
+        return _links(pairs, distinct, whole, similarity)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    links = found(posted.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    left = stage(_open(_class_of(posted, links)).select("key", "node", "comp"), "open")
+    tested = stage(ordered(posted.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "tested")
+    links = found(tested)
+    # a band of two has been compared
+    left = stage(_open(_class_of(posted.where("size > 2").select("key", "node"), links)), "open")
     for star in range(1, _STARS):
         if left.isEmpty():
             break
         hashed = F.struct(F.xxhash64(F.lit(star), F.col("node")).alias("h"), F.col("node").alias("v"), F.col("comp").alias("c"))
         centre = left.groupBy("key").agg(F.min(hashed).alias("m")).select("key", F.col("m.v").alias("b"), F.col("m.c").alias("cb"))
-        links = stage(links.union(found(left.join(centre, "key").where("comp <> cb").select(F.col("node").alias("a"), "b"))), "links")
-        left = stage(_open(_class_of(left.select("key", "node"), links)).select("key", "node", "comp"), "open")
+        pairs = stage(ordered(left.join(centre, "key").where("comp <> cb").select(F.col("node").alias("a"), "b")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        links = links.union(found(pairs))
+        left = stage(_open(_class_of(left.select("key", "node"), links)), "open")
     if not left.isEmpty():
         x, y = left.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        links = stage(links.union(found(x.join(y, "key").where("a < b and ca <> cb").select("a", "b"))), "links")
+        pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+        links = links.union(found(pairs.join(tested, ["a", "b"], "left_anti")))
 
     comp = stage(components(links), "components")
     classed = distinct.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
