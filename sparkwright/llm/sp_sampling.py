@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import mix64, read
 
 ALPHA, SEED = 0.4, 1
-_CACHE_PARTS = 250_000
+_CACHE_PARTS = 400_000
 _GRID = 24
 _PART = re.compile("\n| *[^ \n]+| +")
 _BASE = 0x9E3779B97F4A7C15
@@ -88,7 +88,8 @@ class Lattices:
     def clear(self):
         self.parts: dict[str, int] = {}      # part -> its last node
         self.nodes = 0
-        self.cum, self.back, self.edge = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cum, self.back, self.edge = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.into = np.zeros(0, np.int64)    # by node: its first edge
         self.first = np.zeros(0, bool)       # by node: a part begins here
         self.fallback: dict[str, int] = {}
         self.fall_ids: list[list[int]] = []
@@ -124,7 +125,7 @@ class Lattices:
             piece[0, t] = self.fallback[c]
             weight[0, t] = self.byte_weight ** len(self.fall_ids[-1 - piece[0, t]])
         # forward sums as mass * 2**scale: products and sums in a fixed order, so equal everywhere
-        mass, scale, cum = np.zeros(total), np.zeros(total, np.int32), np.zeros((width, total), np.int64)
+        mass, scale, cum = np.zeros(total), np.zeros(total, np.int32), np.zeros((width, total), np.int32)
         one = float(1 << _GRID)
         order = np.argsort(at, kind="stable")
         ends = np.cumsum(np.bincount(at))
@@ -142,7 +143,10 @@ class Lattices:
             scale[t] = top + up
         t, n = np.nonzero(weight.T)
         node = self.nodes + t + 1 + of[t]
-        self.cum = np.concatenate([self.cum, (node << _GRID) + cum[n, t]])
+        edges = np.zeros(total + len(parts), np.int64)
+        edges[np.arange(total) + 1 + of] = (weight > 0).sum(0)
+        self.into = np.concatenate([self.into, len(self.cum) + np.cumsum(edges) - edges])
+        self.cum = np.concatenate([self.cum, cum[n, t]])
         self.back = np.concatenate([self.back, node - n - 1])
         self.edge = np.concatenate([self.edge, piece[n, t]])
         begins = np.zeros(total + len(parts), bool)
@@ -168,8 +172,12 @@ class Lattices:
         rows, steps, edges, open_, step = [], [], [], np.arange(total), 0
         while len(open_):
             with np.errstate(over="ignore"):
-                u = (mix64(key[open_] + np.uint64(step)) >> np.uint64(64 - _GRID)).astype(np.int64)
-            e = np.searchsorted(self.cum, (at << _GRID) + u, side="right")
+                u = (mix64(key[open_] + np.uint64(step)) >> np.uint64(64 - _GRID)).astype(np.int32)
+            e = self.into[at]
+            past = np.flatnonzero(self.cum[e] <= u)
+            while len(past):  # a node has few edges
+                e[past] += 1
+                past = past[self.cum[e[past]] <= u[past]]
             rows.append(open_)
             steps.append(np.full(len(open_), step))
             edges.append(self.edge[e])
