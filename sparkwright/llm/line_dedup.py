@@ -1,13 +1,10 @@
 """Fuzzy line dedup: MinHash over character shingles, on DataFrame functions alone.
 
-A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle). Its signature
-hashes (xxhash64) the 8-character shingles that follow a character other than a Latin
-letter, that is every word start and every place of other scripts; a line with too few of them
-takes all its 8-byte shingles. The 48 least hashes are dealt into 24 bins by their low
-bits, each bin keeps its minimum (one-permutation MinHash); three bins make a band key,
-eight keys a line. Two lines of similarity 0.8 share a band with probability 0.98-0.99.
-Equal lines are collapsed first (128-bit digest), so copies never meet in a band. Pairs
-whose signatures agree in less than 0.3 are not compared further.
+A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle), hashed with
+xxhash64. The signature takes the 48 least hashes of all of them, deals them into 24 bins by
+their low bits and keeps each bin's minimum (one-permutation MinHash); three bins make a
+band key, eight keys a line. Equal lines are collapsed first (128-bit digest), so copies
+never meet in a band.
 
 Inside a band the entries are not paired with each other. Every entry is compared with the
 band's centre (its most repeated line); the exact Jaccard similarity of the shingle sets
@@ -36,8 +33,6 @@ from sparkwright.llm.common import components, read, stage
 
 SHINGLE, SIMILARITY = 8, 0.8
 _SKETCH, _BINS, _ROWS = 48, 24, 3
-_WINDOW = 8                # characters of a signature window
-_SPARSE = 40               # lines with fewer windows than one in so many characters use all shingles
 _ALIKE = 0.3               # signature agreement below which shingle sets are not compared
 _STARS = 3                 # rounds of centres before the remaining pairs
 _BROADCAST_ROWS = 500_000  # rows of at most some 40 bytes; beyond it the join shuffles
@@ -49,19 +44,16 @@ def _shingles(line: str) -> str:
 
 
 def _signature(line: str) -> str:
-    """One-permutation MinHash: array of bin << 26 | minimum, ascending; empty bins are missing."""
-    windows = f"regexp_extract_all({line}, '(?s)(?<![A-Za-z\\u00C0-\\u024F])(?=(.{{1,{_WINDOW}}}))', 1)"
-    hashed = (f"transform(array({windows}), w -> CASE WHEN size(w) * {_SPARSE} < length({line}) THEN {_shingles(line)} "
-              "ELSE transform(w, x -> xxhash64(x)) END)[0]")
-    least = f"slice(sort_array({hashed}), 1, {_SKETCH})"
+    """One-permutation MinHash over all shingles: array of bin << 26 | minimum, ascending; empty bins are missing."""
+    least = f"slice(sort_array(array_distinct({_shingles(line)})), 1, {_SKETCH})"
     dealt = f"sort_array(transform({least}, x -> cast(pmod(x, {_BINS}) * 67108864 + pmod(shiftright(x, 8), 67108864) as int)))"
     return f"transform(array({dealt}), s -> filter(s, (x, i) -> i = 0 or shiftright(x, 26) <> shiftright(s[greatest(i - 1, 0)], 26)))[0]"
 
 
 def _band_keys(signature: str) -> str:
     """Array of band keys; a band of empty bins has none."""
-    bands = f"transform(sequence(0, {_BINS // _ROWS - 1}), k -> filter({signature}, x -> x >= k * {_ROWS << 26}L and x < (k + 1) * {_ROWS << 26}L))"
-    return f"transform(filter({bands}, f -> size(f) > 0), f -> xxhash64(f))"
+    bands = f"transform(sequence(0, {_BINS // _ROWS - 1}), k -> filter(m, x -> x >= k * {_ROWS << 26}L and x < (k + 1) * {_ROWS << 26}L))"
+    return f"transform(array({signature}), m -> transform(filter({bands}, f -> size(f) > 0), f -> xxhash64(f)))[0]"
 
 
 def _jaccard(a: str, b: str, bound: float) -> str:

@@ -144,6 +144,19 @@ def test_lines_against_brute_force(spark):
     assert same >= len(want) - 1 and sum(map(len, got.values())) >= sum(map(len, want.values()))
 
 
+def test_lines_that_differ_at_the_end_share_a_band(spark):
+    g = np.random.default_rng(8)
+    digits = lambda n: "".join(map(str, g.integers(0, 10, n)))
+    forms = [lambda k: f"Order confirmed for customer {digits(10)}", lambda k: f"{words(k, 6)} call +49 30 {digits(8)}",
+             lambda k: f"{words(k, 7)} due on 2026-{g.integers(10, 13)}-{g.integers(10, 29)}", lambda k: f"{words(k, 7)} price {digits(3)}.{digits(2)}"]
+    first = [forms[k % 4](k) for k in range(200)]
+    pairs = [(x, x[:-1] + str((int(x[-1]) + 1) % 10)) for x in first]
+    assert all(len(_shingles(a) & _shingles(b)) >= 0.8 * len(_shingles(a) | _shingles(b)) for a, b in pairs)
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select(F.expr(f"arrays_overlap({line_dedup._band_keys(line_dedup._signature('a'))}, {line_dedup._band_keys(line_dedup._signature('b'))})").alias("met"))
+    assert np.mean([r["met"] for r in got.collect()]) >= 0.97
+
+
 def test_lines_on_awkward_tables(spark, odd_docs, no_docs):
     got = line_dedup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
