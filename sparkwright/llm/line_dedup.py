@@ -4,7 +4,8 @@ A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle),
 xxhash64. The signature takes the 48 least hashes of all of them, deals them into 24 bins by
 their low bits and keeps each bin's minimum (one-permutation MinHash); three bins make a
 band key, eight keys a line. Equal lines are collapsed first (128-bit digest), so copies
-never meet in a band.
+never meet in a band. Every pair from the bands is verified on the shingle sets, except
+where their exact sizes alone rule the similarity out.
 
 Inside a band the entries are not paired with each other. Every entry is compared with the
 band's centre (its most repeated line); the exact Jaccard similarity of the shingle sets
@@ -33,7 +34,6 @@ from sparkwright.llm.common import components, read, stage
 
 SHINGLE, SIMILARITY = 8, 0.8
 _SKETCH, _BINS, _ROWS = 48, 24, 3
-_ALIKE = 0.3               # signature agreement below which shingle sets are not compared
 _STARS = 3                 # rounds of centres before the remaining pairs
 _BROADCAST_ROWS = 500_000  # rows of at most some 40 bytes; beyond it the join shuffles
 
@@ -43,9 +43,14 @@ def _shingles(line: str) -> str:
             f"i -> xxhash64(substring(b, i, {SHINGLE}))))[0]")
 
 
-def _signature(line: str) -> str:
+def _sketch(line: str) -> str:
+    """(width, keys): size of the shingle set and the band keys of its signature."""
+    return f"transform(array(array_distinct({_shingles(line)})), h -> struct(size(h) as width, {_band_keys(_signature('h'))} as keys))[0]"
+
+
+def _signature(shingles: str) -> str:
     """One-permutation MinHash over all shingles: array of bin << 26 | minimum, ascending; empty bins are missing."""
-    least = f"slice(sort_array(array_distinct({_shingles(line)})), 1, {_SKETCH})"
+    least = f"slice(sort_array({shingles}), 1, {_SKETCH})"
     dealt = f"sort_array(transform({least}, x -> cast(pmod(x, {_BINS}) * 67108864 + pmod(shiftright(x, 8), 67108864) as int)))"
     return f"transform(array({dealt}), s -> filter(s, (x, i) -> i = 0 or shiftright(x, 26) <> shiftright(s[greatest(i - 1, 0)], 26)))[0]"
 
@@ -56,6 +61,11 @@ def _band_keys(signature: str) -> str:
     return f"transform(array({signature}), m -> transform(filter({bands}, f -> size(f) > 0), f -> xxhash64(f)))[0]"
 
 
+def _may_reach(a: str, b: str, similarity: float) -> str:
+    """Whether sets of these sizes can have the Jaccard similarity: it is at most the smaller size over the larger."""
+    return f"least({a}, {b}) >= {similarity}D * greatest({a}, {b}) - 1e-9"
+
+
 def _jaccard(a: str, b: str, bound: float) -> str:
     """Whether the Jaccard similarity of two arrays without repeats is at least ``bound``; each is worked out once."""
     return (f"transform(array(struct({a} as a, {b} as b)), s -> {1 + bound}D * size(array_intersect(s.a, s.b)) "
@@ -75,11 +85,8 @@ def _with(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, distinct: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose signatures agree in ``_ALIKE`` and whose shingle sets then reach ``similarity``.
-
-    Texts are fetched from the documents for the first kind of pairs only.
-    """
-    near = stage(_with(pairs, distinct, "sig").where(F.expr(_jaccard("_a", "_b", _ALIKE))).select("a", "b"), "alike")
+    """Pairs whose shingle sets reach ``similarity``; texts are fetched where the sizes of the sets allow it."""
+    near = stage(_with(pairs, distinct, "width").where(F.expr(_may_reach("_a", "_b", similarity))).select("a", "b"), "near")
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     wanted = distinct.join(nodes, "node").select("node", F.col("first.r1"), F.col("first.r2"), F.col("first.pos"))
     # rows that agree in doc_id and text give a line more than once, and a pair the same answer
@@ -105,12 +112,12 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = rows.select("doc_id", *_digest(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
     lines = stage(rows.select(
         "doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"),
-        F.expr(_signature("line")).alias("sig")), "lines")
+        F.expr(_sketch("line")).alias("sketch")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2", "pos")
-    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("first"), "sig")).alias("m"))
+    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("first"), "sketch")).alias("m"))
     # the smaller the node, the more repeated the line
     node = F.expr("shiftleft(62L - cast(floor(log2(n)) as bigint), 56) + monotonically_increasing_id()")
-    distinct = stage(distinct.select("h1", "h2", "n", node.alias("node"), "m.first", "m.sig", F.expr(_band_keys("m.sig")).alias("keys")), "distinct_lines")
+    distinct = stage(distinct.select("h1", "h2", "n", node.alias("node"), "m.first", "m.sketch.width", "m.sketch.keys"), "distinct_lines")
 
     entries = distinct.select("node", F.explode("keys").alias("key"))
     bands = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1").select("key", "size", "centre")

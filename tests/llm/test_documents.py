@@ -153,10 +153,23 @@ def test_lines_that_differ_at_the_end_share_a_band(spark):
     pairs = [(x, x[:-1] + str((int(x[-1]) + 1) % 10)) for x in first]
     assert all(len(_shingles(a) & _shingles(b)) >= 0.8 * len(_shingles(a) | _shingles(b)) for a, b in pairs)
     df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select(F.expr(f"arrays_overlap({line_dedup._band_keys(line_dedup._signature('a'))}, {line_dedup._band_keys(line_dedup._signature('b'))})").alias("met"))
+    got = df.select(F.expr(f"arrays_overlap({line_dedup._sketch('a')}.keys, {line_dedup._sketch('b')}.keys)").alias("met"))
     assert np.mean([r["met"] for r in got.collect()]) >= 0.97
 
 
+def test_pairs_of_lines_are_decided_by_their_shingles_alone(spark):
+    a, b, far = words(1, 12), words(1, 12)[:-1] + "9", words(2, 12)
+    docs = _docs(spark, [a, b, far])
+    first = docs.select("doc_id", *line_dedup._digest(F.col("doc_id"), F.col("text")), F.lit(0).alias("pos"))
+    width = {i: len(_shingles(x)) for i, x in enumerate((a, b, far))}
+    sig = F.array(F.col("doc_id").cast("int"))  # signatures that agree in nothing
+    distinct = first.select(F.col("doc_id").alias("node"), F.struct("r1", "r2", "pos").alias("first"), sig.alias("sig"), F.create_map(
+        *(F.lit(int(x)) for kv in width.items() for x in kv))[F.col("doc_id").cast("int")].alias("width"))
+    whole = docs.select(*line_dedup._digest(F.col("doc_id"), F.col("text")), "text")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert [tuple(r) for r in line_dedup._links(pairs, distinct, whole, 0.8).collect()] == [(0, 1)]
+
+
 def test_lines_on_awkward_tables(spark, odd_docs, no_docs):
     got = line_dedup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
