@@ -10,8 +10,8 @@ where their exact sizes alone rule the similarity out.
 Inside a band the entries are not paired with each other. Every entry is compared with the
 band's centre (its most repeated line); the exact Jaccard similarity of the shingle sets
 decides; distributed union-find joins the links. Bands that still hold several components
-get further centres, and in the end every pair of entries from different components is
-compared, so no link is lost to the order of comparison.
+get further centres, and in the end the entries of different components whose sizes allow the
+similarity are compared, met by length class, so no link is lost to the order of comparison.
 
 One line of each component stays: the first occurrence by doc_id (nulls last), row digest and
 position. Blank lines are neither compared nor removed. Documents keep their row, lines
@@ -25,6 +25,7 @@ used here. Lines and texts of any length are hashed whole.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -106,6 +107,18 @@ def _open(classed: DataFrame) -> DataFrame:
     return classed.join(several, "key", "left_semi")
 
 
+def _apart(left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a band's entries from different components whose sizes allow the similarity.
+
+    Such sizes lie in one length class or in classes side by side; others do not meet.
+    """
+    step = math.log(1 / similarity) + 1e-6
+    x = left.withColumn("class", F.floor(F.log("width") / F.lit(step)))
+    y = x.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("width").alias("wb"), F.explode(F.expr("sequence(class - 1, class + 1)")).alias("class"))
+    x = x.select("key", "class", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("width").alias("wa"))
+    return x.join(y, ["key", "class"]).where("a < b and ca <> cb").where(F.expr(_may_reach("wa", "wb", similarity))).select("a", "b").distinct()
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r1, r2, gone): digest of a document row and the positions of the lines that go."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -144,9 +157,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = links.union(found(pairs))
         left = stage(_open(_class_of(left.select("key", "node"), links)), "open")
     if not left.isEmpty():
-        x, y = left.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        links = links.union(found(pairs.join(tested, ["a", "b"], "left_anti")))
+        sized = left.join(distinct.select("node", "width"), "node")
+        links = links.union(found(_apart(sized, similarity).join(tested, ["a", "b"], "left_anti")))
 
     comp = stage(components(links), "components")
     classed = distinct.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -170,6 +170,13 @@ def test_pairs_of_lines_are_decided_by_their_shingles_alone(spark):
     assert [tuple(r) for r in line_dedup._links(pairs, distinct, whole, 0.8).collect()] == [(0, 1)]
 
 
+def test_open_bands_pair_lines_of_like_sizes_only(spark):
+    width = [1, 2, 4, 5, 8, 10, 16, 20, 25, 64, 80, 81, 100, 1000, 1250, 1251]
+    left = spark.createDataFrame([(k, i, i // 2, w) for k in (1, 2) for i, w in enumerate(width)], "key long, node long, comp long, width int")
+    got = sorted(tuple(r) for r in line_dedup._apart(left, 0.8).collect())
+    assert got == [(i, j) for i in range(len(width)) for j in range(i + 1, len(width)) if i // 2 != j // 2 and width[i] * 10 >= width[j] * 8]
+
+
 def test_lines_on_awkward_tables(spark, odd_docs, no_docs):
     got = line_dedup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
