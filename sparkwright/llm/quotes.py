@@ -2,18 +2,20 @@
 
 A line's quote level is the number of ``>`` marks in front (spaces may stand between). A
 message's own lines have level 0. Quoted lines are normalised (lower case, inner white space
-to one space, ends trimmed) and hashed; so are all own lines. A quoted line's source is the
-earliest message of the same conversation that has the line as its own. The source of a
-passage (adjacent lines of one level) is the message that most of its lines come from
-(ties: the later one). A message replies to the source of most of its level-1 lines (ties:
-the later one), if that message is earlier. Reply order puts every message after the one it
+to one space, ends trimmed) and hashed; so are all own lines. The source of a passage
+(adjacent lines of one level) is the earlier message of the same conversation that has most
+of its lines as its own, whoever else has them too. Of messages that have the same lines of
+it the earliest counts; other ties go to the later one. A message replies to the source of
+its level-1 lines, found in the same way. Reply order puts every message after the one it
 replies to, replies by turn.
 
 ``messages`` gives each message without quotes and its place: parent_turn, root_turn,
 depth and reply_path (turns from the root on, padded, so that sorting by it is reply order).
 ``passages`` gives every quoted passage with its level and source. All steps are joins and
 aggregates on (conversation, line hash) or (conversation, turn); no conversation is ever
-collected, and a line that stands in a million messages is one row of the index.
+collected. Messages meet a passage one by one only through lines that few messages have;
+what is made of common lines alone (greetings, signatures) is looked up once for all
+passages with the same common lines.
 
 Defined cases: null text has no lines and gives an empty own text; blank lines link
 nothing; null conversation ids or turns link nothing and are roots (reply_path null where
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import read, stage
 
 _MARK = r"^(?:[ \t]*>)+"
+_COMMON = 64  # a line that more messages of the conversation have as their own is common
 
 
 def _lines(chats: DataFrame) -> DataFrame:
@@ -51,39 +54,57 @@ def own_text() -> Column:
     return F.regexp_replace(kept, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
-def linked_lines(chats: DataFrame) -> DataFrame:
-    """Quoted lines with source_turn (null if the line is nobody's own)."""
+def _quoted_and_own(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quoted lines, and the messages (source_turn) that have one of them as their own line."""
     lines = _lines(chats).where("conv_id is not null and turn is not null and norm <> ''")
-    index = lines.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("source_turn"))
-    quoted = lines.where("level > 0").select("conv_id", "turn", "n", "level", "h")
-    found = quoted.join(index, ["conv_id", "h"], "left")
-    return found.withColumn("source_turn", F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn")))
-
-
-def _most(votes: DataFrame, by: list[str]) -> DataFrame:
-    """The source with most lines per group, ties to the later turn."""
-    counted = votes.where("source_turn is not null").groupBy(*by, "source_turn").agg(F.count("*").alias("votes"))
+    quoted = stage(lines.where("level > 0").select("conv_id", "turn", "n", "level", "h"), "quoted")
+    own = lines.where("level = 0").select("conv_id", "h", F.col("turn").alias("source_turn"))
+    return quoted, stage(own.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct(), "own")
+
+
+def _sources(quoted: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:
+    """The source of each group of quoted lines (source_turn, n_linked); ``by`` starts with conv_id and turn."""
+    held = F.md5(F.concat_ws(",", F.sort_array(F.collect_list("h")))).alias("held")
+    votes = F.sum("k").alias("votes")
+    wanted = quoted.groupBy(*by, "h").agg(F.count("*").alias("k"))
+    wanted = stage(wanted.join(own.groupBy("conv_id", "h").agg((F.count("*") > _COMMON).alias("common")), ["conv_id", "h"]), "wanted")
+
+    # messages with an uncommon line of the group: all lines of the group that they have
+    met = wanted.where("not common").join(own, ["conv_id", "h"]).where("source_turn < turn").select(*by, "source_turn").distinct()
+    full = met.join(wanted.select(*by, "h", "k"), by).join(own, ["conv_id", "h", "source_turn"], "left_semi")
+    full = full.groupBy(*by, "source_turn").agg(votes, held)
+
+    # messages with common lines only: once for all groups with the same ones
+    usual = wanted.where("common").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", "k"))).alias("lines"))
+    usual = stage(usual.withColumn("kind", F.md5(F.to_json("lines"))), "usual")
+    kinds = usual.select("conv_id", "kind", "lines").distinct().select("conv_id", "kind", F.inline("lines"))
+    kinds = kinds.join(own, ["conv_id", "h"]).groupBy("conv_id", "kind", "source_turn").agg(votes, held)
+    kinds = kinds.groupBy("conv_id", "kind", "held", "votes").agg(F.min("source_turn").alias("source_turn"))
+    part = usual.select(*by, "kind").join(kinds, ["conv_id", "kind"]).where("source_turn < turn")
+
+    every = full.unionByName(part.select(*by, "source_turn", "votes", "held"))
+    first = every.groupBy(*by, "held", "votes").agg(F.min("source_turn").alias("source_turn"))
     best = F.max(F.struct("votes", "source_turn")).alias("m")
-    return counted.groupBy(*by).agg(best).select(*by, F.col("m.source_turn").alias("source_turn"), F.col("m.votes").alias("n_linked"))
+    return first.groupBy(*by).agg(best).select(*by, F.col("m.source_turn").alias("source_turn"), F.col("m.votes").alias("n_linked"))
 
 
 def passages(chats: DataFrame) -> DataFrame:
     """conv_id, turn, level, first_line, n_lines, source_turn, n_linked per quoted passage."""
-    lines = stage(linked_lines(chats), "quoted")
+    lines, own = _quoted_and_own(chats)
     # adjacent lines of one level: line number minus the count of such lines before it is constant
     every = lines.select("conv_id", "turn", "level", "n").distinct()
     starts = every.join(every.select("conv_id", "turn", "level", (F.col("n") + 1).alias("n")), ["conv_id", "turn", "level", "n"], "left_anti")
     starts = starts.groupBy("conv_id", "turn", "level").agg(F.sort_array(F.collect_list("n")).alias("starts"))  # of one message
     first = F.expr("array_max(filter(starts, s -> s <= n))").alias("first_line")
-    placed = lines.join(starts, ["conv_id", "turn", "level"]).select("conv_id", "turn", "level", first, "n", "source_turn")
+    placed = lines.join(starts, ["conv_id", "turn", "level"]).select("conv_id", "turn", "level", first, "n", "h")
     by = ["conv_id", "turn", "level", "first_line"]
-    return placed.groupBy(*by).agg(F.countDistinct("n").alias("n_lines")).join(_most(placed, by), by, "left")
+    return placed.groupBy(*by).agg(F.countDistinct("n").alias("n_lines")).join(_sources(placed, own, by), by, "left")
 
 
 def replies(chats: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn of messages with a linked level-1 quote."""
-    votes = linked_lines(chats).where("level = 1")
-    return _most(votes, ["conv_id", "turn"]).select("conv_id", "turn", F.col("source_turn").alias("parent_turn"))
+    quoted, own = _quoted_and_own(chats)
+    return _sources(quoted.where("level = 1"), own, ["conv_id", "turn"]).select("conv_id", "turn", F.col("source_turn").alias("parent_turn"))
 
 
 def _path(turn: Column) -> Column:
@@ -118,7 +139,11 @@ def op5_quotes(spark, sf_dir: str) -> DataFrame:
     return m.select("conv_id", "turn", "role", "n_quoted", "parent_turn", "root_turn", "depth", "reply_path", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {"op5_quotes": op5_quotes}
+def op5_quotes_passages(spark, sf_dir: str) -> DataFrame:
+    return passages(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op5_quotes": op5_quotes, "op5_quotes_passages": op5_quotes_passages}
 ORACLE = {"op5_quotes": r"""
 WITH RECURSIVE raw AS (
   SELECT c.conv_id, c.turn, u.n, u.line AS raw

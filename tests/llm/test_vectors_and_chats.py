@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from sparkwright.llm import pstable_mips, quotes
 
@@ -64,6 +65,37 @@ def test_quotes_link_to_their_source(spark):
     assert found[2, 2, 0] == (1, 0) and found[2, 1, 1] == (2, 1) and found[3, 1, 0] == (1, None)
 
 
+@pytest.mark.parametrize("common", [64, 1])
+def test_quotes_link_to_the_message_with_the_whole_passage(spark, monkeypatch, common):
+    monkeypatch.setattr(quotes, "_COMMON", common, raising=False)
+    sign = "Best\nJo Doe\nSome Street 5\nTown"
+    quote = lambda text: "\n".join("> " + x for x in text.split("\n"))
+    texts = ["start", "first\n" + sign, "hello\nthanks", "thanks", "and\nso on", "one\ntwo\nthree\n" + sign, sign, quote("one\ntwo\nthree\n" + sign) + "\nanswer",
+             quote(sign), quote("thanks"), quote("so on\nthanks"), quote("best\nhello\nthanks") + "\n>> and\n>> so on", quote("later"), "later"]
+    df = _chat(spark, [(c, t, "a", x, 0) for c in (1, 2) for t, x in enumerate(texts)])
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quotes.messages(df).collect()}
+    assert all({t: got[c, t] for t in range(7, 13)} == {7: 5, 8: 1, 9: 2, 10: 4, 11: 2, 12: None} for c in (1, 2))
+    found = {(r["turn"], r["level"], r["first_line"]): (r["n_lines"], r["source_turn"], r["n_linked"]) for r in quotes.passages(df).where("conv_id = 2").collect()}
+    assert found[7, 1, 0] == (7, 5, 7) and found[11, 2, 3] == (2, 4, 2) and found[12, 1, 0] == (1, None, None)
+    assert "op5_quotes_passages" in quotes.QUERIES
+
+
+def test_sources_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "_COMMON", 3, raising=False)
+    g = np.random.default_rng(9)
+    own = [[f"line {k}" for k in sorted(set((g.zipf(1.4, g.integers(1, 7)) % 25).tolist()))] for _ in range(80)]
+    cited = [[f"line {k}" for k in (g.zipf(1.4, g.integers(1, 7)) % 25).tolist()] for _ in range(80)]
+    df = _chat(spark, [(3, t, "a", "\n".join(["> " + x for x in cited[t]] + own[t]), 0) for t in range(80)])
+    got = {r["turn"]: r["parent_turn"] for r in quotes.replies(df).collect()}
+    for t in range(80):
+        best = {}  # lines held -> earliest message
+        for s in range(t):
+            held = tuple(sorted(x for x in cited[t] if x in own[s]))
+            if held:
+                best.setdefault(held, s)
+        assert got.get(t) == max(((len(h), s) for h, s in best.items()), default=(0, None))[1]
+
+
 def test_long_reply_chains(spark):
     rows = [(7, t, "x", (f"> line {t - 1}\n" if t else "") + f"line {t}", 0) for t in range(40)]
     got = {r["turn"]: r for r in quotes.messages(_chat(spark, rows)).collect()}
