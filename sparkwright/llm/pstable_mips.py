@@ -90,11 +90,13 @@ def choose_visits(x: np.ndarray, hashes: Hashes, k: int = K) -> int:
     return min(visits, len(hashes.steps))
 
 
-def _best(scores: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k best (score, then smaller id), and somewhat more at the edge."""
-    if scores.shape[1] <= k + 8:
-        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    return np.argpartition(-scores, k + 8, axis=1)[:, :k + 8]
+def _best(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of y, rows of x) of every product at or above the row's k-th best, within rounding."""
+    scores = y @ x.T
+    if scores.shape[1] <= k:
+        return np.nonzero(np.ones(scores.shape, bool))
+    slack = 4 * x.shape[1] * np.finfo(scores.dtype).eps * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
+    return np.nonzero(scores >= (np.partition(scores, -k, axis=1)[:, -k] - slack)[:, None])
 
 
 def _block(k: int):
@@ -105,8 +107,8 @@ def _block(k: int):
         x, y, low = np.stack(d["v"].to_numpy()), np.stack(q["v"].to_numpy()), d["low"].to_numpy()
         out = []
         for lo in range(0, len(y), 256):
-            near = _best(y[lo:lo + 256] @ x.T, low, k)
-            i, j = np.repeat(np.arange(lo, lo + len(near)), near.shape[1]), near.ravel()
+            i, j = _best(x, y[lo:lo + 256], k)
+            i = i + lo
             exact = (y[i] * x[j]).sum(-1)
             order = np.lexsort((low[j], -exact, i))
             i, j, exact = i[order], j[order], exact[order]

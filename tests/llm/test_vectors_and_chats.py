@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparkwright.llm import pstable_mips, quotes
@@ -33,6 +34,13 @@ def test_search_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_ties_at_the_cut_go_to_the_smaller_ids():
+    low = np.random.default_rng(5).permutation(90)
+    rows = [(False, [0.0, float(i + 1)], int(v), 0, int(v)) for i, v in enumerate(low)] + [(True, [1.0, 0.0], 500, 0, 500)]
+    got = pstable_mips._block(20)(pd.DataFrame(rows, columns=["query", "v", "k1", "k2", "low"]))
+    assert got["low"].tolist() == list(range(20)) and (got["score"] == 0).all()
+
+
 def test_vectors_that_take_no_part(spark):
     ok = [(i, [math.cos(i), math.sin(i), 0.5], 0, 0.0) for i in range(0, 120, 5)]
     odd = [(200, None, 0, 0.0), (220, [0.0, 0.0, 0.0], 0, 0.0), (240, [float("nan"), 1.0, 1.0], 0, 0.0), (260, [float("inf"), 1.0, 1.0], 0, 0.0),
