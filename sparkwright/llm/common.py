@@ -36,7 +36,15 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = hpath
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove the files of staged tables that no result needs any more."""
+    for df in staged:
+        df._folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._folder, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
