@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["quality_knn", "line_dedup", "simhash_bytes", "toxicity_bigru", "pstable_mips", "quotes", "bmw_search", "suffix_dedup", "sp_sampling", "packing_nnls", "rotated_codes", "spelling_trie"]
+_MODULES = ["quality_knn", "line_dedup", "simhash_bytes", "toxicity_bigru", "pstable_mips", "quotes", "bmw_search", "suffix_dedup", "sp_sampling", "packing_nnls", "word_runs", "spelling_trie", "rotated_codes"]
 
 
 def _load():

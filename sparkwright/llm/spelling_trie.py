@@ -10,7 +10,7 @@ the leaves reached are verified by their common prefix and suffix.
 
 Parts: the first ``_TOP`` counts of a word name its shard. A query goes to every shard that its
 budget can reach, and a pair is looked for from one side only: from the shorter word, or
-between equal lengths from the word in the shard of smaller name. A shard with more than
+between equal lengths from the word whose shard comes first. A shard with more than
 ``_BLOCK`` words or queries is cut by a hash into parts of bounded size that meet pairwise.
 
 Defined cases: null and empty texts have no words; repeated rows count each; a null doc_id is
