@@ -203,6 +203,8 @@ def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 def _long(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, blk = rows["i"].iat[0], rows["j"].iat[0], rows["blk"].to_numpy()
+        if i != j and (blk == blk[0]).all():  # the hash has left one of the two blocks empty
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in "abn"})
         a = Entries.of(rows[blk == i])
         table = int(rows["slot"].iat[0]) >> 16
         if i == j:
