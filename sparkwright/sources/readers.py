@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkwright.sources import csv_splits
+
 # Keys that commonly wrap a list of records in a JSON document, in
 # preference order.
 RECORD_LIST_KEYS = ["records", "data", "items", "rows", "results"]
+# Texts that a CSV reader of data frames takes for a missing value.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+           "n/a", "nan", "null"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +28,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get("sparkwright.spreadScans", "false") == "true" else df
 
 
-def normalize_blanks(df: DataFrame) -> DataFrame:
-    """Whitespace-only text becomes null in every string column (one projection)."""
+def normalize_blanks(df: DataFrame, missing: list[str] | None = None) -> DataFrame:
+    """Whitespace-only text, and the texts in ``missing``, become null in every string column (one projection)."""
     cols = []
     for field in df.schema.fields:
         name = f"`{field.name}`"
         if isinstance(field.dataType, T.StringType):
-            cols.append(F.when(~F.col(name).rlike(r"^\s*$"), F.col(name)).alias(field.name))
+            text = ~F.col(name).rlike(r"^\s*$")
+            cols.append(F.when(text & ~F.col(name).isin(missing) if missing else text, F.col(name)).alias(field.name))
         else:
             cols.append(F.col(name))
     return df.select(*cols)
@@ -47,24 +53,26 @@ def validate_table(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, max_rows: int | None = None,
              fallback_encoding: str = "ISO-8859-1") -> DataFrame:
     """Header CSV, all columns as text; quotes are doubled inside quotes, and quoted values may
-    hold line breaks (such files are read whole by one task each, so scale comes from many files).
+    hold line breaks. A file is read by as many tasks as it has ranges (``sources/csv_splits.py``).
 
-    A file that is not valid UTF-8, header included, is read with ``fallback_encoding``. The
-    test looks at the raw bytes; U+FFFD in a valid file stays what it is.
+    The markers in ``MISSING`` and blank values become null, quoted or not. Short records are
+    filled with nulls; a record with more fields than the header, or with quotes that never
+    end, raises when it is read; so do files with different headers. Blank lines are skipped.
+    A file that is not valid UTF-8, header included, is read with ``fallback_encoding``.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
-    place = F.col("_metadata.file_path")
-    raw = spark.read.text(path).select(place.alias("_file"), F.col("value"))
-    broken = raw.filter(~F.is_valid_utf8("value")).select("_file").distinct()
-    utf8 = spark.read.options(**options, encoding="UTF-8").csv(path)
-    if broken.isEmpty():
-        df = utf8
-    else:
-        other = spark.read.options(**options, encoding=fallback_encoding).csv(path)
-        names = [b if "\ufffd" in a else a for a, b in zip(utf8.columns, other.columns)]
-        tagged = [d.toDF(*names).select("*", place.alias("_file")) for d in (utf8, other)]
-        df = tagged[0].join(broken, "_file", "left_anti").unionByName(tagged[1].join(broken, "_file", "left_semi")).drop("_file")
-    df = normalize_blanks(df)
+    known = csv_splits.ranges(spark, path)
+    names = csv_splits.header(known, fallback_encoding)
+    found = csv_splits.records(spark, path, known, len(names))
+    whole = F.when(F.col("kind") == csv_splits.WHOLE, F.lit(True))
+    for kind, says in ((csv_splits.SURPLUS, f"A record has more than {len(names)} fields: "), (csv_splits.UNCLOSED, "The quotes of a record never end: ")):
+        start = F.decode(F.substring("record", 1, 200), "ISO-8859-1")
+        whole = whole.when(F.col("kind") == kind, F.raise_error(F.concat(F.lit(says), start)).cast("boolean"))
+    text = F.when(F.col("latin"), F.decode("record", fallback_encoding)).otherwise(F.col("record").cast("string"))
+    text = F.regexp_replace(text, r"\r\z", "")
+    shape = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(names) + 1))}
+    df = found.where(whole).select(F.from_csv(text, shape.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*").toDF(*names)
+    df = normalize_blanks(df, MISSING)
     if max_rows is not None:
         df = df.limit(int(max_rows))
     return validate_table(df)
