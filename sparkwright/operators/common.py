@@ -66,6 +66,17 @@ def flag_duplicates(df: DataFrame, subset: list[str], order_cols: list[str],
     return joined.withColumn(flag, as_bool_flag(order != F.col("_first"))).drop("_first", "_d1", "_d2")
 
 
+def distinct_records(df: DataFrame, fields: list[str], counted: list[str] = ()) -> DataFrame:
+    """One row per distinct record (nulls equal) with ``copies``, and ``n_<column>``: how many copies have that column.
+
+    What statistics need instead of a duplicate flag on every row: one aggregation over one
+    evaluation of ``df``, combined map-side, so a record that fills a third of the table is
+    one row per task. ``is_duplicate_row`` is false throughout.
+    """
+    counts = [F.count(F.col(f"`{c}`")).alias(f"n_{c}") for c in counted]
+    return df.groupBy(*fields).agg(F.count(F.lit(1)).alias("copies"), *counts).withColumn("is_duplicate_row", F.lit(False))
+
+
 def dedupe_keep_first(df: DataFrame, subset: list[str], order_cols: list[str]) -> DataFrame:
     """Drop all but the first copy of each group of rows equal on ``subset``."""
     flagged = flag_duplicates(df, subset, order_cols, "_dup")

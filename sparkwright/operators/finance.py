@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import clean_text, money, parse_dates, to_number
-from sparkwright.operators.common import apply_mapping, flag_duplicates
+from sparkwright.operators.common import apply_mapping, distinct_records, flag_duplicates
 from sparkwright.operators.manufacturing import issue_table
+from sparkwright.sources.sinks import stage_table
 from sparkwright.templates import COST_TYPES, FINANCE_OPTIONAL, FINANCE_REQUIRED, REVENUE_TYPES
 
 FIELDS = FINANCE_REQUIRED + FINANCE_OPTIONAL
@@ -27,23 +28,36 @@ def normalize_type(c: Column) -> Column:
     return F.when(norm.isin(REVENUE_TYPES), "revenue").when(norm.isin(COST_TYPES), "cost")
 
 
-def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+def _typed(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
     base = apply_mapping(raw, mapping, FIELDS, keep=order_cols)
-    typed = base.select(
+    return base.select(
         *[clean_text(f).alias(f) for f in TEXT_FIELDS],
         F.col("date").cast("string").alias("original_date"),
         parse_dates("date", _dtype(raw, mapping, "date")).alias("date"),
         *[to_number(f, _dtype(raw, mapping, f)).alias(f) for f in NUMERIC_FIELDS],
         *order_cols,
     )
-    flagged = flag_duplicates(typed, FIELDS, order_cols)
+
+
+def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+    """Every row with its flags; rows are identified by ``order_cols``. The typed rows are written once, as the flag reads them twice."""
+    return _flagged(flag_duplicates(stage_table(_typed(raw, mapping, order_cols), "finance"), FIELDS, order_cols), [*order_cols, *FIELDS, "original_date"])
+
+
+def records(raw: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
+    """Distinct records with their flags and ``copies``: what the KPI tables are made of."""
+    found = distinct_records(_typed(raw, mapping, []), FIELDS, ["original_date"])
+    return _flagged(found.withColumn("original_date", F.when(F.col("n_original_date") > 0, F.lit(""))), [*FIELDS, "copies", "n_original_date"])
+
+
+def _flagged(flagged: DataFrame, kept: list[str]) -> DataFrame:
     ntype = normalize_type(F.col("type"))
     amount = F.col("amount")
     invalid_amount = amount.isNull()
     zero_amount = F.coalesce(amount, F.lit(0.0)) == 0
     abs_amount = F.abs(amount)
     return flagged.select(
-        *order_cols, *FIELDS, "original_date",
+        *kept,
         ntype.alias("normalized_type"),
         "is_duplicate_row",
         (F.col("original_date").isNotNull() & F.col("date").isNull()).alias("is_invalid_date"),
@@ -162,4 +176,4 @@ def issue_summary(prepared: DataFrame) -> DataFrame:
          "Rows are excluded because revenue/cost meaning is ambiguous."),
         ("Missing categories", "is_missing_category", "Low",
          "Rows remain in totals but are less useful for category reporting."),
-    ])
+    ], {"is_invalid_date": "n_original_date"})

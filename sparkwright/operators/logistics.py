@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import as_bool_flag, clean_text, money, parse_dates, to_number
-from sparkwright.operators.common import apply_mapping, flag_duplicates
+from sparkwright.operators.common import apply_mapping, distinct_records, flag_duplicates
 from sparkwright.operators.manufacturing import issue_table
 from sparkwright.operators.ranking import exact_quantile
+from sparkwright.sources.sinks import stage_table
 from sparkwright.templates import LOGISTICS_OPTIONAL, LOGISTICS_REQUIRED
 
 FIELDS = LOGISTICS_REQUIRED + LOGISTICS_OPTIONAL
@@ -30,23 +31,38 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(_DAY_MICROS)).cast("long")
 
 
-def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+def _typed(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
     base = apply_mapping(raw, mapping, FIELDS, keep=order_cols)
-    typed = base.select(
+    return base.select(
         *[clean_text(f).alias(f) for f in TEXT_FIELDS],
         *[F.col(f).cast("string").alias(f"original_{f}") for f in DATE_FIELDS],
         *[parse_dates(f, _dtype(raw, mapping, f)).alias(f) for f in DATE_FIELDS],
         to_number("shipping_cost", _dtype(raw, mapping, "shipping_cost")).alias("shipping_cost"),
         *order_cols,
     )
+
+
+def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+    """Every row with its flags; rows are identified by ``order_cols``. The typed rows are written once, as the flag reads them twice."""
+    typed = stage_table(_typed(raw, mapping, order_cols), "logistics")
     flagged = flag_duplicates(typed, FIELDS, order_cols)
-    # The 98th percentile is one value, attached as a scalar subquery.
-    p98 = exact_quantile(typed, "shipping_cost", HIGH_COST_QUANTILE, "_p98").scalar()
+    return _flagged(flagged, typed, None, [*order_cols, *FIELDS, *[f"original_{f}" for f in DATE_FIELDS]])
+
+
+def records(raw: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
+    """Distinct records with their flags and ``copies``: what the KPI tables are made of."""
+    originals = [f"original_{f}" for f in DATE_FIELDS]
+    found = distinct_records(_typed(raw, mapping, []), FIELDS, originals)
+    found = found.withColumns({c: F.when(F.col(f"n_{c}") > 0, F.lit("")) for c in originals})
+    return _flagged(found, found, "copies", [*FIELDS, "copies", *[f"n_{c}" for c in originals]])
+
+
+def _flagged(flagged: DataFrame, costs: DataFrame, weight: str | None, kept: list[str]) -> DataFrame:
+    # The 98th percentile is one value, attached as a scalar subquery; unused, it is not computed.
+    p98 = exact_quantile(costs, "shipping_cost", HIGH_COST_QUANTILE, "_p98", weight_col=weight).scalar()
     delay = elapsed_days(F.col("delivery_date"), F.col("planned_delivery_date"))
     return flagged.select(
-        *order_cols, *FIELDS,
-        *[f"original_{f}" for f in DATE_FIELDS],
-        "is_duplicate_row",
+        *kept, "is_duplicate_row",
         F.col("carrier").isNull().alias("is_missing_carrier"),
         F.col("delivery_date").isNull().alias("is_missing_delivery_date"),
         (F.col("original_order_date").isNotNull() & F.col("order_date").isNull()).alias("is_invalid_order_date"),
@@ -173,4 +189,4 @@ def issue_summary(prepared: DataFrame) -> DataFrame:
          "Rows are excluded from delay metrics."),
         ("High shipping cost outliers", "is_high_shipping_cost", "Business review",
          "Rows are retained but should be reviewed."),
-    ])
+    ], {"is_invalid_order_date": "n_original_order_date", "is_invalid_planned_delivery_date": "n_original_planned_delivery_date"})

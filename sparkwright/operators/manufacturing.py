@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import as_bool_flag, clean_text, exact, parse_dates, to_number
-from sparkwright.operators.common import apply_mapping, flag_duplicates
+from sparkwright.operators.common import apply_mapping, distinct_records, flag_duplicates
+from sparkwright.sources.sinks import stage_table
 from sparkwright.templates import MANUFACTURING_OPTIONAL, MANUFACTURING_REQUIRED
 
 FIELDS = MANUFACTURING_REQUIRED + MANUFACTURING_OPTIONAL
@@ -34,23 +35,38 @@ def rate(num: Column, den: Column, scale: int = 4) -> Column:
     return F.when(den > 0, F.round(num.cast("double") / den.cast("double"), scale))
 
 
-def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+def _typed(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
     base = apply_mapping(raw, mapping, FIELDS, keep=order_cols)
-    typed = base.select(
+    return base.select(
         F.col("timestamp").cast("string").alias("original_timestamp"),
         parse_dates("timestamp", _dtype(raw, mapping, "timestamp")).alias("timestamp"),
         *[clean_text(f).alias(f) for f in TEXT_FIELDS],
         *[to_number(f, _dtype(raw, mapping, f)).alias(f) for f in NUMERIC_FIELDS],
         *order_cols,
     )
-    flagged = flag_duplicates(typed, DUPLICATE_FIELDS, order_cols)
+
+
+def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+    """Every row with its flags; rows are identified by ``order_cols``. The typed rows are written once, as the flag reads them twice."""
+    flagged = flag_duplicates(stage_table(_typed(raw, mapping, order_cols), "manufacturing"), DUPLICATE_FIELDS, order_cols)
+    return _flagged(flagged, [*order_cols, *FIELDS, "original_timestamp"])
+
+
+def records(raw: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
+    """Distinct records with their flags and ``copies``: what the KPI tables are made of."""
+    found = distinct_records(_typed(raw, mapping, []), list(dict.fromkeys([*DUPLICATE_FIELDS, *FIELDS])), ["original_timestamp"])
+    found = found.withColumn("original_timestamp", F.when(F.col("n_original_timestamp") > 0, F.lit("")))
+    return _flagged(found, [*FIELDS, "copies", "n_original_timestamp"])
+
+
+def _flagged(flagged: DataFrame, kept: list[str]) -> DataFrame:
     actual, scrap, down = F.col("actual_output"), F.col("scrap_count"), F.col("downtime_minutes")
     planned = F.col("planned_output")
     invalid_output = actual.isNull() | as_bool_flag(actual < 0)
     invalid_scrap = scrap.isNull() | as_bool_flag(scrap < 0)
     invalid_down = down.isNull() | as_bool_flag(down < 0)
     return flagged.select(
-        *order_cols, *FIELDS, "original_timestamp", "is_duplicate_row",
+        *kept, "is_duplicate_row",
         F.col("machine_id").isNull().alias("is_missing_machine"),
         (F.col("original_timestamp").isNotNull() & F.col("timestamp").isNull()).alias("is_invalid_timestamp"),
         invalid_output.alias("is_invalid_output"),
@@ -185,12 +201,21 @@ def issue_summary(prepared: DataFrame) -> DataFrame:
         ("Missing shift values", "is_missing_shift", "Low",
          "Rows remain in core KPIs but are not useful for shift cuts."),
     ]
-    return issue_table(prepared, checks)
+    return issue_table(prepared, checks, {"is_invalid_timestamp": "n_original_timestamp"})
+
+
+def flag_count(rows: DataFrame, flag: str, weights: dict[str, str] | None = None) -> Column:
+    """Rows with a flag; distinct records count as their copies, or as what ``weights`` names for the flag."""
+    if "copies" not in rows.columns:
+        return F.count_if(flag)
+    if flag == "is_duplicate_row":
+        return F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
+    return F.coalesce(F.sum(F.when(F.col(flag), F.col((weights or {}).get(flag, "copies")))), F.lit(0))
 
 
-def issue_table(prepared: DataFrame, checks: list[tuple[str, str, str, str]]) -> DataFrame:
+def issue_table(prepared: DataFrame, checks: list[tuple[str, str, str, str]], weights: dict[str, str] | None = None) -> DataFrame:
     """One scan: count every flag, then one row per check."""
-    counts = prepared.agg(*[F.count_if(flag).alias(f"_c{i}") for i, (_, flag, _, _) in enumerate(checks)])
+    counts = prepared.agg(*[flag_count(prepared, flag, weights).alias(f"_c{i}") for i, (_, flag, _, _) in enumerate(checks)])
     rows = [F.struct(F.lit(label).alias("issue"), F.col(f"_c{i}").cast("long").alias("row_count"),
                      F.lit(sev).alias("severity"), F.lit(note).alias("analysis_handling"))
             for i, (label, _, sev, note) in enumerate(checks)]

@@ -1,7 +1,7 @@
 """Retail / sales template: preparation flags, KPI tables, RFM segmentation.
 
-Plan shape: one projection (mapping, casts, flags) + one grouped duplicate check joined
-back, then one aggregate per output. Distinct order counts are computed in two stages
+Plan shape: one projection (mapping, casts, flags), one aggregation to distinct records, then
+one aggregate per output; only the row-level table joins a duplicate flag back. Distinct order counts are computed in two stages
 (per order, then per output key) so a hot order is combined map-side.
 """
 
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import as_bool_flag, clean_text, money, parse_dates, to_number
-from sparkwright.operators.common import apply_mapping, attach_row, flag_duplicates
+from sparkwright.operators.common import apply_mapping, attach_row, distinct_records, flag_duplicates
+from sparkwright.operators.manufacturing import flag_count
 from sparkwright.operators.ranking import average_percent_rank
+from sparkwright.sources.sinks import stage_table
 from sparkwright.templates import RETAIL_OPTIONAL, RETAIL_REQUIRED
 
 RETAIL_FIELDS = RETAIL_REQUIRED + RETAIL_OPTIONAL
@@ -30,12 +32,11 @@ def _dtype(raw: DataFrame, mapping: dict, field: str) -> T.DataType | None:
     return raw.schema[src].dataType if src and src in raw.columns else T.StringType()
 
 
-def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
-    """Canonical columns + flags + revenues; no row is dropped."""
+def _typed(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
     base = apply_mapping(raw, mapping, RETAIL_FIELDS, keep=order_cols)
     qty = to_number("quantity", _dtype(raw, mapping, "quantity"))
     price = to_number("unit_price", _dtype(raw, mapping, "unit_price"))
-    typed = base.select(
+    return base.select(
         *[clean_text(f).alias(f) if f in _TEXT_FIELDS else F.col(f) for f in RETAIL_FIELDS if f not in
           ("order_date", "quantity", "unit_price")],
         F.col("order_date").cast("string").alias("original_order_date"),
@@ -44,16 +45,31 @@ def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str
         price.alias("unit_price"),
         *order_cols,
     )
-    flagged = flag_duplicates(typed, DUPLICATE_FIELDS, order_cols)
+
+
+def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str]) -> DataFrame:
+    """Canonical columns + flags + revenues; no row is dropped."""
+    flagged = flag_duplicates(stage_table(_typed(raw, mapping, order_cols), "retail"), DUPLICATE_FIELDS, order_cols)
+    return _flagged(flagged, order_cols, ["original_order_date"])
+
+
+def records(raw: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
+    """Distinct records with their flags, revenues and ``copies``: what the KPI tables are made of."""
+    found = distinct_records(_typed(raw, mapping, []), DUPLICATE_FIELDS, ["original_order_date"])
+    found = found.withColumn("original_order_date", F.when(F.col("n_original_order_date") > 0, F.lit("")))
+    return _flagged(found, [], ["copies", "n_original_order_date"])
+
+
+def _flagged(flagged: DataFrame, before: list[str], kept: list[str]) -> DataFrame:
     q, p, d = F.col("quantity"), F.col("unit_price"), F.col("order_date")
     status = F.lower(F.coalesce(F.col("invoice_status"), F.lit("")))
     dup = F.col("is_duplicate_row")
     cancelled = status.rlike(CANCEL_PATTERN)
     valid = d.isNotNull() & q.isNotNull() & p.isNotNull() & as_bool_flag((q > 0) & (p > 0)) & ~cancelled & ~dup
     return flagged.select(
-        *order_cols,
+        *before,
         "order_id", "order_date", "customer_id", "product_name", "quantity", "unit_price",
-        "country", "product_category", "invoice_status", "original_order_date",
+        "country", "product_category", "invoice_status", *kept,
         as_bool_flag(q < 0).alias("is_return"),
         (p.isNull() | as_bool_flag(p <= 0)).alias("is_invalid_price"),
         F.col("customer_id").isNull().alias("is_missing_customer"),
@@ -79,7 +95,7 @@ def cleaned_orders(prepared: DataFrame) -> DataFrame:
         F.col("unit_price").cast("double").alias("unit_price"),
         F.coalesce(F.col("country").cast("string"), F.lit("Unknown")).alias("country"),
         F.coalesce(F.col("invoice_status").cast("string"), F.lit("Unknown")).alias("invoice_status"),
-        "original_order_date",
+        *[c for c in ("original_order_date", "copies") if c in prepared.columns],
         "is_return", "is_invalid_price", "is_missing_customer", "is_invalid_date", "is_cancelled",
         "is_duplicate_row", "is_analysis_valid",
         F.col("gross_revenue").cast("double").alias("gross_revenue"),
@@ -195,33 +211,38 @@ def segment_summary(segments: DataFrame) -> DataFrame:
                  _r2(F.sum(money("monetary"))).alias("revenue")))
 
 
-def kpis(cleaned: DataFrame, base: DataFrame) -> DataFrame:
-    """One-row KPI table."""
-    not_dup = ~F.col("is_duplicate_row")
-    per_order = (cleaned.groupBy("order_id")
-                 .agg(F.sum(money("gross_revenue")).alias("g"),
-                      F.sum(money("net_revenue")).alias("n"),
-                      F.sum(F.when(F.col("is_analysis_valid"), money("quantity")).otherwise(F.lit(0)))
-                      .alias("qty"),
-                      F.count_if(F.col("is_return") & not_dup).alias("ret"),
-                      F.count_if(not_dup).alias("rows_nd"),
-                      F.max("is_analysis_valid").alias("v"),
-                      F.max(F.col("is_cancelled") & not_dup).alias("c"),
-                      F.max(not_dup).alias("nd")))
-    has_id = F.col("order_id").isNotNull()
-    totals = per_order.agg(
-        F.coalesce(F.sum("g"), F.lit(0)).alias("g"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("qty"), F.lit(0)).alias("qty"),
-        F.coalesce(F.sum("ret"), F.lit(0)).alias("ret"),
-        F.coalesce(F.sum("rows_nd"), F.lit(0)).alias("rows_nd"),
-        F.count_if(F.col("v") & has_id).alias("orders"),
-        F.count_if(F.col("c") & has_id).alias("cancelled"),
-        F.count_if(F.col("nd") & has_id).alias("orders_nd"))
-    customers = (_customer_rows(cleaned).select("customer_id").distinct()
-                 .agg(F.count(F.lit(1)).alias("customers")))
+_TOTALS = ["g", "n", "qty", "ret", "rows_nd", "v", "c", "nd"]
+
+
+def _per_order_and_customer(cleaned: DataFrame) -> DataFrame:
+    """Totals and marks (0 or 1) per order and customer, in one array.
+
+    Everything in :func:`kpis` starts here. One array, because aggregates that a branch does
+    not use would be pruned from it, and branches that differ cannot share the exchange.
+    """
+    not_dup, one = ~F.col("is_duplicate_row"), F.lit(1)
+    n_if = lambda c: F.count_if(c)
+    mark = lambda c: F.max(F.when(c, one).otherwise(F.lit(0)))
+    parts = [F.sum(money("gross_revenue")), F.sum(money("net_revenue")), F.sum(F.when(F.col("is_analysis_valid"), money("quantity"))),
+             n_if(F.col("is_return") & not_dup), n_if(not_dup), mark(F.col("is_analysis_valid")), mark(F.col("is_cancelled") & not_dup), mark(not_dup)]
+    return cleaned.groupBy("order_id", "customer_id").agg(F.array(*[F.coalesce(c, F.lit(0)).cast(T.DecimalType(38, 6)) for c in parts]).alias("a"))
+
+
+def kpis(cleaned: DataFrame) -> DataFrame:
+    """One-row KPI table; the source is evaluated once, the branches share its exchange."""
+    part = _per_order_and_customer(cleaned)
+    at = lambda name: F.element_at("a", _TOTALS.index(name) + 1)
+    per_order = part.groupBy("order_id").agg(*[F.sum(at(c)).alias(c) for c in _TOTALS[:5]], *[F.max(at(c)).alias(c) for c in _TOTALS[5:]])
+    marked = lambda c: F.count_if((F.col(c) > 0) & F.col("order_id").isNotNull())
+    totals = per_order.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TOTALS[:5]],
+                           marked("v").alias("orders"), marked("c").alias("cancelled"), marked("nd").alias("orders_nd"))
+    per_customer = part.groupBy("customer_id").agg(F.sum(at("n")).alias("n"), F.max(at("v")).alias("v"))
+    # no filters: they would reach below the shared exchange
+    known = F.coalesce((F.col("v") > 0) & (F.trim("customer_id") != ""), F.lit(False))
+    customers = per_customer.agg(F.count_if(known).alias("customers"))
+    monetary = F.when(known & (_r2(F.col("n")) > 0), _r2(F.col("n")))
     # Top-10 by monetary: per-partition top-k merged, bounded to 10 rows.
-    top10 = (base.orderBy(F.desc("monetary"), "customer_id").limit(10)
+    top10 = (per_customer.select("customer_id", monetary.alias("monetary")).orderBy(F.desc_nulls_last("monetary"), "customer_id").limit(10)
              .agg(F.coalesce(F.sum(money("monetary")), F.lit(0)).alias("top10")))
     row = attach_row(attach_row(totals, customers, "_c"), top10, "_t")
     n = F.col("n").cast("double")
@@ -246,13 +267,9 @@ def kpis(cleaned: DataFrame, base: DataFrame) -> DataFrame:
 
 def issue_summary(prepared: DataFrame) -> DataFrame:
     """Fixed list of (issue, row_count, severity, analysis_handling)."""
-    counts = prepared.agg(
-        F.count_if("is_duplicate_row").alias("dup"),
-        F.count_if("is_missing_customer").alias("missing_customer"),
-        F.count_if("is_return").alias("returns"),
-        F.count_if("is_invalid_price").alias("bad_price"),
-        F.count_if("is_invalid_date").alias("bad_date"),
-        F.count_if("is_cancelled").alias("cancelled"))
+    flags = {"dup": "is_duplicate_row", "missing_customer": "is_missing_customer", "returns": "is_return", "bad_price": "is_invalid_price",
+             "bad_date": "is_invalid_date", "cancelled": "is_cancelled"}
+    counts = prepared.agg(*[flag_count(prepared, flag, {"is_invalid_date": "n_original_order_date"}).alias(name) for name, flag in flags.items()])
     # Issue labels, severities and handling notes.
     return counts.select(F.inline(F.array(
         _issue("Duplicate rows", "dup", "Medium",
@@ -283,9 +300,10 @@ def controlled_orders(cleaned: DataFrame, start=None, end=None, values: dict[str
 
 
 def top_products(orders: DataFrame, measure: str = "net_revenue", n: int = 10) -> DataFrame:
-    """Revenue (the chosen measure) and quantity per product; every row with a product counts."""
+    """Revenue (the chosen measure) and quantity per product; every row with a product counts, copies too."""
+    pieces = money("quantity") * F.col("copies") if "copies" in orders.columns else money("quantity")
     agg = (orders.filter(F.col("product_name").isNotNull()).groupBy("product_name")
-           .agg(_r2(F.sum(money(measure))).alias("revenue"), _r2(F.sum(money("quantity"))).alias("quantity")))
+           .agg(_r2(F.sum(money(measure))).alias("revenue"), _r2(F.sum(pieces)).alias("quantity")))
     return agg.orderBy(F.desc("revenue"), "product_name").limit(n)
 
 

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from sparkwright.operators import controls as C
 from sparkwright.operators import finance as FN
 from sparkwright.plans.manufacturing import issue_sql
-from sparkwright.plans.shared import shared
 from sparkwright.sources.fixtures import FINANCE_MAPPING, FINANCE_ROW_KEY, finance_raw
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "fin_prepared",
-                  lambda: FN.prepare(finance_raw(spark, sf_dir), FINANCE_MAPPING, FINANCE_ROW_KEY))
+    return FN.prepare(finance_raw(spark, sf_dir), FINANCE_MAPPING, FINANCE_ROW_KEY)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct records: KPI tables need no duplicate flag on every row."""
+    return FN.records(finance_raw(spark, sf_dir), FINANCE_MAPPING)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FN.analysis_rows(prepared(spark, sf_dir))
+    return FN.analysis_rows(records(spark, sf_dir))
 
 
 def _category_of(kind: str):
@@ -38,14 +41,14 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "fin_prepare": prepared,
-    "fin_issue_summary": lambda s, d: FN.issue_summary(prepared(s, d)),
+    "fin_issue_summary": lambda s, d: FN.issue_summary(records(s, d)),
     "fin_kpis": lambda s, d: FN.kpis(rows(s, d)),
     "fin_monthly_summary": lambda s, d: FN.monthly_summary(rows(s, d)),
     "fin_category_summary": lambda s, d: FN.category_summary(rows(s, d)),
     "fin_cost_by_category": _category_of("cost"),
     "fin_revenue_by_category": _category_of("revenue"),
     "fin_cost_center_summary": lambda s, d: FN.cost_center_summary(rows(s, d)),
-    "fin_largest_transactions": lambda s, d: FN.largest_transactions(rows(s, d)),
+    "fin_largest_transactions": lambda s, d: FN.largest_transactions(FN.analysis_rows(prepared(s, d))),
     "fin_budget_vs_actual": lambda s, d: FN.budget_vs_actual(rows(s, d)),
     "fin_controlled_monthly": lambda s, d: FN.controlled_monthly(rows(s, d)),
     "fin_controlled_monthly_chosen": lambda s, d: FN.controlled_monthly(chosen(s, d)),

@@ -107,7 +107,7 @@ QUERIES = {
     "pack_tables": packed,
     "kpi_long": kpis_long,
     "save_restore_project": save_restore,
-    "run_named_sql": lambda s, d: SK.run_named_sql(s, NAMED_SQL, orders=RP.cleaned(s, d)),
+    "run_named_sql": lambda s, d: SK.run_named_sql(s, NAMED_SQL, orders=RP.cleaned_rows(s, d)),
 }
 
 

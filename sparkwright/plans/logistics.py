@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkwright.operators import controls as C
 from sparkwright.operators import logistics as L
 from sparkwright.plans.manufacturing import issue_sql
-from sparkwright.plans.shared import shared
 from sparkwright.sources.fixtures import LOGISTICS_MAPPING, LOGISTICS_ROW_KEY, logistics_raw
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "log_prepared",
-                  lambda: L.prepare(logistics_raw(spark, sf_dir), LOGISTICS_MAPPING, LOGISTICS_ROW_KEY))
+    return L.prepare(logistics_raw(spark, sf_dir), LOGISTICS_MAPPING, LOGISTICS_ROW_KEY)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct records: KPI tables need no duplicate flag on every row."""
+    return L.records(logistics_raw(spark, sf_dir), LOGISTICS_MAPPING)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.analysis_rows(prepared(spark, sf_dir))
+    return L.analysis_rows(records(spark, sf_dir))
 
 
 START, END, CARRIERS = dt.date(1996, 1, 1), dt.date(1997, 12, 31), [f"Supplier#{i:09d}" for i in range(1, 9)]
@@ -33,14 +36,14 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "log_prepare": prepared,
-    "log_issue_summary": lambda s, d: L.issue_summary(prepared(s, d)),
+    "log_issue_summary": lambda s, d: L.issue_summary(records(s, d)),
     "log_kpis": lambda s, d: L.kpis(rows(s, d)),
     "log_shipments_over_time": lambda s, d: L.shipments_over_time(rows(s, d)),
     "log_lead_time_over_time": lambda s, d: L.lead_time_over_time(rows(s, d)),
     "log_status_summary": lambda s, d: L.status_summary(rows(s, d)),
     "log_carrier_performance": lambda s, d: L.carrier_performance(rows(s, d)),
     "log_destination_performance": lambda s, d: L.destination_performance(rows(s, d)),
-    "log_delayed_shipments": lambda s, d: L.delayed_shipments(rows(s, d)),
+    "log_delayed_shipments": lambda s, d: L.delayed_shipments(L.analysis_rows(prepared(s, d))),
     "log_controlled_trend": lambda s, d: L.controlled_trend(rows(s, d), "delivery_date", "average_lead_time_days"),
     "log_controlled_trend_chosen": lambda s, d: L.controlled_trend(chosen(s, d), "delivery_date", "average_lead_time_days"),
     "log_carrier_ranking_chosen": lambda s, d: L.ranking(chosen(s, d), "carrier", "shipment_count", 10),

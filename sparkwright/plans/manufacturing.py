@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkwright.operators import controls as C
 from sparkwright.operators import manufacturing as M
-from sparkwright.plans.shared import shared
 from sparkwright.sources.fixtures import MANUFACTURING_MAPPING, MANUFACTURING_ROW_KEY, manufacturing_raw
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "mfg_prepared",
-                  lambda: M.prepare(manufacturing_raw(spark, sf_dir), MANUFACTURING_MAPPING, MANUFACTURING_ROW_KEY))
+    return M.prepare(manufacturing_raw(spark, sf_dir), MANUFACTURING_MAPPING, MANUFACTURING_ROW_KEY)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct records: KPI tables need no duplicate flag on every row."""
+    return M.records(manufacturing_raw(spark, sf_dir), MANUFACTURING_MAPPING)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.analysis_rows(prepared(spark, sf_dir))
+    return M.analysis_rows(records(spark, sf_dir))
 
 
 START, END, SHIFTS = dt.date(1996, 1, 1), dt.date(1997, 12, 31), ["Day"]
@@ -32,7 +35,7 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "mfg_prepare": prepared,
-    "mfg_issue_summary": lambda s, d: M.issue_summary(prepared(s, d)),
+    "mfg_issue_summary": lambda s, d: M.issue_summary(records(s, d)),
     "mfg_kpis": lambda s, d: M.kpis(rows(s, d)),
     "mfg_machine_performance": lambda s, d: M.machine_performance(rows(s, d)),
     "mfg_output_over_time": lambda s, d: M.over_time(rows(s, d), "actual_output"),

@@ -13,19 +13,18 @@ from sparkwright.functions import NUMBER_PATTERN
 from sparkwright.operators import dictionary as DICT
 from sparkwright.operators import profile as PR
 from sparkwright.operators.ranking import exact_quantiles
-from sparkwright.plans.shared import shared
 from sparkwright.sources.fixtures import RETAIL_MAPPING, RETAIL_ROW_KEY, retail_raw
 from sparkwright.sources.readers import read_table
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "retail_raw", lambda: retail_raw(spark, sf_dir))
+    return retail_raw(spark, sf_dir)
 
 
 def raw_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source with a dense ``source_row_id`` in line-key order (computed once, shared)."""
     from sparkwright.operators.ranking import with_row_id
-    return shared(spark, sf_dir, "retail_raw_with_id", lambda: with_row_id(retail_raw(spark, sf_dir), RETAIL_ROW_KEY))
+    return with_row_id(retail_raw(spark, sf_dir), RETAIL_ROW_KEY)
 
 
 def data_dictionary(s, d):

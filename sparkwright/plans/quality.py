@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sparkwright.operators import quality as Q
 from sparkwright.operators.ranking import with_row_id
-from sparkwright.plans.shared import shared
 from sparkwright.sources import fixtures as FX
 from sparkwright.sources.readers import read_table
 from sparkwright.templates import RULE_TEMPLATE_LABELS

@@ -7,16 +7,23 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwright.operators import retail as R
-from sparkwright.plans.shared import shared
 from sparkwright.sources.fixtures import RETAIL_MAPPING, RETAIL_ROW_KEY, retail_raw
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "retail_prepared",
-                  lambda: R.prepare(retail_raw(spark, sf_dir), RETAIL_MAPPING, RETAIL_ROW_KEY))
+    return R.prepare(retail_raw(spark, sf_dir), RETAIL_MAPPING, RETAIL_ROW_KEY)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct records: KPI tables need no duplicate flag on every row."""
+    return R.records(retail_raw(spark, sf_dir), RETAIL_MAPPING)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.cleaned_orders(records(spark, sf_dir))
+
+
+def cleaned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cleaned_orders(prepared(spark, sf_dir))
 
 
@@ -27,7 +34,7 @@ def rfm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREND_START = dt.date(1996, 1, 1)
 TREND_END = dt.date(1999, 12, 31)
 
-TREND_COUNTRIES = ["CANADA", "FRANCE", "GERMANY", "JAPAN", "BRAZIL"]
+TREND_COUNTRIES = ["NATION_2", "NATION_6", "NATION_7", "NATION_12", "NATION_20"]
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +44,15 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "retail_prepare": prepared,
-    "retail_cleaned_orders": cleaned,
-    "retail_issue_summary": lambda s, d: R.issue_summary(prepared(s, d)),
+    "retail_cleaned_orders": cleaned_rows,
+    "retail_issue_summary": lambda s, d: R.issue_summary(records(s, d)),
     "retail_monthly_revenue": lambda s, d: R.monthly_revenue(cleaned(s, d)),
     "retail_product_performance": lambda s, d: R.product_performance(cleaned(s, d)),
     "retail_country_performance": lambda s, d: R.country_performance(cleaned(s, d)),
     "retail_rfm_base": rfm_base,
     "retail_rfm_segments": lambda s, d: R.rfm_segments(rfm_base(s, d)),
     "retail_segment_summary": lambda s, d: R.segment_summary(R.rfm_segments(rfm_base(s, d))),
-    "retail_kpis": lambda s, d: R.kpis(cleaned(s, d), rfm_base(s, d)),
+    "retail_kpis": lambda s, d: R.kpis(cleaned(s, d)),
     "retail_top_products": lambda s, d: R.top_products(cleaned(s, d), "gross_revenue", 10),
     "retail_top_customers": lambda s, d: R.top_customers(cleaned(s, d), "net_revenue", 10),
     "retail_top_products_controlled": lambda s, d: R.top_products(chosen(s, d), "net_revenue", 10),
