@@ -158,11 +158,12 @@ def template_rules(df: DataFrame, template_id: str, mapping: dict[str, str | Non
 
 
 def severity_summary(rules: DataFrame) -> DataFrame:
-    """critical / warning / info rule counts, zero-filled (three fixed rows)."""
+    """critical / warning / info: number of rules, of rules that some row breaks, and of rows they hit (three fixed rows)."""
     levels = rules.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
-    counts = rules.groupBy("severity").agg(F.count(F.lit(1)).alias("rule_count"))
+    counts = rules.groupBy("severity").agg(F.count(F.lit(1)).alias("rule_count"), F.count_if(F.col("affected_rows_count") > 0).alias("violated_rules"),
+                                           F.sum("affected_rows_count").alias("affected_rows"))
     return F.broadcast(levels).join(counts, "severity", "left").select(
-        "severity", F.coalesce("rule_count", F.lit(0)).cast("long").alias("rule_count"))
+        "severity", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rule_count", "violated_rules", "affected_rows")])
 
 
 def issue_rows(df: DataFrame, template_id: str, mapping: dict[str, str | None], id_col: str = "source_row_id",

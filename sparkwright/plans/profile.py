@@ -13,7 +13,7 @@ from sparkwright.functions import NUMBER_PATTERN
 from sparkwright.operators import dictionary as DICT
 from sparkwright.operators import profile as PR
 from sparkwright.operators.ranking import exact_quantiles
-from sparkwright.sources.fixtures import RETAIL_MAPPING, RETAIL_ROW_KEY, retail_raw
+from sparkwright.sources.fixtures import RETAIL_MAPPING, retail_raw
 from sparkwright.sources.readers import read_table
 
 
@@ -22,9 +22,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source with a dense ``source_row_id`` in line-key order (computed once, shared)."""
-    from sparkwright.operators.ranking import with_row_id
-    return with_row_id(retail_raw(spark, sf_dir), RETAIL_ROW_KEY)
+    """The source with the row number of the line table as ``source_row_id``."""
+    return retail_raw(spark, sf_dir, "source_row_id")
 
 
 def data_dictionary(s, d):
@@ -75,7 +74,7 @@ QUERIES = {
 
 # ---- Oracle generation ----------------------------------------------------------------
 
-from sparkwright.plans.retail import RAW  # noqa: E402
+from sparkwright.plans.retail import RAW, RAW_ID  # noqa: E402
 
 COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_linenumber", "int"), ("l_suppkey", "bigint"),
         ("InvoiceNo", "string"),
@@ -131,9 +130,8 @@ def _detect_cte() -> str:
 DETECT = _detect_cte()
 
 
-def _counts_cte(cols) -> str:
-    parts = [f"SELECT '{c}' AS \"column\", {text(c, t)} AS value, "
-             f"struct_pack(a := l_orderkey, b := l_partkey, c := l_linenumber, d := l_suppkey) AS o FROM retail_raw" for c, t in cols]
+def _counts_cte(cols, rows: str = "retail_raw", order: str = "0") -> str:
+    parts = [f"SELECT '{c}' AS \"column\", {text(c, t)} AS value, {order} AS o FROM {rows}" for c, t in cols]
     return ("counts AS (SELECT \"column\", value, COUNT(*) AS n, MIN(o) AS first FROM (" + " UNION ALL ".join(parts) +
             ") WHERE value IS NOT NULL GROUP BY 1, 2)")
 
@@ -192,8 +190,8 @@ def _dictionary_sql() -> str:
                                       "unit_price") else "optional"
         maps.append(f"('{col}', 'Sales / Retail Analytics: {fld}', 'Sales / Retail Analytics {ftype}', "
                     f"{'true' if ftype == 'required' else 'false'})")
-    return ("WITH " + RAW + ", w AS (SELECT " + ", ".join(aggs) + " FROM retail_raw), facts AS (" +
-            " UNION ALL ".join(facts) + "), " + _counts_cte(COLS) + """,
+    return ("WITH " + RAW_ID + ", w AS (SELECT " + ", ".join(aggs) + " FROM retail_raw), facts AS (" +
+            " UNION ALL ".join(facts) + "), " + _counts_cte(COLS, "retail_id", "source_row_id") + """,
       ex AS (SELECT "column", string_agg(value, ', ' ORDER BY rk) AS example_values, MAX(u) AS unique_value_count FROM (
         SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY first, value) AS rk,
           COUNT(*) OVER (PARTITION BY "column") AS u FROM counts) WHERE rk <= 3 GROUP BY 1),

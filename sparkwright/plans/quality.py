@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.operators import quality as Q
-from sparkwright.operators.ranking import with_row_id
 from sparkwright.sources import fixtures as FX
 from sparkwright.sources.readers import read_table
 from sparkwright.templates import RULE_TEMPLATE_LABELS
@@ -64,6 +63,7 @@ QUERIES = {
 
 from sparkwright.plans.finance import PREPARED as _FIN  # noqa: E402,F401
 from sparkwright.plans.retail import RAW as RETAIL_RAW  # noqa: E402
+from sparkwright.plans.retail import RAW_ID as RETAIL_ID  # noqa: E402
 
 MFG_RAW = """mfg_raw AS (
   SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_shipdate AS event_time,
@@ -127,9 +127,6 @@ def _rules_select(tid: str) -> str:
 ALL_CTES = ", ".join(MASKS[t][1] for t in SOURCES)
 ALL_RULES = " UNION ALL ".join(_rules_select(t) for t in SOURCES)
 
-RETAIL_ID = RETAIL_RAW + """,
-retail_id AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_linenumber, l_suppkey) - 1 AS source_row_id
-              FROM retail_raw)"""
 RAW_COLS = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"] + RETAIL_DATA
 _QC = ", ".join(f'"{c}"' for c in RAW_COLS)
 
@@ -210,7 +207,8 @@ ORACLE = {
     "quality_rules_all": "WITH " + ALL_CTES + " " + ALL_RULES,
     "rule_severity_summary": "WITH " + ALL_CTES + ", r AS (" + ALL_RULES + """),
       lv(severity) AS (VALUES ('critical'), ('warning'), ('info'))
-      SELECT lv.severity, COUNT(r.rule_name) AS rule_count FROM lv LEFT JOIN r ON r.severity = lv.severity
+      SELECT lv.severity, COUNT(r.rule_name) AS rule_count, COUNT(*) FILTER (WHERE r.affected_rows_count > 0) AS violated_rules,
+        CAST(COALESCE(SUM(r.affected_rows_count), 0) AS BIGINT) AS affected_rows FROM lv LEFT JOIN r ON r.severity = lv.severity
       GROUP BY lv.severity""",
     "quality_issue_rows": _issue_sql(),
     "quality_issue_rows_single": _issue_sql("unit_price <= 0"),

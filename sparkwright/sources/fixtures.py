@@ -80,9 +80,11 @@ def _nation(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
                                F.col("n_name").alias(f"{prefix}_name")))
 
 
-def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
+def retail_raw(spark: SparkSession, sf_dir: str, row_id: str | None = None) -> DataFrame:
+    """Sales lines; ``row_id`` names a column for the row number of the line table."""
+    number = [row_id] if row_id else []
+    li = read_table(spark, sf_dir, "lineitem", row_id).select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", *number)
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
@@ -109,6 +111,7 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("cn_name").alias("Country"),
         F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "O", "Open")
         .otherwise("Cancelled").alias("Status"),
+        *number,
     )
 
 

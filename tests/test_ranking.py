@@ -34,3 +34,20 @@ def test_grouped_quantiles_and_empty_input(spark):
     assert got == {"x": 2.0, "y": 10.0}
     empty = spark.createDataFrame([], "v double")
     assert exact_quantiles(empty, "v", {"m": 0.5}).collect()[0]["m"] is None
+
+
+def test_scan_row_ids_count_files_and_rows_without_a_write(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkwright.sources.readers import with_scan_row_id
+    for k, n in enumerate((5, 0, 900, 1)):
+        spark.range(n).select(F.lit(k).alias("k"), "id").coalesce(1).write.parquet(str(tmp_path / f"t/part={k}"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = with_scan_row_id(spark.read.parquet(str(tmp_path / "t")), "rid")
+        plan = df._jdf.queryExecution().toString().lower()
+        got = [(r["rid"], r["k"], r["id"]) for r in df.orderBy("rid").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r[0] for r in got] == list(range(906)) and [r[1:] for r in got] == sorted(r[1:] for r in got)
+    assert "rangepartitioning" not in plan and "insertinto" not in plan
