@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from sparkwright.llm.common import read, stage
 WINDOW, END_ID = 4096, 2
 _MAX_REPEAT = 8          # depth of a combination: m + n at most this
 _CACHE_WORDS = 1_000_000  # words one Python worker keeps; beyond it the cache starts anew
+_CHUNK = 4_000_000        # bytes of text encoded together
 # White space of the tokenizer's own pattern; str.split() also cuts at \x1c-\x1f.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -106,16 +108,27 @@ class WordIds:
         self.words.update(zip(words, range(first, first + len(words))))
         self.pairs = np.concatenate([self.pairs, np.array([(known[a], known[b]) for a, b in pairs], np.int64)])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        words = [split(t) for t in texts]
-        new: set[str] = set().union(*words)
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text; words are split and told apart by Arrow, so only distinct ones are looked up."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        column = pc.fill_null(column, "")
+        if pc.any(pc.match_substring_regex(column, _ODD.pattern)).as_py():
+            lists = pa.array([split(t) for t in column.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(column)  # cuts where str.split() does; an empty word has no ids
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.words) > _CACHE_WORDS:
             self.clear()
-        new.difference_update(self.words)
+        new = [w for w in distinct if w not in self.words]
         if new:
-            self.learn(list(new))
-        return [self._gather(self.pairs[np.fromiter(map(self.words.__getitem__, w), np.int64, len(w))].ravel()) for w in words]
+            self.learn(new)
+        rows = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        at = self.pairs[rows][coded.indices.to_numpy()]
+        ids = self._gather(at.ravel())
+        size = np.concatenate([[0], np.cumsum(self.count[at].sum(1))])
+        cut = size[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        return [ids[lo:hi] for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         n = self.count[at]
@@ -134,9 +147,12 @@ def _piece_rows(tokenizer_path: str | None, window: int, end_id: int):
             if tokenizer_path not in _ENCODERS:
                 _ENCODERS[tokenizer_path] = WordIds(tokenizer_path)
             doc, texts = b.column(0).to_pylist(), b.column(1)
-            for lo in range(0, len(doc), 1024):
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+            part = np.cumsum(size) // _CHUNK  # bounded texts at a time, or one longer text
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(doc)] if len(doc) else [0]
+            for lo, hi in zip(cut, cut[1:]):
                 out = ([], [], [], [], [])
-                for d, found in zip(doc[lo:lo + 1024], _ENCODERS[tokenizer_path].encode(texts.slice(lo, 1024).to_pylist())):
+                for d, found in zip(doc[lo:hi], _ENCODERS[tokenizer_path].encode(texts.slice(lo, hi - lo))):
                     ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(ids), window):
                         piece = ids[s:s + window]
