@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.sources import csv_splits
+from sparkwright.sources import csv_splits, json_splits
 
 # Keys that commonly wrap a list of records in a JSON document, in
 # preference order.
@@ -115,13 +115,38 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines, a top-level array of records, a single object, or one object that wraps a
     list of records (preferred keys first, else the first key holding records).
 
-    The first line that is not blank tells lines (a whole object) from a document. Anything
-    that does not parse raises; a list inside a record raises; only a list in a single
-    wrapping object is unwrapped.
+    An array is read by as many tasks as its file has ranges (``sources/json_splits.py``), lines
+    by as many as Spark cuts them into; an object is one task. Otherwise the first line that
+    is not blank tells lines (a whole object) from a document. Anything that does not parse
+    raises; a list inside a record raises; only a list in a single wrapping object is unwrapped.
     """
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    head = spark.read.option("lineSep", "}").text(path).select(F.substring(F.ltrim(F.regexp_replace("value", "^[\ufeff\\s]+", "")), 1, 1).alias("c"))
+    first = head.filter(F.col("c") != "").first()
     if first is None:
         raise ValueError("The file is not valid JSON.")
+    doc = _json_array(spark, path) if first["c"] == "[" else _json_lines(spark, path)
+    return validate_table(normalize_blanks(flatten_records(doc)))
+
+
+def _json_array(spark: SparkSession, path: str) -> DataFrame:
+    """Records of arrays: one pass finds the ranges, one checks every record and unites their shapes, one reads."""
+    text = json_splits.records(spark, path)
+    value = F.try_parse_json("record")
+    found = text.agg(F.schema_of_variant_agg(value).alias("shape"), F.count_if(value.isNull()).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    if found["bad"]:
+        raise ValueError("The file is not valid JSON.")
+    if not found["n"]:
+        raise ValueError("The loaded table has no rows.")
+    return text.select(F.from_json("record", _struct_ddl(found["shape"])).alias("r")).select("r.*")
+
+
+def _struct_ddl(shape: str) -> str:
+    """The shape of variants as the type that is read: whole numbers long, others double, mixed kinds text."""
+    return re.sub(r"\bOBJECT<", "STRUCT<", re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", shape)))
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
     head = first["value"].strip()
     lines = head.startswith("{") and _is_object(head)
     shape = spark.read.option("multiLine", not lines).json(path).schema
@@ -138,7 +163,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     if lists and len(doc.take(2)) == 1:
         chosen = next((k for k in RECORD_LIST_KEYS if k in lists), lists[0])
         doc = doc.select(F.explode(F.col(f"`{chosen}`")).alias("_r")).select("_r.*")
-    return validate_table(normalize_blanks(flatten_records(doc)))
+    return doc
 
 
 def _is_object(text: str) -> bool:
@@ -159,8 +184,7 @@ def parse_json_column(df: DataFrame, column: str, sep: str = ".") -> DataFrame:
     shape = df.agg(F.schema_of_variant_agg(F.try_parse_json(value)).alias("s")).first()["s"]
     if shape is None or not shape.startswith("OBJECT"):
         return df
-    ddl = re.sub(r"\bOBJECT<", "STRUCT<", re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", shape)))
-    parsed = df.withColumn(column, F.from_json(value, ddl))
+    parsed = df.withColumn(column, F.from_json(value, _struct_ddl(shape)))
     others = [F.col(f"`{c}`") for c in df.columns if c != column]
     leaf = [F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path))
             for path in _leaf_paths(parsed.schema[column].dataType, [column], sep)]
