@@ -55,8 +55,9 @@ def aggregate_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = SK.write_table(RP.QUERIES["retail_monthly_revenue"](spark, sf_dir), SK.scratch_dir(spark, "parquet"))
-    return spark.read.parquet(path)
+    folder = SK.scratch_dir(spark, "parquet")
+    SK.write_table(RP.QUERIES["retail_monthly_revenue"](spark, sf_dir), folder)
+    return SK.read_written(spark, folder)
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:

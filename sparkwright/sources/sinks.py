@@ -1,8 +1,9 @@
 """Sinks: table writes, multi-table export bundles, stacked previews, KPI long form,
 project save/restore and named SQL.
 
-Everything is written by the executors straight into the target folder; the driver only
-sees bounded manifests (one row per written table).
+Everything is written by the executors into new version folders; the driver only sees bounded
+manifests (one row per written table). A manifest is replaced by one rename when all
+is written, and tables are read through it, so a write that fails half way changes nothing.
 """
 
 from __future__ import annotations
@@ -37,20 +38,81 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """CSV (header, ISO timestamps), JSON records (ISO timestamps) or Parquet."""
+#: What names the current version of everything under a folder.
+PUBLISHED = "published.json"
+
+
+def _publish(spark: SparkSession, folder: str, content: dict) -> None:
+    """Replace the folder's manifest by one rename: readers see the old one or the new one, whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(os.path.join(folder, PUBLISHED))
+    draft = hadoop.Path(os.path.join(folder, f".{PUBLISHED}.{uuid.uuid4().hex}"))
+    out = draft.getFileSystem(conf).create(draft, True)
+    try:
+        out.write(bytearray(json.dumps(content, default=str).encode()))
+    finally:
+        out.close()
+    replace = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(draft.getFileSystem(conf).getUri(), conf).rename(draft, target, replace)
+
+
+def published(spark: SparkSession, folder: str) -> dict:
+    """The manifest of a folder: the last write that ended."""
+    return json.loads(spark.read.text(os.path.join(folder, PUBLISHED), wholetext=True).first()["value"])
+
+
+def _write_version(df: DataFrame, path: str, fmt: str) -> str:
+    """``df`` in a new version folder under ``path``; nothing that is there is touched."""
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported export format: {fmt}")
-    w = df.write.mode("overwrite")
+    version = os.path.join(path, f"v-{uuid.uuid4().hex}")
+    w = df.write
     if fmt == "csv":
         w.option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss")\
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(version)
     elif fmt == "json":
         w.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss")\
-            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
+            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(version)
     else:
-        w.parquet(path)
-    return path
+        w.parquet(version)
+    return version
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """CSV (header, ISO timestamps), JSON records (ISO timestamps) or Parquet, as a new version under ``path``.
+
+    The version is published when all of it is written; until then, and after a failure,
+    :func:`read_written` gives the one before. Returns the folder of the new version.
+    """
+    version = _write_version(df, path, fmt)
+    _publish(df.sparkSession, path, {"version": version, "format": fmt})
+    return version
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The published version of a table."""
+    from sparkwright.sources.readers import read_csv, read_json
+    at = published(spark, path)
+    return {"csv": read_csv, "json": read_json}.get(at["format"], lambda s, p: s.read.parquet(p))(spark, at["version"])
+
+
+def remove_unpublished(spark: SparkSession, folder: str) -> int:
+    """Delete the versions under a folder that its manifest does not name (old ones, and those of failed writes)."""
+    text = json.dumps(published(spark, folder))
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone, todo = 0, [top]
+    while todo:
+        for found in fs.listStatus(todo.pop()):
+            name = found.getPath().getName()
+            if found.isDirectory() and name.startswith("v-"):
+                if name not in text:
+                    gone += bool(fs.delete(found.getPath(), True))
+            elif found.isDirectory():
+                todo.append(found.getPath())
+    return gone
 
 
 def clean_name(name: str, taken: set[str]) -> str:
@@ -63,21 +125,38 @@ def clean_name(name: str, taken: set[str]) -> str:
     return out
 
 
-def export_bundle(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> DataFrame:
-    """Write every table under ``out_dir`` and return the manifest (table, rows, columns,
-    path, format). Row counts are observed during the write: no second scan."""
+def _write_bundle(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, fmt: str) -> list[tuple]:
     taken: set[str] = set()
     manifest = []
     for name, df in tables.items():
         safe = clean_name(name, taken)
         obs = Observation(f"rows_{safe}_{uuid.uuid4().hex[:6]}")
-        path = os.path.join(out_dir, safe)
-        write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, fmt)
-        manifest.append((safe, int(obs.get["rows"]), len(df.columns), path, fmt))
-    table = spark.createDataFrame(manifest, "table string, rows long, columns int, path string, format string")
-    # A handful of rows (one per table): written through Spark so any cluster FS works.
-    table.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "_manifest"))
-    return table
+        version = _write_version(df.observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(out_dir, safe), fmt)
+        manifest.append((safe, int(obs.get["rows"]), len(df.columns), version, fmt))
+    return manifest
+
+
+_MANIFEST = "table string, rows long, columns int, path string, format string"
+
+
+def _described(manifest: list[tuple]) -> dict:
+    return {"tables": [dict(zip((c.split()[0] for c in _MANIFEST.split(", ")), row)) for row in manifest]}
+
+
+def export_bundle(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> DataFrame:
+    """Write every table under ``out_dir`` and return the manifest (table, rows, columns,
+    path, format). Row counts are observed during the write: no second scan. All tables
+    are published together, by one manifest, when the last is written."""
+    manifest = _write_bundle(spark, tables, out_dir, fmt)
+    _publish(spark, out_dir, _described(manifest))
+    return spark.createDataFrame(manifest, _MANIFEST)
+
+
+def read_bundle(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The published tables of a bundle by name."""
+    from sparkwright.sources.readers import read_csv, read_json
+    readers = {"csv": read_csv, "json": read_json, "parquet": lambda s, p: s.read.parquet(p)}
+    return {t["table"]: readers[t["format"]](spark, t["path"]) for t in published(spark, out_dir)["tables"]}
 
 
 def pack_tables(tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
@@ -100,23 +179,22 @@ def kpi_long(metrics: dict[str, DataFrame]) -> DataFrame:
 
 def save_project(spark: SparkSession, out_dir: str, cleaned: DataFrame, steps: list, mapping: dict,
                  quality: DataFrame | None = None) -> DataFrame:
-    """Cleaned table (Parquet) + step log + mapping + quality row, with a JSON manifest."""
+    """Cleaned table (Parquet) + step log + mapping + quality row, published by one manifest."""
     tables = {"cleaned_data": cleaned}
     if quality is not None:
         tables["quality"] = quality
-    manifest = export_bundle(spark, tables, out_dir)
+    manifest = _write_bundle(spark, tables, out_dir, "parquet")
     meta = {"steps": [{"op": s.op, "args": list(s.args), "kwargs": s.kwargs} for s in steps], "mapping": mapping}
-    spark.createDataFrame([(json.dumps(meta, default=str),)], "project string")\
-        .coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "_project"))
-    return manifest
+    _publish(spark, out_dir, _described(manifest) | {"project": meta})
+    return spark.createDataFrame(manifest, _MANIFEST)
 
 
 def restore_project(spark: SparkSession, out_dir: str) -> tuple[DataFrame, list, dict]:
-    """Read the cleaned table back with its step log and mapping."""
+    """The published state of a project: the cleaned table with its step log and mapping."""
     from sparkwright.operators.prepare import Step
-    meta = json.loads(spark.read.json(os.path.join(out_dir, "_project")).first()["project"])
+    meta = published(spark, out_dir)["project"]
     steps = [Step(s["op"], tuple(s["args"]), s.get("kwargs", {})) for s in meta["steps"]]
-    return spark.read.parquet(os.path.join(out_dir, "cleaned_data")), steps, meta["mapping"]
+    return read_bundle(spark, out_dir)["cleaned_data"], steps, meta["mapping"]
 
 
 def run_named_sql(spark: SparkSession, sql_text: str, **frames: DataFrame) -> DataFrame:
