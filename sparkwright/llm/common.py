@@ -79,12 +79,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         ptr = two.groupBy("u").agg(F.min(h(F.col("w"))).alias("m")).select(
             "u", F.least(F.col("m"), h(F.col("u")))["v"].alias("p"))
         ptr = stage(ptr, "ptr")
+        old = e, label
         label = stage(label.join(ptr, label["rep"] == ptr["u"], "left").select("node", F.coalesce("p", "rep").alias("rep")), "label")
         pa, pb = ptr.select(F.col("u").alias("a"), F.col("p").alias("pa")), ptr.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         e = stage(e.join(pa, "a").join(pb, "b").where("pa <> pb").select(
             F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        release(ptr, *old)
     else:
         raise RuntimeError("components did not settle")
+    release(e)
     low = label.groupBy("rep").agg(F.min("node").alias("component"))
     return label.join(low, "rep").select("node", "component")
 

@@ -31,7 +31,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import components, read, stage
+from sparkwright.llm.common import components, read, release, stage
 
 SHINGLE, SIMILARITY = 8, 0.8
 _SKETCH, _BINS, _ROWS = 48, 24, 3
@@ -91,9 +91,12 @@ def _links(pairs: DataFrame, distinct: DataFrame, whole: DataFrame, similarity:
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     wanted = distinct.join(nodes, "node").select("node", F.col("first.r1"), F.col("first.r2"), F.col("first.pos"))
     # rows that agree in doc_id and text give a line more than once, and a pair the same answer
-    texts = stage(whole.join(_sized(stage(wanted, "wanted")), ["r1", "r2"]).select("node", F.expr("element_at(split(text, '\\n'), pos + 1)").alias("line")), "line_texts")
+    needed = stage(wanted, "wanted")
+    texts = stage(whole.join(_sized(needed), ["r1", "r2"]).select("node", F.expr("element_at(split(text, '\\n'), pos + 1)").alias("line")), "line_texts")
     same = _jaccard(f"array_distinct({_shingles('_a')})", f"array_distinct({_shingles('_b')})", similarity)
-    return stage(_with(near, texts, "line").where(F.expr(same)).select("a", "b"), "links")
+    found = stage(_with(near, texts, "line").where(F.expr(same)).select("a", "b"), "links")
+    release(near, needed, texts)
+    return found
 
 
 def _class_of(posted: DataFrame, links: DataFrame) -> DataFrame:
@@ -144,6 +147,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     tested = stage(ordered(posted.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "tested")
+    made = [tested]  # helper tables, removed when the components are known
     links = found(tested)
     # a band of two has been compared
     left = stage(_open(_class_of(posted.where("size > 2").select("key", "node"), links)), "open")
@@ -155,17 +159,21 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         pairs = stage(ordered(left.join(centre, "key").where("comp <> cb").select(F.col("node").alias("a"), "b")).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
         links = links.union(found(pairs))
+        made += [pairs, left]
         left = stage(_open(_class_of(left.select("key", "node"), links)), "open")
     if not left.isEmpty():
         sized = left.join(distinct.select("node", "width"), "node")
         links = links.union(found(_apart(sized, similarity).join(tested, ["a", "b"], "left_anti")))
 
     comp = stage(components(links), "components")
+    release(posted, left, *made)
     classed = distinct.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = classed.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     hit = classed.join(kept, "component").select("h1", "h2", "kept")
     gone = lines.select("h1", "h2", "r1", "r2", "pos", place.alias("at")).join(hit, ["h1", "h2"]).where("at <> kept")
-    return gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
+    found = stage(gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")), "gone")
+    release(lines, distinct, comp)
+    return found
 
 
 def _digest(doc_id, text) -> tuple:
@@ -174,7 +182,7 @@ def _digest(doc_id, text) -> tuple:
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, counts: bool = False) -> DataFrame:
     """``docs`` with the lines that go cut out of ``text``; with ``counts`` also the columns n_lines and n_removed."""
-    gone = _sized(stage(removed_lines(docs, similarity), "gone"))
+    gone = _sized(removed_lines(docs, similarity))
     tag = uuid.uuid4().hex  # helper names that no column of docs can have
     r1, r2, g = f"r1_{tag}", f"r2_{tag}", f"gone_{tag}"
     a, b = _digest(F.col("doc_id").cast("long"), F.col("text").cast("string"))

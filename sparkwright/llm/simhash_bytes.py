@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import components, read, stage
+from sparkwright.llm.common import components, read, release, stage
 
 SHINGLE, MAX_BITS = 4, 4
 _BLOCK = 2048     # posting entries compared in one step
@@ -168,7 +168,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = _BLOCK) ->
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     long = long.select("key", "fp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).groupBy(
         "key", "i", "j").applyInPandas(_block_edges(max_bits), "a long, b long")
-    return short.union(long)
+    found = stage(short.union(long), "fp_links")
+    release(posted)
+    return found
 
 
 def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import mix64, read, stage
+from sparkwright.llm.common import mix64, read, release, stage
 
 LENGTH = 200
 _GRAM = 32            # bytes of an anchor
@@ -351,7 +351,7 @@ def _keys(doc_id, text) -> dict:
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(r1, r2, lo, hi): digests of a document row and byte ranges that go (they may overlap)."""
+    """(r1, r2, lo, hi, weight): digests of a document row, its byte ranges that go, joined where they touch, and their number."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(
         _keys(F.col("doc_id"), F.col("text"))).select("r1", "r2", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     found = stage(rows.mapInArrow(_anchor_rows(length), "r1 long, r2 long, akey long, ctx long, pos long, before int, n int"), "anchors")
@@ -364,9 +364,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     open_ = seen.where("kinds > 1").dropDuplicates(["akey", "ctx"])
     wanted = open_.groupBy("r1", "r2").agg(*(F.collect_list(c).alias(c) for c in ("akey", "pos", "before", "n")), F.count("*").alias("weight"))
-    ranges = stage(rows.join(_sized(stage(wanted, "open_contexts")), ["r1", "r2"]).mapInArrow(
+    release(found, twice, again)
+    contexts = stage(wanted, "open_contexts")
+    ranges = stage(rows.join(_sized(contexts), ["r1", "r2"]).mapInArrow(
         _range_rows(length), "r1 long, r2 long, akey long, core long, clip long, first long, n int, left binary, right binary"), "ranges")
     known = stage(_counted(ranges, ["akey", "core"], "clip"), "repeated_cores")
+    release(ranges, contexts)
     last = F.col("first") + F.col("n") - 1
     parts = known.where("copies > 1").select("r1", "r2", F.col("first").alias("lo"), (last + length).alias("hi"))
     sets = known.where("kinds > 1").dropDuplicates(["akey", "core", "clip"])
@@ -378,7 +381,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     at = ["akey", "core", "window"]
     large = windows.join(windows.groupBy(*at).count().where("count > 1").drop("count"), at).where("copies = 1").select(
         "r1", "r2", F.col("first").alias("lo"), (F.col("first") + length).alias("hi"))
-    return whole.union(parts).union(small).union(large)
+    every = whole.union(parts).union(small).union(large).groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))  # of one document
+    merged = stage(every.select("r1", "r2", F.expr(_MERGED).alias("s")).select(
+        "r1", "r2", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.size("s").alias("weight")), "spans")
+    release(seen, known)
+    return merged
 
 
 #: Sorted spans joined where they touch or overlap.
@@ -413,13 +420,11 @@ def cut(docs: DataFrame, length: int = LENGTH, counts: bool = False) -> DataFram
 
     With ``counts`` also n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes).
     """
-    found = spans(docs, length).groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))  # of one document
-    found = found.select("r1", "r2", F.expr(_MERGED).alias("s")).select(
-        "r1", "r2", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.size("s").alias("weight"))
+    found = spans(docs, length)
     tag = uuid.uuid4().hex  # helper names that no column of docs can have
     r1, r2, lo, hi, c = (f"{x}_{tag}" for x in ("r1", "r2", "lo", "hi", "cut"))
     keys = _keys(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = docs.withColumns({r1: keys["r1"], r2: keys["r2"]}).join(_sized(stage(found, "spans")).toDF(r1, r2, lo, hi), [r1, r2], "left")
+    both = docs.withColumns({r1: keys["r1"], r2: keys["r2"]}).join(_sized(found).toDF(r1, r2, lo, hi), [r1, r2], "left")
     work = F.pandas_udf(_cut, "text string, n_removed long, n_spans long, kept_sha256 string")
     both = both.withColumn(c, work(F.col("text").cast("string").cast("binary"), F.col(lo), F.col(hi)))
     text = F.when(F.col("text").isNotNull(), F.col(f"{c}.text"))
