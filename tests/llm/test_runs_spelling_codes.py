@@ -209,9 +209,9 @@ def test_links_equal_all_pairs(spark):
 
 
 def test_large_keys_in_blocks_find_the_same_links(spark):
-    entries = spark.createDataFrame([(f"{k}", 24, i, 1 + i % 3, [float(x) for x in v]) for i, v, k in _vectors(6)], "label string, dim int, rid long, copies long, v array<double>")
+    entries = spark.createDataFrame([(f"{k}", 24, i, 1 + i % 3, [float(x) for x in v]) for i, v, k in _vectors(6)[:90]], "label string, dim int, rid long, copies long, v array<double>")
     plain, cut = ([tuple(r) for r in rotated_codes.links(entries, block=b).where("b < 0").groupBy("a").sum("n").collect()] for b in (2048, 6))
-    assert sorted(plain) == sorted(cut) and len(plain) > 100
+    assert sorted(plain) == sorted(cut) and len(plain) > 30
 
 
 def test_recall_at_the_threshold_and_bounds():
