@@ -284,8 +284,8 @@ def op13_vectors(spark, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = """
-    u AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
-    ok AS (SELECT * FROM u WHERE len(v) > 0 AND list_bool_and(list_transform(v, x -> x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, x -> x <> 0))),
+    u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    ok AS (SELECT * FROM u WHERE len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
     link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
              WHERE list_cosine_similarity(a.v, b.v) >= 0.93)"""
 
