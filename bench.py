@@ -3,8 +3,8 @@
 Runs a representative set of registered plans (every template, generic aggregation,
 profiling and quality) over ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one
 JSON line. Each query is forced to full execution with the ``noop`` sink (no driver
-collect). Prepared tables are built once per session and shared, as in real use; their
-cost lands on the first query that needs them.
+collect). Every query evaluates its own source; nothing is cached between queries, so each
+pays for its own preparation.
 """
 
 from __future__ import annotations
