@@ -1,17 +1,19 @@
 """Fuzzy line dedup: MinHash over character shingles, on DataFrame functions alone.
 
 A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle), hashed with
-xxhash64. The signature takes the 48 least hashes of all of them, deals them into 24 bins by
-their low bits and keeps each bin's minimum (one-permutation MinHash); three bins make a
-band key, eight keys a line. Equal lines are collapsed first (128-bit digest), so copies
+xxhash64 as rows in generated code. One-permutation MinHash: 24 bins by the hash's remainder,
+the minimum of each bin; three bins make a band key, eight keys a line. Only the least hashes
+(96 expected) reach the bins; a line that has too few distinct ones among them is sketched
+again from all. Equal lines are collapsed first (128-bit digest), before any sketch, so copies
 never meet in a band. Every pair from the bands is verified on the shingle sets, except
 where their exact sizes alone rule the similarity out.
 
 Inside a band the entries are not paired with each other. Every entry is compared with the
 band's centre (its most repeated line); the exact Jaccard similarity of the shingle sets
 decides; distributed union-find joins the links. Bands that still hold several components
-get further centres, and in the end the entries of different components whose sizes allow the
-similarity are compared, met by length class, so no link is lost to the order of comparison.
+get further centres. Entries of different components that are left meet by prefix filter: each
+stands under its rarest shingles, as many as a similar line cannot all miss, and meets the lines
+there whose sizes allow the similarity. No link of a band is lost to the order of comparison.
 
 One line of each component stays: the first occurrence by doc_id (nulls last), row digest and
 position. Blank lines are neither compared nor removed. Documents keep their row, lines
@@ -28,13 +30,15 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import components, read, release, stage
 
 SHINGLE, SIMILARITY = 8, 0.8
-_SKETCH, _BINS, _ROWS = 48, 24, 3
+_BINS, _ROWS = 24, 3
+_SKETCH = 96               # least hashes looked at, as expected count; a line of fewer shingles shows all
+_FILLED = 16               # a cut sketch with fewer bins filled is made again from all hashes
 _STARS = 3                 # rounds of centres before the remaining pairs
 _BROADCAST_ROWS = 500_000  # rows of at most some 40 bytes; beyond it the join shuffles
 
@@ -44,22 +48,30 @@ def _shingles(line: str) -> str:
             f"i -> xxhash64(substring(b, i, {SHINGLE}))))[0]")
 
 
-def _sketch(line: str) -> str:
-    """(width, keys): size of the shingle set and the band keys of its signature."""
-    return f"transform(array(array_distinct({_shingles(line)})), h -> struct(size(h) as width, {_band_keys(_signature('h'))} as keys))[0]"
+def _sketches(lines: DataFrame, by: list[str], cut: bool = True) -> DataFrame:
+    """(*by, keys, filled, was_cut) of ``lines(*by, line)``, one row per line: band keys of its one-permutation MinHash.
 
-
-def _signature(shingles: str) -> str:
-    """One-permutation MinHash over all shingles: array of bin << 26 | minimum, ascending; empty bins are missing."""
-    least = f"slice(sort_array({shingles}), 1, {_SKETCH})"
-    dealt = f"sort_array(transform({least}, x -> cast(pmod(x, {_BINS}) * 67108864 + pmod(shiftright(x, 8), 67108864) as int)))"
-    return f"transform(array({dealt}), s -> filter(s, (x, i) -> i = 0 or shiftright(x, 26) <> shiftright(s[greatest(i - 1, 0)], 26)))[0]"
+    The shingles are rows, hashed and reduced in generated code. With ``cut`` only hashes under
+    ``_SKETCH`` in the line's count of shingles reach the bins, which leaves the minimum of every
+    bin that keeps one. ``by`` should be the columns ``lines`` is grouped by, so that nothing moves.
+    """
+    whole = 9223372036854775807
+    n = f"greatest(octet_length(b) - {SHINGLE - 1}, 1)"
+    limit = f"if(n <= {_SKETCH}, {whole}L, cast(-9.223372036854775808E18D + 1.8446744073709552E19D * {_SKETCH} / n as bigint))" if cut else f"{whole}L"
+    x = lines.select(*by, F.expr("cast(line as binary)").alias("b")).select(*by, "b", F.expr(n).alias("n"))
+    x = x.select(*by, "b", F.expr(limit).alias("top"), F.explode(F.expr("sequence(1, n)")).alias("i"))
+    x = x.select(*by, "top", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h")).where("h <= top")
+    x = x.select(*by, "top", "h", F.expr(f"pmod(h, {_BINS})").alias("bin"))
+    made = x.groupBy(*by).agg(F.min("top").alias("top"), *(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(_BINS)))
+    bands = [[f"m{k}" for k in range(lo, lo + _ROWS)] for lo in range(0, _BINS, _ROWS)]
+    keys = [F.when(F.coalesce(*band).isNotNull(), F.xxhash64(*band)) for band in bands]
+    filled = sum((F.when(F.col(f"m{k}").isNotNull(), 1).otherwise(0) for k in range(_BINS)), F.lit(0))
+    return made.select(*by, F.array_compact(F.array(*keys)).alias("keys"), filled.alias("filled"), (F.col("top") < whole).alias("was_cut"))
 
 
-def _band_keys(signature: str) -> str:
-    """Array of band keys; a band of empty bins has none."""
-    bands = f"transform(sequence(0, {_BINS // _ROWS - 1}), k -> filter(m, x -> x >= k * {_ROWS << 26}L and x < (k + 1) * {_ROWS << 26}L))"
-    return f"transform(array({signature}), m -> transform(filter({bands}, f -> size(f) > 0), f -> xxhash64(f)))[0]"
+def _weak() -> Column:
+    """Lines of many equal shingles: the cut left too few of the distinct ones (or none, then there is no sketch)."""
+    return F.col("filled").isNull() | (F.col("was_cut") & (F.col("filled") < _FILLED))
 
 
 def _may_reach(a: str, b: str, similarity: float) -> str:
@@ -85,17 +97,22 @@ def _with(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, distinct: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets reach ``similarity``; texts are fetched where the sizes of the sets allow it."""
-    near = stage(_with(pairs, distinct, "width").where(F.expr(_may_reach("_a", "_b", similarity))).select("a", "b"), "near")
-    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+def _texts(nodes: DataFrame, distinct: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, line) of the nodes, fetched from the documents of their first places."""
+    # rows that agree in doc_id and text give a line more than once, all the same
     wanted = distinct.join(nodes, "node").select("node", F.col("first.r1"), F.col("first.r2"), F.col("first.pos"))
-    # rows that agree in doc_id and text give a line more than once, and a pair the same answer
     needed = stage(wanted, "wanted")
-    texts = stage(whole.join(_sized(needed), ["r1", "r2"]).select("node", F.expr("element_at(split(text, '\\n'), pos + 1)").alias("line")), "line_texts")
+    out = stage(whole.join(_sized(needed), ["r1", "r2"]).select("node", F.expr("element_at(split(text, '\\n'), pos + 1)").alias("line")), "line_texts")
+    release(needed)
+    return out
+
+
+def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets reach ``similarity``; ``sets(node, width, line)``. Sets are compared where their sizes allow it."""
+    near = stage(_with(pairs, sets, "width").where(F.expr(_may_reach("_a", "_b", similarity))).select("a", "b"), "near")
     same = _jaccard(f"array_distinct({_shingles('_a')})", f"array_distinct({_shingles('_b')})", similarity)
-    found = stage(_with(near, texts, "line").where(F.expr(same)).select("a", "b"), "links")
-    release(near, needed, texts)
+    found = stage(_with(near, sets, "line").where(F.expr(same)).select("a", "b"), "links")
+    release(near)
     return found
 
 
@@ -110,8 +127,24 @@ def _open(classed: DataFrame) -> DataFrame:
     return classed.join(several, "key", "left_semi")
 
 
+def _prefixes(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, comp, width): every open line under the shingles of its prefix.
+
+    Shingles are ordered from rare to frequent among the open lines. Of two sets that reach the
+    similarity, the first width - ceil(similarity * width) + 1 of either share one, so no link is
+    lost; lines that have only frequent shingles in common do not meet.
+    """
+    open_ = left.select("node", "comp").distinct()
+    x = sets.join(open_, "node").select("node", "comp", "width", F.explode(F.expr(f"array_distinct({_shingles('line')})")).alias("key"))
+    # a shingle of one line alone comes first and meets nothing: it only takes its place in the prefix
+    often = x.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = x.join(often, "key").groupBy("node", "comp", "width").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("t"))
+    rest = f"size(t) - cast(ceil({similarity}D * width - 1e-9) as int) + 1"
+    return ranked.where(f"{rest} > 0").select("node", "comp", "width", F.explode(F.expr(f"slice(t, 1, {rest})")).alias("p")).select("p.key", "node", "comp", "width")
+
+
 def _apart(left: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a band's entries from different components whose sizes allow the similarity.
+    """Pairs (a, b) of a key's entries from different components whose sizes allow the similarity.
 
     Such sizes lie in one length class or in classes side by side; others do not meet.
     """
@@ -126,22 +159,27 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r1, r2, gone): digest of a document row and the positions of the lines that go."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = rows.select("doc_id", *_digest(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
-    lines = stage(rows.select(
-        "doc_id", "r1", "r2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"),
-        F.expr(_sketch("line")).alias("sketch")), "lines")
+    rows = rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), F.col("line"))})
+    lines = stage(rows.select("doc_id", "r1", "r2", "pos", "h1", "h2"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2", "pos")
-    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("first"), "sketch")).alias("m"))
+    whole = docs.select(*_digest(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
+    sketches = _sketches(rows.groupBy("h1", "h2").agg(F.first("line").alias("line")), ["h1", "h2"])
+    counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # the smaller the node, the more repeated the line
     node = F.expr("shiftleft(62L - cast(floor(log2(n)) as bigint), 56) + monotonically_increasing_id()")
-    distinct = stage(distinct.select("h1", "h2", "n", node.alias("node"), "m.first", "m.sketch.width", "m.sketch.keys"), "distinct_lines")
+    distinct = stage(counted.join(sketches, ["h1", "h2"], "left").select("h1", "h2", "n", node.alias("node"), "first", "keys", _weak().alias("weak")), "distinct_lines")
+    again = _texts(distinct.where("weak").select("node"), distinct, whole)
+    entries = distinct.where("not weak").select("node", F.explode("keys").alias("key"))
+    entries = stage(entries.union(_sketches(again, ["node"], cut=False).select("node", F.explode("keys"))), "entries")
 
-    entries = distinct.select("node", F.explode("keys").alias("key"))
     bands = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1").select("key", "size", "centre")
     posted = stage(entries.join(bands, "key"), "bands")
-    whole = docs.select(*_digest(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
+    texts = _texts(posted.select("node").distinct(), distinct, whole)
+    sets = stage(texts.select("node", "line", F.expr(f"size(array_distinct({_shingles('line')}))").alias("width")), "sets")
+    release(again, entries, texts)
 
     def found(pairs: DataFrame) -> DataFrame:
-        return _links(pairs, distinct, whole, similarity)
+        return _links(pairs, sets, similarity)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -162,11 +200,12 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         made += [pairs, left]
         left = stage(_open(_class_of(left.select("key", "node"), links)), "open")
     if not left.isEmpty():
-        sized = left.join(distinct.select("node", "width"), "node")
-        links = links.union(found(_apart(sized, similarity).join(tested, ["a", "b"], "left_anti")))
+        prefixes = stage(_prefixes(left, sets, similarity), "prefixes")
+        links = links.union(found(_apart(prefixes, similarity).join(tested, ["a", "b"], "left_anti")))
+        made.append(prefixes)
 
     comp = stage(components(links), "components")
-    release(posted, left, *made)
+    release(posted, left, sets, *made)
     classed = distinct.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = classed.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     hit = classed.join(kept, "component").select("h1", "h2", "kept")

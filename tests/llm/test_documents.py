@@ -152,9 +152,46 @@ def test_lines_that_differ_at_the_end_share_a_band(spark):
     first = [forms[k % 4](k) for k in range(200)]
     pairs = [(x, x[:-1] + str((int(x[-1]) + 1) % 10)) for x in first]
     assert all(len(_shingles(a) & _shingles(b)) >= 0.8 * len(_shingles(a) | _shingles(b)) for a, b in pairs)
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select(F.expr(f"arrays_overlap({line_dedup._sketch('a')}.keys, {line_dedup._sketch('b')}.keys)").alias("met"))
-    assert np.mean([r["met"] for r in got.collect()]) >= 0.97
+    assert _met(spark, pairs) >= 0.97
+
+
+def _met(spark, pairs, cut=True):
+    """Share of the pairs of lines that have a band key in common."""
+    lines = spark.createDataFrame([(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)], "node long, line string")
+    keys = {r["node"]: set(r["keys"]) for r in line_dedup._sketches(lines, ["node"], cut).collect()}
+    return np.mean([bool(keys.get(2 * i, set()) & keys.get(2 * i + 1, set())) for i in range(len(pairs))])
+
+
+def test_cut_sketches_meet_like_whole_ones(spark):
+    g = np.random.default_rng(12)
+    pairs = []
+    for k in range(300):
+        a = words(k, 60 + k % 60).split()
+        b = [("qq" if g.random() < 0.02 else w) for w in a]
+        pairs.append((" ".join(a), " ".join(b)))
+    pairs = [p for p in pairs if 0.8 <= len(_shingles(p[0]) & _shingles(p[1])) / len(_shingles(p[0]) | _shingles(p[1])) < 0.9]
+    assert len(pairs) > 50 and min(len(_shingles(a)) for a, _ in pairs) > line_dedup._SKETCH
+    assert _met(spark, pairs) >= 0.97 and _met(spark, pairs, cut=False) >= 0.97
+
+
+def test_lines_of_few_distinct_shingles_are_linked(spark):
+    long = "ab " * 400
+    docs = _docs(spark, [long, "first\n" + long + "a", words(1, 30) + "\n" + long[1:]])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: long, 1: "first", 2: words(1, 30)}
+
+
+def test_prefixes_lose_no_pair(spark):
+    g = np.random.default_rng(6)
+    base = words(1, 40).split()
+    lines = [" ".join(w if g.random() > share else words(50 + i, 1) for w in base) for i, share in enumerate([0.0, 0.02, 0.03, 0.05, 0.1, 0.3, 0.5] * 8)]
+    lines = list(dict.fromkeys(lines)) + ["x", "xy", "12345678", "123456789"]
+    sets = [_shingles(x) for x in lines]
+    df = spark.createDataFrame([(i, x, len(sets[i])) for i, x in enumerate(lines)], "node long, line string, width int")
+    left = df.select(F.lit(1).alias("key"), "node", F.col("node").alias("comp"))
+    got = {tuple(r) for r in line_dedup._apart(line_dedup._prefixes(left, df, 0.8), 0.8).collect()}
+    want = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want and want <= got and len(got) < len(lines) * (len(lines) - 1) / 4
 
 
 def test_pairs_of_lines_are_decided_by_their_shingles_alone(spark):
@@ -167,7 +204,9 @@ def test_pairs_of_lines_are_decided_by_their_shingles_alone(spark):
         *(F.lit(int(x)) for kv in width.items() for x in kv))[F.col("doc_id").cast("int")].alias("width"))
     whole = docs.select(*line_dedup._digest(F.col("doc_id"), F.col("text")), "text")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
-    assert [tuple(r) for r in line_dedup._links(pairs, distinct, whole, 0.8).collect()] == [(0, 1)]
+    texts = line_dedup._texts(distinct.select("node"), distinct, whole)
+    sets = texts.join(distinct.select("node", "width"), "node")
+    assert [tuple(r) for r in line_dedup._links(pairs, sets, 0.8).collect()] == [(0, 1)]
 
 
 def test_open_bands_pair_lines_of_like_sizes_only(spark):
