@@ -4,8 +4,7 @@ A line's shingles are its 8-byte windows (UTF-8; a shorter line is one shingle),
 xxhash64 as rows in generated code. One-permutation MinHash: 24 bins by the hash's remainder,
 the minimum of each bin; three bins make a band key, eight keys a line. Only the least hashes
 (96 expected) reach the bins; a line that has too few distinct ones among them is sketched
-again from all. Equal lines are collapsed first (128-bit digest), before any sketch, so copies
-never meet in a band. Every pair from the bands is verified on the shingle sets, except
+again from all. Equal lines are one entry (128-bit digest), so copies never meet in a band. Every pair from the bands is verified on the shingle sets, except
 where their exact sizes alone rule the similarity out.
 
 Inside a band the entries are not paired with each other. Every entry is compared with the
@@ -49,11 +48,11 @@ def _shingles(line: str) -> str:
 
 
 def _sketches(lines: DataFrame, by: list[str], cut: bool = True) -> DataFrame:
-    """(*by, keys, filled, was_cut) of ``lines(*by, line)``, one row per line: band keys of its one-permutation MinHash.
+    """(*by, keys, filled, was_cut) of ``lines(*by, line)``, one row per ``by``, which names the line: band keys of its one-permutation MinHash.
 
-    The shingles are rows, hashed and reduced in generated code. With ``cut`` only hashes under
-    ``_SKETCH`` in the line's count of shingles reach the bins, which leaves the minimum of every
-    bin that keeps one. ``by`` should be the columns ``lines`` is grouped by, so that nothing moves.
+    The shingles are rows, hashed and reduced in generated code; only minima move. With ``cut`` only
+    hashes under ``_SKETCH`` in the line's count of shingles reach the bins, which leaves the minimum
+    of every bin that keeps one.
     """
     whole = 9223372036854775807
     n = f"greatest(octet_length(b) - {SHINGLE - 1}, 1)"
@@ -61,12 +60,13 @@ def _sketches(lines: DataFrame, by: list[str], cut: bool = True) -> DataFrame:
     x = lines.select(*by, F.expr("cast(line as binary)").alias("b")).select(*by, "b", F.expr(n).alias("n"))
     x = x.select(*by, "b", F.expr(limit).alias("top"), F.explode(F.expr("sequence(1, n)")).alias("i"))
     x = x.select(*by, "top", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h")).where("h <= top")
-    x = x.select(*by, "top", "h", F.expr(f"pmod(h, {_BINS})").alias("bin"))
-    made = x.groupBy(*by).agg(F.min("top").alias("top"), *(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(_BINS)))
+    x = x.select(*by, "top", F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"pmod(h, {_BINS})").alias("bin"))
+    made = x.groupBy(*by).agg(F.bool_or(F.col("top") < whole).alias("was_cut"), *(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(_BINS)))
     bands = [[f"m{k}" for k in range(lo, lo + _ROWS)] for lo in range(0, _BINS, _ROWS)]
-    keys = [F.when(F.coalesce(*band).isNotNull(), F.xxhash64(*band)) for band in bands]
+    # a null is skipped by the hash, so bins are told apart by their number
+    keys = [F.when(F.coalesce(*band).isNotNull(), F.xxhash64(*(x for m in band for x in (F.lit(int(m[1:])), F.col(m))))) for band in bands]
     filled = sum((F.when(F.col(f"m{k}").isNotNull(), 1).otherwise(0) for k in range(_BINS)), F.lit(0))
-    return made.select(*by, F.array_compact(F.array(*keys)).alias("keys"), filled.alias("filled"), (F.col("top") < whole).alias("was_cut"))
+    return made.select(*by, F.array_compact(F.array(*keys)).alias("keys"), filled.alias("filled"), "was_cut")
 
 
 def _weak() -> Column:
@@ -134,13 +134,16 @@ def _prefixes(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     similarity, the first width - ceil(similarity * width) + 1 of either share one, so no link is
     lost; lines that have only frequent shingles in common do not meet.
     """
-    open_ = left.select("node", "comp").distinct()
-    x = sets.join(open_, "node").select("node", "comp", "width", F.explode(F.expr(f"array_distinct({_shingles('line')})")).alias("key"))
-    # a shingle of one line alone comes first and meets nothing: it only takes its place in the prefix
+    open_ = sets.join(left.select("node", "comp").distinct(), "node")
+    x = open_.select("node", F.expr("cast(line as binary)").alias("b"))
+    x = x.select("node", "b", F.explode(F.expr(f"sequence(1, greatest(octet_length(b) - {SHINGLE - 1}, 1))")).alias("i"))
+    x = x.select("node", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("key"))
+    # a shingle that stands once comes first and meets nothing: it only takes its place in the prefix
     often = x.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = x.join(often, "key").groupBy("node", "comp", "width").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("t"))
+    ranked = x.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("t"))
     rest = f"size(t) - cast(ceil({similarity}D * width - 1e-9) as int) + 1"
-    return ranked.where(f"{rest} > 0").select("node", "comp", "width", F.explode(F.expr(f"slice(t, 1, {rest})")).alias("p")).select("p.key", "node", "comp", "width")
+    ranked = ranked.join(open_.select("node", "comp", "width"), "node").where(f"{rest} > 0")
+    return ranked.select("node", "comp", "width", F.explode(F.expr(f"slice(t, 1, {rest})")).alias("p")).select("p.key", "node", "comp", "width")
 
 
 def _apart(left: DataFrame, similarity: float) -> DataFrame:
@@ -163,7 +166,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = stage(rows.select("doc_id", "r1", "r2", "pos", "h1", "h2"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2", "pos")
     whole = docs.select(*_digest(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
-    sketches = _sketches(rows.groupBy("h1", "h2").agg(F.first("line").alias("line")), ["h1", "h2"])
+    sketches = _sketches(rows, ["h1", "h2"])
     counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # the smaller the node, the more repeated the line
     node = F.expr("shiftleft(62L - cast(floor(log2(n)) as bigint), 56) + monotonically_increasing_id()")
@@ -201,7 +204,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         left = stage(_open(_class_of(left.select("key", "node"), links)), "open")
     if not left.isEmpty():
         prefixes = stage(_prefixes(left, sets, similarity), "prefixes")
-        links = links.union(found(_apart(prefixes, similarity).join(tested, ["a", "b"], "left_anti")))
+        shared = prefixes.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
+        links = links.union(found(_apart(prefixes.join(shared, "key", "left_semi"), similarity).join(tested, ["a", "b"], "left_anti")))
         made.append(prefixes)
 
     comp = stage(components(links), "components")
