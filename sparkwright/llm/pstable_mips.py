@@ -7,7 +7,9 @@ a Gaussian. A query visits the cells around its own in the order of estimated su
 least sum of squared distances from its projections to the cell. The number of visits is the
 smallest of a doubling series that finds ``TARGET`` of the true neighbours of a bounded,
 seeded sample of ``SAMPLE`` vectors within that sample (in the whole table neighbours are
-nearer, so recall there is higher). Every vector is indexed.
+nearer, so recall there is higher). Visits reach as many cells away as that takes: vectors of
+length one span a bounded number of cells, so the series ends with all of them. Every vector
+is indexed. Vectors of different lengths have no inner product: each length is searched by itself.
 
 Equal vectors are one entry, with the ``k + 1`` least ids. A cell is worked on in blocks of
 at most ``_BLOCK`` entries and ``_BLOCK`` queries (hot cells are dealt out over tasks); a
@@ -15,8 +17,8 @@ block scores its pairs with one product and returns each query's best ``k + 1``;
 scored again on the original vectors in a fixed order of summation and merged.
 
 Defined cases: null, zero-length, zero and non-finite vectors, vectors with null components
-and null ids take no part; vectors whose length is not the most frequent one (ties: the
-longer) take no part; a query with fewer candidates found returns those; rows with the
+and null ids take no part; the candidates of a query are the vectors of its own length; a
+query with fewer candidates found returns those; rows with the
 query's own id are never its candidates; ties in score go to the smaller id; rows that
 agree in id and vector are one candidate, and repeated query rows give one answer; an
 empty table gives an empty result; other columns are ignored.
@@ -24,6 +26,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -36,18 +39,22 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import read, stage
 
 K = 20
-TABLES, FUNCTIONS, WIDTH, REACH = 2, 4, 1.5, 2
+TABLES, FUNCTIONS, WIDTH, REACH = 2, 4, 1.5, 2  # REACH: cells away at first, widened where the target asks for it
 SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.97
 _BLOCK = 4096
+_COSTS = 1_000_000         # visit costs of a task at a time
 _SEED = 11
 
 
 class Hashes:
-    def __init__(self, dim: int, norm: float):
+    def __init__(self, dim: int, norm: float, reach: int = REACH):
         g = np.random.default_rng(_SEED)
         self.norm = norm
         self.a, self.b = g.normal(size=(TABLES, dim + 1, FUNCTIONS)), g.uniform(0, WIDTH, size=(TABLES, FUNCTIONS))
-        self.steps = np.array(list(itertools.product(range(-REACH, REACH + 1), repeat=FUNCTIONS)), np.int64)
+        self.reach = reach
+        self.steps = np.array(list(itertools.product(range(-reach, reach + 1), repeat=FUNCTIONS)), np.int64)
+        # two points of length one lie no further apart in any projection
+        self.span = int(2 * np.linalg.norm(self.a, axis=1).max() / WIDTH) + 1
         self.place = 1 << (12 * np.arange(FUNCTIONS, dtype=np.int64))
 
     def _project(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -71,23 +78,25 @@ class Hashes:
         return ((own.astype(np.int64)[:, None, :] + self.steps[order] + 2048) * self.place).sum(2)
 
 
-def choose_visits(x: np.ndarray, hashes: Hashes, k: int = K) -> int:
-    """Smallest doubling number of visits per table that reaches TARGET recall inside the sample."""
+def choose_visits(x: np.ndarray, norm: float, k: int = K, first: int = REACH) -> tuple[Hashes, int]:
+    """Hashes and the smallest doubling number of visits per table that reach TARGET recall inside the sample."""
     q = x[:SAMPLE_QUERIES]
     score = q @ x.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     true = np.argsort(-score, axis=1, kind="stable")[:, :min(k, max(len(x) - 1, 1))]
-    visits = 16
-    while visits < len(hashes.steps):
+    hashes, visits = Hashes(x.shape[1], norm, first), 16
+    cells = [hashes.cells(x, t) for t in range(TABLES)]
+    while True:
+        visits = min(visits, len(hashes.steps))
         hit = np.zeros(true.shape, bool)
         for t in range(TABLES):
-            cells, probes = hashes.cells(x, t), hashes.probes(q, t, visits)
             for i in range(len(q)):
-                hit[i] |= np.isin(cells[true[i]], probes[i])
-        if hit.mean() >= TARGET:
-            break
+                hit[i] |= np.isin(cells[t][true[i]], hashes.probes(q[i:i + 1], t, visits)[0])
+        if hit.mean() >= TARGET or (visits == len(hashes.steps) and hashes.reach >= hashes.span):
+            return hashes, visits
+        if visits == len(hashes.steps):
+            hashes = Hashes(x.shape[1], norm, hashes.reach + 1)
         visits *= 2
-    return min(visits, len(hashes.steps))
 
 
 def _best(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +134,9 @@ def _cell_rows(hashes: Hashes, visits: int):
     """Entries -> one row per table; with ``visits``, as queries, one row per visit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
+            step = max(1, min(1000, _COSTS // len(hashes.steps) if visits else 1000))
+            for lo in range(0, b.num_rows, step):
+                s = b.slice(lo, step)
                 x = np.stack(s.column(2).to_numpy(zero_copy_only=False))
                 for t in range(TABLES):
                     cells = hashes.probes(x, t, visits) if visits else hashes.cells(x, t)[:, None]
@@ -153,11 +163,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     result = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
         "vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not dims:
+    rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(7), F.col("v"))})
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())  # a few, whatever the rows
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], result)
-    dim = dims[0]["d"]
-    rows = rows.where(F.size("v") == dim).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(7), F.col("v"))})
+    return functools.reduce(DataFrame.union, (_search(rows.where(F.size("v") == d), queries, k) for d in lengths))
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The answers among rows (vec_id, v, k1, k2) of one length."""
     per_batch = rows.select("k1", "k2", "v", "vec_id").mapInArrow(_least_ids(k), "k1 long, k2 long, v array<double>, ids array<long>")
     few = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")
     parts = per_batch.withColumn("salt", F.spark_partition_id() % 256).groupBy("k1", "k2", "salt").agg(F.first("v").alias("v"), few)
@@ -168,9 +182,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     norm = entries.agg(F.max(size).alias("m")).first()["m"]
-    hashes = Hashes(dim, norm)
     some = entries.orderBy("k1", "k2").limit(SAMPLE).select("v").collect()  # bounded by SAMPLE
-    visits = choose_visits(np.array([r["v"] for r in some]), hashes, k)
+    hashes, visits = choose_visits(np.array([r["v"] for r in some]), norm, k)
 
     types = "t int, cell long, k1 long, k2 long, v array<double>, low long"
     cut = ["k1", "k2", "v", "low"]

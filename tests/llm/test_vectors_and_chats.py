@@ -54,6 +54,37 @@ def test_vectors_that_take_no_part(spark):
     assert pstable_mips.search(empty, empty).count() == 0
 
 
+def test_every_length_is_searched_by_itself(spark):
+    g = np.random.default_rng(3)
+    rows = [(i, g.normal(size=3 if i % 3 else 5).tolist(), 0, 0.0) for i in range(200)]
+    x = {i: np.array(v, np.float32).astype(float) for i, v, _, _ in rows}
+    df = _vectors(spark, rows)
+    got = pstable_mips.search(df, df.where("vec_id % 20 = 0")).collect()
+    hit = 0
+    for q in range(0, 200, 20):
+        best = sorted((-(x[q] * x[i]).sum(), i) for i in x if i != q and len(x[i]) == len(x[q]))[:20]
+        mine = [r["vec_id"] for r in got if r["query_id"] == q]
+        assert all(len(x[i]) == len(x[q]) for i in mine)
+        hit += len({i for _, i in best} & set(mine))
+    assert hit >= 180
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_visits_widen_until_the_target_is_met(spread):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(400, 8)) * np.exp(g.normal(size=(400, 1)) * spread)
+    norm = np.linalg.norm(x, axis=1).max()
+    hashes, visits = pstable_mips.choose_visits(x, norm, 20, first=0)  # one cell a table misses most neighbours
+    assert hashes.reach > 0 and visits <= len(hashes.steps)
+    score = x[:100] @ x.T
+    score[np.arange(100), np.arange(100)] = -np.inf
+    true = np.argsort(-score, axis=1)[:, :20]
+    seen = np.zeros(true.shape, bool)
+    for t in range(pstable_mips.TABLES):
+        seen |= (hashes.cells(x, t)[true][:, :, None] == hashes.probes(x[:100], t, visits)[:, None, :]).any(2)
+    assert seen.mean() >= pstable_mips.TARGET
+
+
 def _chat(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth int")
 
