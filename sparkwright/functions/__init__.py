@@ -1,7 +1,7 @@
 """Column-level building blocks: lenient casts, mixed-format dates, text cleaning, rounding."""
 
 from sparkwright.functions.casts import (
-    DATE_FORMATS,
+    DATE_LAYOUTS,
     NUMBER_PATTERN,
     as_bool_flag,
     clean_text,
@@ -18,7 +18,7 @@ from sparkwright.functions.casts import (
 )
 
 __all__ = [
-    "DATE_FORMATS",
+    "DATE_LAYOUTS",
     "NUMBER_PATTERN",
     "as_bool_flag",
     "clean_text",

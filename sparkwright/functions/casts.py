@@ -15,45 +15,19 @@ from pyspark.sql import types as T
 # optional exponent, surrounding blanks allowed).
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Accepted date/time layouts by leading characters, tried in this order. Month
-# comes first; where that is impossible the day does. Single-letter fields accept padded
-# and unpadded numbers. A shape pattern guards each family, so text that cannot be a date
-# never reaches the parser.
-DATE_FAMILIES = {
-    "iso": [
-        (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
-        (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
-        (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
-        (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["yyyy-M-d H:m"]),
-        (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m"]),
-        (r"^\d{4}-\d{1,2}$", ["yyyy-M"]),
-    ],
-    "year/": [
-        (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-        (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy/M/d H:m:s"]),
-    ],
-    "/": [
-        (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["M/d/yyyy H:m:s", "d/M/yyyy H:m:s"]),
-        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["M/d/yyyy H:m", "d/M/yyyy H:m"]),
-        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2} [AaPp][Mm]$", ["M/d/yyyy h:m a", "d/M/yyyy h:m a"]),
-        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AaPp][Mm]$", ["M/d/yyyy h:m:s a", "d/M/yyyy h:m:s a"]),
-    ],
-    ".": [(r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"])],
-    "-": [(r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"])],
-    "day name": [
-        (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-        (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
-    ],
-    "digits": [(r"^\d{8}$", ["yyyyMMdd"])],
-    "name": [
-        (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d yyyy"]),
-        (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ["MMMM d yyyy"]),
-    ],
+# Accepted date/time layouts. Numbers may be padded or not. Where the year is
+# last the month comes first; where that is impossible the day does.
+_TIME = r"\d{1,2}:\d{1,2}(?::\d{1,2})?"
+DATE_LAYOUTS = {
+    "iso": rf"\A\d{{4}}-\d{{1,2}}(?:-\d{{1,2}}(?:[ T](?:{_TIME}|\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?(?:Z|[+-]\d{{2}}:?\d{{2}})?))?)?\z",
+    "year/": r"\A\d{4}/\d{1,2}/\d{1,2}(?: \d{1,2}:\d{1,2}:\d{1,2})?\z",
+    "digits": r"\A(\d{4})(\d{2})(\d{2})\z",
+    "year last": rf"\A(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})((?<=/\d{{4}}) {_TIME}(?: [AaPp][Mm])?)?\z",
+    "day name": r"\A\d{1,2} [A-Z]{3,9} \d{4}\z",
+    "name": r"\A[A-Z]{3,9} \d{1,2} \d{4}\z",
 }
-DATE_FORMATS = [fmt for family in DATE_FAMILIES.values() for _, fmts in family for fmt in fmts]
-# ISO text with fractional seconds or a zone goes through Spark's own cast.
-_ISO_FRACTION = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC",
+          "JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER"]
 
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -114,28 +88,27 @@ def parse_dates(c: str | Column, dtype: T.DataType | None = None) -> Column:
     digit = first.between(48, 57)
     letter = first.between(65, 90) | first.between(97, 122)
     sep5 = F.substring(text, 5, 1)
-
-    def family(name: str, value: Column) -> Column:
-        # A guard admits one layout, so no parse fails by exception unless the value itself
-        # is impossible (e.g. February 30).
-        out = None
-        for guard, fmts in DATE_FAMILIES[name]:
-            parsed = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in fmts])
-            out = F.when(text.rlike(guard), parsed) if out is None else out.when(text.rlike(guard), parsed)
-        return out
-
-    iso = F.when(text.rlike(_ISO_FRACTION) & ~text.rlike(r"^[^:]*:\d{1,2}(:\d{1,2})?$"), text.try_cast("timestamp")).otherwise(
-        family("iso", text))
-    has = lambda c: F.contains(text, F.lit(c))
-    # Dispatch on cheap character tests so each value meets at most a few patterns.
-    return (F.when(digit & (sep5 == "-"), iso)
-            .when(digit & (sep5 == "/"), family("year/", text))
-            .when(digit & has("/"), family("/", F.upper(text)))
-            .when(digit & has("."), family(".", text))
-            .when(digit & has("-"), family("-", text))
-            .when(digit & has(" "), family("day name", F.initcap(text)))
-            .when(digit, family("digits", text))
-            .when(letter, family("name", F.initcap(F.replace(text, F.lit(","), F.lit(""))))))
+    fits = lambda x, layout: x.rlike(DATE_LAYOUTS[layout])
+
+    def named(value: Column, month: int, day: int) -> Column:
+        word = lambda i: F.get(F.split(value, " "), F.lit(i))
+        at = F.array_position(F.array(*map(F.lit, MONTHS)), word(month))  # 0: not a month, nor is the text a date
+        return F.concat_ws("-", word(2), ((at - 1) % 12 + 1).cast("string"), word(day))
+
+    # Every layout is rewritten year first and cast once: the cast reads digits without a
+    # format and answers null for an impossible date.
+    year_last = F.regexp_replace(text, DATE_LAYOUTS["year last"], F.when(text.rlike(r"\A(?:1[3-9]|[2-9]\d)"), F.lit("$4-$3-$1$5")).otherwise(F.lit("$4-$1-$3$5")))
+    upper = F.upper(text)
+    bare = F.replace(upper, F.lit(","), F.lit(""))
+    rewritten = (F.when(digit & (sep5 == "-") & fits(text, "iso"), text)
+                 .when(digit & (sep5 == "/") & fits(text, "year/"), F.translate(text, "/", "-"))
+                 .when(digit & fits(text, "year last"), year_last)
+                 .when(digit & F.contains(text, F.lit(" ")) & fits(upper, "day name"), named(upper, 1, 0))
+                 .when(digit & fits(text, "digits"), F.regexp_replace(text, DATE_LAYOUTS["digits"], "$1-$2-$3"))
+                 .when(letter & fits(bare, "name"), named(bare, 0, 1)))
+    half_day = digit & F.right(upper, F.lit(2)).isin("AM", "PM")
+    return (F.when(~half_day, rewritten.try_cast("timestamp"))
+            .when(fits(text, "year last"), F.try_to_timestamp(F.upper(year_last), F.lit("yyyy-M-d h:m[:s] a"))))
 
 
 def clean_text(c: str | Column) -> Column:
