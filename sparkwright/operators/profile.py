@@ -9,7 +9,7 @@ explicit, map-side-combined shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,6 +202,30 @@ def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
             .dropna())
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, bins: int = 20, per_bin: int = 25) -> DataFrame:
+    """Opt-in sample of :func:`scatter_pairs` for drawing: (x, y, bin_x, bin_y, bin_rows).
+
+    The pairs lie in a grid of ``bins`` x ``bins`` equal cells between minimum and maximum. Every
+    cell keeps the ``per_bin`` pairs of least hash, a sparse one all of its pairs; ``bin_rows`` counts
+    all pairs of the cell. The sample depends on the values alone, not on partitions or order.
+    Equal pairs count as often as they stand; infinite values take no part.
+    """
+    pairs = scatter_pairs(df, x, y).where(f"abs(`{x}`) < double('infinity') and abs(`{y}`) < double('infinity')")
+    ends = pairs.agg(*(f(_c(c)).alias(f"_{n}{i}") for i, c in enumerate((x, y)) for n, f in (("lo", F.min), ("hi", F.max))))
+
+    def cell(c: str, i: int) -> Column:
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when(hi == lo, 0).otherwise(F.least(F.floor((_c(c) - lo) / ((hi - lo) / F.lit(bins))), F.lit(bins - 1))).cast("int")
+
+    mark = F.md5(F.concat_ws("|", _c(x).cast("string"), _c(y).cast("string")))
+    placed = attach_row(pairs, ends).select(x, y, cell(x, 0).alias("bin_x"), cell(y, 1).alias("bin_y"), mark.alias("_mark"))
+    full = placed.groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("bin_rows"))  # at most bins x bins rows
+    # the limit on the rank applies before the exchange too: a task sends per_bin pairs of a cell at most
+    best = Window.partitionBy("bin_x", "bin_y").orderBy("_mark", _c(x), _c(y))
+    few = placed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_bin)
+    return few.join(full, ["bin_x", "bin_y"]).select(x, y, "bin_x", "bin_y", "bin_rows")
+
+
 def dataset_size(df: DataFrame) -> DataFrame:
     """rows, columns, estimated megabytes and the large-dataset flags (one aggregate)."""
     width = []
@@ -221,14 +245,21 @@ def dataset_size(df: DataFrame) -> DataFrame:
                     .alias("is_large"))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash: row count, XOR and decimal sum of per-row 60-bit md5 keys,
-    plus the schema string. Every value carries its length and a null has a mark of its own,
-    so no value can run into the next column; the pair of hashes keeps repeated rows from
-    cancelling."""
+def row_key(df: DataFrame) -> Column:
+    """60 bits of the md5 of a row. Every value carries its length and a null has a mark of its
+    own, so no value can run into the next column."""
     parts = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in (_c(c).cast("string") for c in df.columns)]
     text = F.concat(*[F.coalesce(p, F.lit("-")) for p in parts])
-    key = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    schema = ",".join(f"{n}:{t}" for n, t in df.dtypes)
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def schema_text(df: DataFrame) -> str:
+    return ",".join(f"{n}:{t}" for n, t in df.dtypes)
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Order-free content hash: row count, XOR and decimal sum of the row keys, plus the schema
+    string; the pair of hashes keeps repeated rows from cancelling."""
+    key = row_key(df)
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(key).alias("hash_xor"),
-                  F.sum(key.cast("decimal(38,0)")).cast("string").alias("hash_sum")).withColumn("schema", F.lit(schema))
+                  F.sum(key.cast("decimal(38,0)")).cast("string").alias("hash_sum")).withColumn("schema", F.lit(schema_text(df)))

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import NUMBER_PATTERN
 from sparkwright.operators import dictionary as DICT
+from sparkwright.operators import loads as LOADS
 from sparkwright.operators import profile as PR
+from sparkwright.operators import sketches as SK
 from sparkwright.operators.ranking import exact_quantiles
 from sparkwright.sources.fixtures import RETAIL_MAPPING, retail_raw
 from sparkwright.sources.readers import read_table
+from sparkwright.sources.sinks import scratch_dir
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,31 @@ def box_stats(s, d):
     return mm.join(q, "column").withColumnRenamed("column", "measure")
 
 
+# Columns of the line table that are profiled from sketches.
+SKETCHED = (["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+
+
+def profile_approximate(s, d):
+    df = read_table(s, d, "lineitem")
+    approximate = SK.profile(SK.merge(SK.sketch(df, *SKETCHED)))
+    return SK.beside_exact(df, approximate, [*SKETCHED[0], *SKETCHED[1]])
+
+
+def fingerprint_loads(s, d):
+    """The orders, the same rows in other files and order, and a copy with changed prices."""
+    path, again, changed, folder = f"{d}/orders.parquet", *(scratch_dir(s, "loads") for _ in range(3))
+    orders = s.read.parquet(path)
+    orders.repartition(5, "o_custkey").write.parquet(again)
+    orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 1, 1.5).otherwise(F.col("o_totalprice"))).write.parquet(changed)
+    LOADS.load(s, folder, {"orders": path})
+    found, _ = LOADS.load(s, folder, {"orders": path, "orders_again": again, "orders_changed": changed})
+    return found
+
+
 QUERIES = {
+    "profile_approximate": profile_approximate,
+    "fingerprint_loads": fingerprint_loads,
+    "scatter_sample": lambda s, d: PR.scatter_sample(read_table(s, d, "lineitem"), "l_quantity", "l_extendedprice"),
     "detect_types": lambda s, d: PR.detect_types(raw(s, d)),
     "profile_overview": lambda s, d: PR.overview(raw(s, d)),
     "profile_missing": lambda s, d: PR.missing_table(raw(s, d)),
@@ -252,7 +279,39 @@ ORDERS_SCHEMA = ("o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_tota
                  "o_orderdate:timestamp_ntz,o_orderpriority:string")
 _O = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
+_KEY = ("CAST(('0x' || substr(md5(concat(" + ", ".join(
+    f"COALESCE(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in _O) + ")), 1, 15)) AS BIGINT)")
+
+
+def _loads_sql() -> str:
+    def marks(name: str, rows: str, same: str) -> str:
+        return (f"SELECT '{name}' AS name, COUNT(*) AS row_count, bit_xor(key) AS hash_xor, CAST(SUM(CAST(key AS DECIMAL(38,0))) AS VARCHAR) AS hash_sum, "
+                f"'{ORDERS_SCHEMA}' AS schema, {same} AS same_as FROM (SELECT {_KEY} AS key FROM {rows})")
+    changed = "(SELECT * REPLACE (CASE WHEN o_orderkey % 1000 = 1 THEN 1.5 ELSE o_totalprice END AS o_totalprice) FROM orders)"
+    return " UNION ALL ".join([marks("orders", "orders", "CAST(NULL AS VARCHAR)"), marks("orders_again", "orders", "'orders'"),
+                               marks("orders_changed", changed, "CAST(NULL AS VARCHAR)")])
+
+
+def _approximate_sql() -> str:
+    parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v, {'true' if numeric else 'false'} AS num FROM lineitem"
+             for cols, numeric in zip(SKETCHED, (True, False)) for c in cols]
+    return ("WITH c AS (SELECT \"column\", num, v, COUNT(*) AS n FROM (" + " UNION ALL ".join(parts) + ") WHERE v IS NOT NULL GROUP BY ALL) "
+            "SELECT \"column\", CAST(SUM(n) AS BIGINT) AS present, COUNT(*) AS unique_values, true AS unique_in_bound, "
+            "CASE WHEN num THEN true END AS quantiles_in_bound, CASE WHEN NOT num THEN MAX(n) END AS most_common_count, "
+            "CASE WHEN NOT num THEN true END AS common_in_bound FROM c GROUP BY \"column\", num")
+
+
 ORACLE = {
+    "profile_approximate": _approximate_sql(),
+    "fingerprint_loads": _loads_sql(),
+    "scatter_sample": """
+      WITH v AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+      r AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM v),
+      b AS (SELECT x, y, CAST(CASE WHEN x1 = x0 THEN 0 ELSE LEAST(floor((x - x0) / ((x1 - x0) / 20.0)), 19) END AS INTEGER) AS bin_x,
+              CAST(CASE WHEN y1 = y0 THEN 0 ELSE LEAST(floor((y - y0) / ((y1 - y0) / 20.0)), 19) END AS INTEGER) AS bin_y FROM v, r),
+      k AS (SELECT *, COUNT(*) OVER (PARTITION BY bin_x, bin_y) AS bin_rows,
+              row_number() OVER (PARTITION BY bin_x, bin_y ORDER BY md5(CAST(x AS VARCHAR) || '|' || CAST(y AS VARCHAR)), x, y) AS rk FROM b)
+      SELECT x AS l_quantity, y AS l_extendedprice, bin_x, bin_y, bin_rows FROM k WHERE rk <= 25""",
     "detect_types": "WITH " + DETECT + " SELECT CAST(pos AS INTEGER) AS pos, \"column\", dtype, non_null, numeric_share, date_share, kind FROM detect",
     "profile_overview": _overview_sql(),
     "profile_missing": _missing_sql(),
