@@ -120,11 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         "doc_id is not null and label in (0, 1)").where(fold("doc_id") != 0)
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    # at most `sample` rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(some), "doc_id").select("doc_id", "label", F.pandas_udf(_sparse_terms, "at binary, n binary")("text").alias("v")).select("doc_id", "label", "v.*").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["at"]), bytes(r["n"])))
-    rows = rows[:sample]  # ids that stand on several documents
+        F.broadcast(some), "doc_id").select("doc_id", "label", F.pandas_udf(_sparse_terms, "at binary, n binary")("text").alias("v")).select("doc_id", "label", "v.*")
+    # at most `sample` rows, also where an id stands on several documents
+    rows = rows.orderBy("doc_id", "label", "at", "n").limit(sample).collect()
     counts = np.zeros((len(rows), _TERMS), np.float32)
     for i, r in enumerate(rows):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")

@@ -143,9 +143,26 @@ def op5_quotes_passages(spark, sf_dir: str) -> DataFrame:
     return passages(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op5_quotes": op5_quotes, "op5_quotes_passages": op5_quotes_passages}
-ORACLE = {"op5_quotes": r"""
-WITH RECURSIVE raw AS (
+def quoting(chats: DataFrame) -> DataFrame:
+    """``chats`` with quotes of the conversation's own earlier messages in front: level 1 of one, in every third turn level 2 of another."""
+    rows = chats.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    said = chats.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").cast("string").alias("said")).where("text is not null")
+    for marks, back, where in ((">> ", F.lit(3), F.col("turn") % 3 == 0), ("> ", 1 + F.col("turn") % 2, F.col("turn") > 0)):
+        quote = F.concat(F.lit(marks), F.replace("said", F.lit("\n"), F.lit("\n" + marks)))
+        met = rows.join(said, where & (F.col("conv_id") == F.col("c")) & (F.col("t") == F.col("turn") - back), "left")
+        rows = met.select("conv_id", "turn", "role", "text", *(c for c in rows.columns if c[0] == "q"), quote.alias(f"q{len(marks)}"))
+    return rows.select("conv_id", "turn", "role", F.concat_ws("\n", "q3", "q2", "text").alias("text"))
+
+
+def op5_quotes_planted(spark, sf_dir: str) -> DataFrame:
+    """Messages and their places, in conversations that quote themselves."""
+    m = messages(quoting(read(spark, sf_dir, "conversations")))
+    return m.select("conv_id", "turn", "role", "n_quoted", "parent_turn", "root_turn", "depth", "reply_path", F.md5("text").alias("text_md5"))
+
+
+QUERIES = {"op5_quotes": op5_quotes, "op5_quotes_passages": op5_quotes_passages, "op5_quotes_planted": op5_quotes_planted}
+_NORM = r"""
+raw AS (
   SELECT c.conv_id, c.turn, u.n, u.line AS raw
   FROM conversations c, UNNEST(string_split(c.text, chr(10))) WITH ORDINALITY AS u(line, n)),
 lines AS (
@@ -153,12 +170,15 @@ lines AS (
 norm AS (
   SELECT conv_id, turn, n, length(regexp_replace(mark, '[ \t]', '', 'g')) AS lev,
     trim(regexp_replace(lower(substr(raw, length(mark) + 1)), '[ \t\r\f\v]+', ' ', 'g')) AS line FROM lines),
-idx AS (SELECT conv_id, line, min(turn) AS src FROM norm WHERE lev = 0 AND line <> '' GROUP BY ALL),
+own AS (SELECT DISTINCT conv_id, line, turn AS src FROM norm WHERE lev = 0 AND line <> '')"""
+_MESSAGES = "WITH RECURSIVE" + _NORM + r""",
+wanted AS (SELECT conv_id, turn, line, count(*) AS k FROM norm WHERE lev = 1 AND line <> '' GROUP BY ALL),
 votes AS (
-  SELECT q.conv_id, q.turn, i.src, count(*) AS v FROM norm q JOIN idx i USING (conv_id, line)
-  WHERE q.lev = 1 AND i.src < q.turn GROUP BY ALL),
+  SELECT w.conv_id, w.turn, o.src, sum(w.k) AS v, string_agg(md5(w.line), ',' ORDER BY md5(w.line)) AS held
+  FROM wanted w JOIN own o USING (conv_id, line) WHERE o.src < w.turn GROUP BY ALL),
+firsts AS (SELECT conv_id, turn, v, held, min(src) AS src FROM votes GROUP BY ALL),
 parent AS (
-  SELECT conv_id, turn, src AS parent_turn FROM votes
+  SELECT conv_id, turn, src AS parent_turn FROM firsts
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY v DESC, src DESC) = 1),
 walk AS (
   SELECT conv_id, turn, parent_turn AS top, 1 AS depth, format('0{:019d}', turn) AS path FROM parent
@@ -172,4 +192,31 @@ SELECT c.conv_id, c.turn, c.role,
   CASE WHEN d.top IS NULL THEN format('0{:019d}', c.turn) ELSE format('0{:019d}', d.top) || '/' || d.path END AS reply_path,
   md5(regexp_replace(array_to_string(list_filter(string_split(coalesce(c.text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)),
     '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS text_md5
-FROM conversations c LEFT JOIN parent p USING (conv_id, turn) LEFT JOIN deep d USING (conv_id, turn)"""}
+FROM conversations c LEFT JOIN parent p USING (conv_id, turn) LEFT JOIN deep d USING (conv_id, turn)"""
+_PASSAGES = "WITH" + _NORM + r""",
+placed AS (
+  SELECT DISTINCT conv_id, turn, lev, n FROM norm WHERE lev > 0 AND line <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+firsts AS (
+  SELECT *, min(n) OVER (PARTITION BY conv_id, turn, lev, island) AS first_line
+  FROM (SELECT *, n - row_number() OVER (PARTITION BY conv_id, turn, lev ORDER BY n) AS island FROM placed)),
+sized AS (SELECT conv_id, turn, lev, first_line, count(*) AS n_lines FROM firsts GROUP BY ALL),
+wanted AS (
+  SELECT f.conv_id, f.turn, f.lev, f.first_line, q.line, count(*) AS k
+  FROM firsts f JOIN norm q USING (conv_id, turn, lev, n) WHERE q.line <> '' GROUP BY ALL),
+votes AS (
+  SELECT w.conv_id, w.turn, w.lev, w.first_line, o.src, sum(w.k) AS v, string_agg(md5(w.line), ',' ORDER BY md5(w.line)) AS held
+  FROM wanted w JOIN own o USING (conv_id, line) WHERE o.src < w.turn GROUP BY ALL),
+earliest AS (SELECT conv_id, turn, lev, first_line, v, held, min(src) AS src FROM votes GROUP BY ALL),
+best AS (SELECT * FROM earliest QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lev, first_line ORDER BY v DESC, src DESC) = 1)
+SELECT s.conv_id, s.turn, CAST(s.lev AS INTEGER) AS level, CAST(s.first_line - 1 AS INTEGER) AS first_line, s.n_lines,
+  b.src AS source_turn, CAST(b.v AS BIGINT) AS n_linked
+FROM sized s LEFT JOIN best b USING (conv_id, turn, lev, first_line)"""
+# conversations that quote themselves
+_PLANTED = """planted AS (
+  SELECT c.conv_id, c.turn, c.role, concat_ws(chr(10), '>> ' || replace(b.text, chr(10), chr(10) || '>> '),
+    '> ' || replace(a.text, chr(10), chr(10) || '> '), c.text) AS text
+  FROM conversations c
+  LEFT JOIN conversations a ON a.conv_id = c.conv_id AND c.turn > 0 AND a.turn = c.turn - 1 - c.turn % 2 AND a.text IS NOT NULL
+  LEFT JOIN conversations b ON b.conv_id = c.conv_id AND c.turn % 3 = 0 AND b.turn = c.turn - 3 AND b.text IS NOT NULL),"""
+ORACLE = {"op5_quotes": _MESSAGES, "op5_quotes_passages": _PASSAGES,
+          "op5_quotes_planted": _MESSAGES.replace("conversations c", "planted c").replace("WITH RECURSIVE", "WITH RECURSIVE " + _PLANTED, 1)}

@@ -60,6 +60,27 @@ def test_nearest_columns_break_ties_to_the_left():
     assert [sorted(r) for r in quality_knn._top(cos, 2).tolist()] == [[0, 1], [0, 1]]
 
 
+def test_votes_equal_a_plain_loop():
+    texts = [words(k, 5 + k % 40) for k in range(quality_knn.NEIGHBOURS + 90)]
+    labels = np.array([k % 3 == 0 for k in range(len(texts))], float)
+    model = quality_knn.fit_arrays(np.array([quality_knn.terms(t) for t in texts]), labels)
+    asked = texts[:5] + [words(900 + k, 30) for k in range(20)] + ["", None]
+    z = model.latent(np.array([quality_knn.terms(t) for t in asked]))
+    for got, row in zip(model.score(asked), z):
+        cos = [float(row @ v) for v in model.vectors]
+        near = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[:quality_knn.NEIGHBOURS]
+        weight = [max(cos[i], 0.0) ** quality_knn.POWER for i in near]
+        wanted = sum(w * labels[i] for w, i in zip(weight, near)) / sum(weight) if sum(weight) > 0 else labels.mean()
+        assert got == pytest.approx(wanted, abs=1e-4)
+
+
+def test_sample_of_labels_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(k % 12, words(k, 20)) for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    model = quality_knn.fit(docs, labels, sample=9)
+    assert len(model.labels) == 9
+
+
 @pytest.mark.parametrize("module", [quality_knn, toxicity_bigru])
 def test_scores_on_awkward_tables(spark, odd_docs, no_docs, some_labels, module):
     got = module.score(odd_docs, some_labels).collect()

@@ -149,3 +149,27 @@ def test_awkward_chats(spark):
     assert len(got) == len(rows)
     assert [r["parent_turn"] for r in got if r["turn"] == 5] == [-2, -2]
     assert quotes.messages(_chat(spark, [])).count() == 0 and quotes.passages(_chat(spark, [])).count() == 0
+
+
+def test_quoting_messages_equal_sql(spark, tmp_path):
+    """Conversations that quote themselves, with copies, shared lines, nulls and blanks, against the SQL."""
+    import duckdb
+    g = np.random.default_rng(6)
+    say = ["Thanks!", "see you  THEN", "", "a plan", "> quoted before", "regards", "one more line"]
+    rows = [(c, t, "u", None if g.random() < .05 else "\n".join(g.choice(say, g.integers(1, 5))), 0) for c in range(12) for t in range(9)]
+    rows += [(None, 1, "u", "a plan", 0), (3, None, "u", "> a plan", 0)]
+    path = str(tmp_path / "c.parquet")
+    _chat(spark, rows).write.parquet(path)
+    chats = quotes.quoting(spark.read.parquet(path))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{path}/*.parquet'")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    planted = [tuple(r) for r in quotes.messages(chats).selectExpr("conv_id", "turn", "n_quoted", "parent_turn", "root_turn", "depth", "reply_path", "md5(text)").collect()]
+    sql = con.execute(f"select conv_id, turn, n_quoted, parent_turn, root_turn, depth, reply_path, text_md5 from ({quotes.ORACLE['op5_quotes_planted']}) where turn is not null").fetchall()
+    assert sorted((r for r in planted if r[1] is not None), key=key) == sorted(sql, key=key)
+    assert sum(r[3] is not None for r in planted) > 50
+    chats.write.parquet(str(tmp_path / "p.parquet"))
+    con.execute(f"create or replace view conversations as select * from '{tmp_path}/p.parquet/*.parquet'")
+    spans = [tuple(r) for r in quotes.passages(chats).select("conv_id", "turn", "level", "first_line", "n_lines", "source_turn", "n_linked").collect()]
+    sql = con.execute(f"select conv_id, turn, level, first_line, n_lines, source_turn, n_linked from ({quotes.ORACLE['op5_quotes_passages']})").fetchall()
+    assert sorted(spans, key=key) == sorted(sql, key=key) and len(spans) > 100
