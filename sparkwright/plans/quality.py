@@ -63,7 +63,6 @@ QUERIES = {
 
 from sparkwright.plans.finance import PREPARED as _FIN  # noqa: E402,F401
 from sparkwright.plans.retail import RAW as RETAIL_RAW  # noqa: E402
-from sparkwright.plans.retail import RAW_ID as RETAIL_ID  # noqa: E402
 
 MFG_RAW = """mfg_raw AS (
   SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_shipdate AS event_time,
@@ -127,6 +126,9 @@ def _rules_select(tid: str) -> str:
 ALL_CTES = ", ".join(MASKS[t][1] for t in SOURCES)
 ALL_RULES = " UNION ALL ".join(_rules_select(t) for t in SOURCES)
 
+RETAIL_ID = RETAIL_RAW + """,
+retail_id AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_linenumber, l_suppkey) - 1 AS source_row_id
+              FROM retail_raw)"""
 RAW_COLS = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"] + RETAIL_DATA
 _QC = ", ".join(f'"{c}"' for c in RAW_COLS)
 

@@ -83,12 +83,6 @@ retail_raw AS (
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
-#: The row number of a line is its place in the file, in which order the table is read.
-RAW_ID = RAW + """,
-line_id AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, row_number() OVER () - 1 AS source_row_id FROM lineitem),
-retail_id AS (SELECT r.*, i.source_row_id FROM retail_raw r JOIN line_id i USING (l_orderkey, l_partkey, l_linenumber, l_suppkey))"""
-
-
 PREPARED = RAW + """,
 retail_typed AS (
   SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
