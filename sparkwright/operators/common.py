@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions import as_bool_flag
+from sparkwright.sources.sinks import stage_table
 
 def attach_row(df: DataFrame, one_row: DataFrame, name: str = "_row") -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
@@ -52,16 +53,18 @@ def flag_duplicates(df: DataFrame, subset: list[str], order_cols: list[str],
     """``flag`` is true on every copy but the first (smallest ``order_cols``) of each
     group of rows equal on ``subset`` (nulls equal, like pandas ``duplicated``).
 
-    The keys are reduced to a 16-byte digest; digests that stand more than once, with their
-    first row key, are joined back. The aggregate combines map-side and the join is a plain
-    equality, so its kind and the split of a hot digest are left to runtime statistics. No
-    window gathers a group. ``order_cols`` must identify rows.
+    The keys are reduced to a 16-byte digest, and only digests are counted over all rows. Those
+    that stand more than once are written, so that the planner knows their size: the rows meet
+    them in a broadcast where they are few, else in a join that is split at runtime. Row keys are
+    compared among repeated rows only. No window gathers a group. ``order_cols`` must identify rows.
     """
     first, second = row_digest(df, subset)
     marked = df.withColumns({"_d1": first, "_d2": second})
     order = F.struct(*[F.col(f"`{c}`") for c in order_cols]) if len(order_cols) > 1 else F.col(f"`{order_cols[0]}`")
-    repeated = (marked.groupBy("_d1", "_d2").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-                .filter(F.col("_copies") > 1).drop("_copies"))
+    twice = stage_table(marked.groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+                        .select("_d1", "_d2"), "repeated")
+    copies = marked.select("_d1", "_d2", order.alias("_key")).join(twice, ["_d1", "_d2"])
+    repeated = stage_table(copies.groupBy("_d1", "_d2").agg(F.min("_key").alias("_first")), "repeated")
     joined = marked.join(repeated, ["_d1", "_d2"], "left")
     return joined.withColumn(flag, as_bool_flag(order != F.col("_first"))).drop("_first", "_d1", "_d2")
 
