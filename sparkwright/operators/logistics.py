@@ -49,10 +49,14 @@ def prepare(raw: DataFrame, mapping: dict[str, str | None], order_cols: list[str
     return _flagged(flagged, typed, None, [*order_cols, *FIELDS, *[f"original_{f}" for f in DATE_FIELDS]])
 
 
-def records(raw: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
-    """Distinct records with their flags and ``copies``: what the KPI tables are made of."""
+def records(raw: DataFrame, mapping: dict[str, str | None], staged: bool = False) -> DataFrame:
+    """Distinct records with their flags and ``copies``: what the KPI tables are made of.
+
+    ``staged`` writes them once, for tables that read them several times (the cost quantile does too).
+    """
     originals = [f"original_{f}" for f in DATE_FIELDS]
     found = distinct_records(_typed(raw, mapping, []), FIELDS, originals)
+    found = stage_table(found, "records") if staged else found
     found = found.withColumns({c: F.when(F.col(f"n_{c}") > 0, F.lit("")) for c in originals})
     return _flagged(found, found, "copies", [*FIELDS, "copies", *[f"n_{c}" for c in originals]])
 

@@ -16,9 +16,9 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.prepare(logistics_raw(spark, sf_dir), LOGISTICS_MAPPING, LOGISTICS_ROW_KEY)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, staged: bool = False) -> DataFrame:
     """Distinct records: KPI tables need no duplicate flag on every row."""
-    return L.records(logistics_raw(spark, sf_dir), LOGISTICS_MAPPING)
+    return L.records(logistics_raw(spark, sf_dir), LOGISTICS_MAPPING, staged)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

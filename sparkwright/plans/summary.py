@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkwright.operators import logistics as L
 from sparkwright.operators import quality as Q
+from sparkwright.operators import retail as R
 from sparkwright.operators import summary as S
 from sparkwright.plans import finance as FP
 from sparkwright.plans import generic as GP
@@ -12,12 +14,21 @@ from sparkwright.plans import logistics as LP
 from sparkwright.plans import manufacturing as MP
 from sparkwright.plans import retail as RP
 from sparkwright.sources.readers import read_table
+from sparkwright.sources.sinks import stage_table
 
 
 def _retail(s, d):
-    q = RP.QUERIES
-    return S.retail(q["retail_kpis"](s, d), q["retail_monthly_revenue"](s, d), q["retail_product_performance"](s, d),
-                    q["retail_segment_summary"](s, d), q["retail_issue_summary"](s, d))
+    # five tables read the records: they are written once
+    records = stage_table(RP.records(s, d), "records")
+    cleaned = R.cleaned_orders(records)
+    segments = R.segment_summary(R.rfm_segments(R.rfm_base(cleaned)))
+    return S.retail(R.kpis(cleaned), R.monthly_revenue(cleaned), R.product_performance(cleaned), segments, R.issue_summary(records))
+
+
+def _logistics(s, d):
+    records = LP.records(s, d, staged=True)
+    rows = L.analysis_rows(records)
+    return S.logistics(L.kpis(rows), L.carrier_performance(rows), L.issue_summary(records))
 
 
 def _generic(s, d):
@@ -31,9 +42,7 @@ QUERIES = {
     "summary_manufacturing": lambda s, d: S.manufacturing(MP.QUERIES["mfg_kpis"](s, d),
                                                           MP.QUERIES["mfg_machine_performance"](s, d),
                                                           MP.QUERIES["mfg_issue_summary"](s, d)),
-    "summary_logistics": lambda s, d: S.logistics(LP.QUERIES["log_kpis"](s, d),
-                                                  LP.QUERIES["log_carrier_performance"](s, d),
-                                                  LP.QUERIES["log_issue_summary"](s, d)),
+    "summary_logistics": _logistics,
     "summary_finance": lambda s, d: S.finance(FP.QUERIES["fin_kpis"](s, d), FP.QUERIES["fin_category_summary"](s, d),
                                               FP.QUERIES["fin_issue_summary"](s, d)),
     "summary_generic": _generic,
