@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,15 @@ from sparkwright.llm.common import read, stage
 
 WINDOW, END_ID = 4096, 2
 _MAX_REPEAT = 8          # depth of a combination: m + n at most this
-_CACHE_WORDS = 1_000_000  # words one Python worker keeps; beyond it the cache starts anew
-_CHUNK = 4_000_000        # bytes of text encoded together
+_CACHE_PARTS = 2_000_000  # pre-tokens one Python worker keeps; beyond it the cache starts anew
+_CHUNK = 8_000_000        # bytes of text encoded together
 # White space of the tokenizer's own pattern; str.split() also cuts at \x1c-\x1f.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
 # Letters, then marks without an apostrophe: two pre-tokens at most, whatever the letters are.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", "[!-&(-/:-@\\[-`{-~]"
+_PROBE = "abcdefghijklmnopqrstuvwxyz", "the", "!", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN, _ONE = f"^(?P<letters>{_LETTERS}*)(?P<marks>{_MARKS}*)$", f"^({_LETTERS}+|{_MARKS}+)$"
 
 
 def split(text: str | None) -> list[str]:
@@ -51,11 +54,12 @@ def split(text: str | None) -> list[str]:
 
 
 class WordIds:
-    """Ids of white-space separated words by a ``tokenizers`` file, each word encoded once.
+    """Ids of white-space separated words by a ``tokenizers`` file, each pre-token encoded once.
 
     For tokenizers that lower-case, drop white space, cut between letters and marks and end
     every pre-token with a piece that carries the word-end suffix. A word of letters and
-    marks is put together from the two; any other word is encoded as it stands.
+    marks is put together from the two; any other word is encoded as it stands. Words and
+    pre-tokens are cut, told apart and looked up by Arrow; only new pre-tokens become Python strings.
     """
 
     def __init__(self, path: str | None):
@@ -68,45 +72,62 @@ class WordIds:
         suffix = self.tok.model.end_of_word_suffix
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
+        # whether what stands before the model leaves lower-case ASCII pre-tokens as they are
+        self.bare = all(self._model_ids(w) == self.tok.encode(w, add_special_tokens=False).ids for w in _PROBE)
         self.clear()
 
+    def _model_ids(self, part: str) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize(part)]
+
     def clear(self):
-        self.words: dict[str, int] = {}   # word -> row of pairs
-        self.parts: dict[str, int] = {"": 0}  # pre-token -> row of start, count
-        self.pairs = np.zeros((0, 2), np.int64)
+        self.parts = pa.array([""], pa.string())  # pre-tokens; their rows have start and count in flat
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _keep(self, ids: np.ndarray, counts: np.ndarray, names: list[str]):
-        first = len(self.start)
-        self.parts.update(zip(names, range(first, first + len(names))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def learn(self, words: list[str]):
-        known, plain, odd, pairs = self.parts, {}, {}, []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            a, b = (m[1].lower(), m[2]) if m else (w, "")
-            pairs.append((a, b))
-            if a not in known:
-                (plain if m else odd)[a] = None
-            if b not in known:
-                plain[b] = None
-        new = list(plain)
-        for lo in range(0, len(new), 2000):
-            some = new[lo:lo + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+    def learn(self, parts: pa.Array) -> np.ndarray:
+        """Encode new pre-tokens and say their rows."""
+        plain = pc.match_substring_regex(parts, _ONE)
+        direct = pc.and_(plain, pc.string_is_ascii(parts)) if self.bare else pa.array(np.zeros(len(parts), bool))
+        kinds = direct, pc.and_not(plain, direct), pc.invert(plain)
+        alone, joined, odd = (parts.filter(k).to_pylist() for k in kinds)
+        found = [self._model_ids(w) for w in alone]
+        counts = [np.fromiter(map(len, found), np.int64, len(found))]
+        found = [np.fromiter(chain.from_iterable(found), np.uint32)]
+        for lo in range(0, len(joined), 2000):
+            some = joined[lo:lo + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(some):
                 raise ValueError("this tokenizer does not end each pre-token with the word-end suffix")
-            self._keep(ids.astype(np.uint32), np.diff(last, prepend=-1), some)
+            found.append(ids)
+            counts.append(np.diff(last, prepend=-1))
         if odd:
-            found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(list(odd), add_special_tokens=False)]
-            self._keep(np.concatenate(found), np.array([len(x) for x in found], np.int64), list(odd))
-        first = len(self.pairs)
-        self.words.update(zip(words, range(first, first + len(words))))
-        self.pairs = np.concatenate([self.pairs, np.array([(known[a], known[b]) for a, b in pairs], np.int64)])
+            each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
+            found += each
+            counts.append(np.array([len(x) for x in each], np.int64))
+        counts = np.concatenate(counts)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, *found])
+        at = np.concatenate([np.flatnonzero(k.to_numpy(zero_copy_only=False)) for k in kinds])
+        rows = np.empty(len(parts), np.int64)
+        rows[at] = len(self.parts) + np.arange(len(parts))
+        self.parts = pa.concat_arrays([self.parts, parts.take(pa.array(at))])
+        return rows
+
+    def _pairs(self, words: pa.Array) -> np.ndarray:
+        """Rows of the two pre-tokens of each word, the second empty where the word is encoded as it stands."""
+        cut = pc.extract_regex(words, _PLAIN)
+        plain = pc.is_valid(cut)
+        letters = pc.if_else(plain, pc.utf8_lower(pc.struct_field(cut, "letters")), words)
+        marks = pc.if_else(plain, pc.struct_field(cut, "marks"), "")
+        parts = pa.concat_arrays([letters, marks]).dictionary_encode()
+        if len(self.parts) > _CACHE_PARTS:
+            self.clear()
+        rows = pc.fill_null(pc.index_in(parts.dictionary, value_set=self.parts), -1).to_numpy().astype(np.int64)
+        new = rows < 0
+        if new.any():
+            rows[new] = self.learn(parts.dictionary.filter(pa.array(new)))
+        return rows[parts.indices.to_numpy()].reshape(2, len(words)).T
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; words are split and told apart by Arrow, so only distinct ones are looked up."""
@@ -117,14 +138,7 @@ class WordIds:
         else:
             lists = pc.utf8_split_whitespace(column)  # cuts where str.split() does; an empty word has no ids
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.words) > _CACHE_WORDS:
-            self.clear()
-        new = [w for w in distinct if w not in self.words]
-        if new:
-            self.learn(new)
-        rows = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
-        at = self.pairs[rows][coded.indices.to_numpy()]
+        at = self._pairs(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()]
         ids = self._gather(at.ravel())
         size = np.concatenate([[0], np.cumsum(self.count[at].sum(1))])
         cut = size[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -403,6 +404,22 @@ def test_words_encode_like_the_tokenizer():
     assert [i.tolist() for i in packing_nnls.WordIds(None).encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_equal_pretokens_are_encoded_once():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    g = np.random.default_rng(4)
+    letters, marks = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ\u00c4\u00e9\u00df"), list("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    texts = [" ".join("".join(g.choice(letters, g.integers(0, 12))) + "".join(g.choice(marks, g.integers(0, 4))) for _ in range(200)) for _ in range(5)]
+    texts += ["The the, THE, the", "dann's 7 <|endoftext|>, <|endoftext|>"]
+    enc = packing_nnls.WordIds(None)
+    learnt = []
+    enc.learn = lambda parts, f=enc.learn: learnt.extend(parts.to_pylist()) or f(parts)
+    for some in ([None, texts[0]], texts, pa.array(texts[::-1]), []):
+        assert [i.tolist() for i in enc.encode(some)] == [tok.encode(t or "", add_special_tokens=False).ids for t in (some if isinstance(some, list) else some.to_pylist())]
+    assert len(learnt) == len(set(learnt)) and {"the", ",", "dann's"} <= set(learnt) and not {"The", "THE,"} & set(learnt)
+
+
 def test_plan_uses_every_tail_once():
     g = np.random.default_rng(6)
     for top in (3, 40, 64):
