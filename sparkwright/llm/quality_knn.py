@@ -87,19 +87,23 @@ def _top(cos: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit_arrays(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
-    """Randomised truncated SVD (seeded) of the weighted sample."""
-    counts, labels = counts.astype(np.float32), labels.astype(float)
+    """The model of a sample's term counts, which are left as they are."""
+    return _fit_roots(np.sqrt(counts, dtype=np.float32), labels, dims)
+
+
+def _fit_roots(x: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
+    """Randomised truncated SVD (seeded) of the weighted sample; ``x``, the square roots of the counts, is weighted in place."""
+    labels = labels.astype(float)
     if not len(labels):
         return Model(np.ones(_TERMS, np.float32), np.zeros((_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
-    idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = _unit(np.sqrt(counts) * idf)
+    idf = (np.log((1 + len(labels)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+    for lo in range(0, len(x), 256):  # the driver holds this matrix once
+        x[lo:lo + 256] = _unit(x[lo:lo + 256] * idf)
     g = np.random.default_rng(0).normal(size=(x.shape[1], dims + 16)).astype(np.float32)
     for _ in range(3):
         g = np.linalg.qr(x.T @ (x @ g))[0]
-    axes = np.linalg.svd(x @ g, full_matrices=False)[2][:dims] @ g.T
-    model = Model(idf, np.ascontiguousarray(axes.T, np.float32), np.zeros((0, 1), np.float32), labels)
-    model.vectors = model.latent(counts)
-    return model
+    axes = np.ascontiguousarray((np.linalg.svd(x @ g, full_matrices=False)[2][:dims] @ g.T).T, np.float32)
+    return Model(idf, axes, _unit(x @ axes), labels)
 
 
 def fold(doc_id: str) -> Column:
@@ -124,10 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         F.broadcast(some), "doc_id").select("doc_id", "label", F.pandas_udf(_sparse_terms, "at binary, n binary")("text").alias("v")).select("doc_id", "label", "v.*")
     # at most `sample` rows, also where an id stands on several documents
     rows = rows.orderBy("doc_id", "label", "at", "n").limit(sample).collect()
-    counts = np.zeros((len(rows), _TERMS), np.float32)
+    roots, found = np.zeros((len(rows), _TERMS), np.float32), np.array([r["label"] for r in rows])
     for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    return fit_arrays(counts, np.array([r["label"] for r in rows]))
+        roots[i, np.frombuffer(r["at"], "<u2")] = np.sqrt(np.frombuffer(r["n"], "<f4"))
+    del rows
+    return _fit_roots(roots, found)
 
 
 def score_column(docs: DataFrame, model: Model) -> Column:

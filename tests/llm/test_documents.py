@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,17 @@ def test_votes_equal_a_plain_loop():
         assert got == pytest.approx(wanted, abs=1e-4)
 
 
+def test_fit_holds_the_sample_once():
+    counts = np.random.default_rng(0).integers(0, 3, (1000, quality_knn._TERMS)).astype(np.float32)
+    before = counts.copy()
+    tracemalloc.start()
+    model = quality_knn.fit_arrays(counts, np.arange(1000) % 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * counts.nbytes and (counts == before).all()
+    assert np.abs(model.vectors - model.latent(counts)).max() < 1e-5
+
+
 def test_sample_of_labels_is_bounded_where_ids_repeat(spark):
     docs = spark.createDataFrame([(k % 12, words(k, 20)) for k in range(120)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
