@@ -330,6 +330,29 @@ def test_pruned_shard_equals_full_scoring():
     assert ids.tolist() == [d for _, d in sorted(full)[:10]] and np.allclose(scores, [-s for s, _ in sorted(full)[:10]])
 
 
+def test_a_task_gives_k_rows_a_query_over_all_its_shards():
+    g = np.random.default_rng(5)
+    bags = [np.sort((g.zipf(1.3, g.integers(5, 60)).astype(np.uint64) % 300 + 1) << 55 | 1) for _ in range(900)]
+    bags[600] = bags[601] = bags[10]  # ties between shards
+    parts = [bmw_search.build(list(range(lo, lo + 300)), bags[lo:lo + 300]) for lo in (600, 0, 300)]
+    rows = [pa.RecordBatch.from_arrays([pa.array([x[c].tobytes()], pa.binary()) for c in bmw_search._KINDS], list(bmw_search._KINDS)) for x in parts]
+    asked = []
+    for d in range(0, 900, 6):
+        terms = np.unique(bags[d])
+        asked.append((d, -d, terms.tobytes(), g.uniform(0.5, 3, len(terms)).tobytes()))
+    held = type("Held", (), {"value": asked})
+    out = pa.Table.from_batches(list(bmw_search._search_rows(held, 30.0, 5)(iter(rows)))).to_pylist()
+    assert len(out) <= 5 * len(asked)
+    got = defaultdict(list)
+    for r in out:
+        got[r["q1"]].append((r["doc_id"], r["score"]))
+    for q1, _, terms, weights in asked:
+        weight = dict(zip(np.frombuffer(terms, np.uint64).tolist(), np.frombuffer(weights).tolist()))
+        full = [(-sum(weight[t] * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(b) / 30)) for t, k in sorted(Counter(b.tolist()).items()) if t in weight), d) for d, b in enumerate(bags)]
+        full = sorted((round(s, 9), d) for s, d in full if s < 0)[:5]
+        assert [(round(-s, 9), d) for d, s in got[q1]] == full
+
+
 # ---------------------------------------------------------------- 8 suffix arrays
 
 def test_suffix_array_of_small_strings():
