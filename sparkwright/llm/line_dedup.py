@@ -5,14 +5,16 @@ xxhash64 as rows in generated code. One-permutation MinHash: 24 bins by the hash
 the minimum of each bin; three bins make a band key, eight keys a line. Only the least hashes
 (96 expected) reach the bins; a line that has too few distinct ones among them is sketched
 again from all. Equal lines are one entry (128-bit digest), so copies never meet in a band. Every pair from the bands is verified on the shingle sets, except
-where their exact sizes alone rule the similarity out.
+where their exact sizes or their odd sketches rule the similarity out.
 
 Inside a band the entries are not paired with each other. Every entry is compared with the
 band's centre (its most repeated line); the exact Jaccard similarity of the shingle sets
 decides; distributed union-find joins the links. Bands that still hold several components
-get further centres. Entries of different components that are left meet by prefix filter: each
-stands under its rarest shingles, as many as a similar line cannot all miss, and meets the lines
-there whose sizes allow the similarity. No link of a band is lost to the order of comparison.
+get further centres. Entries of different components that are left meet inside their band, where
+sizes and odd sketches allow the similarity. A bit of an odd sketch is the parity of the distinct
+shingles whose hash falls there: what two lines share cancels out, so the bits that differ never
+outnumber the shingles that only one of them has. No link of a band is lost, neither to the order
+of comparison nor to this bound.
 
 One line of each component stays: the first occurrence by doc_id (nulls last), row digest and
 position. Blank lines are neither compared nor removed. Documents keep their row, lines
@@ -38,7 +40,9 @@ SHINGLE, SIMILARITY = 8, 0.8
 _BINS, _ROWS = 24, 3
 _SKETCH = 96               # least hashes looked at, as expected count; a line of fewer shingles shows all
 _FILLED = 16               # a cut sketch with fewer bins filled is made again from all hashes
-_STARS = 3                 # rounds of centres before the remaining pairs
+_WORDS = 16                # of 64 bits in an odd sketch
+_STARS = 3                 # rounds of centres before the remaining pairs; after the first one only
+_CROWDED = 2000            # while a band of more entries is open; fewer make at most 2 million comparisons of odd sketches
 _BROADCAST_ROWS = 500_000  # rows of at most some 40 bytes; beyond it the join shuffles
 
 
@@ -60,8 +64,8 @@ def _sketches(lines: DataFrame, by: list[str], cut: bool = True) -> DataFrame:
     x = lines.select(*by, F.expr("cast(line as binary)").alias("b")).select(*by, "b", F.expr(n).alias("n"))
     x = x.select(*by, "b", F.expr(limit).alias("top"), F.explode(F.expr("sequence(1, n)")).alias("i"))
     x = x.select(*by, "top", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h")).where("h <= top")
-    x = x.select(*by, "top", F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"pmod(h, {_BINS})").alias("bin"))
-    made = x.groupBy(*by).agg(F.bool_or(F.col("top") < whole).alias("was_cut"), *(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(_BINS)))
+    x = x.select(*by, "top", F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"cast(pmod(h, {_BINS}) as int)").alias("bin"))
+    made = x.groupBy(*by).agg(F.bool_or(F.col("top") < whole).alias("was_cut"), *(F.expr(f"min(h) FILTER (WHERE bin = {k})").alias(f"m{k}") for k in range(_BINS)))
     bands = [[f"m{k}" for k in range(lo, lo + _ROWS)] for lo in range(0, _BINS, _ROWS)]
     # a null is skipped by the hash, so bins are told apart by their number
     keys = [F.when(F.coalesce(*band).isNotNull(), F.xxhash64(*(x for m in band for x in (F.lit(int(m[1:])), F.col(m))))) for band in bands]
@@ -79,6 +83,28 @@ def _may_reach(a: str, b: str, similarity: float) -> str:
     return f"least({a}, {b}) >= {similarity}D * greatest({a}, {b}) - 1e-9"
 
 
+def _bits(sets: DataFrame) -> list[str]:
+    """Columns of the odd sketch, if the table has them."""
+    return [c for c in (f"o{k}" for k in range(_WORDS)) if c in sets.columns]
+
+
+def _odd_sketches(texts: DataFrame) -> DataFrame:
+    """(node, width, o0, ...) of ``texts(node, line)``: count of distinct shingles, and parities of those that fall on each bit."""
+    # no array is empty; a plain explode would make each twice, to ask that
+    x = texts.select("node", F.expr(f"explode_outer(array_distinct({_shingles('line')}))").alias("h"))
+    x = x.select("node", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr(f"cast(pmod(shiftright(h, 6), {_WORDS}) as int)").alias("word"))
+    return x.groupBy("node").agg(F.count("*").cast("int").alias("width"), *(F.expr(f"coalesce(bit_xor(bit) FILTER (WHERE word = {k}), 0L)").alias(f"o{k}") for k in range(_WORDS)))
+
+
+def _may_differ(bits: list[str], a: str, b: str, similarity: float) -> str:
+    """Whether odd sketches (columns with these endings) of sets of sizes ``w{a}``, ``w{b}`` can have the Jaccard similarity.
+
+    It asks that no more than (1 - s) / (1 + s) of the sizes' sum stands in one set alone.
+    """
+    differ = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in bits)
+    return f"{differ} <= {(1 - similarity) / (1 + similarity)}D * (w{a} + w{b}) + 1e-6"
+
+
 def _jaccard(a: str, b: str, bound: float) -> str:
     """Whether the Jaccard similarity of two arrays without repeats is at least ``bound``; each is worked out once."""
     return (f"transform(array(struct({a} as a, {b} as b)), s -> {1 + bound}D * size(array_intersect(s.a, s.b)) "
@@ -90,10 +116,10 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else df
 
 
-def _with(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with the column of either end, as ``_a`` and ``_b``."""
+def _with(pairs: DataFrame, nodes: DataFrame, **columns: str) -> DataFrame:
+    """Pairs (a, b) with columns of either end, under the given names and ``_a`` or ``_b``."""
     for end in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col(column).alias(f"_{end}")), end)
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{name}_{end}") for name, c in columns.items())), end)
     return pairs
 
 
@@ -108,10 +134,12 @@ def _texts(nodes: DataFrame, distinct: DataFrame, whole: DataFrame) -> DataFrame
 
 
 def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets reach ``similarity``; ``sets(node, width, line)``. Sets are compared where their sizes allow it."""
-    near = stage(_with(pairs, sets, "width").where(F.expr(_may_reach("_a", "_b", similarity))).select("a", "b"), "near")
-    same = _jaccard(f"array_distinct({_shingles('_a')})", f"array_distinct({_shingles('_b')})", similarity)
-    found = stage(_with(near, sets, "line").where(F.expr(same)).select("a", "b"), "links")
+    """Pairs whose shingle sets reach ``similarity``; ``sets(node, width, line)``. Sets are compared where sizes, and odd sketches if there, allow it."""
+    bits = _bits(sets)
+    near = _with(pairs, sets.drop("line"), w="width", **{c: c for c in bits}).where(F.expr(_may_reach("w_a", "w_b", similarity)))
+    near = stage((near.where(F.expr(_may_differ(bits, "_a", "_b", similarity))) if bits else near).select("a", "b"), "near")
+    same = _jaccard(f"array_distinct({_shingles('line_a')})", f"array_distinct({_shingles('line_b')})", similarity)
+    found = stage(_with(near, sets, line="line").where(F.expr(same)).select("a", "b"), "links")
     release(near)
     return found
 
@@ -122,9 +150,9 @@ def _class_of(posted: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(classed: DataFrame) -> DataFrame:
-    """Entries of bands that still hold several components."""
-    several = classed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return classed.join(several, "key", "left_semi")
+    """Entries of bands that still hold several components, with the band's size."""
+    several = classed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    return classed.join(several, "key")
 
 
 def _prefixes(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -147,15 +175,18 @@ def _prefixes(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _apart(left: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a key's entries from different components whose sizes allow the similarity.
+    """Pairs (a, b) of a key's entries from different components whose sizes, and odd sketches if there, allow the similarity.
 
-    Such sizes lie in one length class or in classes side by side; others do not meet.
+    Such sizes lie in one length class or in classes side by side; others do not meet. An entry
+    stands in the cell of its class and in the next one, a pair counts in the cell of the larger.
     """
     step = math.log(1 / similarity) + 1e-6
-    x = left.withColumn("class", F.floor(F.log("width") / F.lit(step)))
-    y = x.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("width").alias("wb"), F.explode(F.expr("sequence(class - 1, class + 1)")).alias("class"))
-    x = x.select("key", "class", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("width").alias("wa"))
-    return x.join(y, ["key", "class"]).where("a < b and ca <> cb").where(F.expr(_may_reach("wa", "wb", similarity))).select("a", "b").distinct()
+    bits = _bits(left)
+    x = left.select("key", "node", "comp", "width", F.floor(F.log("width") / F.lit(step)).cast("int").alias("class"), *bits)
+    x = x.select("*", F.explode(F.expr("sequence(class, class + 1)")).alias("cell"))
+    a, b = (x.select("key", "cell", *(F.col(c).alias(f"{n}_{end}") for c, n in [("node", "n"), ("comp", "c"), ("width", "w"), ("class", "k"), *zip(bits, bits)])) for end in "ab")
+    allowed = ["n_a < n_b", "c_a <> c_b", "cell = greatest(k_a, k_b)", _may_reach("w_a", "w_b", similarity), *([_may_differ(bits, "_a", "_b", similarity)] if bits else [])]
+    return a.join(b, ["key", "cell"]).where(" and ".join(allowed)).select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -172,14 +203,15 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     node = F.expr("shiftleft(62L - cast(floor(log2(n)) as bigint), 56) + monotonically_increasing_id()")
     distinct = stage(counted.join(sketches, ["h1", "h2"], "left").select("h1", "h2", "n", node.alias("node"), "first", "keys", _weak().alias("weak")), "distinct_lines")
     again = _texts(distinct.where("weak").select("node"), distinct, whole)
-    entries = distinct.where("not weak").select("node", F.explode("keys").alias("key"))
-    entries = stage(entries.union(_sketches(again, ["node"], cut=False).select("node", F.explode("keys"))), "entries")
+    whole_keys = stage(_sketches(again, ["node"], cut=False).select("node", "keys"), "whole_keys")
+    entries = distinct.where("not weak").select("node", "keys").union(whole_keys).select("node", F.explode("keys").alias("key"))
 
     bands = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1").select("key", "size", "centre")
     posted = stage(entries.join(bands, "key"), "bands")
     texts = _texts(posted.select("node").distinct(), distinct, whole)
-    sets = stage(texts.select("node", "line", F.expr(f"size(array_distinct({_shingles('line')}))").alias("width")), "sets")
-    release(again, entries, texts)
+    sizes = stage(_odd_sketches(texts), "sizes")
+    sets = sizes.join(texts, "node")
+    release(again, whole_keys)
 
     def found(pairs: DataFrame) -> DataFrame:
         return _links(pairs, sets, similarity)
@@ -193,23 +225,21 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # a band of two has been compared
     left = stage(_open(_class_of(posted.where("size > 2").select("key", "node"), links)), "open")
     for star in range(1, _STARS):
-        if left.isEmpty():
+        crowded = left.where(F.col("size") > _CROWDED)
+        if crowded.isEmpty():
             break
         hashed = F.struct(F.xxhash64(F.lit(star), F.col("node")).alias("h"), F.col("node").alias("v"), F.col("comp").alias("c"))
-        centre = left.groupBy("key").agg(F.min(hashed).alias("m")).select("key", F.col("m.v").alias("b"), F.col("m.c").alias("cb"))
-        pairs = stage(ordered(left.join(centre, "key").where("comp <> cb").select(F.col("node").alias("a"), "b")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        centre = crowded.groupBy("key").agg(F.min(hashed).alias("m")).select("key", F.col("m.v").alias("b"), F.col("m.c").alias("cb"))
+        pairs = stage(ordered(crowded.join(centre, "key").where("comp <> cb").select(F.col("node").alias("a"), "b")).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
         links = links.union(found(pairs))
         made += [pairs, left]
         left = stage(_open(_class_of(left.select("key", "node"), links)), "open")
     if not left.isEmpty():
-        prefixes = stage(_prefixes(left, sets, similarity), "prefixes")
-        shared = prefixes.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
-        links = links.union(found(_apart(prefixes.join(shared, "key", "left_semi"), similarity).join(tested, ["a", "b"], "left_anti")))
-        made.append(prefixes)
+        links = links.union(found(_apart(left.join(sizes, "node"), similarity).join(tested, ["a", "b"], "left_anti")))
 
     comp = stage(components(links), "components")
-    release(posted, left, sets, *made)
+    release(posted, left, sizes, texts, *made)
     classed = distinct.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = classed.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     hit = classed.join(kept, "component").select("h1", "h2", "kept")
