@@ -90,10 +90,13 @@ def _bits(sets: DataFrame) -> list[str]:
 
 def _odd_sketches(texts: DataFrame) -> DataFrame:
     """(node, width, o0, ...) of ``texts(node, line)``: count of distinct shingles, and parities of those that fall on each bit."""
+    # repeated documents give a line more than once: each row is counted by itself, and one is kept
+    x = texts.select("node", "line", F.monotonically_increasing_id().alias("row"))
     # no array is empty; a plain explode would make each twice, to ask that
-    x = texts.select("node", F.expr(f"explode_outer(array_distinct({_shingles('line')}))").alias("h"))
-    x = x.select("node", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr(f"cast(pmod(shiftright(h, 6), {_WORDS}) as int)").alias("word"))
-    return x.groupBy("node").agg(F.count("*").cast("int").alias("width"), *(F.expr(f"coalesce(bit_xor(bit) FILTER (WHERE word = {k}), 0L)").alias(f"o{k}") for k in range(_WORDS)))
+    x = x.select("node", "row", F.expr(f"explode_outer(array_distinct({_shingles('line')}))").alias("h"))
+    x = x.select("node", "row", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr(f"cast(pmod(shiftright(h, 6), {_WORDS}) as int)").alias("word"))
+    rows = x.groupBy("node", "row").agg(F.count("*").cast("int").alias("width"), *(F.expr(f"coalesce(bit_xor(bit) FILTER (WHERE word = {k}), 0L)").alias(f"o{k}") for k in range(_WORDS)))
+    return rows.groupBy("node").agg(*(F.max(c).alias(c) for c in ("width", *_bits(rows))))  # copies are equal
 
 
 def _may_differ(bits: list[str], a: str, b: str, similarity: float) -> str:
@@ -133,13 +136,17 @@ def _texts(nodes: DataFrame, distinct: DataFrame, whole: DataFrame) -> DataFrame
     return out
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets reach ``similarity``; ``sets(node, width, line)``. Sets are compared where sizes, and odd sketches if there, allow it."""
+def _links(pairs: DataFrame, sets: DataFrame, similarity: float, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs whose shingle sets reach ``similarity``; ``sets(node, width)`` and ``texts(node, line)``, or one table for both.
+
+    Sets are compared where their sizes, and odd sketches if there, allow it.
+    """
+    texts = sets if texts is None else texts
     bits = _bits(sets)
-    near = _with(pairs, sets.drop("line"), w="width", **{c: c for c in bits}).where(F.expr(_may_reach("w_a", "w_b", similarity)))
+    near = _with(pairs, sets, w="width", **{c: c for c in bits}).where(F.expr(_may_reach("w_a", "w_b", similarity)))
     near = stage((near.where(F.expr(_may_differ(bits, "_a", "_b", similarity))) if bits else near).select("a", "b"), "near")
     same = _jaccard(f"array_distinct({_shingles('line_a')})", f"array_distinct({_shingles('line_b')})", similarity)
-    found = stage(_with(near, sets, line="line").where(F.expr(same)).select("a", "b"), "links")
+    found = stage(_with(near, texts, line="line").where(F.expr(same)).select("a", "b"), "links")
     release(near)
     return found
 
@@ -210,11 +217,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     posted = stage(entries.join(bands, "key"), "bands")
     texts = _texts(posted.select("node").distinct(), distinct, whole)
     sizes = stage(_odd_sketches(texts), "sizes")
-    sets = sizes.join(texts, "node")
     release(again, whole_keys)
 
     def found(pairs: DataFrame) -> DataFrame:
-        return _links(pairs, sets, similarity)
+        return _links(pairs, sizes, similarity, texts)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

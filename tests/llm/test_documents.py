@@ -266,6 +266,17 @@ def test_open_bands_pair_only_lines_that_may_be_alike(spark):
     assert {tuple(r) for r in line_dedup._links(spark.createDataFrame(list(got), "a long, b long"), sizes.join(df, "node"), 0.8).collect()} == want
 
 
+def test_lines_of_repeated_documents_are_linked(spark):
+    """A document that stands twice gives its lines twice, which must not double or cancel their odd sketches."""
+    a, b = words(1, 40), words(2, 300)
+    near = lambda x: x[:-1] + "9"
+    rows = [(1, a), (1, a), (2, near(a) + "\nrest"), (3, near(b)), (3, near(b)), (3, near(b)), (4, near(b)[1:]), (4, near(b)[1:])]
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, a), (1, a), (2, "rest"), (3, near(b)), (3, near(b)), (3, near(b)), (4, ""), (4, "")]
+    texts = spark.createDataFrame([(1, a), (1, a), (2, b)], "node long, line string")
+    assert sorted(tuple(r) for r in line_dedup._odd_sketches(texts).collect()) == sorted(tuple(r) for r in line_dedup._odd_sketches(texts.distinct()).collect())
+
+
 def test_lines_on_awkward_tables(spark, odd_docs, no_docs):
     got = line_dedup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
