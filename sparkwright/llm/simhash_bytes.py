@@ -152,15 +152,21 @@ def _block_edges(max_bits: int):
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = _BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all links."""
-    if not 0 <= max_bits <= 4:
-        raise ValueError("the index guarantees a common posting for at most 4 differing bits")
+def _postings(distinct: DataFrame) -> DataFrame:
+    """(key, fp, n): every fingerprint under its keys, where another one has the key too, with the posting's size."""
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = [F.lit(t << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for t, (a, b, c) in enumerate(combinations(range(7), 3))]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posted = stage(rows.join(sizes, "key"), "postings")
+    # Spark sizes both sides like ``distinct``, without the 35 rows of each, and would broadcast one
+    return rows.hint("merge").join(sizes, "key")
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = _BLOCK) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) that connect all links."""
+    if not 0 <= max_bits <= 4:
+        raise ValueError("the index guarantees a common posting for at most 4 differing bits")
+    posted = stage(_postings(distinct), "postings")
     short = posted.where(F.col("n") <= block).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(
         _posting_edges(max_bits), "a long, b long")
     long = posted.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / F.lit(block // 2)).cast("int"))

@@ -391,6 +391,15 @@ def test_near_fingerprints_in_large_postings(spark, block):
     assert _union(len(fps), [(at[r["a"]], at[r["b"]]) for r in edges]) == want
 
 
+def test_postings_are_not_broadcast(spark, tmp_path):
+    """Spark sizes exploded rows like the table they come from: 20,000 fingerprints of 160 KB, 700,000 postings."""
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fp"))
+    posted = simhash_bytes._postings(spark.read.parquet(str(tmp_path / "fp")))
+    posted.collect()
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # ---------------------------------------------------------------- 7 search
 
 def test_search_against_brute_force(spark, odd_docs, no_docs):
