@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -77,15 +77,17 @@ def anchors(b: np.ndarray, length: int = LENGTH):
     with np.errstate(over="ignore"):
         h, m, base = _LETTER[b], 1, _ODD
         while m < _GRAM:  # digests of 2, 4, ... bytes
-            h = h[:-m] * np.uint64(base) + h[m:]
-            base, m = base * base % (1 << 64), 2 * m
-    w = length - _GRAM + 1
+            longer = h[:-m] * np.uint64(base)
+            longer += h[m:]
+            h, base, m = longer, base * base % (1 << 64), 2 * m
+    w, m = length - _GRAM + 1, 1
     h = mix64(h)
-    v = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equals is the least
-    x = np.concatenate([v, np.full(-len(v) % w, ~np.uint64(0))]).reshape(-1, w)
-    ahead = np.minimum.accumulate(x, axis=1).ravel()
-    back = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(back[:k], ahead[w - 1:w - 1 + k]) & np.uint64(0xFFFFFF)).astype(np.int64)
+    v = h & ~np.uint64(0xFFFFFF)
+    v |= np.arange(len(h), dtype=np.uint64)  # the leftmost of equals is the least
+    while 2 * m <= w:  # least of 2, 4, ... grams
+        v, m = np.minimum(v[:-m], v[m:]), 2 * m
+    v = np.minimum(v[:k], v[w - m:])
+    at = (v & np.uint64(0xFFFFFF)).astype(np.int64)
     lo = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     return h[at[lo]], at[lo], lo, np.append(lo[1:], k) - 1
 
@@ -114,16 +116,19 @@ def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r1, r2, texts = (batch.column(i) for i in range(3))
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            for a, b, t in zip(r1.to_numpy(zero_copy_only=False), r2.to_numpy(zero_copy_only=False), texts):
+            out: list[list[np.ndarray]] = [[] for _ in names[2:]]
+            row, count = [], []
+            for i, t in enumerate(texts):
                 for base, p in pieces(t.as_py() or b"", length):
                     key, pos, lo, hi = anchors(p, length)
                     with np.errstate(over="ignore"):
                         ctx = mix64(digests(p, lo, hi + length) ^ (pos - lo).astype(np.uint64))
-                    for o, v in zip(out, (np.full(len(key), a), np.full(len(key), b), key.view(np.int64), ctx.view(np.int64),
-                                          base + pos, pos - lo, hi - lo + 1)):
+                    row.append(i)
+                    count.append(len(key))
+                    for o, v in zip(out, (key.view(np.int64), ctx.view(np.int64), base + pos, pos - lo, hi - lo + 1)):
                         o.append(v)
-            cols = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+            row = np.repeat(np.array(row, np.int64), np.array(count, np.int64))
+            cols = [r.to_numpy(zero_copy_only=False)[row] for r in (r1, r2)] + [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
             for lo in range(0, max(len(cols[0]), 1), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + 20_000]).cast(pa.int64() if i < 5 else pa.int32()) for i, c in enumerate(cols)], names)
     return run
@@ -165,8 +170,8 @@ def _batch(out: list[list], names: list[str]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- suffix array
 
-def suffix_array(text: list[int]) -> list[int]:
-    """Suffix array of a list of non-negative integers by Lyndon grouping.
+def suffix_array(text: Sequence[int] | np.ndarray) -> list[int]:
+    """Suffix array of non-negative integers by Lyndon grouping.
 
     First sweep, groups in descending order: ``prev[s]`` becomes the nearest position to the
     left whose group is smaller; the suffixes found that way have the group's Lyndon prefix
@@ -196,8 +201,24 @@ def suffix_array(text: list[int]) -> list[int]:
     end = n
     while end > 0:
         start = head[sa[end - 1]]
+        if end - start == 1:  # one suffix moves one at most: to the end of its group, on its own
+            p = sa[start] - 1
+            while p >= 0 and head[p] >= start:
+                p = prev[p]
+            prev[sa[start]] = p
+            if p >= 0 and size[head[p]] > 1:
+                g = head[p]
+                size[g] -= 1
+                to, at = g + size[g], place[p]
+                other = sa[to]
+                sa[to], sa[at] = p, other
+                place[p], place[other] = to, at
+                head[p] = to
+                size[to] = 1
+            end = start
+            continue
         times: dict[int, int] = {}
-        for s in sorted(sa[start:end]) if end - start > 1 else sa[start:end]:
+        for s in sorted(sa[start:end]):
             p = s - 1
             while p >= 0 and head[p] >= start:
                 p = prev[p]
@@ -241,33 +262,31 @@ def repeated_windows(sets: list[list[tuple[bytes, bytes, int]]], length: int = L
 
     A window is named by its start in ``left``; all of them hold the core.
     """
-    text: list[int] = []
-    spans: dict[int, tuple[int, int, int, int]] = {}  # place in text -> set, member, start, letters
-    for k, members in enumerate(sets):
-        for i, (left, right, core) in enumerate(members):
-            base = len(text)
-            text += [c + 1 for c in left]
-            text.append(257 + k)
-            text += [c + 1 for c in right]
-            text.append(0)
-            for j in range(len(left) + 1):
-                tail = length - core - (len(left) - j)
-                if 0 <= tail <= len(right):
-                    spans[base + j] = (k, i, j, len(left) - j + 1 + tail)
-    found = [[[] for _ in members] for members in sets]
-    last = None
-    for s in suffix_array(text):
-        if s not in spans:
-            continue
-        if last is not None:
-            x, y = spans[last], spans[s]
-            if x[3] == y[3] and text[last:last + x[3]] == text[s:s + y[3]]:
-                for z in (x, y):
-                    mine = found[z[0]][z[1]]
-                    if not mine or mine[-1] != z[2]:
-                        mine.append(z[2])
-        last = s
-    return [[sorted(set(m)) for m in members] for members in found]
+    rows = [m for members in sets for m in members]
+    left, right, core = np.array([(len(a), len(b), c) for a, b, c in rows], np.int64).reshape(-1, 3).T
+    begin = np.cumsum(left + right + 2) - (left + right + 2)
+    text = np.frombuffer(b"".join(x for a, b, _ in rows for x in (a, b"\0", b, b"\0")), np.uint8) + np.int64(1)
+    text[begin + left] = 257 + np.repeat(np.arange(len(sets)), [len(members) for members in sets])
+    text[begin + left + right + 1] = 0
+    rest = length - core  # letters of a window beside the core
+    low, high = np.maximum(left - rest, 0), np.minimum(left, left + right - rest)
+    count = np.maximum(high - low + 1, 0)
+    owner = np.full(len(text), -1)
+    owner[np.arange(count.sum()) + np.repeat(begin + low - np.cumsum(count) + count, count)] = np.repeat(np.arange(len(rows)), count)
+    order = np.array(suffix_array(text), np.int64)
+    order = order[owner[order] >= 0]  # windows
+    x, y = order[:-1], order[1:]
+    alike = rest[owner[x]] == rest[owner[y]]
+    x, y = x[alike], y[alike]
+    for i in range(int(rest.max(initial=-1)) + 1):
+        alike = (i > rest[owner[x]]) | (text[np.minimum(x + i, len(text) - 1)] == text[np.minimum(y + i, len(text) - 1)])
+        x, y = x[alike], y[alike]
+    found: list[list[int]] = [[] for _ in rows]
+    hit = np.unique(np.concatenate([x, y]))
+    for k, start in zip(owner[hit].tolist(), (hit - begin[owner[hit]]).tolist()):
+        found[k].append(start)
+    each = iter(found)
+    return [[next(each) for _ in members] for members in sets]
 
 
 def _set_spans(length: int):

@@ -480,6 +480,28 @@ def _brute_cut(texts):
     return out
 
 
+def test_groups_of_one_suffix_are_not_sorted(monkeypatch):
+    """Most groups hold one suffix: they need no order, no count and no new groups."""
+    calls = []
+    monkeypatch.setattr(suffix_dedup, "sorted", lambda x, **k: calls.append(1) or sorted(x, **k), raising=False)
+    text = np.random.default_rng(3).permutation(400).tolist()
+    assert suffix_dedup.suffix_array(text) == sorted(range(400), key=text.__getitem__)
+    assert not calls
+
+
+def test_repeated_windows_of_several_sets():
+    """Sets with cores of different sizes in one array; texts without a whole window; a window in all texts, in two, in one."""
+    g = np.random.default_rng(4)
+    side = lambda n: bytes(g.integers(0, 3, n, np.uint8))
+    sets = [list({(side(g.integers(0, 12)), side(g.integers(0, 12)), core) for _ in range(n)}) for core, n in ((190, 60), (188, 1), (195, 40), (200, 5), (190, 2))]
+
+    def windows(left, right, core):
+        return [(j, left[j:] + b"|" + right[:200 - core - len(left) + j]) for j in range(len(left) + 1) if 0 <= 200 - core - len(left) + j <= len(right)]
+    for members, found in zip(sets, suffix_dedup.repeated_windows(sets), strict=True):
+        times = Counter((len(x) and x.index(b"|"), x) for m in members for _, x in windows(*m))
+        assert found == [[j for j, x in windows(*m) if times[x.index(b"|"), x] > 1] for m in members]
+
+
 @pytest.mark.parametrize("limit", [20_000, 1])
 def test_repeated_strings_against_brute_force(spark, odd_docs, monkeypatch, limit):
     monkeypatch.setattr(suffix_dedup, "_SET", limit)
