@@ -2,9 +2,11 @@
 
 import json
 import os
+import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import one, rows
 from sparkwright.operators import summary as S
@@ -112,3 +114,18 @@ def test_summary_lines(spark):
     assert text[2] == "Total revenue is $900 and total cost is $250."
     assert text[5] == "Budget variance is -$50 where budget and actual fields are available."
     assert text[6] == "The largest mapped category is A with $900."
+
+
+def test_kpi_long_leaves_no_shuffle_files(spark):
+    """Each table is worked out by itself, and its shuffle files go when it is."""
+    env = spark._jvm.org.apache.spark.SparkEnv
+    blocks = lambda: {b for b in env.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle")}
+    table = lambda k: spark.range(5000).groupBy((F.col("id") % k).alias("g")).count().agg(F.sum("count").alias("n"), F.max("g").alias("g"))
+    before = blocks()
+    long = SK.kpi_long({"a": table(7), "b": table(11)})
+    assert sorted(tuple(r) for r in long.collect()) == [("a", "g", 6.0), ("a", "n", 5000.0), ("b", "g", 10.0), ("b", "n", 5000.0)]
+    end = time.time() + 10  # they are removed in the background
+    while blocks() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not blocks() - before
+    assert spark.conf.get(SK._SHUFFLE_CLEANUP, None) is None
